@@ -961,7 +961,7 @@ def _(f):
   union all select node_id, pid, 'OPTS', substr(environ, instr(environ, 'a=b='), length(environ) - instr(environ, 'a=b=')) from env_blocks""")
 def _(f):
     out = scratch_dir(f.spark, "u2")
-    f.env_blocks.withColumn("environ", F.translate("environ", "\n", "\0")).write.parquet(out)
+    f.env_blocks.withColumn("environ", F.replace("environ", F.lit("\n"), F.lit("\0"))).write.parquet(out)
     fmt = host_table.parquet_env_table(f.spark)
     return f.spark.read.format(fmt).option("path", out).load()
 

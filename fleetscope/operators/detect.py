@@ -32,7 +32,7 @@ def compile_rules(conditions: DataFrame) -> DataFrame:
 
 def _field_value(field: Column, text: str) -> Column:
     """The whole text for field ``*``, else the named JSON field."""
-    return F.when(field == "*", F.col(text)).otherwise(F.get_json_object(F.col(text), F.concat(F.lit("$."), field)))
+    return F.when(field == "*", F.col(text)).otherwise(F.call_function("get_json_object", F.col(text), F.concat(F.lit("$."), field)))
 
 
 def match_rules(events: DataFrame, conditions: DataFrame, text: str = "payload") -> DataFrame:
