@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def row_json(columns: Column) -> Column:
     """Canonical JSON text of a map: same entries in any order give the same text."""
-    ordered = F.map_from_entries(F.array_sort(F.map_entries(columns)))
+    ordered = F.map_from_entries(F.sort_array(F.map_entries(columns)))
     return F.to_json(ordered, {"ignoreNullFields": "false"})
 
 

@@ -48,12 +48,24 @@ def first_nonblank(*candidates: Column, default: str) -> Column:
 
 def wildcard_regex(pattern: str) -> str:
     """Watched-path pattern as a regular expression: ``%%`` spans levels, ``%`` stays in one."""
-    out = "".join({"%%": ".*", "%": "[^/]*"}.get(tok) or re.escape(tok)
-                  for tok in re.split(r"(%%|%)", pattern) if tok)
-    return f"^{out}$"
+    return "".join({"%%": ".*", "%": "[^/]*"}.get(tok) or re.escape(tok)
+                   for tok in re.split(r"(%%|%)", pattern) if tok)
 
 
 def matches_any(col: Column, patterns) -> Column:
-    """True where the path matches one of the wildcard patterns."""
-    body = "|".join(f"(?:{wildcard_regex(p)})" for p in patterns)
-    return col.rlike(body) if body else F.lit(False)
+    """True where the path matches one of the wildcard patterns.
+
+    Most patterns are a folder and everything below it, or one file; those need
+    no regular expression.
+    """
+    below = [p[:-2] for p in patterns if p.endswith("%%") and "%" not in p[:-2]]
+    exact = [p for p in patterns if "%" not in p]
+    other = [p for p in patterns if p not in exact and p[:-2] not in below]
+    out = F.lit(False)
+    for prefix in below:
+        out = out | col.startswith(prefix)
+    if exact:
+        out = out | col.isin(exact)
+    if other:
+        out = out | col.rlike("(?s)^(?:" + "|".join(map(wildcard_regex, other)) + r")\z")
+    return out

@@ -107,8 +107,9 @@ def state_as_of(diffs: DataFrame, t, keys: Sequence[str] = KEYS, run: str = "exe
         snapshot_runs.filter(F.col(run) <= F.lit(t))
     base = starts.groupBy(*keys).agg(F.max(run).alias("__base"))
     live = past.join(base, list(keys)).filter(F.col(run) >= F.col("__base"))
-    last = live.groupBy(*keys, row).agg(F.max_by("action", run).alias("__last"))
-    return last.filter(F.col("__last") != "REMOVED").select(*keys, row)
+    gone = F.col("action") == "REMOVED"
+    last = live.groupBy(*keys, row).agg(F.max(F.when(~gone, F.col(run))).alias("__in"), F.max(F.when(gone, F.col(run))).alias("__out"))
+    return last.filter(F.col("__in").isNotNull() & (F.col("__out").isNull() | (F.col("__in") > F.col("__out")))).select(*keys, row)
 
 
 def process_feed(bpf: DataFrame, audit: DataFrame) -> DataFrame:

@@ -54,62 +54,81 @@ def route_class(df: DataFrame, col: str = "event_type", topic: str = "topic", pr
     return df.withColumn(topic, F.concat(F.lit(prefix), name) if prefix else name)
 
 
-def _kind(variant: Column, path: str) -> Column:
-    return F.schema_of_variant(F.variant_get(variant, path, "variant"))
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+FIELDS = ("node_id", "event_type", "payload", "timestamp_ns", "sequence_id")
 
 
-def _text_field(variant: Column, path: str) -> Column:
-    """The field if it is a JSON string, else NULL; numbers are not strings here."""
-    return F.when(_kind(variant, path) == "STRING", F.try_variant_get(variant, path, "string"))
+def valid_json(text: Column) -> Column:
+    """True for text that is exactly one JSON value.
+
+    Spark's parsers stop after the first value, so the text is read as the one
+    element of an array; text that could close that array early is read as an
+    object member as well.
+    """
+    alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)) == 1
+    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, bad string",
+                         {**STRICT, "columnNameOfCorruptRecord": "bad"})["bad"].isNull()
+    return F.coalesce(alone & (~text.rlike(r"\]\s*,") | member), F.lit(False))
+
+
+def _parsed(text: Column, names: tuple[str, ...]) -> Column:
+    """Named members of a JSON object as variants, in an array of one; NULL for anything else."""
+    shape = ",".join(f"{n}:variant" for n in names)
+    return F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{shape}>>", STRICT)
+
+
+def _text(v: Column) -> Column:
+    """The value if it is a JSON string, else NULL; numbers are not strings here."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _long_field(variant: Column, path: str) -> Column:
-    return F.when(_kind(variant, path) == "BIGINT", F.try_variant_get(variant, path, "bigint"))
+def _whole(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
 
 
 def peek_type(df: DataFrame, col: str = "payload", out: str = "event_type") -> DataFrame:
     """Read only ``event_type`` from JSON text: not a string gives ``unknown``, bad JSON gives NULL."""
-    parsed = F.try_parse_json(F.col(col))
-    return df.withColumn("__v", parsed).withColumn(
-        out, F.when(F.col("__v").isNotNull(), F.coalesce(_text_field(F.col("__v"), "$.event_type"), F.lit("unknown")))
-    ).drop("__v")
+    a = F.col("__a")
+    return df.withColumn("__a", _parsed(F.col(col), ("event_type",))).withColumn(out, F.when(
+        F.size(a) == 1, F.coalesce(_text(F.get(a, F.lit(0))["event_type"]), F.lit("unknown"))).when(
+        valid_json(F.col(col)), "unknown")).drop("__a")
 
 
-def type_name(variant: Column, path: str = "$.event_type") -> Column:
+def type_name(v: Column) -> Column:
     """Name of an event type given as text or as a code; other codes keep their digits, missing is ''."""
-    code = _long_field(variant, path)
-    named = None
-    for value, label in TYPE_CODES.items():
-        named = F.when(code == value, label) if named is None else named.when(code == value, label)
-    named = named.otherwise(code.cast("string"))
-    return F.coalesce(_text_field(variant, path), named, F.lit(""))
+    code = _whole(v).cast("string")
+    names = F.create_map(*[F.lit(x) for pair in TYPE_CODES.items() for x in (str(pair[0]), pair[1])])
+    return F.coalesce(_text(v), names[code], code, F.lit(""))
 
 
 def event_type_name(df: DataFrame, col: str = "raw", out: str = "event_type") -> DataFrame:
     """Event type name of JSON envelopes held as text."""
-    return df.withColumn("__v", F.try_parse_json(F.col(col))).withColumn(out, type_name(F.col("__v"))).drop("__v")
+    member = F.get(_parsed(F.col(col), ("event_type",)), F.lit(0))["event_type"]
+    return df.withColumn("__v", member).withColumn(out, type_name(F.col("__v"))).drop("__v")
 
 
-def decode_envelope(df: DataFrame, col: str = "raw", keep_malformed: bool = False) -> DataFrame:
+def decode_envelope(df: DataFrame, col: str = "raw") -> DataFrame:
     """JSON text to envelope columns; missing fields become '' or 0.
 
     ``timestamp_ns`` 0 is the agents' sentinel for "clock unavailable": the row
     stays, its ``event_time`` is NULL and ``time_missing`` is set. Text that is
-    not JSON is left out unless ``keep_malformed``; see ``split_malformed``.
+    not JSON yields no row; ``split_malformed`` gives the quarantine. The text is
+    parsed once, for the five fields only.
     """
-    v = F.col("__v")
-    parsed = df.withColumn("__v", F.try_parse_json(F.col(col)))
-    if not keep_malformed:
-        parsed = parsed.filter(v.isNotNull())
-    named = parsed.select(
-        *[c for c in df.columns if c != col],
-        F.coalesce(_text_field(v, "$.node_id"), F.lit("")).alias("node_id"),
-        type_name(v).alias("event_type"),
-        F.coalesce(F.to_json(F.variant_get(v, "$.payload", "variant")), F.lit("null")).alias("payload"),
-        F.coalesce(_long_field(v, "$.timestamp_ns"), F.lit(0)).alias("timestamp_ns"),
-        F.coalesce(_text_field(v, "$.sequence_id"), F.lit("")).alias("sequence_id"),
-    )
-    return with_event_time(named)
+    a = F.col("__a")
+    blank = F.array(F.struct(*[F.lit(None).cast("variant").alias(n) for n in FIELDS]))
+    kept = [c for c in df.columns if c != col]
+    parsed = df.withColumn("__a", _parsed(F.col(col), FIELDS)).select(
+        *kept, F.inline(F.when(F.size(a) == 1, a).when(valid_json(F.col(col)), blank)).alias(*[f"__{n}" for n in FIELDS]))
+    v = {n: F.col(f"__{n}") for n in FIELDS}
+    return with_event_time(parsed.select(
+        *kept,
+        F.coalesce(_text(v["node_id"]), F.lit("")).alias("node_id"),
+        type_name(v["event_type"]).alias("event_type"),
+        F.coalesce(F.to_json(v["payload"]), F.lit("null")).alias("payload"),
+        F.coalesce(_whole(v["timestamp_ns"]), F.lit(0)).alias("timestamp_ns"),
+        F.coalesce(_text(v["sequence_id"]), F.lit("")).alias("sequence_id"),
+    ))
 
 
 def with_event_time(df: DataFrame, ns: str = "timestamp_ns") -> DataFrame:
@@ -126,7 +145,7 @@ def default_payload(df: DataFrame, col: str = "payload") -> DataFrame:
 
 def with_reject_reason(df: DataFrame, col: str = "payload", reason: str = "reason") -> DataFrame:
     """Add why a record cannot be processed, NULL when it can."""
-    return df.withColumn(reason, F.when(F.try_parse_json(F.col(col)).isNull(), "invalid_json"))
+    return df.withColumn(reason, F.when(~valid_json(F.col(col)), "invalid_json"))
 
 
 def split_malformed(df: DataFrame, col: str = "payload") -> tuple[DataFrame, DataFrame]:

@@ -16,7 +16,8 @@ def host_table_source(name: str, schema: str, split: Callable[[Mapping], list],
     """A ``DataSource`` class for a custom table.
 
     ``split(options)`` lists the parts that tasks read independently.
-    ``generate(options, part, constraints)`` yields the rows of a part;
+    ``generate(options, part, constraints)`` yields the rows of a part, as tuples
+    or as Arrow record batches;
     ``constraints`` maps a column to the values a query asks for with ``=`` or
     ``IN``, so the generator can skip what nobody wants. Spark checks the
     filters again, so a generator may ignore them.
@@ -86,19 +87,22 @@ def parquet_env_table(spark: SparkSession) -> str:
         return [(frag.path, group) for frag in files for group in range(frag.metadata.num_row_groups)]
 
     def generate(options, part, constraints):
+        import pyarrow as pa
+        import pyarrow.compute as pc
         import pyarrow.parquet as pq
         path, group = part
         table = pq.ParquetFile(path).read_row_group(group, columns=["node_id", "pid", "environ"])
-        wanted = constraints.get("pid")
-        for batch in table.to_batches(max_chunksize=4096):
-            columns = batch.to_pydict()
-            for node, pid, text in zip(columns["node_id"], columns["pid"], columns["environ"]):
-                if text is None or (wanted is not None and pid not in wanted):
-                    continue
-                for var in text.split("\0"):
-                    key, sep, value = var.partition("=")
-                    if sep:
-                        yield node, pid, key, value
+        if "pid" in constraints:
+            table = table.filter(pc.is_in(table["pid"], pa.array(list(constraints["pid"]), pa.int64())))
+        for batch in table.to_batches(max_chunksize=8192):
+            parts = pc.split_pattern(batch.column("environ"), "\0")
+            owner, var = pc.list_parent_indices(parts), pc.list_flatten(parts)
+            pair = pc.extract_regex(var, r"(?s)^(?P<key>[^=]*)=(?P<value>.*)$")
+            found = pc.is_valid(pair)
+            pair, owner = pair.filter(found), owner.filter(found)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node_id").take(owner), batch.column("pid").take(owner),
+                 pc.struct_field(pair, "key"), pc.struct_field(pair, "value")], ["node_id", "pid", "key", "value"])
 
     source = host_table_source("process_envs_extended", "node_id bigint, pid bigint, key string, value string", split, generate)
     return register(spark, source)
