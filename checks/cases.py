@@ -601,7 +601,7 @@ LAG_SQL = f"""select 'router' as group_id, cast(sum(greatest(l.latest - coalesce
 
 def lag_of(f: Fleet) -> DataFrame:
     routed = envelope.route_class(f.telemetry).select("event_id", "topic", F.expr("cast(event_id % 4 as int)").alias("partition"))
-    latest = routed.groupBy("topic", "partition").agg(F.max("event_id").alias("latest")).withColumn("group_id", F.lit("router"))
+    latest = routed.groupBy("topic", "partition").agg(F.max("event_id").alias("latest"))
     acked = routed.join(f.acks.select(F.col("sequence_no").alias("event_id")), "event_id", "left_semi").filter("partition <> 3")
     committed = acked.groupBy("topic", "partition").agg(F.max("event_id").alias("committed")).withColumn("group_id", F.lit("router"))
     return rates.consumer_lag(latest, committed)

@@ -99,14 +99,15 @@ def state_as_of(diffs: DataFrame, t, keys: Sequence[str] = KEYS, run: str = "exe
                 snapshot_runs: DataFrame | None = None) -> DataFrame:
     """The rows a query would return at ``t``: replay of the history since the last SNAPSHOT.
 
-    ``snapshot_runs`` (keys and run) names the SNAPSHOT runs; needed only where
-    one of them had no rows, and read off ``diffs`` otherwise.
+    A history whose first SNAPSHOT had no rows starts from nothing.
+    ``snapshot_runs`` (keys and run) names the SNAPSHOT runs; needed only where a
+    later one had no rows, and read off ``diffs`` otherwise.
     """
     past = diffs.filter(F.col(run) <= F.lit(t))
     starts = past.filter(F.col("action") == "SNAPSHOT") if snapshot_runs is None else \
         snapshot_runs.filter(F.col(run) <= F.lit(t))
     base = starts.groupBy(*keys).agg(F.max(run).alias("__base"))
-    live = past.join(base, list(keys)).filter(F.col(run) >= F.col("__base"))
+    live = past.join(base, list(keys), "left").filter(F.col("__base").isNull() | (F.col(run) >= F.col("__base")))
     gone = F.col("action") == "REMOVED"
     last = live.groupBy(*keys, row).agg(F.max(F.when(~gone, F.col(run))).alias("__in"), F.max(F.when(gone, F.col(run))).alias("__out"))
     return last.filter(F.col("__in").isNotNull() & (F.col("__out").isNull() | (F.col("__in") > F.col("__out")))).select(*keys, row)

@@ -28,10 +28,14 @@ def event_rate(df: DataFrame, key: str = "node_id", ts: str = "ts", window: str
 
 
 def consumer_lag(latest: DataFrame, committed: DataFrame, group: str = "group_id") -> DataFrame:
-    """Messages not yet consumed per group; a partition without a commit counts in full."""
-    both = latest.join(committed.select(group, "topic", "partition", "committed"), ["topic", "partition"], "left") \
-        if group not in latest.columns else \
-        latest.join(committed, [group, "topic", "partition"], "left")
+    """Messages not yet consumed per group, over all partitions of the topics it reads.
+
+    ``latest``: topic, partition, latest. ``committed``: group, topic, partition,
+    committed; a partition without a commit counts in full.
+    """
+    reads = committed.select(group, "topic").distinct()
+    both = latest.select("topic", "partition", "latest").join(reads, "topic").join(
+        committed.select(group, "topic", "partition", "committed"), [group, "topic", "partition"], "left")
     return both.groupBy(group).agg(
         F.sum(F.greatest(F.col("latest") - F.coalesce("committed", F.lit(0)), F.lit(0))).alias("lag"))
 
