@@ -16,8 +16,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BEFORE_ALL = -(2**62)
 
 
-def time_slot(ts: Column, seconds: int = 3600) -> Column:
-    """Order-preserving slot number of a timestamp; NULL sorts first, as in Spark's ASC order."""
+def time_slot(ts: Column, seconds: int = 60) -> Column:
+    """Order-preserving slot number of a timestamp; NULL sorts first, as in Spark's ASC order.
+
+    A minute keeps a slot of the busiest host small enough for one task, while an
+    ordinary host still has many events per slot.
+    """
     micros = F.unix_micros(ts.cast("timestamp"))
     return F.coalesce(F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint"), F.lit(BEFORE_ALL))
 

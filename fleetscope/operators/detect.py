@@ -15,42 +15,48 @@ SEVERITIES = ("critical", "high", "medium", "low")
 SEVERITY_WEIGHT = {"critical": 100, "high": 75, "medium": 50, "low": 25}
 
 
+RULE_COLUMNS = ("rule_id", "severity", "confidence", "technique_id")
+
+
 def compile_rules(conditions: DataFrame) -> DataFrame:
-    """Rule conditions grouped to one row per rule.
+    """Rule conditions grouped to one row per event type, each holding its rules and their tests.
 
     ``conditions``: rule_id, event_type, field, pattern, mode (contains / regex),
     severity, confidence, technique_id, and need: ``any``, ``all`` or a number.
     """
-    return conditions.groupBy("rule_id").agg(
-        F.first("event_type").alias("event_type"), F.first("severity").alias("severity"),
-        F.first("confidence").alias("confidence"), F.first("technique_id").alias("technique_id"),
-        F.first("need").alias("__need"), F.count(F.lit(1)).alias("__of"),
-        F.collect_list(F.struct("field", "pattern", "mode")).alias("__tests")).withColumn(
-        "__need", F.when(F.col("__need") == "all", F.col("__of")).when(F.col("__need") == "any", F.lit(1))
-                   .otherwise(F.expr("try_cast(__need as bigint)")))
+    rules = conditions.groupBy("event_type", "rule_id").agg(
+        *[F.first(c).alias(c) for c in RULE_COLUMNS[1:]], F.first("need").alias("need"), F.count(F.lit(1)).alias("of"),
+        F.collect_list(F.struct("field", "pattern", "mode")).alias("tests"))
+    need = F.when(F.col("need") == "all", F.col("of")).when(F.col("need") == "any", F.lit(1)).otherwise(
+        F.expr("try_cast(need as bigint)"))
+    return rules.groupBy("event_type").agg(
+        F.collect_list(F.struct(*RULE_COLUMNS, need.alias("need"), "tests")).alias("__rules"))
 
 
 def _field_value(field: Column, text: str) -> Column:
     """The whole text for field ``*``, else the named JSON field."""
-    return F.when(field == "*", F.col(text)).otherwise(F.call_function("get_json_object", F.col(text), F.concat(F.lit("$."), field)))
+    return F.when(field == "*", F.col(text)).otherwise(
+        F.call_function("get_json_object", F.col(text), F.concat(F.lit("$."), field)))
 
 
 def match_rules(events: DataFrame, conditions: DataFrame, text: str = "payload") -> DataFrame:
     """Events with each rule that applies: enough of its conditions hold in the event's text.
 
-    Events meet rules on ``event_type`` and each pair is decided in place, so
-    events are not shuffled while the rule table is small enough for Spark to
-    broadcast, and AQE splits busy types when it is not.
+    Each event meets the list of rules of its type, once, and only hits become
+    rows: events are neither multiplied by rules nor, while Spark can broadcast
+    the rule table, shuffled. Above that size AQE splits the busy types.
     """
-    rules = compile_rules(conditions)
-
     def holds(t: Column) -> Column:
         value = _field_value(t["field"], text)
-        return F.when(t["mode"] == "regex", F.rlike(value, t["pattern"])).otherwise(F.contains(value, t["pattern"]))
-
-    hits = F.size(F.filter("__tests", lambda t: F.coalesce(holds(t), F.lit(False))))
-    return events.join(rules, "event_type").withColumn("hits", hits.cast("bigint")).filter(
-        F.col("hits") >= F.col("__need")).drop("__tests", "__need", "__of")
+        return F.coalesce(F.when(t["mode"] == "regex", F.rlike(value, t["pattern"])).otherwise(
+            F.contains(value, t["pattern"])), F.lit(False))
+
+    scored = F.transform("__rules", lambda r: F.struct(
+        *[r[c].alias(c) for c in RULE_COLUMNS], r["need"].alias("need"),
+        F.size(F.filter(r["tests"], holds)).cast("bigint").alias("hits")))
+    paired = events.join(compile_rules(conditions), "event_type")
+    return paired.withColumn("__hit", F.explode(F.filter(scored, lambda r: r["hits"] >= r["need"]))).select(
+        *events.columns, *[F.col(f"__hit.{c}").alias(c) for c in (*RULE_COLUMNS, "hits")])
 
 
 def substring_rules(rules: DataFrame) -> DataFrame:

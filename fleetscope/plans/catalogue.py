@@ -383,17 +383,17 @@ def load_catalogue(spark: SparkSession, files: Sequence[str]) -> DataFrame:
 
     JSON files hold a ``schedule`` or ``queries`` object by name, TOML files a
     list of ``[[queries]]``. A later file replaces queries of the same name.
-    ``SELECT 1`` section markers are left out. These are small settings files,
-    read on the driver like any other configuration.
+    ``SELECT 1`` section markers are left out. The files are small settings, read
+    through Spark so that they may lie on shared storage.
     """
     found: dict[str, tuple] = {}
     for path in files:
-        with open(path, "rb") as fh:
-            if str(path).endswith(".toml"):
-                entries = {e["name"]: e for e in tomllib.load(fh).get("queries", [])}
-            else:
-                doc = json.load(fh)
-                entries = {**doc.get("schedule", {}), **doc.get("queries", {})}
+        text = spark.read.text(str(path), wholetext=True).first()[0]
+        if str(path).endswith(".toml"):
+            entries = {e["name"]: e for e in tomllib.loads(text).get("queries", [])}
+        else:
+            doc = json.loads(text)
+            entries = {**doc.get("schedule", {}), **doc.get("queries", {})}
         for name, e in entries.items():
             if e["query"].strip().rstrip(";").lower() == "select 1":
                 continue
