@@ -47,7 +47,7 @@ def replicas(lag: Column) -> Column:
 
 
 def counter_rates(df: DataFrame, cols: Sequence[str], key: str | Sequence[str] = "node_id", ts: str = "ts",
-                  ident: str = "event_id", slot_seconds: int = 60) -> DataFrame:
+                  ident: str = "event_id", slot_seconds: int = 10) -> DataFrame:
     """Per-second rate of growing counters; a reset (smaller value) or a zero time step gives NULL."""
     keys = [key] if isinstance(key, str) else list(key)
     lagged = lag_in_slots(df, keys, [ts, ident], time_slot(F.col(ts), slot_seconds),

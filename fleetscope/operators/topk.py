@@ -45,13 +45,13 @@ def page(df: DataFrame, node, limit: int, offset: int, key: str = "node_id", ord
 
 
 def keep_newest(df: DataFrame, n: int, keys: Sequence[str] = ("node_id",), ident: str = "event_id",
-                width: int = 1 << 20) -> DataFrame:
+                width: int = 1 << 18) -> DataFrame:
     """The ``n`` newest rows per node by id; older ones are evicted first."""
     return newest_in_slots(df, keys, [ident], id_slot(F.col(ident), width), n)
 
 
 def fifo_batches(df: DataFrame, n: int, keys: Sequence[str] = ("node_id",), ident: str = "event_id",
-                 width: int = 1 << 20) -> DataFrame:
+                 width: int = 1 << 18) -> DataFrame:
     """Oldest-first batches of ``n`` rows per node, with first and last id and size."""
     numbered = number_in_slots(df.select(*keys, ident), keys, [ident], id_slot(F.col(ident), width))
     return numbered.withColumn("batch_no", F.expr(f"(row_no - 1) div {int(n)}")).groupBy(*keys, "batch_no").agg(

@@ -20,16 +20,18 @@ def skewed(spark):
     return df.select("node", F.timestamp_seconds("sec").cast("timestamp_ntz").alias("ts"), "id", "v").repartition(5).cache()
 
 
-@pytest.mark.parametrize("seconds", [1, 600, 10**7])
-def test_lag(skewed, rows, seconds):
-    got = O.lag_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds), {"pv": "v", "pt": "ts"})
+@pytest.mark.parametrize("seconds,large,listed", [(1, 500, 10), (600, 0, 10), (600, 100, 2), (10**7, 500, 10), (600, 10**6, 10)])
+def test_lag(skewed, rows, monkeypatch, seconds, large, listed):
+    monkeypatch.setattr(O, "LISTED", listed)
+    got = O.lag_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds), {"pv": "v", "pt": "ts"}, large)
     w = Window.partitionBy("node").orderBy("ts", "id")
     assert rows(got) == rows(skewed.select("*", F.lag("v").over(w).alias("pv"), F.lag("ts").over(w).alias("pt")))
 
 
-@pytest.mark.parametrize("seconds", [7, 3600])
-def test_numbering(skewed, rows, seconds):
-    got = O.number_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds))
+@pytest.mark.parametrize("seconds,large,listed", [(7, 0, 10), (3600, 500, 10), (60, 100, 2), (60, 10**6, 10)])
+def test_numbering(skewed, rows, monkeypatch, seconds, large, listed):
+    monkeypatch.setattr(O, "LISTED", listed)
+    got = O.number_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds), large=large)
     w = Window.partitionBy("node").orderBy("ts", "id")
     assert rows(got) == rows(skewed.select("*", F.row_number().over(w).cast("bigint").alias("row_no")))
 
