@@ -51,12 +51,13 @@ def match_rules(events: DataFrame, conditions: DataFrame, text: str = "payload")
         return F.coalesce(F.when(t["mode"] == "regex", F.rlike(value, t["pattern"])).otherwise(
             F.contains(value, t["pattern"])), F.lit(False))
 
-    scored = F.transform("__rules", lambda r: F.struct(
-        *[r[c].alias(c) for c in RULE_COLUMNS], r["need"].alias("need"),
-        F.size(F.filter(r["tests"], holds)).cast("bigint").alias("hits")))
+    def hits(r: Column) -> Column:
+        return F.size(F.filter(r["tests"], holds))
+
     paired = events.join(compile_rules(conditions), "event_type")
-    return paired.withColumn("__hit", F.explode(F.filter(scored, lambda r: r["hits"] >= r["need"]))).select(
-        *events.columns, *[F.col(f"__hit.{c}").alias(c) for c in (*RULE_COLUMNS, "hits")])
+    return paired.withColumn("__hit", F.explode(F.filter("__rules", lambda r: hits(r) >= r["need"]))).select(
+        *events.columns, *[F.col(f"__hit.{c}").alias(c) for c in RULE_COLUMNS],
+        hits(F.col("__hit")).cast("bigint").alias("hits"))
 
 
 def substring_rules(rules: DataFrame) -> DataFrame:

@@ -55,7 +55,6 @@ def route_class(df: DataFrame, col: str = "event_type", topic: str = "topic", pr
 
 
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-FIELDS = ("node_id", "event_type", "payload", "timestamp_ns", "sequence_id")
 
 
 def valid_json(text: Column) -> Column:
@@ -82,10 +81,6 @@ def _text(v: Column) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _whole(v: Column) -> Column:
-    return F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
-
-
 def peek_type(df: DataFrame, col: str = "payload", out: str = "event_type") -> DataFrame:
     """Read only ``event_type`` from JSON text: not a string gives ``unknown``, bad JSON gives NULL."""
     a = F.col("__a")
@@ -96,9 +91,10 @@ def peek_type(df: DataFrame, col: str = "payload", out: str = "event_type") -> D
 
 def type_name(v: Column) -> Column:
     """Name of an event type given as text or as a code; other codes keep their digits, missing is ''."""
-    code = _whole(v).cast("string")
+    token = F.to_json(v)
     names = F.create_map(*[F.lit(x) for pair in TYPE_CODES.items() for x in (str(pair[0]), pair[1])])
-    return F.coalesce(_text(v), names[code], code, F.lit(""))
+    return F.when(token.startswith('"'), F.try_variant_get(v, "$", "string")).when(
+        token.rlike("^-?[0-9]+$"), F.coalesce(names[token], token)).otherwise("")
 
 
 def event_type_name(df: DataFrame, col: str = "raw", out: str = "event_type") -> DataFrame:
@@ -107,6 +103,16 @@ def event_type_name(df: DataFrame, col: str = "raw", out: str = "event_type") ->
     return df.withColumn("__v", member).withColumn(out, type_name(F.col("__v"))).drop("__v")
 
 
+def _text_or_blank(value: Column, raw: Column, name: str) -> Column:
+    """A member read as text, blank unless it was a JSON string.
+
+    Only a value that could also be a number, a flag or nested JSON is looked up
+    again with its type; ids as a rule cannot.
+    """
+    typed = _text(F.get(_parsed(raw, (name,)), F.lit(0))[name])
+    return F.coalesce(F.when(value.rlike(r"(?s)^(?:-?[0-9][0-9.eE+-]*|true|false|[\[{].*)\z"), typed).otherwise(value), F.lit(""))
+
+
 def decode_envelope(df: DataFrame, col: str = "raw") -> DataFrame:
     """JSON text to envelope columns; missing fields become '' or 0.
 
@@ -115,19 +121,24 @@ def decode_envelope(df: DataFrame, col: str = "raw") -> DataFrame:
     not JSON yields no row; ``split_malformed`` gives the quarantine. The text is
     parsed once, for the five fields only.
     """
-    a = F.col("__a")
-    blank = F.array(F.struct(*[F.lit(None).cast("variant").alias(n) for n in FIELDS]))
+    shape = {"node_id": "string", "event_type": "variant", "payload": "variant", "timestamp_ns": "bigint", "sequence_id": "string"}
+    raw, a = F.col(col), F.col("__a")
+    array = F.from_json(F.concat(F.lit("["), raw, F.lit("]")),
+                        "array<struct<" + ",".join(f"{n}:{t}" for n, t in shape.items()) + ">>", STRICT)
+    blank = F.array(F.struct(*[F.lit(None).cast(t).alias(n) for n, t in shape.items()]))
     kept = [c for c in df.columns if c != col]
-    parsed = df.withColumn("__a", _parsed(F.col(col), FIELDS)).select(
-        *kept, F.inline(F.when(F.size(a) == 1, a).when(valid_json(F.col(col)), blank)).alias(*[f"__{n}" for n in FIELDS]))
-    v = {n: F.col(f"__{n}") for n in FIELDS}
+    # An outer explode: Spark would copy the parse into a filter below an inner one.
+    parsed = df.withColumn("__a", array).select(
+        *kept, col, F.posexplode_outer(F.when(F.size(a) == 1, a).when(valid_json(raw), blank)).alias("__pos", "__e")).filter(
+        F.col("__pos").isNotNull())
+    v = {n: F.col("__e")[n] for n in shape}
     return with_event_time(parsed.select(
         *kept,
-        F.coalesce(_text(v["node_id"]), F.lit("")).alias("node_id"),
+        _text_or_blank(v["node_id"], raw, "node_id").alias("node_id"),
         type_name(v["event_type"]).alias("event_type"),
         F.coalesce(F.to_json(v["payload"]), F.lit("null")).alias("payload"),
-        F.coalesce(_whole(v["timestamp_ns"]), F.lit(0)).alias("timestamp_ns"),
-        F.coalesce(_text(v["sequence_id"]), F.lit("")).alias("sequence_id"),
+        F.coalesce(v["timestamp_ns"], F.lit(0)).alias("timestamp_ns"),
+        _text_or_blank(v["sequence_id"], raw, "sequence_id").alias("sequence_id"),
     ))
 
 

@@ -97,7 +97,7 @@ def fim_category(df: DataFrame, include: Mapping[str, Sequence[str]] | None = No
     exclude = EXCLUDED_PATHS if exclude is None else exclude
     hits = [F.when(matches_any(F.col(path), pats) & ~matches_any(F.col(path), exclude.get(cat, ())), F.lit(cat))
             for cat, pats in include.items()]
-    return df.withColumn("category", F.explode(F.array_compact(F.array(*hits))))
+    return df.withColumn("category", F.explode_outer(F.array_compact(F.array(*hits)))).filter(F.col("category").isNotNull())
 
 
 def tracked_access(df: DataFrame, categories: Sequence[str] = tuple(ACCESS_TRACKED)) -> DataFrame:

@@ -19,8 +19,8 @@ def explode_results(df: DataFrame, col: str = "payload") -> DataFrame:
         *kept,
         F.col("__r.query_name").alias("query_name"),
         F.upper(F.col("__r.action")).alias("action"),
-        F.posexplode(F.col("__r.rows")).alias("row_no", "__row"),
-    ).select(
+        F.posexplode_outer(F.col("__r.rows")).alias("row_no", "__row"),  # outer: keeps Spark from parsing once more in a filter
+    ).filter(F.col("row_no").isNotNull()).select(
         *kept, "query_name", "action", F.col("row_no").cast("bigint").alias("row_no"),
         entries_to_map(F.col("__row.columns")).alias("columns"),
     )
@@ -101,7 +101,7 @@ def decorate(df: DataFrame, facts: DataFrame, key: str = "node_id", out: str = "
 def parse_kv(df: DataFrame, col: str, sep: str = "\0") -> DataFrame:
     """One row per name/value pair of a text column."""
     kept = [c for c in df.columns if c != col]
-    return df.select(*kept, F.explode(kv_entries(F.col(col), sep)).alias("__e")).select(
+    return df.select(*kept, F.explode_outer(kv_entries(F.col(col), sep)).alias("__e")).filter(F.col("__e").isNotNull()).select(
         *kept, F.col("__e.name").alias("key"), F.col("__e.value").alias("value"))
 
 

@@ -47,6 +47,13 @@ def test_decode_fills_missing_fields(spark):
         assert row.event_time is None and row.time_missing
 
 
+@pytest.mark.parametrize("value,text", [('"12"', "12"), ("12", ""), ("-1.5e3", ""), ("true", ""), ('"true"', "true"), ('{"a": 1}', ""), ('"{}"', "{}"), ("[1]", ""),
+                                        ('"[x"', "[x"), ("null", ""), ('"550e8400-e29b"', "550e8400-e29b"), ('"a\\nb"', "a\nb"), ('""', "")])
+def test_only_json_strings_are_ids(spark, value, text):
+    row = decoded(spark, '{"node_id": %s, "sequence_id": %s}' % (value, value))[0]
+    assert (row.node_id, row.sequence_id) == (text, text)
+
+
 def test_decode_keeps_payload_and_time(spark):
     r = decoded(spark, json.dumps({"node_id": "n", "event_type": 0, "payload": {"rows": [{"a": "é"}], "x": 1},
                                    "timestamp_ns": 1704067200123456789, "sequence_id": "s"}))[0]
