@@ -501,10 +501,10 @@ def _(f):
     return diff.snapshots(f.executions, keyed_rows(f), run="run_day").select("node_id", "query_name", "run_day", "row", "action")
 
 
-@case("d4_suppress_removed", f"select * from ({diff_sql()}) d where action <> 'REMOVED'")
+@case("d4_suppress_removed", f"select * from ({diff_sql()}) d where action <> 'REMOVED' or query_name <> 'p'")
 def _(f):
     history = diff.differential(f.executions, keyed_rows(f), run="run_day")
-    muted = cat.catalogue(f.spark, [cat.HostQuery("p", {}, lambda t: None, 60, removed=False), cat.HostQuery("other", {}, lambda t: None, 60)])
+    muted = cat.catalogue(f.spark, [cat.HostQuery("p", {}, lambda t: None, 60, removed=False), cat.HostQuery("r", {}, lambda t: None, 60)])
     return diff.suppress_removed(history, muted)
 
 
@@ -1064,7 +1064,10 @@ def _(f):
     return packs.run_pack(f.host(), cat.DETECTION_PACK).groupBy("node_id", "query_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@case("h9_report", diff_sql())
+@case("h9_report", f"""select * from ({diff_sql()}) d where query_name = 'p' union all
+  select x.node_id, x.query_name, x.run_day, {ROW_SQL}, 'SNAPSHOT' from result_rows x join executions e on e.node_id = x.node_id and e.run_day = x.run_day
+  where e.status_code = 0 and x.query_name = 'r'""")
 def _(f):
-    schedule = cat.catalogue(f.spark, [cat.HostQuery("p", {}, lambda t: None, 60)])
+    query = lambda name, **kw: cat.HostQuery(name, {}, lambda t: None, 60, **kw)
+    schedule = cat.catalogue(f.spark, [query("p"), query("r", snapshot=True)])
     return packs.report(f.executions, keyed_rows(f), schedule, run="run_day")

@@ -60,12 +60,12 @@ from events where event_type = 'signup'""",
 select event_id, {NODE} as node_id, event_id % 2 = 0 as isolate, ts as issued_at
 from events where event_type = 'purchase' and event_id % 7 = 0""",
     "executions": f"""
-select node_id, 'p' as query_name, run_day, case when (node_id + day_no) % 9 = 0 then 1 else 0 end as status_code,
+select node_id, case when node_id % 2 = 0 then 'p' else 'r' end as query_name, run_day, case when (node_id + day_no) % 9 = 0 then 1 else 0 end as status_code,
   case when day_no > 17 and node_id % 4 = 1 then 2 else 1 end as session_id
 from (select distinct {NODE} as node_id, cast(date_trunc('day', ts) as date) as run_day,
   cast(extract(day from ts) as bigint) as day_no from events) t""",
     "result_rows": f"""
-select {NODE} as node_id, 'p' as query_name, cast(date_trunc('day', ts) as date) as run_day, event_type as name,
+select {NODE} as node_id, case when {NODE} % 2 = 0 then 'p' else 'r' end as query_name, cast(date_trunc('day', ts) as date) as run_day, event_type as name,
   cast(user_id % 3 as string) as uid,
   case when extract(day from ts) > 17 and {NODE} % 4 = 1 then 2 else 1 end as session_id
 from events where not ({NODE} = 3 and extract(day from ts) in (5, 6))""",

@@ -5,7 +5,8 @@ noisy host can hold a third of a fleet's rows, so the helpers here count the
 groups first and cut the large ones into ordered *slots* (a slice of time or of
 an id range). The row-level work is then done per (group, slot), and the borders
 are settled on one summary row per slot. The results are exactly those of the
-plain window, which is also the plan when no group is large.
+plain window, which is also the plan when no group is large. Counting the groups
+is a job of its own over the key columns, so these helpers are for batches.
 """
 
 from __future__ import annotations

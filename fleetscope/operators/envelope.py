@@ -118,8 +118,9 @@ def decode_envelope(df: DataFrame, col: str = "raw") -> DataFrame:
 
     ``timestamp_ns`` 0 is the agents' sentinel for "clock unavailable": the row
     stays, its ``event_time`` is NULL and ``time_missing`` is set. Text that is
-    not JSON yields no row; ``split_malformed`` gives the quarantine. The text is
-    parsed once, for the five fields only.
+    not JSON yields no row; ``split_malformed`` gives the quarantine (and alone
+    catches text such as ``{…}],[…``, which is read up to the bracket here). The
+    text is parsed once, for the five fields only.
     """
     shape = {"node_id": "string", "event_type": "variant", "payload": "variant", "timestamp_ns": "bigint", "sequence_id": "string"}
     raw, a = F.col(col), F.col("__a")

@@ -55,10 +55,10 @@ def enroll(nodes: DataFrame | None, requests: DataFrame) -> tuple[DataFrame, Dat
         F.max_by(F.struct("hostname", "os_version", "agent_version", "requested_at"), order).alias("__new"),
         F.min_by("event_id", order).alias("__first_id"))
     if nodes is None:
-        folded = latest.withColumn("__known", F.lit(False)).select(
-            "*", *[F.lit(None).cast("string").alias(f"__{c}") for c in ("node_id", "agent_status", "operator_status")],
+        merged = latest.select(
+            "*", F.lit(False).alias("__known"),
+            *[F.lit(None).cast("string").alias(f"__{c}") for c in ("node_id", "agent_status", "operator_status")],
             F.lit(None).cast("timestamp_ntz").alias("__seen"))
-        merged = folded.select("*")
         untouched = None
     else:
         old = nodes.select("machine_id", *[F.col(c).alias(f"__{c}") for c in ("node_id", "agent_status", "operator_status")],

@@ -14,7 +14,11 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("key", sorted(QUERIES))
+# The plain projections of the smaller packs differ in column lists only; ``checks.compare`` runs them all.
+KEYS = [k for k in sorted(QUERIES) if not k.startswith(("qa_", "qh_", "qx_"))]
+
+
+@pytest.mark.parametrize("key", KEYS)
 def test_matches_duckdb(spark, con, key):
     problem = compare(spark, con, QUERIES[key], ORACLE[key], SF)
     assert problem in (None, "empty"), problem
