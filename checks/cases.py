@@ -5,10 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from checks.standins import BASE, HOST_TABLES, NODE, Fleet, standin_sql, uuid_sql
-from fleetscope.functions.rowkey import row_json, stable_uuid
+from checks.standins import BASE, HOST_TABLES, Fleet, standin_sql, uuid_sql
 from fleetscope.operators import detect, diff, envelope, hooks, joins, predicates as P, rates, registry, results, topk
 from fleetscope.plans import catalogue as cat, packs
 from fleetscope.session import scratch_dir
