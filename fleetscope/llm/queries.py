@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, simhash, tokens
+from . import ann, bpe, langid, mixing, simhash, tokens, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -22,6 +23,10 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,10 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,6 +54,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_source_mix, op3_bpe_roundtrip, op5_simhash_dedup, op8_token_counts, op9_language_id)}
-
-ORACLE: dict[str, str] = {}
+    op1_exact_top_k, op2_source_mix, op3_bpe_roundtrip, op5_simhash_dedup, op6_nearest_neighbours, op8_token_counts, op9_language_id)}
+
+ORACLE: dict[str, str] = {
+    "op1_exact_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+            from embeddings
+            where embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)),
+        scored as (
+            select q.vec_id as query_id, c.vec_id,
+              cast(list_sum(list_transform(generate_series(1, len(q.e)), i -> q.e[i] * c.e[i])) as bigint) as score
+            from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
+        ranked as (
+            select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 10""",
+}
