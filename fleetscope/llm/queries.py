@@ -59,13 +59,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": """
         with v as (
-            select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as e
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
             from embeddings
             where embedding is not null and len(embedding) > 0
-              and len(list_filter(embedding, x -> x is not null and isfinite(x))) = len(embedding)),
+              and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
         scored as (
             select q.vec_id as query_id, c.vec_id,
-              cast(list_sum(list_transform(generate_series(1, len(q.e)), i -> q.e[i] * c.e[i])) as bigint) as score
+              cast(list_sum(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i])) as bigint) as score
             from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)),
         ranked as (
             select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
