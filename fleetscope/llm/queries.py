@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, simhash, tokens, topk
+from . import ann, bpe, langid, mixing, simhash, substring, suffix, tokens, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -43,6 +43,10 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,8 +57,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.training_rows()).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_exact_top_k, op2_source_mix, op3_bpe_roundtrip, op5_simhash_dedup, op6_nearest_neighbours, op8_token_counts, op9_language_id)}
+    op1_exact_top_k, op2_source_mix, op3_bpe_roundtrip, op5_simhash_dedup, op6_nearest_neighbours,
+    op7_substring_dedup, op8_token_counts, op9_language_id, op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": """
