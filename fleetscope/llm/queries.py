@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, mixing, simhash, substring, suffix, tokens, topk
+from . import ann, bpe, langid, lm, mixing, simhash, substring, suffix, tokens, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -35,6 +35,11 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs, ~lm.fold()), lm.fold())
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_exact_top_k, op2_source_mix, op3_bpe_roundtrip, op5_simhash_dedup, op6_nearest_neighbours,
+    op1_exact_top_k, op2_source_mix, op3_bpe_roundtrip, op4_lm_score, op5_simhash_dedup, op6_nearest_neighbours,
     op7_substring_dedup, op8_token_counts, op9_language_id, op10_suffix_dedup)}
 
 ORACLE: dict[str, str] = {
