@@ -117,7 +117,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     targets = budgets(sizes, weight, times)
     goal = [(name or "", name is None, words, targets[name]) for name, words in sizes]
 
-    def plan(key, table: pd.DataFrame) -> pd.DataFrame:
+    def plan(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("size", kind="stable")
         total, target = int(table["source_size"].iloc[0]), float(table["target"].iloc[0])
         whole = min(times, int(target // total)) if total else 0
