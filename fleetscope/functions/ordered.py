@@ -1,12 +1,11 @@
 """Ordered work inside groups that may be very large.
 
 A plain ``Window.partitionBy(node)`` sends all rows of a node to one task. One
-noisy host can hold a third of a fleet's rows, so the helpers here count the
-groups first and cut the large ones into ordered *slots* (a slice of time or of
-an id range). The row-level work is then done per (group, slot), and the borders
-are settled on one summary row per slot. The results are exactly those of the
-plain window, which is also the plan when no group is large. Counting the groups
-is a job of its own over the key columns, so these helpers are for batches.
+noisy host can hold a third of a fleet's rows, so the helpers here cut every
+group into ordered *slots* (a slice of time or of an id range), do the row-level
+work per (group, slot), and settle the borders on one summary row per slot. The
+results are exactly those of the plain window. Nothing is counted or run while
+the plan is built, and the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -17,19 +16,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BEFORE_ALL = -(2**62)
 
-# A group with more rows than this is cut. As at most rows / LARGE_GROUP groups can be
-# larger, their list is short; beyond LISTED groups every group is cut and none is listed.
-LARGE_GROUP = 2_000_000
-LISTED = 10_000
+ID_WIDTH = 1 << 18
 
 
-def time_slot(ts: Column, seconds: int = 10) -> Column:
-    """Order-preserving slot number of a timestamp; NULL sorts first, as in Spark's ASC order."""
+def time_slot(ts: Column, seconds: int = 10, ident: Column | None = None) -> Column:
+    """Order-preserving slot number of a timestamp; NULL sorts first, as in Spark's ASC order.
+
+    Rows without a time are cut by ``ident``, the integer id that follows the
+    time in the order, so that they don't share one slot.
+    """
     micros = F.unix_micros(ts.cast("timestamp"))
-    return F.coalesce(F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint"), F.lit(BEFORE_ALL))
+    unknown = F.lit(BEFORE_ALL)
+    if ident is not None:
+        unknown = F.lit(BEFORE_ALL // 2) + F.coalesce(F.floor(ident / F.lit(ID_WIDTH)).cast("bigint"), F.lit(BEFORE_ALL // 2))
+    return F.coalesce(F.floor(micros / F.lit(seconds * 1_000_000)).cast("bigint"), unknown)
 
 
-def id_slot(ident: Column, width: int = 1 << 18) -> Column:
+def id_slot(ident: Column, width: int = ID_WIDTH) -> Column:
     """Order-preserving slot number of an integer id."""
     return F.coalesce(F.floor(ident / F.lit(width)).cast("bigint"), F.lit(BEFORE_ALL))
 
@@ -45,45 +48,19 @@ def _safe_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]
     return df.withColumns(added), names
 
 
-def _with_slots(df: DataFrame, keys: Sequence[str], slot: Column, large: int) -> tuple[DataFrame, list[str]] | None:
-    """Rows with ``__big`` and ``__slot``, and the columns that name their group.
-
-    None when every group is small enough for one task. Small groups keep one
-    slot, numbered 0.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > large).drop("__n")
-    big = sizes.limit(LISTED + 1).collect()
-    if not big:
-        return None
-    if len(big) > LISTED:
-        base, names = _safe_keys(df, keys)
-        return base.withColumns({"__big": F.lit(True), "__slot": slot}), names
-    listed, names = df.sparkSession.createDataFrame(big, sizes.schema), list(keys)
-    if any(v is None for row in big for v in row):
-        df, names = _safe_keys(df, keys)
-        listed, _ = _safe_keys(listed, keys)
-    marked = df.join(F.broadcast(listed.select(*names, F.lit(True).alias("__big"))), names, "left")
-    return marked.withColumn("__slot", F.when(F.col("__big"), slot).otherwise(F.lit(0))), names
-
-
-def lag_in_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column,
-                 take: dict[str, str], large: int = LARGE_GROUP) -> DataFrame:
+def lag_in_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, take: dict[str, str]) -> DataFrame:
     """Add ``{new: old}`` columns holding the previous row's value in ascending ``order``.
 
-    ``slot`` must not decrease along ``order``. The last row of each slot of a
-    large group is found by a partially combined aggregate and handed to the
-    next slot.
+    ``slot`` must not decrease along ``order``. The last row of each slot is
+    found by a partially combined aggregate and handed to the next slot.
     """
-    cut = _with_slots(df, keys, slot, large)
-    if cut is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select(*df.columns, *[F.lag(old).over(w).alias(new) for new, old in take.items()])
-    base, names = cut
+    base, names = _safe_keys(df, keys)
+    base = base.withColumn("__slot", slot)
     inside = Window.partitionBy(*names, "__slot").orderBy(*order)
     local = base.select(*base.columns, *[F.lag(old).over(inside).alias(f"__in_{new}") for new, old in take.items()],
                         (F.row_number().over(inside) == 1).alias("__first"))
     values = F.struct(*[F.col(old).alias(f"__up_{new}") for new, old in take.items()])
-    tails = base.filter("__big").groupBy(*names, "__slot").agg(F.max_by(values, F.struct(*order)).alias("__tail"))
+    tails = base.groupBy(*names, "__slot").agg(F.max_by(values, F.struct(*order)).alias("__tail"))
     carried = tails.select(*names, "__slot", F.lag("__tail").over(
         Window.partitionBy(*names).orderBy("__slot")).alias("__carry")).select(*names, "__slot", "__carry.*")
     joined = local.join(carried, [*names, "__slot"], "left")
@@ -91,15 +68,11 @@ def lag_in_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot:
         F.when(F.col("__first"), F.col(f"__up_{new}")).otherwise(F.col(f"__in_{new}")).alias(new) for new in take])
 
 
-def number_in_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column,
-                    name: str = "row_no", large: int = LARGE_GROUP) -> DataFrame:
+def number_in_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], slot: Column, name: str = "row_no") -> DataFrame:
     """Add the 1-based position of each row in its group, in ascending ``order``."""
-    cut = _with_slots(df, keys, slot, large)
-    if cut is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select(*df.columns, F.row_number().over(w).cast("bigint").alias(name))
-    base, names = cut
-    sizes = base.filter("__big").groupBy(*names, "__slot").agg(F.count(F.lit(1)).alias("__n"))
+    base, names = _safe_keys(df, keys)
+    base = base.withColumn("__slot", slot)
+    sizes = base.groupBy(*names, "__slot").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(*names).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*names, "__slot", F.sum("__n").over(earlier).alias("__off"))
     inside = Window.partitionBy(*names, "__slot").orderBy(*order)

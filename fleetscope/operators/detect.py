@@ -133,7 +133,7 @@ def alert_status(alerts: DataFrame, actions: DataFrame) -> DataFrame:
 
 def changed_values(df: DataFrame, keys: Sequence[str], value: str, ts: str = "ts", ident: str = "event_id") -> DataFrame:
     """Rows whose value differs from the one before under the same key."""
-    lagged = lag_in_slots(df, list(keys), [ts, ident], time_slot(F.col(ts)), {"previous": value})
+    lagged = lag_in_slots(df, list(keys), [ts, ident], time_slot(F.col(ts), ident=F.col(ident)), {"previous": value})
     return lagged.filter(F.col("previous") != F.col(value))
 
 
@@ -164,7 +164,7 @@ def critical_findings(tables: Mapping[str, DataFrame]) -> DataFrame:
         parts.append(finding(changed_values(tables["arp_cache"], ["node_id", "address"], "mac"),
                              "address_moved", F.col("address"), F.col("mac")))
     if "uptime" in tables:
-        up = lag_in_slots(tables["uptime"], ["node_id"], ["ts", "event_id"], time_slot(F.col("ts")), {"previous": "total_seconds"})
+        up = lag_in_slots(tables["uptime"], ["node_id"], ["ts", "event_id"], time_slot(F.col("ts"), ident=F.col("event_id")), {"previous": "total_seconds"})
         parts.append(finding(up.filter(F.col("total_seconds") < F.col("previous")), "reboot",
                              F.col("event_id"), F.col("total_seconds")))
     out = parts[0]

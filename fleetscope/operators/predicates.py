@@ -108,7 +108,7 @@ def tracked_access(df: DataFrame, categories: Sequence[str] = tuple(ACCESS_TRACK
 def loss_gaps(df: DataFrame, key: str = "node_id", ts: str = "ts", ident: str = "event_id",
               flag: str = "probe_error", slot_seconds: int = 10) -> DataFrame:
     """Intervals in which a host lost events: from the previous event to each flagged one."""
-    lagged = lag_in_slots(df.select(key, ts, ident, flag), [key], [ts, ident], time_slot(F.col(ts), slot_seconds),
+    lagged = lag_in_slots(df.select(key, ts, ident, flag), [key], [ts, ident], time_slot(F.col(ts), slot_seconds, F.col(ident)),
                           {"gap_start": ts, "previous_id": ident})
     return lagged.filter(F.col(flag) == 1).select(
         key, F.col(ident), "previous_id", "gap_start", F.col(ts).alias("gap_end"))

@@ -50,7 +50,7 @@ def counter_rates(df: DataFrame, cols: Sequence[str], key: str | Sequence[str] =
                   ident: str = "event_id", slot_seconds: int = 10) -> DataFrame:
     """Per-second rate of growing counters; a reset (smaller value) or a zero time step gives NULL."""
     keys = [key] if isinstance(key, str) else list(key)
-    lagged = lag_in_slots(df, keys, [ts, ident], time_slot(F.col(ts), slot_seconds),
+    lagged = lag_in_slots(df, keys, [ts, ident], time_slot(F.col(ts), slot_seconds, F.col(ident)),
                           {"__t": ts, **{f"__{c}": c for c in cols}})
     dt = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__t").cast("timestamp"))
     rates = []

@@ -191,7 +191,7 @@ def expire_events(df: DataFrame, max_age: int = 3600, cap: int = 500_000, as_of=
     """Events younger than ``max_age`` seconds, and of those the ``cap`` newest per node."""
     ref = latest_time(df, ts) if as_of is None else F.lit(as_of)
     young = df.filter(F.col(ts) >= ref - F.make_dt_interval(secs=F.lit(max_age)))
-    return newest_in_slots(young, [key], [ts, ident], time_slot(F.col(ts), slot_seconds), cap)
+    return newest_in_slots(young, [key], [ts, ident], time_slot(F.col(ts), slot_seconds, F.col(ident)), cap)
 
 
 def operator_status(nodes: DataFrame, commands: DataFrame) -> DataFrame:

@@ -20,22 +20,31 @@ def skewed(spark):
     return df.select("node", F.timestamp_seconds("sec").cast("timestamp_ntz").alias("ts"), "id", "v").repartition(5).cache()
 
 
-@pytest.mark.parametrize("seconds,large,listed", [(1, 500, 10), (600, 0, 10), (600, 100, 2), (10**7, 500, 10), (600, 10**6, 10)])
-def test_lag(skewed, rows, monkeypatch, seconds, large, listed):
-    monkeypatch.setattr(O, "LISTED", listed)
-    got = O.lag_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds), {"pv": "v", "pt": "ts"}, large)
+@pytest.mark.parametrize("seconds,width", [(1, 1), (600, 100), (10**7, 1 << 18)])
+def test_lag(skewed, rows, monkeypatch, seconds, width):
+    monkeypatch.setattr(O, "ID_WIDTH", width)
+    got = O.lag_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds, F.col("id")), {"pv": "v", "pt": "ts"})
     w = Window.partitionBy("node").orderBy("ts", "id")
     assert rows(got) == rows(skewed.select("*", F.lag("v").over(w).alias("pv"), F.lag("ts").over(w).alias("pt")))
 
 
-@pytest.mark.parametrize("seconds,large,listed", [(7, 0, 10), (3600, 500, 10), (60, 100, 2), (60, 10**6, 10)])
-def test_numbering(skewed, rows, monkeypatch, seconds, large, listed):
-    monkeypatch.setattr(O, "LISTED", listed)
-    got = O.number_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds), large=large)
+@pytest.mark.parametrize("seconds,width", [(7, 1), (3600, 50), (60, 1 << 18)])
+def test_numbering(skewed, rows, monkeypatch, seconds, width):
+    monkeypatch.setattr(O, "ID_WIDTH", width)
+    got = O.number_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), seconds, F.col("id")))
     w = Window.partitionBy("node").orderBy("ts", "id")
     assert rows(got) == rows(skewed.select("*", F.row_number().over(w).cast("bigint").alias("row_no")))
 
 
+def test_no_job_while_the_plan_is_built(spark, skewed):
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "building only")
+    O.lag_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), 60, F.col("id")), {"pv": "v"})
+    O.number_in_slots(skewed, ["node"], ["id"], O.id_slot(F.col("id")))
+    assert len(status.getJobIdsForGroup("plan")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.mark.parametrize("n", [1, 10, 333, 5000])
 def test_newest(skewed, rows, n):
     got = O.newest_in_slots(skewed, ["node"], ["ts", "id"], O.time_slot(F.col("ts"), 500), n)
