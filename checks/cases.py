@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable
 
@@ -65,7 +66,7 @@ def finished(f: Fleet, df: DataFrame, label: str, **kw) -> DataFrame:
 
 def class_volumes(f: Fleet) -> DataFrame:
     """Decoded, de-duplicated, routed: events and nodes per class."""
-    decoded = envelope.decode_envelope(f.envelopes, "raw")
+    decoded = envelope.decode_envelope(f.envelopes, "raw", payload=False)
     one = registry.dedup_events(decoded, "sequence_id", ("event_time", "event_id"))
     return rates.class_volume(envelope.route_class(one))
 
@@ -84,7 +85,7 @@ ENVELOPE_SQL = """select event_id, ts,
 
 case("flagship_class_volumes", f"""with d as ({ENVELOPE_SQL}),
  o as (select *, row_number() over (partition by sequence_id order by case when timestamp_ns <> 0 then timestamp_ns end nulls first, event_id) as rn from d)
- select topic, count(*) as events, count(distinct node_id) as nodes from (select node_id, {CLASS_SQL} as topic from o where rn = 1) t group by topic""")(class_volumes)
+ select topic, count(*) as events, count(distinct node_id) as nodes from (select node_id, {CLASS_SQL} as topic from o where rn = 1 or trim(sequence_id) = '') t group by topic""")(class_volumes)
 
 
 # --- A: sources and sinks -----------------------------------------------------------------------
@@ -437,7 +438,7 @@ def _(f):
 
 
 @case("c8_enrich_alerts", f"""select a.id, a.severity, t.event_type, t.payload, case when a.node_id % 7 <> 3 then 'host-' || cast(a.node_id as varchar) end as hostname
-  from ({ALERTS_SQL}) a left join telemetry t on t.event_id = a.triggering_event_id""")
+  from ({ALERTS_SQL}) a left join telemetry t on t.event_id = a.triggering_event_id and t.node_id = a.node_id""")
 def _(f):
     nodes = f.node_numbers.filter("node_id % 7 <> 3").select("node_id", F.concat(F.lit("host-"), F.col("node_id").cast("string")).alias("hostname"))
     return joins.enrich_alerts(alerts_of(f), f.telemetry, nodes).select("id", "severity", "event_type", "payload", "hostname")
@@ -758,9 +759,9 @@ def _(f):
 
 
 @case("g4_stale_nodes", """select n.node_id, h.last_seen from nodes n left join (select node_id, max(recorded_at) as last_seen from heartbeats_uuid group by node_id) h on h.node_id = n.node_id
-  where h.last_seen is null or h.last_seen < (select max(recorded_at) from heartbeats_uuid) - interval '90 minutes'""")
+  where h.last_seen is null or h.last_seen < timestamp '2024-01-31 00:00:00' - interval '690 minutes'""")
 def _(f):
-    return registry.stale_nodes(f.nodes, f.heartbeats_uuid, minutes=90)
+    return registry.stale_nodes(f.nodes, f.heartbeats_uuid, dt.datetime(2024, 1, 31), minutes=690)
 
 
 @case("g5_effective_status", f"""select n.node_id, n.operator_status, coalesce(b.status, n.agent_status) as agent_status,
@@ -770,15 +771,28 @@ def _(f):
     return registry.effective_status(registry.apply_heartbeats(f.nodes, f.heartbeats_uuid)[0])
 
 
-@case("g6_dedup_events", """select node_id, event_id, sequence_no, event_type, ts from (select *, row_number() over (partition by sequence_no order by ts, event_id) as rn from telemetry) t where rn = 1""")
+@case("g6_dedup_events", """select node_id, event_id, sequence_no, event_type, ts from (select *, row_number() over (partition by sequence_no order by ts, event_id) as rn
+  from (select * replace (case when event_id % 40 = 6 then null else sequence_no end as sequence_no) from telemetry) u) t where rn = 1 or sequence_no is null""")
 def _(f):
-    return registry.dedup_events(f.telemetry, "sequence_no").select("node_id", "event_id", "sequence_no", "event_type", "ts")
+    some = f.telemetry.withColumn("sequence_no", F.expr("case when event_id % 40 = 6 then null else sequence_no end"))
+    return registry.dedup_events(some, "sequence_no").select("node_id", "event_id", "sequence_no", "event_type", "ts")
 
 
-@case("g7_apply_retention", f"""select event_id, topic, ts from (select event_id, ts, {CLASS_SQL} as topic from telemetry) t
-  where ts >= (select max(ts) from telemetry) - (case topic when 'raw' then 7 when 'auth' then 30 else 14 end) * interval '1 day'""")
+@case("g6_dedup_events_text", f"""select event_id, sequence_id from (select *, row_number() over (partition by sequence_id order by event_id) as rn from ({ENVELOPE_SQL}) d) t
+  where rn = 1 or trim(sequence_id) = ''""")
 def _(f):
-    return registry.apply_retention(envelope.route_class(f.telemetry)).select("event_id", "topic", "ts")
+    return registry.dedup_events(envelope.decode_envelope(f.envelopes, "raw", payload=False), "sequence_id", ["event_id"]).select("event_id", "sequence_id")
+
+
+# One host's clock runs years ahead.
+AHEAD_SQL = "case when event_id = 77 then timestamp '2099-01-01 00:00:00' else cast(ts as timestamp) end"
+
+
+@case("g7_apply_retention", f"""select event_id, topic, ts from (select event_id, {AHEAD_SQL} as ts, {CLASS_SQL} as topic from telemetry) t
+  where ts >= timestamp '2024-01-28 00:00:00' - (case topic when 'raw' then 7 when 'auth' then 30 else 14 end) * interval '1 day'""")
+def _(f):
+    rows = f.telemetry.withColumn("ts", F.expr(AHEAD_SQL))
+    return registry.apply_retention(envelope.route_class(rows), dt.datetime(2024, 1, 28)).select("event_id", "topic", "ts")
 
 
 @case("g8_reconcile", """select sequence_no, coalesce(s, 0) as sent, coalesce(a, 0) as acked, case when s is null then 'unknown' when a is null then 'lost'
@@ -795,10 +809,11 @@ def _(f):
     return registry.unacknowledged(f.telemetry.select("node_id", "event_id"), marks)
 
 
-@case("g9_expire_events", """select node_id, event_id, ts from (select *, row_number() over (partition by node_id order by ts desc, event_id desc) as rn
-  from telemetry where ts >= (select max(ts) from telemetry) - interval '259200 seconds') t where rn <= 40""")
+@case("g9_expire_events", f"""select node_id, event_id, ts from (select *, row_number() over (partition by node_id order by ts desc, event_id desc) as rn
+  from (select node_id, event_id, {AHEAD_SQL} as ts from telemetry) u where ts >= timestamp '2024-01-28 00:00:00' - interval '259200 seconds') t where rn <= 40""")
 def _(f):
-    return registry.expire_events(f.telemetry.select("node_id", "event_id", "ts"), 259200, 40)
+    rows = f.telemetry.select("node_id", "event_id", F.expr(AHEAD_SQL).alias("ts"))
+    return registry.expire_events(rows, dt.datetime(2024, 1, 28), 259200, 40)
 
 
 @case("g10_operator_status", """select n.node_id, case when c.iso is null then 'active' when c.iso then 'isolated' else 'active' end as operator_status from node_numbers n
@@ -908,9 +923,11 @@ def _(f):
     return jobs.execution_slots(named, cat.catalogue(f.spark, cat.DEPLOYED)).select("event_id", "query_name", "interval_secs", "execution_no")
 
 
-@case("s3_dedup_stream", "select distinct sequence_no from telemetry")
+@case("s3_dedup_stream", """select distinct sequence_no from telemetry where event_id % 40 <> 6
+  union all select cast(null as bigint) from telemetry where event_id % 40 = 6""")
 def _(f):
-    return finished(f, jobs.dedup_stream(stream_standin(f, "telemetry"), "60 days", "sequence_no").select("sequence_no"), "s3")
+    some = stream_standin(f, "telemetry").withColumn("sequence_no", F.expr("case when event_id % 40 = 6 then null else sequence_no end"))
+    return finished(f, jobs.dedup_stream(some, "60 days", "sequence_no").select("sequence_no"), "s3")
 
 
 @case("s4_health_stream", """select node_id, case when status in ('healthy', 'degraded') then status else 'degraded' end as agent_status, events_buffered, recorded_at
@@ -918,7 +935,7 @@ def _(f):
 def _(f):
     out = scratch_dir(f.spark, "s4")
     jobs.run_batches(jobs.health_stream(stream_standin(f, "heartbeats")), jobs.replace_table(f"{out}/data"), f"{out}/checkpoint", "complete")
-    return f.spark.read.parquet(f"{out}/data")
+    return jobs.read_replaced(f.spark, f"{out}/data")
 
 
 @case("s5_differential_stream", STREAM_DIFF_SQL)
@@ -939,7 +956,7 @@ def _(f):
     out = scratch_dir(f.spark, "s7")
     routed = envelope.route_class(stream_standin(f, "telemetry"))
     jobs.run_batches(jobs.volume_stream(routed, "1 hour"), jobs.replace_table(f"{out}/data"), f"{out}/checkpoint", "complete")
-    return f.spark.read.parquet(f"{out}/data")
+    return jobs.read_replaced(f.spark, f"{out}/data")
 
 
 # --- U: extension points ------------------------------------------------------------------------

@@ -76,6 +76,8 @@ from events""",
 select event_id, ts, case
   when event_id % 50 = 7 then 'not json'
   when event_id % 50 = 9 then '{{"node_id": 12, "payload": {{"a": [1, 2], "b": "x"}}}}'
+  when event_id % 50 = 13 then '{{"node_id": "n3", "event_type": "file_modify", "payload": {{"b": 1, "a": 2, "b": "3"}}, "timestamp_ns": 7, "sequence_id": " "}}'
+  when event_id % 50 = 14 then '{{"node_id": "n4", "event_type": 3, "payload": {{"z": [1, 22222222222], "payload": "x"}}, "sequence_id": null}}'
   when event_id % 50 = 11 then '{{"node_id": "n1", "event_type": true, "timestamp_ns": "5", "sequence_id": 9}}'
   when event_id % 50 = 12 then '{{"node_id": "n2", "event_type": "file_create", "payload": "text", "timestamp_ns": 0, "sequence_id": "z"}}'
   else '{{"node_id": "n' || cast({NODE} as string) || '", "event_type": '

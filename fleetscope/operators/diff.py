@@ -41,9 +41,9 @@ def successful_runs(executions: DataFrame, status: str = "status_code") -> DataF
 
 
 def _neighbours(executions: DataFrame, keys: Sequence[str], run: str) -> DataFrame:
-    """Each run with the run before and after it. One row per run, so groups are small."""
+    """Each run with the run before and after it. One row per run, so groups are small; a run recorded twice is one run."""
     w = Window.partitionBy(*keys).orderBy(run)
-    return executions.select(*keys, run, F.lag(run).over(w).alias("__prev_run"), F.lead(run).over(w).alias("__next_run"))
+    return executions.select(*keys, run).distinct().select(*keys, run, F.lag(run).over(w).alias("__prev_run"), F.lead(run).over(w).alias("__next_run"))
 
 
 def differential(executions: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS, run: str = "execution_no",

@@ -113,16 +113,31 @@ def _text_or_blank(value: Column, raw: Column, name: str) -> Column:
     return F.coalesce(F.when(value.rlike(r"(?s)^(?:-?[0-9][0-9.eE+-]*|true|false|[\[{].*)\z"), typed).otherwise(value), F.lit(""))
 
 
-def decode_envelope(df: DataFrame, col: str = "raw") -> DataFrame:
+ENVELOPE = {"node_id": "string", "event_type": "variant", "payload": "string", "timestamp_ns": "bigint", "sequence_id": "string"}
+
+
+def _payload_text(value: Column, raw: Column) -> Column:
+    """A member's JSON as it was sent: key order, repeated keys and long whole numbers stay.
+
+    Only where a payload may be a JSON string is it read again with its type, to
+    give it its quotes back.
+    """
+    typed = F.to_json(F.get(_parsed(raw, ("payload",)), F.lit(0))["payload"])
+    return F.coalesce(F.when(raw.rlike(r'"payload"\s*:\s*"') & typed.startswith('"'), typed).otherwise(value), F.lit("null"))
+
+
+def decode_envelope(df: DataFrame, col: str = "raw", payload: bool = True) -> DataFrame:
     """JSON text to envelope columns; missing fields become '' or 0.
 
     ``timestamp_ns`` 0 is the agents' sentinel for "clock unavailable": the row
     stays, its ``event_time`` is NULL and ``time_missing`` is set. Text that is
     not JSON yields no row; ``split_malformed`` gives the quarantine (and alone
     catches text such as ``{…}],[…``, which is read up to the bracket here). The
-    text is parsed once, for the five fields only.
+    text is parsed once, for these fields only; without ``payload`` that one is
+    left out. A payload is the text that was sent, without its white space;
+    numbers with a fraction or exponent keep their value, not their spelling.
     """
-    shape = {"node_id": "string", "event_type": "variant", "payload": "variant", "timestamp_ns": "bigint", "sequence_id": "string"}
+    shape = {n: t for n, t in ENVELOPE.items() if payload or n != "payload"}
     raw, a = F.col(col), F.col("__a")
     array = F.from_json(F.concat(F.lit("["), raw, F.lit("]")),
                         "array<struct<" + ",".join(f"{n}:{t}" for n, t in shape.items()) + ">>", STRICT)
@@ -137,7 +152,7 @@ def decode_envelope(df: DataFrame, col: str = "raw") -> DataFrame:
         *kept,
         _text_or_blank(v["node_id"], raw, "node_id").alias("node_id"),
         type_name(v["event_type"]).alias("event_type"),
-        F.coalesce(F.to_json(v["payload"]), F.lit("null")).alias("payload"),
+        *([_payload_text(v["payload"], raw).alias("payload")] if payload else []),
         F.coalesce(v["timestamp_ns"], F.lit(0)).alias("timestamp_ns"),
         _text_or_blank(v["sequence_id"], raw, "sequence_id").alias("sequence_id"),
     ))

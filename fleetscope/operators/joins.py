@@ -82,10 +82,15 @@ def enrich_events(events: DataFrame, procs: DataFrame, host: Sequence[str] = HOS
 
 
 def enrich_alerts(alerts: DataFrame, events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Alerts with their triggering event and the host name of the node."""
-    ev = events.select(F.col("event_id").alias("triggering_event_id"), "event_type", "payload")
-    hosts = nodes.select("node_id", "hostname")
-    return alerts.drop("hostname").join(ev, "triggering_event_id", "left").join(hosts, "node_id", "left")
+    """Alerts with their triggering event and the host name of the node. Event ids are a node's own.
+
+    Alerts are few: the events they name are picked by key first, and only those
+    carry their payload on.
+    """
+    key = ["node_id", "triggering_event_id"]
+    named = events.withColumnRenamed("event_id", "triggering_event_id")
+    ev = named.select(*key, "event_type", "payload").join(alerts.select(*key).distinct(), key, "left_semi")
+    return alerts.drop("hostname").join(ev, key, "left").join(nodes.select("node_id", "hostname"), "node_id", "left")
 
 
 def split_known_nodes(df: DataFrame, nodes: DataFrame, key: str = "node_id") -> tuple[DataFrame, DataFrame]:

@@ -86,12 +86,11 @@ def frequency_anomalies(df: DataFrame, window: str = "1 day", history: int = 7,
     flat = counts.select(*keys, F.col("w.start").alias("window_start"), "events")
     w = Window.partitionBy(*keys).orderBy("window_start").rowsBetween(-history, -1)
     stats = (flat.withColumn("__n", F.count("events").over(w))
-                 .withColumn("__s", F.sum("events").over(w))
-                 .withColumn("__q", F.sum(F.col("events") * F.col("events")).over(w)))
-    n, s, q = (F.col(c).cast("double") for c in ("__n", "__s", "__q"))
-    spread = F.sqrt((q - s * s / n) / (n - F.lit(1.0)))
+                 .withColumn("__mean", F.avg("events").over(w))
+                 .withColumn("__spread", F.stddev_samp("events").over(w)))
+    spread = F.nanvl(F.col("__spread"), F.lit(0.0))
     scored = stats.filter(F.col("__n") >= 3).withColumn("z_score", F.round(F.when(
-        spread > 0, (F.col("events") - s / n) / spread), 6))
+        spread > 0, (F.col("events") - F.col("__mean")) / spread), 6))
     return scored.filter(F.col("z_score") >= k).select(*keys, "window_start", "events", "z_score")
 
 

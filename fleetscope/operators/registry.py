@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fleetscope.functions.ordered import first_per_key, newest_in_slots, time_slot
 from fleetscope.functions.rowkey import stable_uuid
 from fleetscope.operators.envelope import sanitise_status, valid_id
 from fleetscope.operators.joins import split_known_nodes
-from fleetscope.operators.predicates import latest_time
 from fleetscope.operators.topk import latest_by
 
 # Days each class is kept.
@@ -130,9 +129,9 @@ def apply_heartbeats(nodes: DataFrame, hb: DataFrame) -> tuple[DataFrame, DataFr
     return updated, series, rejected
 
 
-def stale_nodes(nodes: DataFrame, health: DataFrame, as_of=None, minutes: int = 5) -> DataFrame:
-    """Nodes without a heartbeat in the last ``minutes``, with the time they were last seen."""
-    ref = latest_time(health, "recorded_at") if as_of is None else F.lit(as_of)
+def stale_nodes(nodes: DataFrame, health: DataFrame, as_of, minutes: int = 5) -> DataFrame:
+    """Nodes without a heartbeat in the last ``minutes`` before ``as_of``, with the time they were last seen."""
+    ref = F.lit(as_of)
     seen = health.groupBy("node_id").agg(F.max("recorded_at").alias("last_seen"))
     return nodes.select("node_id").join(seen, "node_id", "left").filter(
         F.col("last_seen").isNull() | (F.col("last_seen") < ref - F.make_dt_interval(mins=F.lit(minutes))))
@@ -144,20 +143,33 @@ def effective_status(nodes: DataFrame) -> DataFrame:
         F.col("operator_status") == "isolated", "isolated").otherwise(F.col("agent_status")).alias("effective_status"))
 
 
+def has_id(df: DataFrame, key: str) -> Column:
+    """Whether a row has an id: neither NULL nor blank text."""
+    known = F.col(key).isNotNull()
+    return known & (F.trim(F.col(key)) != "") if isinstance(df.schema[key].dataType, T.StringType) else known
+
+
 def dedup_events(df: DataFrame, key: str = "sequence_id", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """One row per sequence id, the first by ``order``; time alone never makes a duplicate."""
-    return first_per_key(df, [key], [F.col(c) for c in order])
+    """One row per sequence id, the first by ``order``; time alone never makes a duplicate.
 
+    Rows without an id (NULL or blank) can't be told apart by it: all of them stay.
+    """
+    named = has_id(df, key)
+    return first_per_key(df.filter(named), [key], [F.col(c) for c in order]).unionByName(df.filter(~named))
 
-def apply_retention(df: DataFrame, retention: Mapping[str, int] | None = None, as_of=None, topic: str = "topic",
+
+def apply_retention(df: DataFrame, as_of, retention: Mapping[str, int] | None = None, topic: str = "topic",
                     ts: str = "ts") -> DataFrame:
-    """Rows still inside the retention of their class; a class without a limit is kept.
+    """Rows still inside the retention of their class at ``as_of``; a class without a limit is kept.
+
+    The caller gives the time: the newest time in the data may come from a host
+    whose clock runs ahead, and would throw everything else away.
 
     The limits are configuration and become literals: no join, and on data
     partitioned by class and day only the kept folders are read.
     """
     limits = RETENTION_DAYS if retention is None else retention
-    ref = latest_time(df, ts) if as_of is None else F.lit(as_of)
+    ref = F.lit(as_of)
     keep = ~F.col(topic).isin(list(limits)) | F.col(topic).isNull()
     for days in sorted(set(limits.values())):
         names = [c for c, d in limits.items() if d == days]
@@ -186,11 +198,10 @@ def unacknowledged(df: DataFrame, up_to: DataFrame, key: str = "node_id", ident:
         F.col("__up_to").isNull() | (F.col(ident) > F.col("__up_to"))).select(*df.columns)
 
 
-def expire_events(df: DataFrame, max_age: int = 3600, cap: int = 500_000, as_of=None, key: str = "node_id",
+def expire_events(df: DataFrame, as_of, max_age: int = 3600, cap: int = 500_000, key: str = "node_id",
                   ts: str = "ts", ident: str = "event_id", slot_seconds: int = 60) -> DataFrame:
-    """Events younger than ``max_age`` seconds, and of those the ``cap`` newest per node."""
-    ref = latest_time(df, ts) if as_of is None else F.lit(as_of)
-    young = df.filter(F.col(ts) >= ref - F.make_dt_interval(secs=F.lit(max_age)))
+    """Events younger than ``max_age`` seconds at ``as_of``, and of those the ``cap`` newest per node."""
+    young = df.filter(F.col(ts) >= F.lit(as_of) - F.make_dt_interval(secs=F.lit(max_age)))
     return newest_in_slots(young, [key], [ts, ident], time_slot(F.col(ts), slot_seconds, F.col(ident)), cap)
 
 

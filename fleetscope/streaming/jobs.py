@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetscope.operators.envelope import decode_envelope, route_class, sanitise_status
+from fleetscope.operators.registry import has_id
 from fleetscope.sources.events import read_events_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,12 +40,22 @@ def run_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
 
 
 def replace_table(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer for complete mode: each batch is the whole result."""
+    """``foreachBatch`` writer for complete mode: each batch is the whole result, in a folder of its own.
+
+    A crash leaves the result before it in place; a batch that is run again
+    replaces its own folder. ``read_replaced`` takes the newest finished one.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
+def read_replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole result of ``replace_table``. Files of a batch that did not finish are not in its folder yet."""
+    table = spark.read.parquet(path)
+    return table.filter(F.col("batch_id") == table.agg(F.max("batch_id")).scalar()).drop("batch_id")
+
+
 def route_stream(spark: SparkSession, conf, prefix: str = "") -> DataFrame:
     """Source to routed envelopes, ready for a sink partitioned by ``topic``.
 
@@ -64,8 +75,13 @@ def start_route(spark: SparkSession, conf, path: str, checkpoint: str, prefix: s
 
 
 def dedup_stream(df: DataFrame, delay: str, key: str = "sequence_id", ts: str = "ts") -> DataFrame:
-    """One row per sequence id among rows no further apart than ``delay``; later rows are late."""
-    return event_time(df, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    """One row per sequence id among rows no further apart than ``delay``; later rows are late.
+
+    Rows without an id pass: they have no key to share, nor a place in the state.
+    """
+    timed = event_time(df, ts).withWatermark(ts, delay)
+    named = has_id(timed, key)
+    return timed.filter(named).dropDuplicatesWithinWatermark([key]).union(timed.filter(~named))
 
 
 def health_stream(df: DataFrame, ts: str = "recorded_at", ident: str = "event_id") -> DataFrame:

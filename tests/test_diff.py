@@ -96,3 +96,9 @@ def test_process_feed(spark):
     audit = spark.createDataFrame([(3, 4, 5)], "pid int, ppid int, auid int")
     got = {r.feed: (r.pid, r.parent, r.probe_error, r.auid) for r in D.process_feed(bpf, audit).collect()}
     assert got == {"bpf": (1, 2, 0, None), "audit": (3, 4, None, 5)}
+
+
+def test_a_run_recorded_twice_is_one_run(spark):
+    runs = spark.createDataFrame([(1, "q", n, 0) for n in (1, 2, 2, 3)], "node_id int, query_name string, execution_no int, status_code int")
+    rows = spark.createDataFrame([(1, "q", n, r) for n in (1, 2, 3) for r in "ab"], "node_id int, query_name string, execution_no int, row string")
+    assert {r.action for r in D.differential(runs, rows).collect()} == {"SNAPSHOT"}

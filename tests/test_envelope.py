@@ -93,3 +93,13 @@ def test_ids(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, node_id string")
     good, bad = E.split_valid_ids(df)
     assert sorted(r.i for r in good.collect()) == [0, 1, 2, 3] and sorted(r.i for r in bad.collect()) == [4, 5, 6, 7, 8]
+
+
+def test_payload_as_it_was_sent(spark):
+    """Repeated keys, key order and long whole numbers stay; a JSON string keeps its quotes."""
+    sent = ['{"a":1,"a":2}', '{"b":1,"a":{"d":2,"c":3}}', '{"n":12345678901234567890123456789012345678901234}', '"te\\"x"', '"{\\"a\\":1}"', "null", "true", "[1,2]",
+            '{"z":1,"payload":"x"}']
+    df = spark.createDataFrame([(i, f'{{"payload": {p}, "sequence_id": "s"}}') for i, p in enumerate(sent)], "i int, raw string")
+    got = E.decode_envelope(df, "raw").orderBy("i").collect()
+    assert [r.payload for r in got] == sent
+    assert "payload" not in E.decode_envelope(df, "raw", payload=False).columns

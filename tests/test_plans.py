@@ -1,5 +1,7 @@
 """The plans we rely on: push-down, early group limits, no needless shuffle, and a way beyond broadcast."""
 
+import datetime as dt
+
 import pytest
 
 from checks.standins import Fleet
@@ -28,7 +30,7 @@ def test_filters_and_columns_reach_the_scan(spark, fleet, tmp_path):
 
 def test_narrow_operators_do_not_shuffle(fleet):
     for df in (envelope.route_class(envelope.decode_envelope(fleet.envelopes, "raw")), P.fim_category(fleet.watched),
-               envelope.split_malformed(fleet.telemetry)[1], registry.apply_retention(envelope.route_class(fleet.telemetry), as_of=None)):
+               envelope.split_malformed(fleet.telemetry)[1], registry.apply_retention(envelope.route_class(fleet.telemetry), dt.datetime(2024, 1, 28))):
         text = plan(df).split("Subquery")[0]
         assert "Exchange hashpartitioning" not in text and "Python" not in text
 

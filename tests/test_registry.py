@@ -66,10 +66,10 @@ def test_modules_with_null_names(spark):
 
 def test_retention_and_expiry(spark):
     df = spark.createDataFrame([(1, "raw", at(0)), (2, "auth", at(0)), (3, "other", at(0)), (4, "raw", at(60 * 24 * 10))], "event_id bigint, topic string, ts timestamp_ntz")
-    assert sorted(r.event_id for r in G.apply_retention(df).collect()) == [2, 3, 4]
+    assert sorted(r.event_id for r in G.apply_retention(df, at(60 * 24 * 10)).collect()) == [2, 3, 4]
     ev = spark.createDataFrame([(1, i, at(i)) for i in range(100)], "node_id int, event_id bigint, ts timestamp_ntz")
-    assert sorted(r.event_id for r in G.expire_events(ev, 3600, 5).collect()) == [95, 96, 97, 98, 99]
-    assert G.expire_events(ev, 3600, 500).count() == 61
+    assert sorted(r.event_id for r in G.expire_events(ev, at(99), 3600, 5).collect()) == [95, 96, 97, 98, 99]
+    assert G.expire_events(ev, at(99), 3600, 500).count() == 61
 
 
 def test_reconcile(spark):
@@ -96,3 +96,13 @@ def test_consumer_lag(spark):
     latest = spark.createDataFrame([("t", 0, 100), ("t", 1, 50)], "topic string, partition int, latest bigint")
     committed = spark.createDataFrame([("g", "t", 0, 90)], "group_id string, topic string, partition int, committed bigint")
     assert [tuple(r) for r in rates.consumer_lag(latest, committed).collect()] == [("g", 60)]
+
+
+def test_rows_without_an_id_stay(spark):
+    df = spark.createDataFrame([(1, "a", at(0)), (2, "a", at(1)), (3, "", at(0)), (4, " ", at(0)), (5, None, at(0)), (6, None, at(1))], "event_id bigint, sequence_id string, ts timestamp_ntz")
+    assert sorted(r.event_id for r in G.dedup_events(df).collect()) == [1, 3, 4, 5, 6]
+
+
+def test_a_clock_that_runs_ahead_removes_nothing_else(spark):
+    df = spark.createDataFrame([(1, "raw", at(0)), (2, "raw", at(60 * 24 * 365 * 70))], "event_id bigint, topic string, ts timestamp_ntz")
+    assert sorted(r.event_id for r in G.apply_retention(df, at(5)).collect()) == [1, 2]
