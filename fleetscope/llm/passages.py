@@ -104,12 +104,41 @@ def chunks(ids: np.ndarray, text: pa.Array, shape: Shape) -> Iterator[tuple[int,
         yield a, ids[a:z], shape.anchors(buf[off[a]:off[z]], off[a:z + 1] - off[a])
 
 
-def by_id(ids: np.ndarray, *columns: tuple[np.ndarray, str]) -> pa.RecordBatch:
-    """One row for each id with its values packed."""
-    order = np.argsort(ids, kind="stable")
-    edges = np.flatnonzero(starts_of(ids[order])) if len(ids) else np.zeros(0, np.int64)
-    packed = [pa.array([x.astype(kind).tobytes() for x in np.split(values[order], edges[1:])] if len(ids) else [], pa.binary()) for values, kind in columns]
-    return pa.RecordBatch.from_arrays([pa.array(ids[order][edges]), *packed], ["node", *(f"c{i}" for i in range(len(columns)))])
+def by_home(ids: np.ndarray, buckets: int, *columns: tuple[np.ndarray, int]) -> pa.RecordBatch:
+    """What goes back to documents, packed for the task that gathers it: a row for each home, not for each document."""
+    home = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    edges = np.append(np.flatnonzero(starts_of(home[order])), len(ids)) if len(ids) else np.zeros(1, np.int64)
+    rows = []
+    for a, z in zip(edges[:-1], edges[1:]):
+        at = order[a:z]
+        own, index = np.unique(ids[at], return_inverse=True)
+        rows.append([int(home[at[0]]), planes(index, 4), planes(own.view(np.uint64), 8), *(planes(values[at].astype(np.uint64), size) for values, size in columns)])
+    names = ["doc", "ids", *(f"c{i}" for i in range(len(columns)))]
+    return rows_batch(rows, pa.schema([("home", pa.int32()), *((n, pa.binary()) for n in names)]))
+
+
+def gather(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with all that came back to it; rows come sorted by home."""
+    names = [f"c{i}" for i in range(len(sizes))]
+    for _, rows in bucket_runs(batches, "home"):
+        ids = np.concatenate([unplanes(r["ids"], 8).view(np.int64)[unplanes(r["doc"], 4)] for r in rows])
+        order = np.argsort(ids, kind="stable")
+        edges = np.flatnonzero(starts_of(ids[order]))
+        packed = []
+        for name, size in zip(names, sizes):
+            values = np.concatenate([unplanes(r[name], size) for r in rows])[order].astype(f"<u{size}")
+            packed.append(pa.array([x.tobytes() for x in np.split(values, edges[1:])], pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[order][edges]), *packed], ["node", *names])
+
+
+def gathered(df: DataFrame, buckets: int, sizes: tuple[int, ...]) -> DataFrame:
+    columns = ", ".join(f"c{i} binary" for i in range(len(sizes)))
+    return df.repartition(buckets, "home").sortWithinPartitions("home").mapInArrow(lambda it: gather(it, sizes), f"node long, {columns}")
+
+
+def homes(count: int) -> str:
+    return "home int, doc binary, ids binary" + "".join(f", c{i} binary" for i in range(count))
 
 
 ENTRY = "bucket int, code binary, span binary, doc binary, ids binary"
@@ -159,26 +188,26 @@ def map_anchors(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
         yield flush()
 
 
-def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+def bucket_runs(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[tuple[int, list[dict]]]:
     """All packed rows of one bucket after another; rows come sorted by bucket."""
     now, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["bucket"] != now and held:
+            if row[key] != now and held:
                 yield now, held
                 held = []
-            now = row["bucket"]
+            now = row[key]
             held.append(row)
     if held:
         yield now, held
 
 
-def meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: (id, tags); a tag's lowest bit asks for the windows, without it all windows of the span are removable."""
+def meet_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Step 2: tags for each document; a tag's lowest bit asks for the windows, without it all windows of the span are removable."""
     for bucket, rows in bucket_runs(batches):
         ids = np.concatenate([unplanes(r["ids"], 8).view(np.int64)[unplanes(r["doc"], 4)] for r in rows])
         if bucket < 0:
-            yield by_id(ids, (np.concatenate([unplanes(r["code"], 8) for r in rows]), "<u8"))
+            yield by_home(ids, buckets, (np.concatenate([unplanes(r["code"], 8) for r in rows]), 8))
             continue
         code = np.concatenate([unplanes(r["code"], 5) for r in rows])
         span = np.concatenate([unplanes(r["span"], 4) for r in rows])
@@ -194,7 +223,7 @@ def meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = (ids > least) & starts_of(code, span, ids)
         tags = tag(np.full(len(ids), bucket), code, span) | ask.astype(np.uint64)
         keep = ask | done
-        yield by_id(ids[keep], (tags[keep], "<u8"))
+        yield by_home(ids[keep], buckets, (tags[keep], 8))
 
 
 RUN = "bucket int, code binary, doc binary, ids binary, keys binary, place binary, near binary, far binary, data array<binary>"
@@ -213,7 +242,7 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
             bucket, code = split_code(found.code, buckets)
             mine = tag(bucket, code, found.span & np.uint64(0xFFFFFFFF))
             last = int(found.row.max()) + 1
-            said = [np.frombuffer(b"".join(lists[a + i]), "<u8") for i in range(last)]
+            said = [np.frombuffer(lists[a + i], "<u8") for i in range(last)]
             owner = np.repeat(np.arange(last, dtype=np.uint64), [len(s) for s in said])
             told = mixed(np.concatenate(said) ^ (owner * STEP))
             salt = found.row.astype(np.uint64) * STEP
@@ -236,8 +265,8 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
             yield rows_batch(rows, schema)
 
 
-def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
-    """Step 3, at the anchors, and step 4: (id, c0 keys, c1 first windows, c2 how many) of removable runs."""
+def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Step 3, at the anchors, and step 4: c0 keys, c1 first windows, c2 how many of the removable runs of each document."""
     for bucket, rows in bucket_runs(batches):
         doc = [unplanes(r["doc"], 4) for r in rows]
         ids, keys = (np.concatenate([unplanes(r[n], 8).view(np.int64)[d] for r, d in zip(rows, doc)]) for n in ("ids", "keys"))
@@ -258,7 +287,7 @@ def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa
             edge = np.flatnonzero(fresh)
             stop = np.append(edge[1:], len(ids)) - 1
             ids, keys, first, many = ids[edge], keys[edge], first[edge], end[stop] - first[edge]
-        yield by_id(ids, (keys, "<i8"), (first, "<u4"), (many, "<u4"))
+        yield by_home(ids, buckets, (keys.view(np.uint64), 8), (first, 4), (many, 4))
 
 
 def repeated_windows(df: DataFrame, shape: Shape, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
@@ -274,21 +303,18 @@ def repeated_windows(df: DataFrame, shape: Shape, id_col: str, text_col: str, ca
     docs = df.select(F.coalesce(row_id, F.lit(NO_ID)).alias("node"), row_id.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), row.alias("row"))
     source = df.select(row_id.alias("id"), text.alias("text")).where("id is not null and text is not null")
     entries = source.mapInArrow(lambda it: map_anchors(it, shape, buckets), ENTRY)
-    tags = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet_anchors, "node long, c0 binary")
-    tags = tags.groupBy("node").agg(F.collect_list("c0").alias("tags"))
-    asked = docs.join(tags, "node").select("id", "key", "text", "tags", "row").mapInArrow(lambda it: ask_windows(it, shape, buckets), RUN)
-    runs = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        lambda it: meet_windows(it, shape), "node long, c0 binary, c1 binary, c2 binary")
-    runs = runs.groupBy("node").agg(F.collect_list(F.struct("c0", "c1", "c2")).alias("runs"))
+    tags = gathered(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: meet_anchors(it, buckets), homes(1)), buckets, (8,))
+    asked = docs.join(tags.withColumnRenamed("c0", "tags"), "node").select("id", "key", "text", "tags", "row").mapInArrow(lambda it: ask_windows(it, shape, buckets), RUN)
+    runs = gathered(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda it: meet_windows(it, shape, buckets), homes(3)), buckets, (8, 4, 4)).select("node", F.struct("c0", "c1", "c2").alias("runs"))
     return docs.join(runs, "node", "left").select("id", "key", "text", "runs", "row")
 
 
-def covered(runs: list[dict] | None, key: int, units: int, window: int) -> np.ndarray:
+def covered(runs: dict, key: int, units: int, window: int) -> np.ndarray:
     """Which of a row's units (words or bytes) lie in one of its removable windows."""
     edge = np.zeros(units + 1, np.int64)
-    for r in runs or ():
-        own = np.frombuffer(r["c0"], "<i8") == key
-        first, many = (np.frombuffer(r[n], "<u4").astype(np.int64)[own] for n in ("c1", "c2"))
-        np.add.at(edge, first, 1)
-        np.add.at(edge, np.minimum(first + many - 1 + window, units), -1)
+    own = np.frombuffer(runs["c0"], "<i8") == key
+    first, many = (np.frombuffer(runs[n], "<u4").astype(np.int64)[own] for n in ("c1", "c2"))
+    np.add.at(edge, first, 1)
+    np.add.at(edge, np.minimum(first + many - 1 + window, units), -1)
     return np.cumsum(edge[:-1]) > 0
