@@ -26,7 +26,7 @@ WINDOW, GRAM = 50, 18
 #: Starts of grams inside a window.
 SPREAD = WINDOW - GRAM + 1
 #: Bytes by which suffixes are put in order before the merges.
-HEAD = 8
+HEAD = 16
 
 
 def inverse(base: int) -> int:
@@ -155,11 +155,11 @@ def verified(buf: np.ndarray, start: np.ndarray, same: np.ndarray, length: int)
     return True
 
 
-def heads(buf: np.ndarray, start: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(start), np.uint64)
-    for i in range(HEAD):
-        out = (out << np.uint64(8)) | buf[start + i]
-    return out
+def heads(buf: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """The first HEAD bytes of each suffix as big-endian numbers of 8 bytes."""
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    words = np.lib.stride_tricks.as_strided(padded, (len(buf), 8), (1, 1))
+    return [words[start + i].reshape(-1).view(">u8").astype(np.uint64) for i in range(0, HEAD, 8)]
 
 
 def before(buf: np.ndarray, hashes: PrefixHashes, a: np.ndarray, b: np.ndarray, length: int, ties: np.ndarray) -> np.ndarray:
@@ -184,8 +184,8 @@ def merge_sort(buf: np.ndarray, hashes: PrefixHashes, start: np.ndarray, length:
     before it; their number is found by binary search.
     """
     head = heads(buf, start)
-    order = np.argsort(head, kind="stable")
-    edge = np.flatnonzero(starts_of(head[order]))
+    order = np.lexsort(head[::-1])
+    edge = np.flatnonzero(starts_of(*(h[order] for h in head)))
     size = np.diff(np.append(edge, len(order)))
     base, room = np.repeat(edge, size), np.repeat(size, size)
     width = 1
