@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks.standins import BASE, HOST_TABLES, Fleet, standin_sql, uuid_sql
 from fleetscope.operators import detect, diff, envelope, hooks, joins, predicates as P, rates, registry, results, topk
@@ -134,10 +135,12 @@ def _(f):
         t["node_health"], "node_id").select("hostname", "operator_status", "agent_status", "events_buffered", "recorded_at")
 
 
-@case("a5_write_by_class", f"select event_id, node_id, payload, {CLASS_SQL} as topic from telemetry")
+@case("a5_write_by_class", f"select event_id, node_id, payload, {CLASS_SQL} as topic, cast(event_id % 2 as int) as batch_id from telemetry")
 def _(f):
     out = scratch_dir(f.spark, "a5")
-    sinks.write_by_class(envelope.route_class(f.telemetry).select("event_id", "node_id", "payload", "topic"), out)
+    rows = envelope.route_class(f.telemetry).select("event_id", "node_id", "payload", "topic")
+    for batch_id in (0, 1, 1):  # batch 1 is replayed
+        sinks.write_by_class(rows.filter(F.col("event_id") % 2 == batch_id), out, batch_id)
     return f.spark.read.parquet(out)
 
 
@@ -190,7 +193,12 @@ def _(f):
   join (values ('disk_io', 60, false), ('system_memory', 60, true), ('uptime', 3600, true)) as c(name, interval_secs, snapshot) on c.name = e.query_name
   group by query_name, interval_secs, snapshot""")
 def _(f):
-    c = cat.catalogue(f.spark, cat.DEPLOYED)
+    out = scratch_dir(f.spark, "a9")
+    files = {"first": {"schedule": {"disk_io": {"query": "SELECT 2;", "interval": 5}, "mark": {"query": "SELECT 1;"}, "uptime": {"query": "SELECT 3;", "interval": 3600, "snapshot": True}}},
+             "second": {"queries": {"disk_io": {"query": "SELECT 4;", "interval_secs": 60}, "system_memory": {"query": "SELECT 5;", "interval": 60, "snapshot": True}}}}
+    for name, doc in files.items():
+        f.spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.text(f"{out}/{name}")
+    c = cat.load_catalogue(f.spark, [f"{out}/{name}" for name in files])
     named = f.table("events").select(F.expr(
         "case event_id % 4 when 0 then 'disk_io' when 1 then 'system_memory' when 2 then 'uptime' else 'not_scheduled' end").alias("query_name"))
     counts = named.groupBy("query_name").agg(F.count(F.lit(1)).alias("rows_reported"))
@@ -252,6 +260,28 @@ LONG_SQL = """select event_id, node_id, query_name, action, row_no, name, arg_ma
   group by event_id, node_id, query_name, action, row_no, name"""
 
 
+@case("b7_executions_of", """select event_id, node_id, 'q' || cast(event_id % 3 as varchar) as query_name,
+  case event_id % 3 when 0 then 'SNAPSHOT' when 1 then 'ADDED' else 'REMOVED' end as action,
+  case when event_id % 6 = 3 then 0 when event_id % 4 = 0 then 2 else 1 end::bigint as rows_reported from result_payloads""")
+def _(f):
+    emptied = f.result_payloads.withColumn("payload", F.when(
+        F.col("event_id") % 6 == 3, F.regexp_replace("payload", r'(?s)"rows":.*', '"rows":[]}')).otherwise(F.col("payload")))
+    return results.executions_of(emptied).drop("status_code")
+
+
+@case("b7_empty_runs_remove", """with r as (select user_id % 20 as node_id, event_id, row_number() over (partition by user_id % 20 order by event_id) as run from events)
+  select node_id, event_id as execution_no, 'SNAPSHOT' as action from r where run = 1
+  union all select node_id, event_id, case when run % 2 = 0 then 'REMOVED' else 'ADDED' end from r where run > 1""")
+def _(f):
+    """Every second run of a node is empty: all its rows go, and come back with the next one."""
+    order = Window.partitionBy("node_id").orderBy("event_id")
+    base = f.result_payloads.withColumn("n", F.row_number().over(order)).select("node_id", F.col("event_id").alias("execution_no"), "n")
+    row = '{"query_name":"q","action":"SNAPSHOT","rows":[{"columns":[{"name":"pid","value":"1"}]}]}'
+    sent = base.select("node_id", "execution_no", F.when(F.col("n") % 2 == 1, row).otherwise('{"query_name":"q","action":"SNAPSHOT","rows":[]}').alias("payload"))
+    rows = diff.with_row_key(results.explode_results(sent)).select("node_id", "query_name", "execution_no", "row")
+    return diff.differential(results.executions_of(sent), rows).select("node_id", "execution_no", "action")
+
+
 @case("b7_explode_results", LONG_SQL)
 def _(f):
     return results.to_long(results.explode_results(f.result_payloads))
@@ -907,13 +937,24 @@ def _(f):
 
 # --- S: streams ---------------------------------------------------------------------------------
 
+def envelope_files(f: Fleet) -> dict:
+    """The envelopes as files, and the configuration of a stream over them."""
+    out = scratch_dir(f.spark, "s1-in")
+    f.envelopes.select("event_id", "raw").write.parquet(out)
+    return {"format": "parquet", "path": out, "schema": "event_id bigint, raw string", "raw": "raw"}
+
+
 @case("s1_route_stream", f"select event_id, event_type, timestamp_ns, sequence_id, {CLASS_SQL} as topic from ({ENVELOPE_SQL}) d")
 def _(f):
-    decoded = envelope.decode_envelope(stream_standin(f, "envelopes"), "raw")
-    routed = envelope.route_class(decoded).select("event_id", "event_type", "timestamp_ns", "sequence_id", "topic")
+    routed = jobs.route_stream(f.spark, envelope_files(f)).select("event_id", "event_type", "timestamp_ns", "sequence_id", "topic")
     return finished(f, routed, "s1", partition_by=["topic"])
 
 
+@case("s1_route_stream_bad", "select event_id, raw, 'invalid_json' as reason from envelopes where not json_valid(raw)")
+def _(f):
+    return finished(f, jobs.quarantine_stream(f.spark, envelope_files(f)), "s1-bad")
+
+
 @case("s2_execution_slots", """select event_id, query_name, interval_secs, epoch_us(ts) // 1000000 // interval_secs as execution_no from
   (select event_id, ts, case event_id % 3 when 0 then 'disk_io' when 1 then 'crontab_snapshot' else 'uptime' end as query_name,
    case event_id % 3 when 0 then 60 when 1 then 300 else 3600 end::bigint as interval_secs from events) e""")

@@ -33,6 +33,19 @@ def compile_rules(conditions: DataFrame) -> DataFrame:
         F.collect_list(F.struct(*RULE_COLUMNS, need.alias("need"), "tests")).alias("__rules"))
 
 
+def rejected_rules(conditions: DataFrame) -> DataFrame:
+    """Rules that can't work as written, with the reason: (rule_id, reason). An empty result means all are sound."""
+    number = F.expr("try_cast(need as bigint)")
+    checked = conditions.select("rule_id", "severity", "confidence", "need", F.when(
+        F.col("need").isNull() | (~F.col("need").isin("any", "all") & F.coalesce(number < 1, F.lit(True))), "need is not any, all or a number from 1").when(
+        F.col("mode").isNull() | ~F.col("mode").isin("contains", "regex"), "mode is not contains or regex").when(
+        F.col("severity").isNull() | ~F.col("severity").isin(*SEVERITIES), "unknown severity").alias("reason"))
+    wrong = checked.filter(F.col("reason").isNotNull()).select("rule_id", "reason")
+    same = checked.groupBy("rule_id").agg(*[F.count_distinct(c).alias(c) for c in ("severity", "confidence", "need")])
+    return wrong.union(same.filter("severity > 1 or confidence > 1 or need > 1").select(
+        "rule_id", F.lit("conditions of the rule disagree").alias("reason"))).distinct()
+
+
 def _field_value(field: Column, text: str) -> Column:
     """The whole text for field ``*``, else the named JSON field."""
     return F.when(field == "*", F.col(text)).otherwise(
@@ -44,7 +57,9 @@ def match_rules(events: DataFrame, conditions: DataFrame, text: str = "payload")
 
     Each event meets the list of rules of its type, once, and only hits become
     rows: events are neither multiplied by rules nor, while Spark can broadcast
-    the rule table, shuffled. Above that size AQE splits the busy types.
+    the rule table, shuffled. Above that size AQE splits the busy types. Rules
+    without an event type apply to all. ``rejected_rules`` names those that can
+    never fire.
     """
     def holds(t: Column) -> Column:
         value = _field_value(t["field"], text)
@@ -54,7 +69,11 @@ def match_rules(events: DataFrame, conditions: DataFrame, text: str = "payload")
     def hits(r: Column) -> Column:
         return F.size(F.filter(r["tests"], holds))
 
-    paired = events.join(compile_rules(conditions), "event_type")
+    compiled = compile_rules(conditions)
+    anywhere = compiled.filter(F.col("event_type").isNull()).select("__rules").scalar()  # one row: the rules of no type
+    none = F.array().cast(compiled.schema["__rules"].dataType)
+    paired = events.join(compiled.filter(F.col("event_type").isNotNull()), "event_type", "left").withColumn(
+        "__rules", F.concat(F.coalesce("__rules", none), F.coalesce(anywhere, none)))
     return paired.withColumn("__hit", F.explode(F.filter("__rules", lambda r: hits(r) >= r["need"]))).select(
         *events.columns, *[F.col(f"__hit.{c}").alias(c) for c in RULE_COLUMNS],
         hits(F.col("__hit")).cast("bigint").alias("hits"))

@@ -26,6 +26,19 @@ def explode_results(df: DataFrame, col: str = "payload") -> DataFrame:
     )
 
 
+def executions_of(df: DataFrame, col: str = "payload") -> DataFrame:
+    """One row per result that a payload reports, with how many rows it has; also those without any.
+
+    The table of runs that ``diff.differential`` needs: an empty result removes
+    everything, and leaves no row of its own in ``explode_results``.
+    """
+    kept = [c for c in df.columns if c != col]
+    parsed = df.withColumn("__r", F.from_json(F.col(col), QUERY_RESULT, {"mode": "PERMISSIVE"}))
+    return parsed.filter(F.col("__r.query_name").isNotNull()).select(
+        *kept, F.col("__r.query_name").alias("query_name"), F.upper(F.col("__r.action")).alias("action"),
+        F.coalesce(F.size("__r.rows"), F.lit(0)).cast("bigint").alias("rows_reported"), F.lit(0).alias("status_code"))
+
+
 def to_long(df: DataFrame, col: str = "columns") -> DataFrame:
     """Long form of exploded results: one row per (name, value)."""
     kept = [c for c in df.columns if c != col]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_by_class(df: DataFrame, path: str, topic: str = "topic", mode: str = "append") -> None:
-    """One folder per class, payload and key as they came.
+def write_by_class(df: DataFrame, path: str, batch_id: int, topic: str = "topic") -> None:
+    """One folder per class inside the batch's own, payload and key as they came.
 
     The rebalance hint lets AQE split a class that dominates and merge small
     ones, so neither a single writer nor a flood of small files results.
     """
-    df.hint("rebalance", F.col(topic)).write.mode(mode).partitionBy(topic).parquet(path)
+    df.hint("rebalance", F.col(topic)).write.mode("overwrite").partitionBy(topic).parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
 def write_logs(df: DataFrame, path: str, batch_id: int) -> None:

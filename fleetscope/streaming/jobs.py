@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetscope.operators.envelope import decode_envelope, route_class, sanitise_status
+from fleetscope.operators.envelope import decode_envelope, route_class, sanitise_status, split_malformed
 from fleetscope.operators.registry import has_id
 from fleetscope.sources.events import read_events_stream
 
@@ -65,7 +65,14 @@ def route_stream(spark: SparkSession, conf, prefix: str = "") -> DataFrame:
     """
     src = read_events_stream(spark, conf)
     raw = conf.get("raw", "raw" if conf.get("format", "kafka") == "kafka" else None)
-    return route_class(decode_envelope(src, raw) if raw else src, prefix=prefix)
+    return route_class(decode_envelope(split_malformed(src, raw)[0], raw) if raw else src, prefix=prefix)
+
+
+def quarantine_stream(spark: SparkSession, conf) -> DataFrame:
+    """What ``route_stream`` leaves out: source records that are not one JSON value, with the reason."""
+    src = read_events_stream(spark, conf)
+    raw = conf.get("raw", "raw")
+    return split_malformed(src, raw)[1].select(*[c for c in src.columns if c != raw], F.col(raw).alias("raw"), "reason")
 
 
 def start_route(spark: SparkSession, conf, path: str, checkpoint: str, prefix: str = "", every: str = "5 seconds") -> StreamingQuery:

@@ -22,7 +22,8 @@ def differential_stream(runs: DataFrame, buckets: int = 8) -> DataFrame:
     The diff of a row does not depend on other rows, so rows are spread over
     ``buckets`` by hash and a chatty (node, query) is not one task. Each run
     visits every bucket, also with no rows there, because that is what removes
-    rows. State per bucket: the rows of the last run.
+    rows. State per bucket: the rows of the last run. A run older than that gives
+    one LATE row and changes nothing; a run recorded again gives nothing.
     """
     good = runs.filter(F.col("status_code") == 0)
     spread = good.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).select(
@@ -40,13 +41,18 @@ def differential_stream(runs: DataFrame, buckets: int = 8) -> DataFrame:
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
             pdf = pd.concat(list(rows), ignore_index=True).sort_values("execution_no", kind="stable")
-            node, query, _ = key
-            first = not self.last.exists()
+            node, query, bucket = key
+            newest = self.last.get()[0] if self.last.exists() else None
+            first = newest is None
             current = set() if first else {k[0] for k in self.seen.keys()}
             before = set(current)
             out = []
             for run, values in zip(pdf["execution_no"], pdf["rows"]):
-                new = set(values)
+                if newest is not None and run <= newest:  # recorded again, or too late to have a place in the history
+                    if run < newest and bucket == 0:
+                        out.append((node, query, run, None, "LATE"))
+                    continue
+                newest, new = run, set(values)
                 if first:
                     out += [(node, query, run, r, "SNAPSHOT") for r in values]
                     first = False
