@@ -97,7 +97,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, times: int = 3,
         weight: Callable[[int], int] = lambda i: 1 + i % 3, carry: bool = False) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row; ``carry`` gives the input's columns and ``repeats`` instead.
+    """(id, size, source_size, target, taken) for each row; ``carry`` gives the input's row as a struct ``_row`` and ``repeats`` instead.
 
     ``taken`` is ``size`` times the number of times the row is used. Rows of
     size 0 take 0. NULL sources are one source, last in order. Rows of one
@@ -143,13 +143,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     again = F.col("whole") + F.coalesce(F.col("_h") <= F.col("_border"), F.lit(False)).cast("long")
     if carry:
         full = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *marks)
-        return full.join(table, keys).select("_row.*", again.alias("repeats"))
+        return full.join(table, keys).select("_row", again.alias("repeats"))
     return rows.join(table, keys).select(
         F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * again).alias("taken"))
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
-    """The rows that the mix takes, each as often as it takes them, with the input's columns."""
-    names = [F.col(f"`{c}`") for c in df.columns]
+    """The rows that the mix takes, each as often as it takes them, with the input's columns, whatever their names."""
     out = mix(df, carry=True, **options).where(F.col("repeats") > 0)
-    return out.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(*names)
+    again = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
+    return out.select("_row", again.alias("_again")).select("_row.*")
