@@ -22,6 +22,8 @@ from .common import id_crc32
 #: Bounds of the fit: documents and bytes of each language, and languages. The dictionaries are at most
 #: LANGUAGES * DICT_BYTES bytes, whatever the size of the table.
 DOCS_PER_LANG, BYTES_PER_DOC, DICT_BYTES, LANGUAGES = 400, 2048, 1 << 18, 256
+#: How many times as many rows as needed lie under the bound that the scan keeps.
+SPARE = 4
 #: First pass, and the pass that decides where the first one is close: a finer parse of the same dictionary.
 LEVEL, FINE_LEVEL, CLOSE = 1, 12, 0.03
 #: Bytes of the dictionary's end that are used.
@@ -43,20 +45,27 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     """One raw-content dictionary for each language of the training rows, the most frequent language first.
 
     The sample is the ``DOCS_PER_LANG`` rows of each language with the least
-    hash of their id; each gives at most ``BYTES_PER_DOC`` characters. Spark
-    keeps that many rows of a language in each task before the shuffle, so a
-    language that holds most rows costs no more than others.
+    hash; each gives at most ``BYTES_PER_DOC`` characters. Rows whose hash lies
+    over a bound are left out in the scan. The bound follows from the language's
+    row count such that some ``SPARE`` times as many rows as needed pass, however
+    many tasks or rows there are. A language whose rows all lie over its bound,
+    which takes rows that repeat, gives the row with its least hash.
     """
-    rows = df.where(train).where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).select(
-        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), F.substring(text_col, 1, BYTES_PER_DOC).alias("data"))
-    counts = df.where(train).where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("rows"))
-    first = Window.partitionBy("lang").orderBy("h", "id", "data")
-    kept = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= DOCS_PER_LANG)
-    docs = kept.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "data"))).alias("docs"))
-    found = docs.join(counts, "lang").orderBy(F.desc("rows"), "lang").limit(LANGUAGES + 1).collect()
-    if len(found) > LANGUAGES:
+    spark, labelled = df.sparkSession, F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    named = df.where(train).where(labelled).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(id_col).alias("id"),
+        F.substring(text_col, 1, BYTES_PER_DOC).alias("data"))
+    counts = named.groupBy("lang").agg(F.count("*").alias("rows"), F.min("h").alias("least")).limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    return {r["lang"]: b" ".join(plain(d["data"]) for d in r["docs"])[-DICT_BYTES:] for r in found}
+    order = sorted(counts, key=lambda r: (-r["rows"], r["lang"]))
+    bounds = [(r["lang"], max(r["least"], min(2**63 - 1, 2**64 * SPARE * DOCS_PER_LANG // r["rows"] - 2**63))) for r in order]
+    near = named.join(F.broadcast(spark.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound")  # at most LANGUAGES rows
+    first = Window.partitionBy("lang").orderBy("h", "id", "data")
+    kept = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= DOCS_PER_LANG)
+    found = kept.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "data"))).alias("docs")).collect()
+    docs = {r["lang"]: r["docs"] for r in found}
+    return {r["lang"]: b" ".join(plain(d["data"]) for d in docs[r["lang"]])[-DICT_BYTES:] for r in order}
 
 
 class Packer:
