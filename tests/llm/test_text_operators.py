@@ -141,6 +141,17 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.rejected for r in found) > 0.97 * docs.count()
 
 
+def test_language_sample_below_a_bound(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    monkeypatch.setattr(langid, "DOCS_PER_LANG", 10)
+    bounded = langid.fit(docs, langid.training_rows())
+    monkeypatch.setattr(langid, "SPARE", 1 << 40)  # every row passes
+    assert langid.fit(docs, langid.training_rows()) == bounded and len(bounded) == 4
+    monkeypatch.setattr(langid, "SPARE", 1)
+    same = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit("le chat dort").alias("text"), F.lit("fr").alias("lang"))
+    assert langid.fit(same, F.lit(True)) == {"fr": b" ".join([b"le chat dort"] * 10)}
+
+
 def test_budgets_share_and_cap():
     got = mixing.budgets([("a", 10), ("b", 100), (None, 100), ("c", 0)])
     assert got["c"] == 0 and got["a"] <= 30 and math.isclose(sum(got.values()), 210)
