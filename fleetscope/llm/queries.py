@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lm, mixing, simhash, substring, suffix, tokens, topk
+from . import ann, bpe, langid, lm, merkle, mixing, simhash, substring, suffix, tokens, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -66,9 +66,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.without_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_exact_top_k, op2_source_mix, op3_bpe_roundtrip, op4_lm_score, op5_simhash_dedup, op6_nearest_neighbours,
-    op7_substring_dedup, op8_token_counts, op9_language_id, op10_suffix_dedup)}
+    op7_substring_dedup, op8_token_counts, op9_language_id, op10_suffix_dedup, op11_merkle_manifest)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": """
@@ -84,4 +88,56 @@ ORACLE: dict[str, str] = {
         ranked as (
             select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
         select query_id, rank, vec_id, score from ranked where rank <= 10""",
+    "op11_merkle_manifest": """
+        with recursive leaves as (
+            select *, row_number() over (order by g, idx) as rid from (
+                select doc_id, g, leaf, changed, bits % 3 = 0 and doc_id is not null as touched,
+                  row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as idx
+                from (
+                    select doc_id, coalesce('=' || lang, '') as g,
+                      sha256(start || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+                      sha256(start || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) as changed,
+                      xor(list_reduce(list_concat([4294967295::ubigint], flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''),
+                          lambda c: [ord(c)::ubigint, 0, 0, 0, 0, 0, 0, 0]))),
+                        lambda crc, byte: case when xor(crc, byte) & 1 = 1 then xor(xor(crc, byte) >> 1, 3988292384::ubigint) else xor(crc, byte) >> 1 end),
+                        4294967295::ubigint) as bits
+                    from (select *, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as start
+                          from documents)))),
+        nodes as (
+            select 0 as level, g, idx, leaf as h from leaves
+            union all
+            select level + 1, g, idx // 8, sha256(string_agg(h, '' order by idx))
+            from (select *, count(*) over (partition by g) as n from nodes) where n > 1 group by level, g, idx // 8),
+        subroots as (select g, h, row_number() over (order by g) - 1 as idx from (select g, arg_max(h, level) as h from nodes group by g)),
+        over_ as (
+            select 0 as level, idx, h from subroots
+            union all
+            select level + 1, idx // 8, sha256(string_agg(h, '' order by idx))
+            from (select *, count(*) over () as n from over_) where n > 1 group by level, idx // 8),
+        kids as (
+            select level, g, idx // 8 as run, list(h order by idx) as k
+            from (select *, count(*) over (partition by level, g) as n from nodes) where n > 1 group by level, g, idx // 8),
+        over_kids as (
+            select level, idx // 8 as run, list(h order by idx) as k
+            from (select *, count(*) over (partition by level) as n from over_) where n > 1 group by level, idx // 8),
+        up as (
+            select rid, g, 0 as level, idx, case when touched then changed else leaf end as h, '' as proof from leaves
+            union all
+            select u.rid, u.g, u.level + 1, u.idx // 8,
+              sha256(array_to_string(k[1:u.idx % 8], '') || u.h || array_to_string(k[u.idx % 8 + 2:], '')),
+              u.proof || array_to_string(k[1:u.idx % 8], '') || array_to_string(k[u.idx % 8 + 2:], '')
+            from up u join kids on kids.g = u.g and kids.level = u.level and kids.run = u.idx // 8),
+        top as (
+            select l.rid, 0 as level, s.idx, l.h, l.proof
+            from (select rid, g, arg_max(h, level) as h, arg_max(proof, level) as proof from up group by rid, g) l join subroots s using (g)
+            union all
+            select t.rid, t.level + 1, t.idx // 8,
+              sha256(array_to_string(k[1:t.idx % 8], '') || t.h || array_to_string(k[t.idx % 8 + 2:], '')),
+              t.proof || array_to_string(k[1:t.idx % 8], '') || array_to_string(k[t.idx % 8 + 2:], '')
+            from top t join over_kids on over_kids.level = t.level and over_kids.run = t.idx // 8),
+        root as (select arg_max(h, level) as root from over_),
+        ends as (select rid, arg_max(h, level) as folded_root, arg_max(proof, level) as proof from top group by rid)
+        select l.doc_id, l.leaf, s.h as subroot, root.root, sha256(proof) as proof_sha256, folded_root, folded_root = root.root as verified
+        from leaves l join ends using (rid) join subroots s using (g), root""",
 }
