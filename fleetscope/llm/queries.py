@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lm, merkle, mixing, simhash, substring, suffix, tokens, topk
+from . import ann, bpe, divergence, fingerprints, langid, lm, merkle, mixing, simhash, substring, suffix, tokens, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -70,9 +70,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_exact_top_k, op2_source_mix, op3_bpe_roundtrip, op4_lm_score, op5_simhash_dedup, op6_nearest_neighbours,
-    op7_substring_dedup, op8_token_counts, op9_language_id, op10_suffix_dedup, op11_merkle_manifest)}
+    op7_substring_dedup, op8_token_counts, op9_language_id, op10_suffix_dedup, op11_merkle_manifest, op12_source_divergence,
+    op13_document_fingerprints)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": """
@@ -140,4 +149,34 @@ ORACLE: dict[str, str] = {
         ends as (select rid, arg_max(h, level) as folded_root, arg_max(proof, level) as proof from top group by rid)
         select l.doc_id, l.leaf, s.h as subroot, root.root, sha256(proof) as proof_sha256, folded_root, folded_root = root.root as verified
         from leaves l join ends using (rid) join subroots s using (g), root""",
+    "op12_source_divergence": """
+        with words as (
+            select doc_id, rid, lang, source, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+            from (select doc_id, row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents)),
+        kept as (select lang, term from words group by lang, term having count(distinct rid) >= 30),
+        v as (select lang, count(*) as v from kept group by lang),
+        groups as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+        held as (select w.lang, w.source, w.term, count(*) as c from words w join kept using (lang, term) group by all),
+        cells as (select g.lang, g.source, k.term, coalesce(h.c, 0) as c from groups g join kept k using (lang) left join held h using (lang, source, term)),
+        total as (select lang, source, sum(c) as n from cells group by all),
+        p as (
+            select lang, source, term, c, cast(1 + cast(1000000000 as hugeint) * (c + 5) // (n + 5 * v) as bigint) as p
+            from cells join total using (lang, source) join v using (lang)),
+        whole as (select lang, term, sum(c) as c from cells group by all),
+        q as (
+            select lang, term, cast(1 + cast(1000000000 as hugeint) * (c + 5) // (n + 5 * v) as bigint) as q
+            from whole join (select lang, sum(c) as n from whole group by lang) using (lang) join v using (lang)),
+        pair as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(d.value, 0) as value
+            from groups a join groups b on a.lang = b.lang and a.source <> b.source
+            left join (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+                       from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) d
+              on d.lang = a.lang and d.source = a.source and d.item = b.source),
+        term as (select lang, source, 'term' as part, term as item, p - q as value from p join q using (lang, term) where c > 0 and p > q),
+        ranked as (
+            select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+            from (select * from pair union all select * from term))
+        select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+        from ranked where part = 'pair' or rank <= 50""",
 }
