@@ -3,9 +3,10 @@
 ``CountVectorizer`` takes terms that carry their language, so that one fit
 keeps, for each language, the terms in enough of its documents. Its vocabulary
 passes through the driver and goes to every worker; so terms are dealt to
-rounds by hash, with at most about ``VOCABULARY`` distinct terms each (counted
-beforehand by a sketch), and every round has its own fit. However large the
-vocabulary, none of it is left out and no round's share grows.
+rounds by hash, with about ``VOCABULARY`` kept terms each at most (estimated
+beforehand from a share of all terms), and every round has its own fit. However
+large the vocabulary, none of it is left out and no round's share grows. Texts are
+cut into terms once, into a written table that all rounds read.
 
 The sparse vectors of a task's documents are summed by (language, source) before
 they leave it. Sources of a language are compared on the terms that at least
@@ -27,26 +28,40 @@ from ..functions.ordered import top_per_key
 from .common import saved, shuffle_parts
 
 LEAST_DOCS, TOP = 30, 50
-#: A term is what lies between runs of these; ASCII letters count as lower-case.
-BREAKS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term is a run of letters and of bytes from 0x80 on; all else becomes a space, and ASCII letters lower-case.
+TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: What stands between language and term; no term holds it.
 MARK = "\x00"
-#: Distinct terms of a round, before rare ones go, and the largest vocabulary that Spark's parameter allows.
-VOCABULARY, NO_LIMIT = 1 << 20, (1 << 31) - 1
+#: Kept terms of a round, the share of all terms that tells how many there are, and the largest vocabulary that Spark's parameter allows.
+VOCABULARY, SHARE, NO_LIMIT = 1 << 20, 16, (1 << 31) - 1
+#: Terms that leave a task together.
+SEND = 1 << 17
 #: Entries that a task sums at a time, and cells of the matrix in which it compares sources.
 ENTRIES, CELLS = 1 << 21, 1 << 21
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
-def terms(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BREAKS), "")
+def split_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, terms): all terms of each text in order, each led by its language and the mark."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string()))])
+    for batch in batches:
+        begin, words, ends = 0, [], [0]
+        for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+            lead = (lang + MARK).encode()
+            words += [lead + w for w in text.as_buffer().to_pybytes().translate(TABLE).split()]
+            ends.append(len(words))
+            if len(words) >= SEND or i == batch.num_rows - 1:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), batch.column(1).slice(begin, i + 1 - begin), lists], schema=schema)
+                begin, words, ends = i + 1, [], [0]
 
 
-def rounds_of(docs: DataFrame, most: int) -> int:
-    """How many shares of the terms hold at most about ``most`` distinct ones each."""
-    found = docs.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t")).first()[0]
-    return max(1, -(-found // most))
+def rounds_of(docs: DataFrame, least_docs: int, most: int) -> int:
+    """How many shares of the terms hold about ``most`` kept ones each, judged by one in ``SHARE``."""
+    some = docs.select(F.explode("terms").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SHARE)) == 0)
+    # Occurrences stand for documents here: never too few, and nothing but counts is shuffled.
+    kept = some.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).count() * SHARE
+    return max(1, -(-kept // most))
 
 
 def summed_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,10 +102,10 @@ def counted(docs: DataFrame, least_docs: int, most: int) -> tuple[DataFrame, Dat
     """(g, source, term, count) of all kept terms, and (term, text), where a term's number holds for one language."""
     spark = docs.sparkSession
     shares, texts = [], []
-    rounds = rounds_of(docs, most)
+    rounds = rounds_of(docs, least_docs, most)
     for r in range(rounds):
         own = docs if rounds == 1 else docs.withColumn(
-            "terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(rounds)) == r))
+            "terms", F.filter("terms", lambda t: F.pmod(F.shiftright(F.xxhash64(t), 16), F.lit(rounds)) == r))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=least_docs, vocabSize=NO_LIMIT).fit(own)
         number = F.col("term") * rounds + r
         if model.vocabulary:
@@ -107,7 +122,7 @@ def counted(docs: DataFrame, least_docs: int, most: int) -> tuple[DataFrame, Dat
     # The language ends at the last mark.
     item = F.substring_index("text", MARK, -1)
     names = names.select("term", item.alias("item"), F.col("text").substr(F.lit(1), F.length("text") - F.length(item) - 1).alias("lang"))
-    return saved(rows, "divergence-counts"), saved(names, "divergence-terms")
+    return saved(rows, "divergence-counts"), saved(names, "divergence-names")
 
 
 def chance(count: Column, total: Column, kept: Column) -> Column:
@@ -194,12 +209,12 @@ def audit(df: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, vocabular
     spark = df.sparkSession
     blank = F.lit("")
     texts = df.select(*[F.coalesce(F.col(c).cast("string"), blank).alias(c) for c in ("lang", "source", "text")])
-    docs = texts.select("lang", "source", F.transform(terms(F.col("text")), lambda t: F.concat(F.col("lang"), F.lit(MARK), t)).alias("terms"))
+    docs = saved(texts.mapInArrow(split_terms, "lang string, source string, terms array<string>"), "divergence-terms")
     counts, names = counted(docs, least_docs, vocabulary)
 
     kept = names.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("has"))
-    every = texts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept, "lang", "left").select(
+    every = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kept, "lang", "left").select(
         "lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("has", F.lit(0)).alias("has"), F.coalesce("v", F.lit(0)).alias("v"),
         (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("code"))
     groups = saved(every, "divergence-groups")

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import string
 
 import pytest
 
@@ -10,7 +11,7 @@ from fleetscope.llm import divergence, queries
 from tests.llm.test_text_operators import frame, fuzz
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-A_TO_Z = str.maketrans(divergence.UPPER, divergence.LOWER)
+A_TO_Z = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def plain(rows, least, top=50):
