@@ -32,6 +32,10 @@ select {NODE} as node_id, event_id,
   case when event_id % 50 = 7 then 'not json' when event_id % 50 = 8 then '' else props end as payload,
   case when event_id % 100 = 3 then 1 else 0 end as probe_error, ts
 from events""",
+    # Event ids are a node's own: here two nodes share some.
+    "shared_telemetry": f"""
+select {NODE} as node_id, event_id, {CLASS} as event_type, props as payload, ts from events
+union all select ({NODE} + 1) % 20, event_id, {CLASS}, props, ts from events where event_id % 6 = 0""",
     "acks": """
 select event_id as sequence_no, 1 as ack_no, ts as acked_at from events where event_id % 10 <> 4
 union all select event_id, 2, ts from events where event_id % 30 = 5""",
@@ -151,10 +155,10 @@ select * from (values
 select * from (values
   ('T1059.004', 'Execution', 'Unix Shell'), ('T1071', 'Command and Control', 'Application Layer Protocol'),
   ('T1565', 'Impact', 'Data Manipulation')) as t(technique_id, tactic, technique_name)""",
-    "alert_actions": """
-select event_id as action_id, md5(cast(event_id - event_id % 3 as string) || ':' || case event_id % 4 when 0 then 'r1' when 1 then 'r2' when 2 then 'r3' else 'r4' end) as alert_id,
-  case event_id % 5 when 0 then 'dismissed' when 1 then 'open' else 'acknowledged' end as new_status, ts as acted_at
-from events""",
+    "alert_actions": f"""
+select a.event_id as action_id, md5(cast(e.node_id as string) || ':' || cast(e.event_id as string) || ':' || case a.event_id % 4 when 0 then 'r1' when 1 then 'r2' when 2 then 'r3' else 'r4' end) as alert_id,
+  case a.event_id % 5 when 0 then 'dismissed' when 1 then 'open' else 'acknowledged' end as new_status, a.ts as acted_at
+from (select * from events) a join (select event_id, {NODE} as node_id from events) e on e.event_id = a.event_id - a.event_id % 3""",
     "watched": f"""
 select {NODE} as node_id, event_id, (case event_id % 12 when 0 then '/usr/bin/p' when 1 then '/etc/conf' when 2 then '/etc/udev/rules.d/r'
   when 3 then '/home/ann/.ssh/k' when 4 then '/home/ann/x/.ssh/k' when 5 then '/tmp/ssh-' when 6 then '/tmp/a/b' when 7 then '/etc/cron.d/c'
@@ -170,7 +174,7 @@ from events""",
 FILE_DIR = "(case event_id % 4 when 0 then '/usr/bin' when 1 then '/tmp' when 2 then '/opt/bin' else '/etc' end)"
 FILE_PATH = f"{FILE_DIR} || '/f' || cast(event_id as string)"
 EPOCH = "1704067200 + event_id * 259"
-LOGIN_UID = "case when user_id % 30 = 0 then 0 else 900 + user_id end"
+LOGIN_UID = "case when user_id % 30 = 0 then 0 else 990 + user_id end"
 
 # Columns whose values matter to a filter or join; the others are filled by rule.
 SPECIAL = {
@@ -197,10 +201,10 @@ SPECIAL = {
     ("file", "path"): FILE_PATH,
     ("file", "writable"): "event_id % 3 % 2",
     ("file", "type"): "case when event_id % 2 = 0 then 'directory' else 'regular' end",
-    ("file", "mtime"): EPOCH,
+    ("file", "mtime"): f"case when event_id = 77 then 4070908800 else {EPOCH} end",
     ("file", "atime"): f"{EPOCH} + 5",
     ("suid_bin", "path"): FILE_PATH,
-    ("last", "time"): EPOCH,
+    ("last", "time"): f"case when event_id = 77 then 4070908800 else {EPOCH} end",
     ("kernel_modules", "name"): "'mod_' || cast(event_id % 40 as string)",
     ("kernel_modules", "status"): "case when event_id % 13 = 0 then 'Loading' when event_id % 29 = 0 then cast(null as string) else 'Live' end",
     ("process_open_sockets", "family"): "case event_id % 3 when 0 then 1 when 1 then 2 else 10 end",
@@ -221,7 +225,6 @@ SPECIAL = {
     ("user_ssh_keys", "encrypted"): "event_id % 2",
     ("shadow", "password_status"): "case event_id % 6 when 0 then 'NP' else 'active' end",
 }
-FILTERED = {"listening_ports": "where event_id % 2 = 0"}
 PER_USER = {"users"}
 
 
@@ -237,7 +240,7 @@ def _filled(table: str, column: str, kind: str) -> str:
 
 def host_table_sql(table: str, columns: dict[str, str], quote: str) -> str:
     cols = [f"{SPECIAL.get((table, c)) or _filled(table, c, k)} as {quote}{c}{quote}" for c, k in columns.items()]
-    return f"select {'distinct ' if table in PER_USER else ''}{NODE} as node_id, {', '.join(cols)} from events {FILTERED.get(table, '')}"
+    return f"select {'distinct ' if table in PER_USER else ''}{NODE} as node_id, {', '.join(cols)} from events"
 
 
 HOST_TABLES = host_tables()

@@ -23,27 +23,42 @@ def compile_rules(conditions: DataFrame) -> DataFrame:
 
     ``conditions``: rule_id, event_type, field, pattern, mode (contains / regex),
     severity, confidence, technique_id, and need: ``any``, ``all`` or a number.
+    A rule that can't work as written stops the job with its name;
+    ``rejected_rules`` lists all of them beforehand.
     """
-    rules = conditions.groupBy("event_type", "rule_id").agg(
-        *[F.first(c).alias(c) for c in RULE_COLUMNS[1:]], F.first("need").alias("need"), F.count(F.lit(1)).alias("of"),
+    agreed = F.lit(True)
+    for c in ("severity", "confidence", "need"):
+        agreed = agreed & F.min(c).eqNullSafe(F.max(c))
+    rules = conditions.withColumn("__fault", condition_fault()).groupBy("event_type", "rule_id").agg(
+        *[F.min(c).alias(c) for c in RULE_COLUMNS[1:]], F.min("need").alias("need"), F.count(F.lit(1)).alias("of"),
+        F.coalesce(F.min("__fault"), F.when(~agreed, DISAGREE)).alias("wrong"),
         F.collect_list(F.struct("field", "pattern", "mode")).alias("tests"))
     need = F.when(F.col("need") == "all", F.col("of")).when(F.col("need") == "any", F.lit(1)).otherwise(
         F.expr("try_cast(need as bigint)"))
+    wrong = F.concat(F.lit("rule "), F.coalesce("rule_id", F.lit("without an id")), F.lit(": "), F.col("wrong"))
+    checked = F.when(F.col("wrong").isNotNull(), F.raise_error(wrong).cast("bigint")).otherwise(need)
     return rules.groupBy("event_type").agg(
-        F.collect_list(F.struct(*RULE_COLUMNS, need.alias("need"), "tests")).alias("__rules"))
+        F.collect_list(F.struct(*RULE_COLUMNS, checked.alias("need"), "tests")).alias("__rules"))
 
 
-def rejected_rules(conditions: DataFrame) -> DataFrame:
-    """Rules that can't work as written, with the reason: (rule_id, reason). An empty result means all are sound."""
+def condition_fault() -> Column:
+    """Why a condition can't work as written; NULL if it can."""
     number = F.expr("try_cast(need as bigint)")
-    checked = conditions.select("rule_id", "severity", "confidence", "need", F.when(
-        F.col("need").isNull() | (~F.col("need").isin("any", "all") & F.coalesce(number < 1, F.lit(True))), "need is not any, all or a number from 1").when(
+    return F.when(F.col("need").isNull() | (~F.col("need").isin("any", "all") & F.coalesce(number < 1, F.lit(True))), "need is not any, all or a number from 1").when(
         F.col("mode").isNull() | ~F.col("mode").isin("contains", "regex"), "mode is not contains or regex").when(
-        F.col("severity").isNull() | ~F.col("severity").isin(*SEVERITIES), "unknown severity").alias("reason"))
+        F.col("severity").isNull() | ~F.col("severity").isin(*SEVERITIES), "unknown severity")
+
+
+DISAGREE = "conditions of the rule disagree"
+
+
+def rejected_rules(conditions: DataFrame) -> DataFrame:
+    """Rules that can't work as written, with the reason: (rule_id, reason). An empty result means all are sound."""
+    checked = conditions.select("rule_id", "severity", "confidence", "need", condition_fault().alias("reason"))
     wrong = checked.filter(F.col("reason").isNotNull()).select("rule_id", "reason")
     same = checked.groupBy("rule_id").agg(*[F.count_distinct(c).alias(c) for c in ("severity", "confidence", "need")])
     return wrong.union(same.filter("severity > 1 or confidence > 1 or need > 1").select(
-        "rule_id", F.lit("conditions of the rule disagree").alias("reason"))).distinct()
+        "rule_id", F.lit(DISAGREE).alias("reason"))).distinct()
 
 
 def _field_value(field: Column, text: str) -> Column:
@@ -58,8 +73,7 @@ def match_rules(events: DataFrame, conditions: DataFrame, text: str = "payload")
     Each event meets the list of rules of its type, once, and only hits become
     rows: events are neither multiplied by rules nor, while Spark can broadcast
     the rule table, shuffled. Above that size AQE splits the busy types. Rules
-    without an event type apply to all. ``rejected_rules`` names those that can
-    never fire.
+    without an event type apply to all.
     """
     def holds(t: Column) -> Column:
         value = _field_value(t["field"], text)
@@ -109,17 +123,22 @@ def threat_score(matches: DataFrame, out: str = "threat_score") -> DataFrame:
     return matches.withColumn(out, F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)), 2))
 
 
+def alert_id() -> Column:
+    """A hash of node, event and rule: event ids are a node's own, so the node belongs to it."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("node_id").cast("string"), F.lit("")), F.col("event_id").cast("string"), "rule_id"))
+
+
 def build_alerts(matches: DataFrame, source: str = "rule_engine") -> DataFrame:
     """Alerts from matches that carry event_id, node_id, rule_id, tactic and technique_name.
 
-    The id is a hash of event and rule: a rerun gives the same alert.
+    The id is a hash of node, event and rule: a rerun gives the same alert.
     """
     scored = threat_score(matches)
     host = F.col("hostname") if "hostname" in matches.columns else F.lit(None).cast("string")
     ns = F.col("timestamp_ns") if "timestamp_ns" in matches.columns else \
         F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     return scored.select(
-        F.md5(F.concat_ws(":", F.col("event_id").cast("string"), "rule_id")).alias("id"),
+        alert_id().alias("id"),
         "node_id", host.alias("hostname"), ns.alias("timestamp_ns"), "severity", F.lit(source).alias("source"),
         F.col("technique_id").alias("mitre_technique_id"), F.col("tactic").alias("mitre_tactic"),
         F.concat_ws(": ", "rule_id", "technique_name").alias("description"),
@@ -127,7 +146,7 @@ def build_alerts(matches: DataFrame, source: str = "rule_engine") -> DataFrame:
 
 
 def dedup_alerts(alerts: DataFrame) -> DataFrame:
-    """One alert per event and rule (both are in the id)."""
+    """One alert per node, event and rule (all are in the id)."""
     return alerts.dropDuplicates(["id"])
 
 

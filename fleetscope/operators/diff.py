@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetscope.functions.rowkey import row_json
 
@@ -56,29 +56,38 @@ def differential(executions: DataFrame, rows: DataFrame, keys: Sequence[str] = K
 
     A row was added where the run before did not have it, and removed at the
     run after its last sighting. Both are read off neighbouring sightings of
-    the same row, so the shuffle key is (node, query, row) and no run is joined
-    to the next one.
+    the same row, so rows are shuffled once, by (node, query) and a hash of the
+    row, and no run is joined to the next one. Runs join before that; they are one row each.
     """
     groups = [*keys, *([session] if session else [])]
     good = successful_runs(executions, status) if status else executions
     runs = _neighbours(good, groups, run)
-    marked = rows.select(*groups, run, row)
-
-    first = runs.filter(F.col("__prev_run").isNull()).select(*groups, run)
-    snapshot = marked.join(first, [*groups, run], "left_semi").select(
-        *groups, run, row, F.lit("SNAPSHOT").alias("action"))
-
-    sightings = marked.distinct().join(runs, [*groups, run])
-    w = Window.partitionBy(*groups, row).orderBy(run)
-    seen = (sightings.withColumn("__seen_before", F.lag(run).over(w))
-                     .withColumn("__seen_after", F.lead(run).over(w)))
+    sightings = rows.select(*groups, run, row).join(runs, [*groups, run]).withColumn("__h", F.xxhash64(row))
+    once = sightings.repartition(*groups, "__h").groupBy(*groups, "__h", row, run, "__prev_run", "__next_run").agg(
+        F.count(F.lit(1)).cast("int").alias("__n"))
+    w = Window.partitionBy(*groups, "__h", row).orderBy(run)
+    seen = (once.withColumn("__seen_before", F.lag(run).over(w))
+                .withColumn("__seen_after", F.lead(run).over(w)))
     is_new = F.col("__prev_run").isNotNull() & ~F.col("__seen_before").eqNullSafe(F.col("__prev_run"))
     is_gone = F.col("__next_run").isNotNull() & ~F.col("__seen_after").eqNullSafe(F.col("__next_run"))
-    changes = seen.select(*groups, row, F.explode(F.array_compact(F.array(
-        F.when(is_new, F.struct(F.col(run).alias("run"), F.lit("ADDED").alias("action"))),
-        F.when(is_gone, F.struct(F.col("__next_run").alias("run"), F.lit("REMOVED").alias("action"))),
-    ))).alias("__c")).select(*groups, F.col("__c.run").alias(run), row, F.col("__c.action").alias("action"))
-    return snapshot.unionByName(changes)
+
+    def change(at: str, action: str) -> Column:
+        return F.struct(F.col(at).alias("run"), F.lit(action).alias("action"))
+
+    came = F.when(F.col("__prev_run").isNull(), F.array_repeat(change(run, "SNAPSHOT"), F.col("__n"))).when(
+        is_new, F.array(change(run, "ADDED")))
+    went = F.when(is_gone, F.array(change("__next_run", "REMOVED")))
+    none = F.array().cast(f"array<struct<run:{rows.schema[run].dataType.simpleString()},action:string>>")
+    return seen.select(*groups, row, F.explode(F.concat(F.coalesce(came, none), F.coalesce(went, none))).alias("__c")).select(
+        *groups, F.col("__c.run").alias(run), row, F.col("__c.action").alias("action"))
+
+
+def snapshot_runs(executions: DataFrame, keys: Sequence[str] = KEYS, run: str = "execution_no", session: str | None = None,
+                  status: str | None = "status_code") -> DataFrame:
+    """(keys, run) of the runs that ``differential`` reports as SNAPSHOT, also those without rows: the first of each session."""
+    good = successful_runs(executions, status) if status else executions
+    groups = [*keys, *([session] if session else [])]
+    return good.groupBy(*groups).agg(F.min(run).alias(run)).select(*keys, run)
 
 
 def snapshots(executions: DataFrame, rows: DataFrame, keys: Sequence[str] = KEYS, run: str = "execution_no",
@@ -100,8 +109,10 @@ def state_as_of(diffs: DataFrame, t, keys: Sequence[str] = KEYS, run: str = "exe
     """The rows a query would return at ``t``: replay of the history since the last SNAPSHOT.
 
     A history whose first SNAPSHOT had no rows starts from nothing.
-    ``snapshot_runs`` (keys and run) names the SNAPSHOT runs; needed only where a
-    later one had no rows, and read off ``diffs`` otherwise.
+    ``snapshot_runs`` (keys and run, see the function of that name) names the
+    SNAPSHOT runs; without it they are read off ``diffs``, which is then
+    evaluated twice and knows nothing of later ones without rows. ``sources.validity``
+    keeps histories in a form that needs no replay.
     """
     past = diffs.filter(F.col(run) <= F.lit(t))
     starts = past.filter(F.col("action") == "SNAPSHOT") if snapshot_runs is None else \

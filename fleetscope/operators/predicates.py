@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetscope.functions.ordered import lag_in_slots, time_slot
 from fleetscope.functions.text import matches_any
@@ -37,40 +37,57 @@ def like_any(col: Column, patterns: Sequence[str], ignore_case: bool = False) ->
     return out
 
 
+def like(col: str, patterns: Sequence[str], negate: bool = False, ignore_case: bool = False) -> Column:
+    """Whether a column matches any pattern (or none of them). NULL gives NULL."""
+    hit = like_any(F.col(col), patterns, ignore_case)
+    return ~hit if negate else hit
+
+
+def one_of(col: str, values: Sequence, negate: bool = False) -> Column:
+    """``IN`` / ``NOT IN`` over a literal list."""
+    hit = F.col(col).isin(list(values))
+    return ~hit if negate else hit
+
+
+def equals(values: Mapping[str, object]) -> Column:
+    """Whether every named column has the given value."""
+    out = F.lit(True)
+    for name, value in values.items():
+        out = out & (F.col(name) == F.lit(value))
+    return out
+
+
+def recent(ts: str, seconds: int, as_of) -> Column:
+    """Whether a time is less than ``seconds`` before ``as_of``: epoch seconds against a number, timestamps against anything else."""
+    if as_of is None:
+        raise ValueError("as_of is needed: the newest time in the data may come from a host whose clock runs ahead")
+    age = F.lit(seconds) if isinstance(as_of, (int, float)) else F.make_dt_interval(secs=F.lit(seconds))
+    return F.col(ts) > F.lit(as_of) - age
+
+
 def filter_like(df: DataFrame, col: str, patterns: Sequence[str], negate: bool = False,
                 ignore_case: bool = False) -> DataFrame:
     """Rows whose column matches any pattern (or none of them). NULL never passes."""
-    hit = like_any(F.col(col), patterns, ignore_case)
-    return df.filter(~hit if negate else hit)
+    return df.filter(like(col, patterns, negate, ignore_case))
 
 
 def filter_in(df: DataFrame, col: str, values: Sequence, negate: bool = False) -> DataFrame:
     """``IN`` / ``NOT IN`` over a literal list; NULL never passes."""
-    hit = F.col(col).isin(list(values))
-    return df.filter(~hit if negate else hit)
+    return df.filter(one_of(col, values, negate))
 
 
 def filter_eq(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     """Rows equal to the given value in every named column."""
-    for name, value in values.items():
-        df = df.filter(F.col(name) == F.lit(value))
-    return df
-
-
-def latest_time(df: DataFrame, ts: str) -> Column:
-    """Newest time in the data, as a scalar subquery (one value, read from one column)."""
-    return df.agg(F.max(ts)).scalar()
+    return df.filter(equals(values))
 
 
-def filter_recent(df: DataFrame, ts: str, seconds: int, as_of=None) -> DataFrame:
-    """Rows younger than ``seconds`` at ``as_of``; the newest time in the data if not given.
+def filter_recent(df: DataFrame, ts: str, seconds: int, as_of) -> DataFrame:
+    """Rows younger than ``seconds`` at ``as_of``, which the caller gives, as for retention.
 
-    ``ts`` is a timestamp, or epoch seconds as host tables have them.
+    ``ts`` is a timestamp, or epoch seconds as host tables have them (``as_of`` is
+    a number then).
     """
-    ref = latest_time(df, ts) if as_of is None else F.lit(as_of)
-    epoch = isinstance(df.schema[ts].dataType, T.NumericType)
-    age = F.lit(seconds) if epoch else F.make_dt_interval(secs=F.lit(seconds))
-    return df.filter(F.col(ts) > ref - age)
+    return df.filter(recent(ts, seconds, as_of))
 
 
 def with_total_cpu(df: DataFrame, out: str = "total_cpu_time") -> DataFrame:

@@ -74,6 +74,24 @@ def query_cost(df: DataFrame, n: int | None = 10) -> DataFrame:
     return ordered.limit(n) if n else ordered
 
 
+def window_counts(df: DataFrame, window: str = "1 day", keys: Sequence[str] = ("node_id", "event_type"), ts: str = "ts") -> DataFrame:
+    """Events per (node, name, window): all that a baseline needs of them."""
+    counts = df.groupBy(*keys, F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("events"))
+    return counts.select(*keys, F.col("w.start").alias("window_start"), "events")
+
+
+def anomalies_of(counts: DataFrame, history: int = 7, k: float = 2.0, keys: Sequence[str] = ("node_id", "event_type")) -> DataFrame:
+    """Windows whose count is ``k`` deviations above the trailing mean, from counts as ``window_counts`` gives them."""
+    w = Window.partitionBy(*keys).orderBy("window_start").rowsBetween(-history, -1)
+    stats = (counts.withColumn("__n", F.count("events").over(w))
+                   .withColumn("__mean", F.avg("events").over(w))
+                   .withColumn("__spread", F.stddev_samp("events").over(w)))
+    spread = F.nanvl(F.col("__spread"), F.lit(0.0))
+    scored = stats.filter(F.col("__n") >= 3).withColumn("z_score", F.round(F.when(
+        spread > 0, (F.col("events") - F.col("__mean")) / spread), 6))
+    return scored.filter(F.col("z_score") >= k).select(*keys, "window_start", "events", "z_score")
+
+
 def frequency_anomalies(df: DataFrame, window: str = "1 day", history: int = 7, k: float = 2.0,
                         keys: Sequence[str] = ("node_id", "event_type"), ts: str = "ts") -> DataFrame:
     """Windows in which a (node, name) count is ``k`` deviations above its trailing mean.
@@ -81,17 +99,9 @@ def frequency_anomalies(df: DataFrame, window: str = "1 day", history: int = 7,
     Our own formula: z = (count - mean) / sample deviation over the up to
     ``history`` previous windows that hold events, at least three of them.
     Rows are counted first, so the ordered step sees one row per window.
+    ``sources.baseline`` keeps the counts, so that events need not be read again.
     """
-    counts = df.groupBy(*keys, F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    flat = counts.select(*keys, F.col("w.start").alias("window_start"), "events")
-    w = Window.partitionBy(*keys).orderBy("window_start").rowsBetween(-history, -1)
-    stats = (flat.withColumn("__n", F.count("events").over(w))
-                 .withColumn("__mean", F.avg("events").over(w))
-                 .withColumn("__spread", F.stddev_samp("events").over(w)))
-    spread = F.nanvl(F.col("__spread"), F.lit(0.0))
-    scored = stats.filter(F.col("__n") >= 3).withColumn("z_score", F.round(F.when(
-        spread > 0, (F.col("events") - F.col("__mean")) / spread), 6))
-    return scored.filter(F.col("z_score") >= k).select(*keys, "window_start", "events", "z_score")
+    return anomalies_of(window_counts(df, window, keys, ts), history, k, keys)
 
 
 def class_volume(df: DataFrame, topic: str = "topic", node: str = "node_id") -> DataFrame:

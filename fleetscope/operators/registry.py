@@ -46,7 +46,8 @@ def enroll(nodes: DataFrame | None, requests: DataFrame) -> tuple[DataFrame, Dat
     ``requests``: event_id, machine_id, hostname, os_version, agent_version,
     requested_at. Requests of a machine apply in (time, id) order. A new machine
     gets a node; a known one keeps id, status and first-seen time and takes over
-    the newest host data. Each request leaves one audit row.
+    the newest host data, unless what it has is newer (requests may arrive late).
+    Each request leaves one audit row.
     """
     order = F.struct("requested_at", "event_id")
     latest = requests.groupBy("machine_id").agg(
@@ -57,15 +58,19 @@ def enroll(nodes: DataFrame | None, requests: DataFrame) -> tuple[DataFrame, Dat
         merged = latest.select(
             "*", F.lit(False).alias("__known"),
             *[F.lit(None).cast("string").alias(f"__{c}") for c in ("node_id", "agent_status", "operator_status")],
-            F.lit(None).cast("timestamp_ntz").alias("__seen"))
+            F.lit(None).cast("timestamp_ntz").alias("__seen"), F.lit(None).cast("timestamp_ntz").alias("__last"),
+            F.col("__new").alias("__had"))
         untouched = None
     else:
         old = nodes.select("machine_id", *[F.col(c).alias(f"__{c}") for c in ("node_id", "agent_status", "operator_status")],
-                           F.col("first_seen_at").alias("__seen"), F.lit(True).alias("__old"))
+                           F.col("first_seen_at").alias("__seen"), F.col("last_enrolled_at").alias("__last"),
+                           F.struct("hostname", "os_version", "agent_version", F.col("last_enrolled_at").alias("requested_at")).alias("__had"),
+                           F.lit(True).alias("__old"))
         merged = latest.join(old, "machine_id", "left").withColumn("__known", F.coalesce("__old", F.lit(False))).drop("__old")
         untouched = nodes.join(latest.select("machine_id"), "machine_id", "left_anti").select(*NODE_COLUMNS)
     node = F.coalesce("__node_id", node_id_of(F.col("machine_id")))
-    state = merged.select(
+    newer = F.coalesce(F.col("__last") > F.col("__new.requested_at"), F.lit(False))
+    state = merged.withColumn("__new", F.when(newer, F.col("__had")).otherwise(F.col("__new"))).select(
         node.alias("node_id"), "machine_id", *[F.col(f"__new.{c}").alias(c) for c in ("hostname", "os_version", "agent_version")],
         F.coalesce("__agent_status", F.lit("healthy")).alias("agent_status"),
         F.coalesce("__operator_status", F.lit("active")).alias("operator_status"),
@@ -152,10 +157,12 @@ def has_id(df: DataFrame, key: str) -> Column:
 def dedup_events(df: DataFrame, key: str = "sequence_id", order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
     """One row per sequence id, the first by ``order``; time alone never makes a duplicate.
 
-    Rows without an id (NULL or blank) can't be told apart by it: all of them stay.
+    Rows without an id (NULL or blank) can't be told apart by it: all of them
+    stay. Each gets a number of its own beside the id, so the input is read
+    once and such rows don't meet in one task.
     """
-    named = has_id(df, key)
-    return first_per_key(df.filter(named), [key], [F.col(c) for c in order]).unionByName(df.filter(~named))
+    alone = F.when(~has_id(df, key), F.monotonically_increasing_id())
+    return first_per_key(df.withColumn("__alone", alone), [key, "__alone"], [F.col(c) for c in order]).drop("__alone")
 
 
 def apply_retention(df: DataFrame, as_of, retention: Mapping[str, int] | None = None, topic: str = "topic",

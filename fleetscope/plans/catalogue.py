@@ -12,7 +12,7 @@ import tomllib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetscope.operators import joins, predicates as P, topk
 from fleetscope.schemas import CATALOGUE
@@ -27,11 +27,23 @@ class HostQuery:
 
     name: str
     reads: Mapping[str, tuple[str, ...]]
-    build: Callable[[Tables], DataFrame]
+    build: Callable[[Tables, object], DataFrame]
     interval: int
     snapshot: bool = False
     removed: bool = True
     columns: tuple[str, ...] = ()
+    #: Of a plain projection: the condition on its one table, made from the clock of the run.
+    where: Callable[[object], Column] | None = None
+    #: What its rows are ordered by when it runs alone.
+    order: tuple = ()
+    #: Whether it compares times with the clock.
+    timed: bool = False
+
+    def run(self, tables: Tables, as_of=None) -> DataFrame:
+        """Its rows, in no order."""
+        if self.timed and as_of is None:
+            raise ValueError(f"{self.name} compares times with the clock: give as_of")
+        return self.build(tables, as_of)
 
 
 def _keys(df: DataFrame) -> list[str]:
@@ -42,26 +54,26 @@ def _project(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return P.inventory(df, cols, HOST_KEYS)
 
 
-def plain(name: str, table: str, cols: str, interval: int, where: Callable[[DataFrame], DataFrame] | None = None,
+def plain(name: str, table: str, cols: str, interval: int, where: Callable[[object], Column] | None = None,
           extra: str = "", **flags) -> HostQuery:
-    """Projection of one host table, after an optional filter on it (``extra``: columns only the filter reads)."""
+    """Projection of one host table, after an optional condition on it (``extra``: columns only the condition reads)."""
     names = tuple(cols.split())
 
-    def build(t: Tables) -> DataFrame:
+    def build(t: Tables, as_of) -> DataFrame:
         df = t[table]
-        return _project(where(df) if where else df, names)
+        return _project(df.filter(where(as_of)) if where else df, names)
 
     return HostQuery(name, {table: tuple(dict.fromkeys((*names, *extra.split())))}, build, interval,
-                     columns=names, **flags)
+                     columns=names, where=where, **flags)
 
 
 def _using(left: str, lcols: str, right: str, rcols: str, key: str, how: str = "inner",
-           where: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[Tables], DataFrame]:
+           where: Callable[[], Column] | None = None) -> Callable[[Tables, object], DataFrame]:
     """``left JOIN right USING (key)`` inside each host and run."""
-    def build(t: Tables) -> DataFrame:
+    def build(t: Tables, as_of=None) -> DataFrame:
         a, b = t[left], t[right]
         if where:
-            a = where(a)
+            a = a.filter(where())
         host = [k for k in _keys(a) if k in b.columns]
         a = a.select(*host, *dict.fromkeys((key, *lcols.split())))
         b = b.select(*host, *dict.fromkeys((key, *rcols.split())))
@@ -74,8 +86,8 @@ def _reads(**tables: str) -> dict[str, tuple[str, ...]]:
     return {t: tuple(c.split()) for t, c in tables.items()}
 
 
-def _outside(patterns: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: P.filter_like(df, "path", patterns, negate=True)
+def _outside(patterns: Sequence[str]) -> Callable[[object], Column]:
+    return lambda now: P.like("path", patterns, negate=True)
 
 
 # File, address and name lists of the shipped queries.
@@ -95,32 +107,29 @@ PROCESS_COLUMNS = ("pid parent name path cmdline state uid gid euid egid start_t
 FEED_PROCESS = "tid pid parent uid gid cid exit_code probe_error syscall path cwd cmdline duration ntime time"
 
 
-def _mapped(*outside: str) -> Callable[[DataFrame], DataFrame]:
-    def where(df: DataFrame) -> DataFrame:
-        df = P.filter_like(df, "permissions", ["%x%"]).filter(F.col("path") != "")
-        return P.filter_like(df, "path", outside, negate=True)
-    return where
+def _mapped(*outside: str) -> Callable[[object], Column]:
+    return lambda now: P.like("permissions", ["%x%"]) & (F.col("path") != "") & P.like("path", outside, negate=True)
 
 
-def _open_files(t: Tables) -> DataFrame:
+def _open_files(t: Tables, as_of=None) -> DataFrame:
     df = t["process_open_files"]
-    kept = _project(_outside(["/proc/%", "/dev/%"])(df), ("pid", "fd", "path"))
+    kept = _project(P.filter_like(df, "path", ["/proc/%", "/dev/%"], negate=True), ("pid", "fd", "path"))
     return topk.first_n_per_node(kept, ["pid", "fd", "path"], 1000, _keys(df))
 
 
-def _cpu(t: Tables) -> DataFrame:
+def _cpu(t: Tables, as_of=None) -> DataFrame:
     df = P.with_total_cpu(t["processes"])
     cols = "pid name uid user_time system_time resident_size total_size total_cpu_time".split()
     return topk.top_n_per_node(_project(df, cols), "total_cpu_time", 25, _keys(df))
 
 
-def _memory(t: Tables) -> DataFrame:
+def _memory(t: Tables, as_of=None) -> DataFrame:
     df = t["processes"]
     return topk.top_n_per_node(_project(df, "pid name uid resident_size total_size".split()), "resident_size", 25, _keys(df))
 
 
-def _health(*extra: str) -> Callable[[Tables], DataFrame]:
-    def build(t: Tables) -> DataFrame:
+def _health(*extra: str) -> Callable[[Tables, object], DataFrame]:
+    def build(t: Tables, as_of=None) -> DataFrame:
         df = P.with_cost(t["osquery_schedule"])
         if extra:
             df = P.with_cost(df, "system_time", "executions", "avg_system_ms")
@@ -136,12 +145,12 @@ DEPLOYED = [
           30, removed=False),
     plain("running_processes", "processes", PROCESS_COLUMNS, 60),
     plain("deleted_binaries", "processes", "pid name path cmdline uid gid", 60,
-          lambda d: P.filter_eq(d, {"on_disk": 0}), "on_disk", snapshot=True, removed=False),
+          lambda now: P.equals({"on_disk": 0}), "on_disk", snapshot=True, removed=False),
     HostQuery("listening_ports", _reads(listening_ports="pid port protocol family address", processes="pid name path cmdline"),
               _using("listening_ports", "pid port protocol family address", "processes", "name path cmdline", "pid", "left"), 60),
     plain("open_sockets", "process_open_sockets",
           "pid fd socket family protocol local_address remote_address local_port remote_port state", 60,
-          lambda d: d.filter(F.col("family") != 1)),
+          lambda now: F.col("family") != 1),
     plain("logged_in_users", "logged_in_users", "type user tty host time pid", 60, removed=False),
     plain("memory_mapped_executables", "process_memory_map", "pid start end permissions offset path", 120,
           _mapped("/usr/%", "/lib%", "/lib64%")),
@@ -163,7 +172,7 @@ DEPLOYED = [
     plain("suid_bins", "suid_bin", "path username groupname permissions pid_with_namespace", 3600),
     plain("startup_items", "startup_items", "name type path args status", 3600),
     plain("systemd_units", "systemd_units", "id description load_state active_state sub_state", 3600,
-          lambda d: P.filter_eq(d, {"active_state": "active"})),
+          lambda now: P.equals({"active_state": "active"})),
     plain("deb_packages_snapshot", "deb_packages", "name version source arch revision status", 3600, snapshot=True),
     plain("rpm_packages_snapshot", "rpm_packages", "name version release arch epoch install_time vendor package_group source",
           3600, snapshot=True),
@@ -174,7 +183,7 @@ DEPLOYED = [
     plain("routes", "routes", "destination netmask gateway source flags interface mtu", 3600),
     plain("arp_cache", "arp_cache", "address mac interface", 300, removed=False),
     plain("dns_resolvers", "dns_resolvers", "id type address", 3600),
-    plain("fim_critical_files", "hash", "path sha256", 300, lambda d: P.filter_in(d, "path", CRITICAL_FILES)),
+    plain("fim_critical_files", "hash", "path sha256", 300, lambda now: P.one_of("path", CRITICAL_FILES)),
     plain("shadow_hashes", "shadow", "username password_status last_change expire", 3600, snapshot=True),
     plain("system_info_snapshot", "system_info",
           "hostname cpu_brand cpu_physical_cores cpu_logical_cores physical_memory hardware_vendor hardware_model "
@@ -192,24 +201,24 @@ AGENT_DEFAULTS = [
     plain("running_processes", "processes", "pid name path cmdline uid", 30),
     plain("open_files", "process_open_files", "pid fd path", 60, _outside(["/dev/%"])),
     plain("tmp_file_activity", "file", "path size mtime atime", 60,
-          lambda d: P.filter_eq(P.filter_recent(d, "mtime", 3600), {"directory": "/tmp"}), "directory", snapshot=True),
+          lambda now: P.recent("mtime", 3600, now) & P.equals({"directory": "/tmp"}), "directory", snapshot=True, timed=True),
     plain("listening_ports", "listening_ports", "pid port protocol address", 30),
     plain("open_sockets", "process_open_sockets", "pid local_address local_port remote_address remote_port state", 30),
-    plain("process_env_path", "process_envs", "pid key value", 120, lambda d: P.filter_eq(d, {"key": "PATH"})),
+    plain("process_env_path", "process_envs", "pid key value", 120, lambda now: P.equals({"key": "PATH"})),
     plain("etc_file_changes", "file", "path size mtime", 120,
-          lambda d: P.filter_eq(P.filter_recent(d, "mtime", 86400), {"directory": "/etc"}), "directory", snapshot=True),
+          lambda now: P.recent("mtime", 86400, now) & P.equals({"directory": "/etc"}), "directory", snapshot=True, timed=True),
     plain("users", "users", "username uid gid shell directory", 300),
-    plain("init_children", "processes", "pid name cmdline parent", 60, lambda d: P.filter_eq(d, {"parent": 1})),
+    plain("init_children", "processes", "pid name cmdline parent", 60, lambda now: P.equals({"parent": 1})),
     plain("crontab", "crontab", "event minute hour day_of_month month day_of_week command path", 300),
 ]
 
 
-def _ptrace(t: Tables) -> DataFrame:
+def _ptrace(t: Tables, as_of=None) -> DataFrame:
     df = t["processes"]
     return joins.parent_child(df, "T", _keys(df))
 
 
-def _suid_writable(t: Tables) -> DataFrame:
+def _suid_writable(t: Tables, as_of=None) -> DataFrame:
     sb, f = t["suid_bin"], t["file"]
     host = [k for k in _keys(sb) if k in f.columns]
     out = joins.join_on_host_expr(sb, f.filter(F.col("writable") == 1).select(*host, "path", "size"),
@@ -218,25 +227,24 @@ def _suid_writable(t: Tables) -> DataFrame:
     return out.select(*cols, F.col("b.size")).distinct()
 
 
-def _path_dirs(t: Tables) -> DataFrame:
+def _path_dirs(t: Tables, as_of=None) -> DataFrame:
     files, envs = t["file"], t["process_envs"]
     host = [k for k in _keys(files) if k in envs.columns]
     return _project(joins.writable_path_dirs(files.filter(F.col("type") == "directory"), envs, 1, host), ("directory", "path"))
 
 
-def _modules(t: Tables) -> DataFrame:
+def _modules(t: Tables, as_of=None) -> DataFrame:
     mods = t["kernel_modules"]
     return _project(joins.unusual_modules(mods.select(*_keys(mods), "name", "address", "used_by", "status"), _keys(mods)),
                     ("name", "address", "used_by"))
 
 
-def _listeners(t: Tables) -> DataFrame:
-    out = _using("listening_ports", "pid port protocol address socket", "processes", "name path", "pid",
-                 where=lambda d: P.filter_in(d, "port", EXPECTED_PORTS, negate=True))(t)
-    return topk.order_by(out, ["port", *[k for k in HOST_KEYS if k in out.columns], "pid"])
+def _listeners(t: Tables, as_of=None) -> DataFrame:
+    return _using("listening_ports", "pid port protocol address socket", "processes", "name path", "pid",
+                  where=lambda: P.one_of("port", EXPECTED_PORTS, negate=True))(t)
 
 
-def _privileged(t: Tables) -> DataFrame:
+def _privileged(t: Tables, as_of=None) -> DataFrame:
     dc, dcs = t["docker_containers"], t["docker_container_security_options"]
     host = [k for k in _keys(dc) if k in dcs.columns]
     out = joins.join_on_host_expr(dc, dcs.filter(F.col("privileged") == 1).select(*host, "id", "privileged"),
@@ -244,44 +252,44 @@ def _privileged(t: Tables) -> DataFrame:
     return out.select(*[F.col(f"a.{c}") for c in (*host, "id", "name", "image", "status")], F.col("b.privileged"))
 
 
-def _namespaces(t: Tables) -> DataFrame:
+def _namespaces(t: Tables, as_of=None) -> DataFrame:
     shared = (F.col("host_pid") == 1) | (F.col("host_net") == 1) | (F.col("host_ipc") == 1)
     return _using("process_namespaces", "host_ipc host_net host_pid host_uts", "processes", "pid name cmdline", "pid",
-                  where=lambda d: d.filter(shared))(t)
+                  where=lambda: shared)(t)
 
 
-def _recent_logins(t: Tables) -> DataFrame:
-    out = _project(P.filter_recent(t["last"], "time", 86400), "username tty pid type time host".split())
-    return topk.order_by(out, [F.desc("time"), "pid"])
+def _recent_logins(t: Tables, as_of=None) -> DataFrame:
+    return _project(P.filter_recent(t["last"], "time", 86400, as_of), "username tty pid type time host".split())
 
 
 DETECTION_PACK = [
     plain("shell_in_unusual_dir", "processes", "pid parent name path cmdline uid gid", 60,
-          lambda d: P.filter_in(P.filter_like(d, "path", SHELL_DIRS), "name", SHELLS)),
+          lambda now: P.like("path", SHELL_DIRS) & P.one_of("name", SHELLS)),
     plain("process_with_deleted_binary", "processes", "pid name path cmdline uid gid start_time", 120,
-          lambda d: P.filter_eq(d, {"on_disk": 0}), "on_disk", snapshot=True),
+          lambda now: P.equals({"on_disk": 0}), "on_disk", snapshot=True),
     HostQuery("ptrace_activity", _reads(processes="pid parent name cmdline state"), _ptrace, 60),
     HostQuery("listening_on_all_interfaces",
               _reads(listening_ports="pid port protocol address", processes="pid name path cmdline uid"),
               _using("listening_ports", "pid port protocol address", "processes", "name path cmdline uid", "pid",
-                     where=lambda d: P.filter_in(d, "address", ANY_ADDRESS)), 300),
+                     where=lambda: P.one_of("address", ANY_ADDRESS)), 300),
     HostQuery("suid_writable", _reads(suid_bin="path username groupname permissions", file="path size writable"),
               _suid_writable, 3600),
     plain("new_users_since_baseline", "users", "uid gid username description directory shell", 3600,
-          lambda d: P.filter_in(d.filter(F.col("uid") >= 1000), "shell", NO_LOGIN_SHELLS, negate=True)),
-    plain("uid_0_accounts", "users", "username description directory shell", 3600, lambda d: P.filter_eq(d, {"uid": 0}), "uid"),
+          lambda now: (F.col("uid") >= 1000) & P.one_of("shell", NO_LOGIN_SHELLS, negate=True)),
+    plain("uid_0_accounts", "users", "username description directory shell", 3600, lambda now: P.equals({"uid": 0}), "uid"),
     HostQuery("world_writable_dirs_in_path", _reads(file="directory path writable type", process_envs="pid key value"),
               _path_dirs, 3600),
     HostQuery("kernel_module_unsigned", _reads(kernel_modules="name address used_by status"), _modules, 3600),
     plain("etc_hosts_changes", "etc_hosts", "address hostnames", 3600),
     HostQuery("unexpected_network_listeners_snapshot",
-              _reads(listening_ports="pid port protocol address socket", processes="pid name path"), _listeners, 3600, True),
-    plain("crontab_unusual", "crontab", "command path minute hour", 3600, lambda d: P.filter_like(d, "command", CRON_PATTERNS)),
+              _reads(listening_ports="pid port protocol address socket", processes="pid name path"), _listeners, 3600, True,
+              order=("port", *HOST_KEYS, "pid")),
+    plain("crontab_unusual", "crontab", "command path minute hour", 3600, lambda now: P.like("command", CRON_PATTERNS)),
     HostQuery("ssh_authorized_keys_snapshot", _reads(users="uid username", authorized_keys="uid key key_type comment key_file"),
               _using("users", "username uid", "authorized_keys", "key key_type comment key_file", "uid"), 3600, True),
     HostQuery("environment_ld_preload", _reads(process_envs="pid key value", processes="pid name path"),
               _using("process_envs", "pid key value", "processes", "name path", "pid",
-                     where=lambda d: P.filter_in(d, "key", LINKER_VARIABLES)), 300),
+                     where=lambda: P.one_of("key", LINKER_VARIABLES)), 300),
     HostQuery("docker_privileged_containers",
               _reads(docker_containers="id name image status", docker_container_security_options="id privileged"),
               _privileged, 3600),
@@ -289,12 +297,12 @@ DETECTION_PACK = [
               _reads(processes="pid name cmdline", process_namespaces="pid host_ipc host_net host_pid host_uts"), _namespaces, 300),
     plain("memory_stats", "memory_info", "memory_total memory_free memory_available buffers cached swap_total swap_free swap_cached",
           300, snapshot=True),
-    HostQuery("recent_logins", _reads(last="username tty pid type time host"), _recent_logins, 3600, True),
+    HostQuery("recent_logins", _reads(last="username tty pid type time host"), _recent_logins, 3600, True, order=("-time", "pid"), timed=True),
 ]
 
 HARDWARE_PACK = [
     plain("hardware_events_usb", "hardware_events", "time action model serial vendor_id model_id path", 30,
-          lambda d: P.filter_eq(d, {"subsystem": "usb"}), "subsystem", removed=False),
+          lambda now: P.equals({"subsystem": "usb"}), "subsystem", removed=False),
     plain("usb_devices", "usb_devices", "usb_address usb_port vendor_id model_id model serial subclass protocol removable", 300),
     plain("smart_drive_info", "smart_drive_info", "device driver model serial_number firmware_version healthy self_assessment",
           3600, snapshot=True),
@@ -317,10 +325,10 @@ EXTENDED = [
     plain("process_file_events_audit", "process_file_events", "operation pid parent uid gid auid euid egid exe path time", 60, removed=False),
     plain("open_sockets", "process_open_sockets",
           "pid fd socket family protocol local_address remote_address local_port remote_port path state", 300,
-          lambda d: d.filter(F.col("family") != 1)),
+          lambda now: F.col("family") != 1),
     HostQuery("process_open_files", _reads(process_open_files="pid fd path"),
-              lambda t: topk.order_by(_project(_outside(["/proc/%", "/dev/%"])(t["process_open_files"]), ("pid", "fd", "path")), ["pid"]),
-              300),
+              lambda t, as_of=None: _project(P.filter_like(t["process_open_files"], "path", ["/proc/%", "/dev/%"], negate=True), ("pid", "fd", "path")),
+              300, order=("pid",)),
     plain("memory_mapped_executables", "process_memory_map", "pid start end permissions offset path", 300, _mapped("/usr/%", "/lib%")),
     plain("iptables_rules", "iptables",
           "filter_name chain policy target protocol src_ip dst_ip src_port dst_port match packets bytes", 3600),
@@ -329,7 +337,7 @@ EXTENDED = [
     plain("routes", "routes", "destination netmask gateway source flags interface mtu metric", 3600),
     plain("apparmor_profiles", "apparmor_profiles", "path name attach mode", 3600, snapshot=True),
     plain("selinux_settings", "selinux_settings", "scope key value", 3600, snapshot=True),
-    plain("hash_etc", "hash", "path sha256", 3600, lambda d: P.filter_in(d, "path", HASHED_ETC)),
+    plain("hash_etc", "hash", "path sha256", 3600, lambda now: P.one_of("path", HASHED_ETC)),
     HostQuery("osquery_health",
               _reads(osquery_schedule="name interval executions output_size wall_time user_time system_time average_memory last_executed"),
               _health("avg_system_ms"), 3600, True),

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetscope.operators.envelope import decode_envelope, route_class, sanitise_status, split_malformed
+from fleetscope.operators.joins import HOST, enrich_events
 from fleetscope.operators.registry import has_id
 from fleetscope.sources.events import read_events_stream
+from fleetscope.sources.versioned import BucketedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -112,3 +114,44 @@ def execution_slots(df: DataFrame, catalogue: DataFrame, ts: str = "ts", name: s
     secs = F.expr(f"unix_micros(cast(`{ts}` as timestamp)) div 1000000")
     return df.join(intervals, name).withColumn("__s", secs).withColumn(
         "execution_no", F.expr("__s div interval_secs")).drop("__s")
+
+
+def write_outcomes(df: DataFrame, path: str, checkpoint: str) -> None:
+    """The rows of ``stateful.split_stream`` into one folder an outcome (kept, duplicate, late), from one read of the source."""
+    run_to_end(df, path, checkpoint, partition_by=["outcome"])
+
+
+def enrich_from_table(table: BucketedTable, write: Callable[[DataFrame, int], None], host: Sequence[str] = HOST,
+                      cols: Sequence[str] = ("name", "path")) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: events of a micro-batch with columns of their process, from the table's newest commit.
+
+    The table may move on while the stream runs; each micro-batch sees one whole
+    commit of it, and only the buckets that its events fall in.
+    """
+    def enrich(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(table.bucket()).distinct().collect()]
+            write(enrich_events(batch, table.read(only=touched), host, cols), batch_id)
+        finally:
+            batch.unpersist()
+    return enrich
+
+
+def enrich_from_starts(events: DataFrame, starts: DataFrame, within: str, delay: str, start_delay: str | None = None,
+                       host: Sequence[str] = HOST, cols: Sequence[str] = ("name", "path"), ts: str = "ts", how: str = "leftOuter") -> DataFrame:
+    """Events with the process-start event of their pid on the same host, at most ``within`` before them: a join of two streams.
+
+    Both sides keep rows only as long as the range and the watermarks
+    (``delay`` for events, ``start_delay`` for starts) ask for. An event without a start comes
+    out once the watermark has passed the range, with NULLs. A pid that is used
+    again within the range gives a row for each start.
+    """
+    keys = [*host, "pid"]
+    right = event_time(starts, ts).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(ts).alias("started_at"),
+                                          *[F.col(c).alias(f"process_{c}") for c in cols]).withWatermark("started_at", start_delay or delay)
+    left = event_time(events, ts).withWatermark(ts, delay)
+    on = (F.col("started_at") <= F.col(ts)) & (F.col("started_at") >= F.col(ts) - F.expr(f"interval {within}"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"__{k}"))
+    return left.join(right, on, how).drop(*[f"__{k}" for k in keys])

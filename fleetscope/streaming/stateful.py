@@ -8,70 +8,240 @@ spills to disk and checkpoints changes only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-DIFF_SCHEMA = "node_id string, query_name string, execution_no bigint, row string, action string"
+from fleetscope.operators.registry import has_id
 
+DIFF_SCHEMA = "node_id string, query_name string, execution_no bigint, row string, action string"
 
-def differential_stream(runs: DataFrame, buckets: int = 8) -> DataFrame:
-    """Streaming form of ``diff.differential``.
 
-    ``runs``: one record per execution with node_id, query_name, execution_no,
-    status_code and ``rows`` (array of canonical row texts, maybe empty).
+def run_records(runs: DataFrame) -> DataFrame:
+    """One record a row and one at the end of each run, out of one record a run with an array of ``rows``."""
+    keys = ["node_id", "query_name", "execution_no", "status_code"]
+    times = ["ts"] if "ts" in runs.columns else []
+    part = F.struct(F.lit(None).cast("string").alias("row"), F.lit(True).alias("ended"))
+    rows = F.transform(F.coalesce("rows", F.array().cast("array<string>")), lambda r: F.struct(r.alias("row"), F.lit(False).alias("ended")))
+    return runs.select(*keys, *times, F.explode(F.concat(rows, F.array(part))).alias("__r")).select(*keys, *times, "__r.row", "__r.ended")
 
-    The diff of a row does not depend on other rows, so rows are spread over
-    ``buckets`` by hash and a chatty (node, query) is not one task. Each run
-    visits every bucket, also with no rows there, because that is what removes
-    rows. State per bucket: the rows of the last run. A run older than that gives
-    one LATE row and changes nothing; a run recorded again gives nothing.
-    """
-    good = runs.filter(F.col("status_code") == 0)
-    spread = good.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).select(
-        F.col("node_id").cast("string").alias("node_id"), "query_name", F.col("execution_no").cast("bigint").alias("execution_no"),
-        "bucket", F.filter(F.coalesce("rows", F.array().cast("array<string>")),
-                           lambda r: F.pmod(F.xxhash64(r), F.lit(buckets)) == F.col("bucket")).alias("rows"))
 
+def differ(limit: int):
+    """The state handler of ``differential_stream``; with a ``limit``, open runs end so many milliseconds after their newest record."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Differ(StatefulProcessor):
         def init(self, handle):
-            self.seen = handle.getMapState("seen", "row string", "run bigint")
-            self.last = handle.getValueState("last", "run bigint")
+            self.handle = handle
+            self.live = handle.getMapState("live", "row string", "run bigint")
+            self.fresh = handle.getMapState("fresh", "row string", "times bigint")
+            self.marks = handle.getMapState("marks", "row string", "run bigint")
+            # Last settled run, the open one, rows in ``live``, those of them that the open run has, and when it is given up.
+            self.meta = handle.getValueState("meta", "closed bigint, open bigint, size bigint, again bigint, until bigint")
+
+        def start(self):
+            held = self.meta.get() if self.meta.exists() else (None, None, 0, 0, 0)
+            self.closed, self.open, self.size, self.again, self.until = held
+            self.kept_before = self.open  # what is in state about this run, beside what this call gathers
+            self.new, self.seen = {}, set()
+
+        def give_up(self):
+            if self.kept_before is not None:
+                self.fresh.clear()
+                self.marks.clear()
+            self.open, self.kept_before, self.again = None, None, 0
+            self.new, self.seen = {}, set()
+
+        def take(self, values):
+            for row, times in values.items():
+                if row in self.new or row in self.seen:
+                    known = row in self.seen
+                else:
+                    known = self.live.containsKey((row,))
+                if not known:
+                    self.new[row] = self.new.get(row, 0) + times
+                elif row not in self.seen and not (self.kept_before is not None and self.marks.containsKey((row,))):
+                    self.seen.add(row)
+                    self.again += 1
+
+        def settle(self, run):
+            """The changes that the open run makes, now that it is whole."""
+            new = dict(self.new)
+            if self.kept_before is not None:
+                for (row,), (times,) in self.fresh.iterator():
+                    new[row] = new.get(row, 0) + times
+            out = []
+            if self.closed is None:
+                out += [(run, row, "SNAPSHOT") for row, times in new.items() for _ in range(times)]
+            else:
+                out += [(run, row, "ADDED") for row in new]
+                if self.again < self.size:
+                    for (row,) in list(self.live.keys()):
+                        if row not in self.seen and not (self.kept_before is not None and self.marks.containsKey((row,))):
+                            out.append((run, row, "REMOVED"))
+                            self.live.removeKey((row,))
+            for row in new:
+                self.live.updateValue((row,), (run,))
+            self.size = (self.again if self.closed is not None else 0) + len(new)
+            self.give_up()
+            self.closed = run
+            return out
+
+        def finish(self):
+            """Keep what an open run has so far."""
+            if self.open is not None:
+                for row, times in self.new.items():
+                    before = self.fresh.getValue((row,)) if self.kept_before is not None else None
+                    self.fresh.updateValue((row,), (times + (before[0] if before else 0),))
+                for row in self.seen:
+                    self.marks.updateValue((row,), (self.open,))
+                if limit:
+                    self.handle.registerTimer(self.until)
+            self.meta.update((self.closed, self.open, self.size, self.again, self.until))
 
         def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values("execution_no", kind="stable")
-            node, query, bucket = key
-            newest = self.last.get()[0] if self.last.exists() else None
-            first = newest is None
-            current = set() if first else {k[0] for k in self.seen.keys()}
-            before = set(current)
+            pdf = pd.concat(list(rows), ignore_index=True)
+            self.start()
             out = []
-            for run, values in zip(pdf["execution_no"], pdf["rows"]):
-                if newest is not None and run <= newest:  # recorded again, or too late to have a place in the history
-                    if run < newest and bucket == 0:
-                        out.append((node, query, run, None, "LATE"))
+            for run, part in pdf.groupby("execution_no", sort=True):
+                run, ended = int(run), bool(part["ended"].any())
+                if (self.closed is not None and run <= self.closed) or (self.open is not None and run < self.open):
+                    if ended and run != self.closed and key[2] == 0:
+                        out.append((run, None, "LATE"))
                     continue
-                newest, new = run, set(values)
-                if first:
-                    out += [(node, query, run, r, "SNAPSHOT") for r in values]
-                    first = False
-                else:
-                    out += [(node, query, run, r, "ADDED") for r in new - current]
-                    out += [(node, query, run, r, "REMOVED") for r in current - new]
-                current = new
-                self.last.update((int(run),))
-            for r in before - current:
-                self.seen.removeKey((r,))
-            for r in current - before:
-                self.seen.updateValue((r,), (0,))
-            yield pd.DataFrame(out, columns=["node_id", "query_name", "execution_no", "row", "action"])
+                if self.open is not None and run > self.open:
+                    self.give_up()
+                self.open = run
+                self.take(part.loc[~part["ended"].astype(bool), "row"].value_counts(sort=False).to_dict())
+                self.until = max(int(part["ms"].max()) + limit, self.until or 0)
+                if ended:
+                    if int(part.loc[part["ended"].astype(bool), "status"].iloc[0]) == 0:
+                        out += self.settle(run)
+                    else:
+                        self.give_up()
+            self.finish()
+            yield pd.DataFrame([(key[0], key[1], *o) for o in out], columns=["node_id", "query_name", "execution_no", "row", "action"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+            self.start()
+            if self.open is not None and expiredTimerInfo.getExpiryTimeInMs() >= self.until:
+                self.give_up()
+                self.finish()
+            yield pd.DataFrame([], columns=["node_id", "query_name", "execution_no", "row", "action"]).astype({"execution_no": "int64"})
 
         def close(self):
             pass
 
+    return Differ()
+
+
+def differential_stream(records: DataFrame, buckets: int = 8, timeout_seconds: int | None = None, delay: str = "1 minute") -> DataFrame:
+    """Streaming form of ``diff.differential``, fed row by row.
+
+    ``records``: node_id, query_name, execution_no, ``row`` (canonical text),
+    ``ended`` and status_code. A run's rows may come over several micro-batches;
+    its last record has ``ended`` set, no row, and the run's status. Only that
+    record settles a run, so a run of any size, also an empty one, is never in one
+    record. A run that failed changes nothing. An older run than the last
+    settled one gives one LATE row when it ends; a run recorded again gives nothing.
+    Runs of a (node, query) come one after the other: a record of a newer run
+    gives up one that never ended. With
+    ``timeout_seconds`` (and a ``ts`` column) so does the watermark, that long
+    after the run's newest record.
+
+    Whether a row changed does not depend on other rows, so rows are spread over
+    ``buckets`` by hash, and a chatty (node, query) is not one task; only end
+    records visit every bucket. State per bucket: the rows of the last settled run and
+    their number. A row costs one lookup. Rows that are new or seen in a run
+    that stays open are written; all rows are gone through only in a bucket
+    where some of them are missing, which the count tells beforehand.
+    """
+    timed = timeout_seconds is not None
+    if timed:
+        # The time travels as a number: Spark would drop late rows of a column with a watermark, and here they are data.
+        records = records.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    every = F.sequence(F.lit(0), F.lit(buckets - 1))
+    own = F.array(F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    spread = records.select(
+        F.col("node_id").cast("string").alias("node_id"), "query_name", F.col("execution_no").cast("bigint").alias("execution_no"),
+        F.explode(F.when(F.col("ended"), every).otherwise(own)).alias("bucket"), "row", "ended",
+        F.coalesce(F.col("status_code").cast("bigint"), F.lit(0)).alias("status"),
+        (F.unix_millis("ts") if timed else F.lit(0).cast("bigint")).alias("ms"))
     return spread.groupBy("node_id", "query_name", "bucket").transformWithStateInPandas(
-        statefulProcessor=Differ(), outputStructType=DIFF_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=differ((timeout_seconds or 0) * 1000), outputStructType=DIFF_SCHEMA, outputMode="Append", timeMode="EventTime" if timed else "None")
+
+
+def interval_ms(spark: SparkSession, text: str) -> int:
+    """Milliseconds of an interval like ``10 minutes``."""
+    return spark.sql(f"select unix_millis(timestamp '1970-01-01 00:00:00Z' + interval {text})").first()[0]
+
+
+def split_stream(df: DataFrame, delay: str, key: str = "sequence_id", ts: str = "ts", buckets: int = 32) -> DataFrame:
+    """Every row of a stream once, with ``outcome``: kept, duplicate or late.
+
+    Late is what lies behind the watermark (the newest time of earlier
+    micro-batches less ``delay``); such rows are not compared with others, as the ids
+    of their time are no longer held. A row whose id was kept at most ``delay`` ago is a
+    duplicate. Rows without an id or without a time are kept. Rows of one
+    micro-batch count in the order of their times.
+
+    One read of the source serves all sinks: write it partitioned by
+    ``outcome``, or filter in ``foreachBatch``. Ids are spread over ``buckets``; each
+    holds its ids and, by slices of time, which ones to forget when the watermark
+    has passed a slice, so forgetting reads what goes and nothing else.
+    """
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    columns, named = df.columns, has_id(df, key)
+    # The watermark's column stays behind, so that Spark lets late rows through; the time travels as a number.
+    sent = df.withColumn("__t", F.col(ts).cast("timestamp")).withWatermark("__t", delay).select(
+        *columns, F.unix_millis("__t").alias("__ms"), F.when(named, F.col(key).cast("string")).alias("__id"),
+        F.pmod(F.when(named, F.xxhash64(key)).otherwise(F.xxhash64(*columns)), F.lit(buckets)).cast("int").alias("__bucket"))
+    kept_ms = interval_ms(df.sparkSession, delay)
+    width = max(kept_ms // 8, 1)
+    result = Row(*columns, "outcome")
+
+    class Splitter(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.ids = handle.getMapState("ids", "id string", "until bigint")
+            self.slices = handle.getMapState("slices", "slice bigint", "ids array<string>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            passed, added = timerValues.getCurrentWatermarkInMs(), {}
+            for row in rows:
+                ms, ident, outcome = row["__ms"], row["__id"], "kept"
+                if ms is not None and ms <= passed:
+                    outcome = "late"
+                elif ms is not None and ident is not None:
+                    if self.ids.containsKey((ident,)):
+                        outcome = "duplicate"
+                    else:
+                        until = ms + kept_ms
+                        self.ids.updateValue((ident,), (until,))
+                        added.setdefault(until // width, []).append(ident)
+                yield result(*[row[c] for c in columns], outcome)
+            for at, ids in added.items():
+                held = self.slices.getValue((at,)) if self.slices.containsKey((at,)) else None
+                self.slices.updateValue((at,), ((list(held[0]) if held else []) + ids,))
+                self.handle.registerTimer((at + 1) * width)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            at = expiredTimerInfo.getExpiryTimeInMs() // width - 1
+            if self.slices.containsKey((at,)):
+                for ident in self.slices.getValue((at,))[0]:
+                    self.ids.removeKey((ident,))
+                self.slices.removeKey((at,))
+            return iter(())
+
+        def close(self):
+            pass
+
+    return sent.groupBy("__bucket").transformWithState(
+        statefulProcessor=Splitter(), outputStructType=StructType([*df.schema.fields, StructField("outcome", StringType())]),
+        outputMode="Append", timeMode="EventTime")
 
 
 def offline_stream(df: DataFrame, timeout_seconds: int, delay: str = "1 minute", ts: str = "recorded_at") -> DataFrame:

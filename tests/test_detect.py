@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 
 from fleetscope.operators import detect as H
 
@@ -19,6 +20,25 @@ def test_conditions(spark):
     assert got == [(1, "any", 1), (1, "two", 2), (2, "re", 1)]
 
 
+@pytest.mark.parametrize("wrong, reason", [
+    ([("r", "k", "*", "x", "contains", "high", 0.5, "T", "some")], "need"), ([("r", "k", "*", "x", "glob", "high", 0.5, "T", "any")], "mode"),
+    ([("r", "k", "*", "x", "regex", "urgent", 0.5, "T", "any")], "severity"),
+    ([("r", "k", "*", "x", "regex", "high", 0.5, "T", "any"), ("r", "k", "*", "y", "regex", "low", 0.5, "T", "any")], "disagree")])
+def test_a_rule_that_cannot_work_stops_the_scan(spark, wrong, reason):
+    events = spark.createDataFrame([(1, "k", "x")], "event_id int, event_type string, payload string")
+    rules = spark.createDataFrame(wrong, RULE)
+    assert [reason in r.reason for r in H.rejected_rules(rules).collect()] == [True]
+    with pytest.raises(Exception, match="rule r: "):
+        H.match_rules(events, rules).collect()
+
+
+def test_an_event_id_of_two_nodes_gives_two_alerts(spark):
+    m = spark.createDataFrame([(1, n, "r", "low", 0.5, "T", dt.datetime(2024, 1, 1)) for n in ("a", "b", "b", None)],
+                              "event_id int, node_id string, rule_id string, severity string, confidence double, technique_id string, ts timestamp_ntz")
+    alerts = H.dedup_alerts(H.build_alerts(m.withColumns({"tactic": H.F.lit("x"), "technique_name": H.F.lit("y")})))
+    assert sorted(r.node_id or "" for r in alerts.collect()) == ["", "a", "b"]
+
+
 def test_alert_flow(spark):
     m = spark.createDataFrame([(1, "n", "r1", "critical", 0.9, "T1059.004", dt.datetime(2024, 1, 1)), (1, "n", "r1", "critical", 0.9, "T1059.004", dt.datetime(2024, 1, 1)),
                                (2, "n", "r2", "low", 5.0, "T0", dt.datetime(2024, 1, 2)), (3, "n", "r3", "odd", 0.5, "T0", dt.datetime(2024, 1, 3))],

@@ -46,6 +46,30 @@ def test_copies_are_limited_before_the_shuffle(fleet):
     assert "WindowGroupLimit" in below and "Partial" in below
 
 
+def test_dedup_reads_its_input_once(fleet):
+    decoded = envelope.decode_envelope(fleet.envelopes, "raw", payload=False)
+    text = plan(registry.dedup_events(decoded, "sequence_id", ["event_time", "event_id"]))
+    assert text.count("FileScan") == 1 and "Union" not in text
+
+
+def test_plain_queries_of_a_table_share_a_scan(fleet):
+    own = [q for q in C.DETECTION_PACK if set(q.reads) == {"processes"} and q.columns]
+    assert len(own) > 1
+    text = plan(packs.run_pack(fleet.host(), own))
+    assert text.count("Scan parquet") == 1 and "Exchange" not in text
+    assert "rangepartitioning" not in plan(packs.run_pack(fleet.host(), C.DETECTION_PACK, 1704067200))
+
+
+def test_queries_on_the_clock_ask_for_it(fleet):
+    timed = [q for p in C.PACKS.values() for q in p if q.timed]
+    assert {q.name for q in timed} == {"tmp_file_activity", "etc_file_changes", "recent_logins"}
+    for q in timed:
+        with pytest.raises(ValueError):
+            packs.run_query(fleet.host(), q)
+    with pytest.raises(ValueError):
+        packs.run_pack(fleet.host(), C.AGENT_DEFAULTS)
+
+
 def test_counts_combine_before_the_shuffle(fleet):
     text = plan(rates.class_volume(envelope.route_class(fleet.telemetry)))
     assert text.index("Exchange hashpartitioning(topic#") < text.index("partial_count(1)", text.index("node_id"))
