@@ -5,17 +5,18 @@ keeps, for each language, the terms in enough of its documents. Its vocabulary
 passes through the driver and goes to every worker; so terms are dealt to
 rounds by hash, with about ``VOCABULARY`` kept terms each at most (estimated
 beforehand from a share of all terms), and every round has its own fit. However
-large the vocabulary, none of it is left out and no round's share grows. Texts are
-cut into terms once, into a written table that all rounds read.
+large the vocabulary, none of it is left out and no round's share grows. Each text's
+distinct terms, which is all that the fit needs, lie in a written table that all rounds read.
 
-The sparse vectors of a task's documents are summed by (language, source) before
-they leave it. Sources of a language are compared on the terms that at least
+Tasks build each document's sparse vector over the fitted vocabulary, with exact
+counts, and sum vectors by (language, source) before they leave. Sources of a language are compared on the terms that at least
 one of the two has; terms that neither has add the same amount each. That takes
 work in proportion to the entries and the sources, and emits no pairs of rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +34,26 @@ TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 #: What stands between language and term; no term holds it.
 MARK = "\x00"
 #: Kept terms of a round, the share of all terms that tells how many there are, and the largest vocabulary that Spark's parameter allows.
-VOCABULARY, SHARE, NO_LIMIT = 1 << 20, 16, (1 << 31) - 1
+VOCABULARY, SHARE, NO_LIMIT = 1 << 18, 16, (1 << 31) - 1
 #: Terms that leave a task together.
-SEND = 1 << 17
+SEND = 1 << 16
 #: Entries that a task sums at a time, and cells of the matrix in which it compares sources.
 ENTRIES, CELLS = 1 << 21, 1 << 21
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
+def words_of(text: pa.StringScalar) -> list[bytes]:
+    return text.as_buffer().to_pybytes().translate(TABLE).split()
+
+
 def split_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, terms): all terms of each text in order, each led by its language and the mark."""
+    """(lang, source, terms): the distinct terms of each text, each led by its language and the mark."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string()))])
     for batch in batches:
         begin, words, ends = 0, [], [0]
         for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
             lead = (lang + MARK).encode()
-            words += [lead + w for w in text.as_buffer().to_pybytes().translate(TABLE).split()]
+            words += [lead + w for w in set(words_of(text))]
             ends.append(len(words))
             if len(words) >= SEND or i == batch.num_rows - 1:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
@@ -59,70 +64,81 @@ def split_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rounds_of(docs: DataFrame, least_docs: int, most: int) -> int:
     """How many shares of the terms hold about ``most`` kept ones each, judged by one in ``SHARE``."""
     some = docs.select(F.explode("terms").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SHARE)) == 0)
-    # Occurrences stand for documents here: never too few, and nothing but counts is shuffled.
     kept = some.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).count() * SHARE
     return max(1, -(-kept // most))
 
 
-def summed_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, count): the sums of sparse vectors by group, a packed share of the input at a time."""
+def by_language(vocabulary: list[str]) -> dict[str, dict[bytes, int]]:
+    """The place of each term in the vocabulary, for each language."""
+    out: dict[str, dict[bytes, int]] = {}
+    for i, term in enumerate(vocabulary):
+        lang, _, word = term.rpartition(MARK)
+        out.setdefault(lang, {})[word.encode()] = i
+    return out
+
+
+def summed_vectors(batches: Iterator[pa.RecordBatch], places: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, count): each document's sparse vector, summed by group a packed share of the input at a time."""
     groups: dict[tuple[str, str], int] = {}
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        owner, term, count = (np.concatenate([h[i] for h in held]) for i in range(3))
-        key, back = np.unique(owner << 32 | term, return_inverse=True)
-        return key >> 32, key & 0xFFFFFFFF, np.bincount(back, count, len(key)).astype(np.int64)
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        key, count = (np.concatenate([h[i] for h in held]) for i in range(2))
+        key, back = np.unique(key, return_inverse=True)
+        return key, np.bincount(back, count, len(key)).astype(np.int64)
 
     def out() -> pa.RecordBatch:
-        owner, term, count = merged()
-        names = list(groups)
-        lang, source = (pa.array([n[i] for n in names], pa.string()).take(pa.array(owner)) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([lang, source, pa.array(term), pa.array(count)], ["lang", "source", "term", "count"])
+        key, count = merged()
+        names, owner = list(groups), pa.array(key >> 32)
+        lang, source = (pa.array([n[i] for n in names], pa.string()).take(owner) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, source, pa.array(key & 0xFFFFFFFF), pa.array(count)], ["lang", "source", "term", "count"])
 
     for batch in batches:
-        langs, sources, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-        codes = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources)], np.int64)
-        index, value = vectors.field("indices"), vectors.field("values")
-        sizes = index.value_lengths().to_numpy(zero_copy_only=False)
-        held.append((np.repeat(codes, sizes), index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy()))
-        size += int(sizes.sum())
-        if size >= ENTRIES:
-            held = [merged()]
-            size = len(held[0][0])
-            if size >= ENTRIES // 2:
-                yield out()
-                groups, held, size = {}, [], 0
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            known = places.get(lang)
+            if not known:
+                continue
+            vector = {known[w]: n for w, n in Counter(words_of(text)).items() if w in known}
+            if vector:
+                code = groups.setdefault((lang, source), len(groups)) << 32
+                held.append((np.fromiter(vector, np.int64, len(vector)) | code, np.fromiter(vector.values(), np.int64, len(vector))))
+                size += len(vector)
+            if size >= ENTRIES:
+                held = [merged()]
+                size = len(held[0][0])
+                if size >= ENTRIES // 2:
+                    yield out()
+                    groups, held, size = {}, [], 0
     if held:
         yield out()
 
 
-def counted(docs: DataFrame, least_docs: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """(g, source, term, count) of all kept terms, and (term, text), where a term's number holds for one language."""
+def counted(texts: DataFrame, docs: DataFrame, least_docs: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, count) of all kept terms, and (term, item, lang); a term's number holds for one language."""
     spark = docs.sparkSession
-    shares, texts = [], []
+    shares, names = [], []
     rounds = rounds_of(docs, least_docs, most)
     for r in range(rounds):
         own = docs if rounds == 1 else docs.withColumn(
             "terms", F.filter("terms", lambda t: F.pmod(F.shiftright(F.xxhash64(t), 16), F.lit(rounds)) == r))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=least_docs, vocabSize=NO_LIMIT).fit(own)
+        vocabulary = CountVectorizer(inputCol="terms", outputCol="vector", minDF=least_docs, vocabSize=NO_LIMIT).fit(own).vocabulary
         number = F.col("term") * rounds + r
-        if model.vocabulary:
-            vectors = model.transform(own).select("lang", "source", "vector")
-            part = vectors.mapInArrow(summed_vectors, "lang string, source string, term long, count long").withColumn("term", number)
+        if vocabulary:
+            shared = spark.sparkContext.broadcast(by_language(vocabulary))  # about VOCABULARY terms
+            part = texts.mapInArrow(lambda it, b=shared: summed_vectors(it, b.value), "lang string, source string, term long, count long").withColumn("term", number)
             shares.append(part.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")))
-            texts.append(spark.createDataFrame(list(enumerate(model.vocabulary)), "term long, text string").withColumn("term", number))
+            names.append(spark.createDataFrame(list(enumerate(vocabulary)), "term long, text string").withColumn("term", number))
     if not shares:
         return (spark.createDataFrame([], "lang string, source string, term long, count long"),
                 spark.createDataFrame([], "term long, item string, lang string"))
-    rows, names = shares[0], texts[0]
-    for share, text in zip(shares[1:], texts[1:]):
-        rows, names = rows.union(share), names.union(text)
+    rows, named = shares[0], names[0]
+    for share, more in zip(shares[1:], names[1:]):
+        rows, named = rows.union(share), named.union(more)
     # The language ends at the last mark.
     item = F.substring_index("text", MARK, -1)
-    names = names.select("term", item.alias("item"), F.col("text").substr(F.lit(1), F.length("text") - F.length(item) - 1).alias("lang"))
-    return saved(rows, "divergence-counts"), saved(names, "divergence-names")
+    named = named.select("term", item.alias("item"), F.col("text").substr(F.lit(1), F.length("text") - F.length(item) - 1).alias("lang"))
+    return saved(rows, "divergence-counts"), saved(named, "divergence-names")
 
 
 def chance(count: Column, total: Column, kept: Column) -> Column:
@@ -210,7 +226,7 @@ def audit(df: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, vocabular
     blank = F.lit("")
     texts = df.select(*[F.coalesce(F.col(c).cast("string"), blank).alias(c) for c in ("lang", "source", "text")])
     docs = saved(texts.mapInArrow(split_terms, "lang string, source string, terms array<string>"), "divergence-terms")
-    counts, names = counted(docs, least_docs, vocabulary)
+    counts, names = counted(texts, docs, least_docs, vocabulary)
 
     kept = names.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("has"))
