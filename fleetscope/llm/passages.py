@@ -6,21 +6,27 @@ windows are compared; the way through Spark is the same.
 
 1. Every document gives its anchors: a hash, and a hash of the span of all
    windows that belong to the anchor. A task sorts what it has; where documents
-   agree in the whole span, all but the smallest id are settled at once, and one
-   entry per span goes on. So a passage that a third of all documents hold sends
-   an entry for each task, not for each document.
-2. Entries meet by anchor. Equal spans are settled in the same way. Where one
-   anchor stands in different spans of different documents, the first document
-   of each span is asked for its windows; the others have no more to say.
-3. Those windows meet by anchor again and are compared one by one.
+   agree in the whole span, one entry goes on for all of them. So a passage that
+   a third of all documents hold sends an entry for each task, not for each document.
+2. Entries meet by anchor. Where a span stands in several documents, all of them
+   are told to claim it. Where one anchor stands in different spans of different
+   documents, the first document of each span is asked for its windows.
+3. Claims carry a digest of the span's own text, made anew where the text is.
+   Claims and windows meet by anchor: a claim holds if a smaller id claims the
+   same digest, windows are compared one by one. The hashes of step 1 only say what is worth
+   claiming; nothing is removed on their word.
 4. Runs of removable windows go back to their documents.
 
-Entries travel as packed arrays, one row for each task and bucket. Documents
-are joined twice by id; Spark shuffles them once and reads that shuffle again.
+Entries travel as packed arrays, one row for each task and bucket. A task has
+several buckets and takes them one after another. Documents are joined twice by
+id; Spark shuffles them once and reads that shuffle again. Long texts are read in
+pieces that overlap by a window less one unit: each window lies in one piece, and
+spans that a border cuts differ from others around their anchor, which step 3 settles.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple, Protocol
 
@@ -31,10 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_parts, slices, text_buffer
 
-#: Bits of an anchor hash that travel beside its bucket.
-CODE_BITS = 40
-#: Entries that a task sorts at a time, and bytes of text that it looks at together.
-ENTRIES, CHUNK = 1 << 21, 1 << 20
+#: Bits of an anchor hash that travel beside its bucket, and of a span's hash.
+CODE_BITS, SPAN_BITS = 40, 47
+#: Entries that a task sorts at a time, bytes of text that it looks at together, and bytes that it gathers before it sends them.
+ENTRIES, CHUNK, SEND = 1 << 19, 1 << 20, 1 << 23
+#: Buckets that a task takes one after another, so that it holds this share of its input.
+BUCKETS_A_TASK = 4
+#: What a document is told about a span: claim it, or send its windows.
+CLAIM, ASK = 0, 1
 #: Join key of rows without an id.
 NO_ID = -(1 << 63)
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -57,6 +67,11 @@ class Shape(Protocol):
 
     def anchors(self, buf: np.ndarray, off: np.ndarray) -> Anchors: ...
 
+    def pieces(self, buf: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+        """(first byte, last byte, units before) of pieces of a long text."""
+
+    def digests(self, found: Anchors, at: np.ndarray) -> np.ndarray: ...
+
     def records(self, found: Anchors, at: np.ndarray) -> list[bytes]: ...
 
     def removable(self, code: np.ndarray, ids: np.ndarray, near: np.ndarray, far: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]: ...
@@ -79,6 +94,12 @@ def unplanes(data: bytes, size: int) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
+def text_digests(texts: list[bytes], near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """A 64-bit BLAKE2 digest of each text and its anchor's place in it; no relation to the hashes that brought the texts together."""
+    blake, salt = hashlib.blake2b, [bytes((n & 255, f & 255)) for n, f in zip(near.tolist(), far.tolist())]
+    return np.frombuffer(b"".join([blake(t, digest_size=8, salt=x).digest() for t, x in zip(texts, salt)]), "<u8")
+
+
 def starts_of(*keys: np.ndarray) -> np.ndarray:
     """Whether a sorted row differs from the one before it in any key."""
     out = np.ones(len(keys[0]), bool)
@@ -89,7 +110,7 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def tag(bucket: np.ndarray, code: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """One number for an anchor and its span; the lowest bit is free for what is said about it."""
+    """One number for an anchor and its span; the lowest bit is free for what a document is told."""
     return mixed(mixed((bucket.astype(np.uint64) << np.uint64(CODE_BITS)) | code) + span * STEP) & ~np.uint64(1)
 
 
@@ -97,48 +118,70 @@ def split_code(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(CODE_BITS)) % np.uint64(buckets)).astype(np.int64), h & np.uint64((1 << CODE_BITS) - 1)
 
 
-def chunks(ids: np.ndarray, text: pa.Array, shape: Shape) -> Iterator[tuple[int, np.ndarray, Anchors]]:
-    """(first row, its ids, anchors) of runs of documents of about CHUNK bytes."""
+def chunks(ids: np.ndarray, text: pa.Array, shape: Shape) -> Iterator[tuple[int, Anchors]]:
+    """(first row, anchors) of runs of documents of about CHUNK bytes, and of pieces of longer ones."""
     buf, off = text_buffer(text)
     for a, z in slices(off, CHUNK):
-        yield a, ids[a:z], shape.anchors(buf[off[a]:off[z]], off[a:z + 1] - off[a])
+        own = buf[off[a]:off[z]]
+        if len(own) <= 2 * CHUNK:
+            yield a, shape.anchors(own, off[a:z + 1] - off[a])
+            continue
+        for first, last, before in shape.pieces(own, CHUNK):
+            found = shape.anchors(own[first:last], np.array([0, last - first]))
+            yield a, found._replace(place=found.place + before)
 
 
-def by_home(ids: np.ndarray, buckets: int, *columns: tuple[np.ndarray, int]) -> pa.RecordBatch:
-    """What goes back to documents, packed for the task that gathers it: a row for each home, not for each document."""
-    home = (ids.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+def home_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that gathers what goes back to a document; ids of any pattern spread evenly."""
+    return (mixed(ids.view(np.uint64) * STEP) % np.uint64(buckets)).astype(np.int64)
+
+
+def owners(ids: np.ndarray, keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Each (id, key) once, packed, and its number for each row."""
+    order = np.lexsort((keys, ids))
+    new = starts_of(ids[order], keys[order])
+    index = np.empty(len(ids), np.int64)
+    index[order] = np.cumsum(new) - 1
+    own = order[new]
+    return [planes(ids[own].view(np.uint64), 8), planes(keys[own].view(np.uint64), 8)], index
+
+
+def by_home(ids: np.ndarray, keys: np.ndarray, buckets: int, *columns: tuple[np.ndarray, int]) -> pa.RecordBatch:
+    """What goes back to documents, packed for the bucket that gathers it: a row for each home, not for each document."""
+    home = home_of(ids, buckets)
     order = np.argsort(home, kind="stable")
     edges = np.append(np.flatnonzero(starts_of(home[order])), len(ids)) if len(ids) else np.zeros(1, np.int64)
     rows = []
     for a, z in zip(edges[:-1], edges[1:]):
         at = order[a:z]
-        own, index = np.unique(ids[at], return_inverse=True)
-        rows.append([int(home[at[0]]), planes(index, 4), planes(own.view(np.uint64), 8), *(planes(values[at].astype(np.uint64), size) for values, size in columns)])
-    names = ["doc", "ids", *(f"c{i}" for i in range(len(columns)))]
+        own, index = owners(ids[at], keys[at])
+        rows.append([int(home[at[0]]), planes(index, 4), *own, *(planes(values[at].astype(np.uint64), size) for values, size in columns)])
+    names = ["doc", "ids", "keys", *(f"c{i}" for i in range(len(columns)))]
     return rows_batch(rows, pa.schema([("home", pa.int32()), *((n, pa.binary()) for n in names)]))
 
 
 def gather(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """One row for each document with all that came back to it; rows come sorted by home."""
+    """One row for each document with all that came back to it, and the keys of what came; rows come sorted by home."""
     names = [f"c{i}" for i in range(len(sizes))]
     for _, rows in bucket_runs(batches, "home"):
-        ids = np.concatenate([unplanes(r["ids"], 8).view(np.int64)[unplanes(r["doc"], 4)] for r in rows])
+        doc = [unplanes(r["doc"], 4) for r in rows]
+        ids, keys = (np.concatenate([unplanes(r[n], 8).view(np.int64)[d] for r, d in zip(rows, doc)]) for n in ("ids", "keys"))
         order = np.argsort(ids, kind="stable")
         edges = np.flatnonzero(starts_of(ids[order]))
         packed = []
-        for name, size in zip(names, sizes):
-            values = np.concatenate([unplanes(r[name], size) for r in rows])[order].astype(f"<u{size}")
+        for name, size in (("keys", 8), *zip(names, sizes)):
+            values = (keys if name == "keys" else np.concatenate([unplanes(r[name], size) for r in rows]))[order].astype(f"<{'i' if name == 'keys' else 'u'}{size}")
             packed.append(pa.array([x.tobytes() for x in np.split(values, edges[1:])], pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[order][edges]), *packed], ["node", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[order][edges]), *packed], ["node", "keys", *names])
 
 
-def gathered(df: DataFrame, buckets: int, sizes: tuple[int, ...]) -> DataFrame:
+def gathered(df: DataFrame, tasks: int, sizes: tuple[int, ...]) -> DataFrame:
     columns = ", ".join(f"c{i} binary" for i in range(len(sizes)))
-    return df.repartition(buckets, "home").sortWithinPartitions("home").mapInArrow(lambda it: gather(it, sizes), f"node long, {columns}")
+    return df.repartition(tasks, "home").sortWithinPartitions("home").mapInArrow(lambda it: gather(it, sizes), f"node long, keys binary, {columns}")
 
 
 def homes(count: int) -> str:
-    return "home int, doc binary, ids binary" + "".join(f", c{i} binary" for i in range(count))
+    return "home int, doc binary, ids binary, keys binary" + "".join(f", c{i} binary" for i in range(count))
 
 
 ENTRY = "bucket int, code binary, span binary, doc binary, ids binary"
@@ -149,7 +192,7 @@ def entry_rows(bucket: np.ndarray, code: np.ndarray, span: np.ndarray, ids: np.n
     edges = np.append(np.flatnonzero(starts_of(bucket)), len(bucket)) if len(bucket) else np.zeros(1, np.int64)
     for a, z in zip(edges[:-1], edges[1:]):
         own, doc = np.unique(ids[a:z], return_inverse=True)
-        yield [int(bucket[a]), planes(code[a:z], code_size), planes(span[a:z], 4), planes(doc, 4), planes(own.view(np.uint64), 8)]
+        yield [int(bucket[a]), planes(code[a:z], code_size), planes(span[a:z], 6), planes(doc, 4), planes(own.view(np.uint64), 8)]
 
 
 def rows_batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
@@ -157,33 +200,39 @@ def rows_batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def map_anchors(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 1. Rows with a bucket below 0 hold settled tags, spread over the tasks by their number."""
+    """Step 1. A span's lowest bit says whether several documents of the task have it. Rows with a bucket below 0 hold the
+    tags that all but the first of those are told, spread by home."""
     schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("code", "span", "doc", "ids"))])
     held: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
         ids, h, span = (np.concatenate([x[i] for x in held]) for i in range(3))
+        held.clear()
         bucket, code = split_code(h, buckets)
+        del h
         order = np.lexsort((ids, span, code, bucket))
         ids, bucket, code, span = ids[order], bucket[order], code[order], span[order]
+        del order
         new = starts_of(bucket, code, span)
-        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ids) else ids
-        rows = list(entry_rows(bucket[new], code[new], span[new], ids[new]))
-        done = (ids > least) & starts_of(bucket, code, span, ids)
+        first = np.flatnonzero(new)
+        done = (ids > ids[first][np.cumsum(new) - 1]) & starts_of(bucket, code, span, ids)
+        several = np.logical_or.reduceat(done, first) if len(first) else done
+        rows = list(entry_rows(bucket[first], code[first], span[first] << np.uint64(1) | several, ids[first]))
         tags, owner = tag(bucket[done], code[done], span[done]), ids[done]
-        home = -1 - (owner.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        home = -1 - home_of(owner, buckets)
         order = np.argsort(home, kind="stable")
         rows += entry_rows(home[order], tags[order], np.zeros(len(order), np.uint64), owner[order], 8)
         return rows_batch(rows, schema)
 
     for batch in batches:
-        for _, ids, found in chunks(batch.column(0).to_numpy(), batch.column(1), shape):
-            held.append((ids[found.row], found.code, found.span & np.uint64(0xFFFFFFFF)))
+        ids = batch.column(0).to_numpy()
+        for a, found in chunks(ids, batch.column(1), shape):
+            held.append((ids[a + found.row], found.code, found.span & np.uint64((1 << SPAN_BITS) - 1)))
             size += len(found.row)
             if size >= ENTRIES:
                 yield flush()
-                held, size = [], 0
+                size = 0
     if held:
         yield flush()
 
@@ -192,27 +241,28 @@ def bucket_runs(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Itera
     """All packed rows of one bucket after another; rows come sorted by bucket."""
     now, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row[key] != now and held:
+        for i, at in enumerate(batch.column(key).to_pylist()):
+            if at != now and held:
                 yield now, held
                 held = []
-            now = row[key]
-            held.append(row)
+            now = at
+            held += batch.slice(i, 1).to_pylist()
     if held:
         yield now, held
 
 
 def meet_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 2: tags for each document; a tag's lowest bit asks for the windows, without it all windows of the span are removable."""
+    """Step 2: what each document is told, as tags."""
     for bucket, rows in bucket_runs(batches):
         ids = np.concatenate([unplanes(r["ids"], 8).view(np.int64)[unplanes(r["doc"], 4)] for r in rows])
         if bucket < 0:
-            yield by_home(ids, buckets, (np.concatenate([unplanes(r["code"], 8) for r in rows]), 8))
+            yield by_home(ids, np.zeros_like(ids), buckets, (np.concatenate([unplanes(r["code"], 8) for r in rows]), 8))
             continue
         code = np.concatenate([unplanes(r["code"], 5) for r in rows])
-        span = np.concatenate([unplanes(r["span"], 4) for r in rows])
-        order = np.lexsort((ids, span, code))
+        span = np.concatenate([unplanes(r["span"], 6) for r in rows])
+        order = np.lexsort((ids, span >> np.uint64(1), code))
         ids, code, span = ids[order], code[order], span[order]
+        several, span = (span & np.uint64(1)).astype(bool), span >> np.uint64(1)
         new, run = starts_of(code, span), starts_of(code)
         first = np.flatnonzero(new)
         least = ids[first][np.cumsum(new) - 1]
@@ -220,63 +270,83 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         edges = np.flatnonzero(starts_of(code[first]))
         asked = np.minimum.reduceat(ids[first], edges) != np.maximum.reduceat(ids[first], edges)
         ask = asked[np.cumsum(run) - 1] & new
-        done = (ids > least) & starts_of(code, span, ids)
-        tags = tag(np.full(len(ids), bucket), code, span) | ask.astype(np.uint64)
-        keep = ask | done
-        yield by_home(ids[keep], buckets, (tags[keep], 8))
+        # A span that several documents have is claimed by all of them, by the first one too.
+        shared = np.logical_or.reduceat(several | (ids > least), first)[np.cumsum(new) - 1]
+        claim = shared & starts_of(code, span, ids)
+        tags = tag(np.full(len(ids), bucket), code, span)
+        told = np.concatenate((tags[claim] | np.uint64(CLAIM), tags[ask] | np.uint64(ASK)))
+        owner = np.concatenate((ids[claim], ids[ask]))
+        yield by_home(owner, np.zeros_like(owner), buckets, (told, 8))
 
 
-RUN = "bucket int, code binary, doc binary, ids binary, keys binary, place binary, near binary, far binary, data array<binary>"
+RUN = "bucket int, code binary, doc binary, ids binary, keys binary, place binary, near binary, far binary, digest binary, data array<binary>"
 
 
 def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 3, at the documents: windows that were asked for by bucket, and settled runs with a bucket below 0."""
-    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("code", "doc", "ids", "keys", "place", "near", "far")), ("data", pa.list_(pa.binary()))])
+    """Step 3, at the documents: claims with their digests, and windows that were asked for, by the anchor's bucket."""
+    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("code", "doc", "ids", "keys", "place", "near", "far", "digest")), ("data", pa.list_(pa.binary()))])
     for batch in batches:
         ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists = batch.column(3).to_pylist()
+        lists = batch.column(3)
         rows: list[list] = []
-        for a, _, found in chunks(ids, batch.column(2), shape):
+        size = 0
+        for a, found in chunks(ids, batch.column(2), shape):
             if not len(found.row):
                 continue
             bucket, code = split_code(found.code, buckets)
-            mine = tag(bucket, code, found.span & np.uint64(0xFFFFFFFF))
+            mine = tag(bucket, code, found.span & np.uint64((1 << SPAN_BITS) - 1))
             last = int(found.row.max()) + 1
-            said = [np.frombuffer(lists[a + i], "<u8") for i in range(last)]
-            owner = np.repeat(np.arange(last, dtype=np.uint64), [len(s) for s in said])
+            said = [np.frombuffer(x, "<u8") for x in lists.slice(a, last).to_pylist()]
+            owner = np.repeat(np.arange(last, dtype=np.uint64), [len(x) for x in said])
             told = mixed(np.concatenate(said) ^ (owner * STEP))
             salt = found.row.astype(np.uint64) * STEP
-            settled, asked = np.isin(mixed(mine ^ salt), told), np.isin(mixed((mine | np.uint64(1)) ^ salt), told)
-            for which, home in ((settled, None), (asked, bucket)):
-                at = np.flatnonzero(which)
+            for kind in (CLAIM, ASK):
+                at = np.flatnonzero(np.isin(mixed((mine | np.uint64(kind)) ^ salt), told))
+                at = at[np.argsort(bucket[at], kind="stable")]
                 if not len(at):
                     continue
-                doc = a + found.row[at]
-                where = bucket[at] if home is not None else -1 - (ids[doc].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                at = at[order := np.argsort(where, kind="stable")]
-                doc, where = doc[order], where[order]
-                data = shape.records(found, at) if home is not None else None
+                doc, where = a + found.row[at], bucket[at]
+                data = shape.records(found, at) if kind == ASK else None
+                digest = shape.digests(found, at) if kind == CLAIM else None
                 edges = np.append(np.flatnonzero(starts_of(where)), len(where))
                 for i, j in zip(edges[:-1], edges[1:]):
-                    own, index = np.unique(doc[i:j], return_inverse=True)
-                    rows.append([int(where[i]), planes(code[at[i:j]], 5), planes(index, 4), planes(ids[own].view(np.uint64), 8), planes(keys[own].view(np.uint64), 8),
-                                 planes(found.place[at[i:j]], 4), planes(found.near[at[i:j]], 1), planes(found.far[at[i:j]], 1), data[i:j] if data else []])
+                    own, index = owners(ids[doc[i:j]], keys[doc[i:j]])
+                    rows.append([int(where[i]), planes(code[at[i:j]], 5), planes(index, 4), *own, planes(found.place[at[i:j]], 4), planes(found.near[at[i:j]], 1),
+                                 planes(found.far[at[i:j]], 1), planes(digest[i:j], 8) if digest is not None else b"", data[i:j] if data else []])
+                size += 32 * len(at) + (sum(map(len, data)) if data else 0)
+            if size >= SEND:
+                yield rows_batch(rows, schema)
+                rows, size = [], 0
         if rows:
             yield rows_batch(rows, schema)
 
 
+def unpacked(rows: list[dict], *fields: tuple[str, int]) -> list[np.ndarray]:
+    """Ids, keys and other fields of packed rows, end to end."""
+    doc = [unplanes(r["doc"], 4) for r in rows]
+    own = [np.concatenate([unplanes(r[n], 8).view(np.int64)[d] for r, d in zip(rows, doc)]) if rows else np.zeros(0, np.int64) for n in ("ids", "keys")]
+    return own + [np.concatenate([unplanes(r[n], size) for r in rows]) if rows else np.zeros(0, np.uint64) for n, size in fields]
+
+
 def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 3, at the anchors, and step 4: c0 keys, c1 first windows, c2 how many of the removable runs of each document."""
-    for bucket, rows in bucket_runs(batches):
-        doc = [unplanes(r["doc"], 4) for r in rows]
-        ids, keys = (np.concatenate([unplanes(r[n], 8).view(np.int64)[d] for r, d in zip(rows, doc)]) for n in ("ids", "keys"))
-        place, near, far = (np.concatenate([unplanes(r[n], s) for r in rows]).astype(np.int64) for n, s in (("place", 4), ("near", 1), ("far", 1)))
-        if bucket < 0:
-            first, many = place - far, far - near + 1
-        else:
-            code = np.concatenate([unplanes(r["code"], 5) for r in rows])
-            at, back = shape.removable(code, ids, near, far, [x for r in rows for x in r["data"]])
-            ids, keys, first, many = ids[at], keys[at], place[at] - back, np.ones(len(at), np.int64)
+    """Step 3, at the anchors, and step 4: c0 first windows, c1 how many, of the removable runs of each document."""
+    places = (("code", 5), ("place", 4), ("near", 1), ("far", 1))
+    for _, rows in bucket_runs(batches):
+        ids, keys, code, place, near, far, digest = unpacked([r for r in rows if r["digest"]], *places, ("digest", 8))
+        # A claim holds if a smaller id claims the same text around the same anchor.
+        order = np.lexsort((ids, digest, code))
+        new = starts_of(code[order], digest[order])
+        held = np.zeros(len(ids), bool)
+        if len(ids):
+            held[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        first, many = place.astype(np.int64) - far.astype(np.int64), far.astype(np.int64) - near.astype(np.int64) + 1
+        found = [(ids[held], keys[held], first[held], many[held])]
+        asked = [r for r in rows if not r["digest"]]
+        if asked:
+            ids, keys, code, place, near, far = unpacked(asked, *places)
+            at, back = shape.removable(code, ids, near.astype(np.int64), far.astype(np.int64), [x for r in asked for x in r["data"]])
+            found.append((ids[at], keys[at], place[at].astype(np.int64) - back, np.ones(len(at), np.int64)))
+        ids, keys, first, many = (np.concatenate(x) for x in zip(*found))
         # Runs that touch become one before they travel.
         order = np.lexsort((first, keys, ids))
         ids, keys, first, many = ids[order], keys[order], first[order], many[order]
@@ -287,34 +357,51 @@ def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int)
             edge = np.flatnonzero(fresh)
             stop = np.append(edge[1:], len(ids)) - 1
             ids, keys, first, many = ids[edge], keys[edge], first[edge], end[stop] - first[edge]
-        yield by_home(ids, buckets, (keys.view(np.uint64), 8), (first, 4), (many, 4))
+        yield by_home(ids, keys, buckets, (first, 4), (many, 4))
 
 
-def repeated_windows(df: DataFrame, shape: Shape, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
-    """All rows as (id, key, text, runs, row): ``runs`` are packed (key, first, many) of windows that also start in a smaller id.
+def repeated_windows(df: DataFrame, shape: Shape, id_col: str, text_col: str, others: list[str] = []) -> DataFrame:  # noqa: B006
+    """All rows as (id, key, text, runs, c_0, c_1, ...): ``runs`` are packed (keys, c0 first, c1 many) of windows that also start in a smaller id.
 
     ``key`` is a hash of the text, so that rows which share an id keep their own
-    runs; ``row`` holds the columns named in ``carry``. Rows without an id neither remove nor lose anything.
+    runs; ``c_i`` are the columns named in ``others``. Rows without an id neither remove nor lose anything.
     """
-    buckets = shuffle_parts(df.sparkSession)
+    tasks = shuffle_parts(df.sparkSession)
+    buckets = tasks * BUCKETS_A_TASK
     text, row_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
-    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("string")
+    kept = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(others)]
     # Both joins take the same columns and a key that is never NULL, so that the second one reads the first one's shuffle.
-    docs = df.select(F.coalesce(row_id, F.lit(NO_ID)).alias("node"), row_id.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), row.alias("row"))
+    docs = df.select(F.coalesce(row_id, F.lit(NO_ID)).alias("node"), row_id.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *kept)
+    names = [f"c_{i}" for i in range(len(others))]
     source = df.select(row_id.alias("id"), text.alias("text")).where("id is not null and text is not null")
     entries = source.mapInArrow(lambda it: map_anchors(it, shape, buckets), ENTRY)
-    tags = gathered(entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: meet_anchors(it, buckets), homes(1)), buckets, (8,))
-    asked = docs.join(tags.withColumnRenamed("c0", "tags"), "node").select("id", "key", "text", "tags", "row").mapInArrow(lambda it: ask_windows(it, shape, buckets), RUN)
-    runs = gathered(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        lambda it: meet_windows(it, shape, buckets), homes(3)), buckets, (8, 4, 4)).select("node", F.struct("c0", "c1", "c2").alias("runs"))
-    return docs.join(runs, "node", "left").select("id", "key", "text", "runs", "row")
-
-
-def covered(runs: dict, key: int, units: int, window: int) -> np.ndarray:
-    """Which of a row's units (words or bytes) lie in one of its removable windows."""
-    edge = np.zeros(units + 1, np.int64)
-    own = np.frombuffer(runs["c0"], "<i8") == key
-    first, many = (np.frombuffer(runs[n], "<u4").astype(np.int64)[own] for n in ("c1", "c2"))
-    np.add.at(edge, first, 1)
-    np.add.at(edge, np.minimum(first + many - 1 + window, units), -1)
-    return np.cumsum(edge[:-1]) > 0
+    tags = gathered(entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: meet_anchors(it, buckets), homes(1)), tasks, (8,))
+    asked = docs.join(tags.select("node", F.col("c0").alias("tags")), "node").select("id", "key", "text", "tags", *names)
+    sent = asked.mapInArrow(lambda it: ask_windows(it, shape, buckets), RUN)
+    runs = gathered(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda it: meet_windows(it, shape, buckets), homes(2)), tasks, (4, 4)).select("node", F.struct("keys", "c0", "c1").alias("runs"))
+    return docs.join(runs, "node", "left").select("id", "key", "text", "runs", *names)
+
+
+def covered(runs: dict | None, key: int, units: int, window: int) -> list[tuple[int, int]]:
+    """Stretches (first, end) of a row's units (words or bytes) that its removable windows cover, in order and apart."""
+    if not runs:
+        return []
+    own = np.frombuffer(runs["keys"], "<i8") == key
+    first, many = (np.frombuffer(runs[n], "<u4").astype(np.int64)[own] for n in ("c0", "c1"))
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.minimum((first + many - 1 + window)[order], units)
+    reach = np.maximum.accumulate(end)
+    edge = np.flatnonzero(np.concatenate(([True], first[1:] > reach[:-1])))
+    return list(zip(first[edge].tolist(), reach[np.append(edge[1:], len(first)) - 1].tolist()))
+
+
+def without(units, gone: list[tuple[int, int]]) -> list:
+    """What is left of a text or a list between the stretches that go."""
+    at, left = 0, []
+    for first, end in gone:
+        left.append(units[at:first])
+        at = end
+    return [*left, units[at:]]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import SPACES
-from .passages import STEP, Anchors, covered, mixed, repeated_windows, starts_of
+from .passages import STEP, Anchors, covered, mixed, repeated_windows, starts_of, text_digests, without
 
 PERIOD, COVER, ANCHOR, WINDOW = 7, (0, 1, 3), 7, 13
 #: Odd, so that powers have inverses modulo 2**64.
@@ -31,8 +31,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number in the row, hash) of all words. No word goes over the end of its row."""
+def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, number in the row, hash, first byte, end) of all words. No word goes over the end of its row."""
     solid = ~SPACE[buf]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -40,27 +40,28 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin[inner] = solid[inner]
     start = np.flatnonzero(begin)
     if not len(start):
-        return start, start, start.astype(np.uint64)
+        return start, start, start.astype(np.uint64), start, start
     word = np.cumsum(begin) - 1
     at = np.flatnonzero(solid)
     local = at - start[word[at]]
     value = (buf[at].astype(np.uint64) + np.uint64(1)) * powers(BASE, int(local.max()) + 1)[local]
     edge = np.flatnonzero(local == 0)
-    h = mixed(np.add.reduceat(value, edge) + np.diff(np.append(edge, len(at))).astype(np.uint64) * STEP)
+    size = np.diff(np.append(edge, len(at)))
+    h = mixed(np.add.reduceat(value, edge) + size.astype(np.uint64) * STEP)
     row = np.searchsorted(off, start, side="right") - 1
     first = np.flatnonzero(starts_of(row))
-    return row, np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))), h
+    return row, np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row)))), h, start, start + size
 
 
 class WordWindows:
     window = WINDOW
 
     def anchors(self, buf: np.ndarray, off: np.ndarray) -> Anchors:
-        row, number, h = word_hashes(buf, off)
+        row, number, h, start, end = word_hashes(buf, off)
         count = len(h) - WINDOW + 1
         if count <= 0:
             none = np.zeros(0, np.int64)
-            return Anchors(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none, none.astype(np.uint64))
+            return Anchors(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none, ())
         factor = powers(BASE, WINDOW)
         seven = sum(h[i:len(h) - ANCHOR + 1 + i] * factor[i] for i in range(ANCHOR))
         whole = mixed(sum(h[i:count + i] * factor[i] for i in range(WINDOW)))
@@ -76,20 +77,40 @@ class WordWindows:
         there = around != 0
         near, far = there.argmax(axis=1), around.shape[1] - 1 - there[:, ::-1].argmax(axis=1)
         span = mixed((around * powers(int(STEP), around.shape[1])).sum(axis=1, dtype=np.uint64) + near.astype(np.uint64) * np.uint64(8) + far.astype(np.uint64))
-        return Anchors(row[place], number[place], mixed(seven[place]), span, near, far, around)
+        return Anchors(row[place], number[place], mixed(seven[place]), span, near, far, (buf, start, end, place))
+
+    def pieces(self, buf: np.ndarray, size: int):
+        """Pieces start at every so many words, a multiple of the period, so anchors stand where they do in the whole text."""
+        solid = ~SPACE[buf]
+        solid[1:] &= ~solid[:-1].copy()
+        start = np.flatnonzero(solid)
+        step = max(size * len(start) // max(len(buf), 1) // PERIOD, 1) * PERIOD
+        for first in range(0, max(len(start) - WINDOW + 1, 1), step):
+            last = first + step + WINDOW - 1
+            yield int(start[first]) if len(start) else 0, int(start[last]) if last < len(start) else len(buf), first
 
     def records(self, found: Anchors, at: np.ndarray) -> list[bytes]:
-        return [x.tobytes() for x in found.data[at]]
+        """The words of all windows of each anchor, joined by one space."""
+        buf, start, end, place = found.data
+        whole, first, last = buf.tobytes(), start[place[at] - found.far[at]], end[place[at] - found.near[at] + WINDOW - 1]
+        return [b" ".join(whole[a:z].split()) for a, z in zip(first.tolist(), last.tolist())]
+
+    def digests(self, found: Anchors, at: np.ndarray) -> np.ndarray:
+        return text_digests(self.records(found, at), found.near[at], found.far[at])
 
     def removable(self, code, ids, near, far, data):
-        """(entry, places back) of windows whose hash an entry of the same anchor with a smaller id has too."""
-        around = np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1)
-        at, back = np.nonzero(around)
-        h, code, owner = around[at, back], code[at], ids[at]
-        order = np.lexsort((owner, h, code))
-        new = starts_of(code[order], h[order])
-        gone = owner[order] > owner[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else np.zeros(0, bool)
-        return at[order][gone], back[order][gone]
+        """(entry, places back) of windows whose words an entry of the same anchor with a smaller id has too."""
+        least: dict[tuple[int, bytes], int] = {}
+        windows = []
+        for at, (anchor, owner, back, text) in enumerate(zip(code.tolist(), ids.tolist(), far.tolist(), data)):
+            words = text.split(b" ")
+            for i in range(len(words) - WINDOW + 1):
+                key = (anchor, b" ".join(words[i:i + WINDOW]))
+                windows.append((at, back - i, owner, key))
+                if owner < least.get(key, owner + 1):
+                    least[key] = owner
+        gone = [(at, back) for at, back, owner, key in windows if owner > least[key]]
+        return np.array([g[0] for g in gone], np.int64), np.array([g[1] for g in gone], np.int64)
 
 
 def without_repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
@@ -105,13 +126,9 @@ def without_repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str
             total, removed, digest, left = [], [], [], []
             for key, text, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 words = (text or "").encode().split()
-                if runs:
-                    gone = covered(runs, key, len(words), WINDOW)
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                    removed.append(int(gone.sum()))
-                else:
-                    kept = b" ".join(words)
-                    removed.append(0)
+                gone = covered(runs, key, len(words), WINDOW)
+                kept = b" ".join([w for part in without(words, gone) for w in part])
+                removed.append(sum(z - a for a, z in gone))
                 total.append(len(words))
                 digest.append(hashlib.sha256(kept).hexdigest())
                 if texts:

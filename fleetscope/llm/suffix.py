@@ -15,11 +15,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .passages import STEP, Anchors, covered, mixed, repeated_windows, starts_of
+from .passages import STEP, Anchors, covered, mixed, repeated_windows, starts_of, text_digests, without
 from .substring import BASE, powers
 
 WINDOW, GRAM = 50, 18
@@ -106,12 +107,20 @@ class ByteWindows:
         span = mixed(hashes.of(first, last + WINDOW - first) + mixed((near * 64 + far).astype(np.uint64)))
         return Anchors(row[spot], spot - off[row[spot]], mixed(h[spot]), span, near, far, [buf, spot])
 
+    def pieces(self, buf: np.ndarray, size: int):
+        for first in range(0, max(len(buf) - WINDOW + 1, 1), size):
+            yield first, min(first + size + WINDOW - 1, len(buf)), first
+
     def records(self, found: Anchors, at: np.ndarray) -> list[bytes]:
         """The bytes of all windows of each anchor."""
         buf, spot = found.data
         whole, place = buf.tobytes(), spot[at]
         return [whole[a:z] for a, z in zip((place - found.far[at]).tolist(), (place - found.near[at] + WINDOW).tolist())]
 
+    def digests(self, found: Anchors, at: np.ndarray) -> np.ndarray:
+        """A digest of those bytes and of where the anchor stands in them."""
+        return text_digests(self.records(found, at), found.near[at], found.far[at])
+
     def removable(self, code, ids, near, far, data):
         """(entry, places back) of windows that an entry with a smaller id has too."""
         if not data:
@@ -229,12 +238,9 @@ def without_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str
             cols: list[list] = [[], [], [], [], []]
             for key, text, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 data = (text or "").encode()
-                kept, removed, spans = data, 0, 0
-                if runs:
-                    gone = covered(runs, key, len(data), WINDOW)
-                    removed, spans = int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                for c, v in zip(cols, (len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept)):
+                gone = covered(runs, key, len(data), WINDOW)
+                kept = b"".join(without(data, gone))
+                for c, v in zip(cols, (len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept)):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
@@ -250,21 +256,25 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``length_col``, where there is one, becomes the length of the new text.
     Rows that lose everything stay, with an empty text. NULL texts stay NULL.
     """
-    others = [c for c in df.columns if c not in (text_col, length_col)]
-    found = repeated_windows(df, ByteWindows(), id_col, text_col, [c for c in others if c != id_col])
+    others = [c for c in df.columns if c not in (id_col, text_col, length_col)]
+    found = repeated_windows(df, ByteWindows(), id_col, text_col, others)
 
-    def run(batches):
-        for batch in batches:
-            texts = []
-            for key, text, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                if runs:
-                    data = text.encode()
-                    text = np.frombuffer(data, np.uint8)[~covered(runs, key, len(data), WINDOW)].tobytes().decode(errors="ignore")
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(4)], ["id", "text", "row"])
+    @F.pandas_udf("string")
+    def cut(key: pd.Series, text: pd.Series, runs: pd.DataFrame) -> pd.Series:
+        out = []
+        for k, t, r in zip(key, text, runs.to_dict("records")):
+            data = t.encode()
+            out.append(b"".join(without(data, covered(r, k, len(data), WINDOW))).decode(errors="ignore"))
+        return pd.Series(out, dtype=object)
 
     kinds = df.schema
-    rest = ", ".join(f"`{c}`: {kinds[c].dataType.simpleString()}" for c in others if c != id_col)
-    out = found.mapInArrow(run, f"id long, text string, row struct<{rest}>") if rest else found.mapInArrow(run, "id long, text string, row string")
+    text = F.when(F.col("text").isNotNull() & F.col("runs").isNotNull(), cut("key", F.coalesce("text", F.lit("")), no_runs("runs"))).otherwise(F.col("text"))
+    out = found.withColumn("text", text)
     made = {id_col: F.col("id").cast(kinds[id_col].dataType), text_col: F.col("text"), length_col: F.length("text").cast("long")}
-    return out.select(*[made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in df.columns])
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"c_{others.index(c)}").alias(c) for c in df.columns])
+
+
+def no_runs(column: str):
+    """The runs, or none where there are NULLs."""
+    empty = F.lit(b"")
+    return F.struct(*[F.coalesce(F.col(f"{column}.{n}"), empty).alias(n) for n in ("keys", "c0", "c1")])
