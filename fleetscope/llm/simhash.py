@@ -58,17 +58,18 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): ``fp`` is the fingerprint as a signed long. ASCII letters are lower-cased, words joined by one space."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    """(id, key, fp): ``fp`` is the fingerprint as a signed long, ``key`` a hash of the text. ASCII letters are lower-cased, words joined by one space."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def columns(batch: pa.RecordBatch) -> dict:
-        buf, off = text_buffer(batch.column(1))
+        buf, off = text_buffer(batch.column(2))
         data, borders = buf.tobytes(), off.tolist()
         fp = np.array([fingerprint(data[a:b], shingle) for a, b in zip(borders, borders[1:])], np.uint64)
-        return {"id": batch.column(0), "fp": pa.array(fp.view(np.int64))}
+        return {"id": batch.column(0), "key": batch.column(1), "fp": pa.array(fp.view(np.int64))}
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        per_batch(columns, schema), "id long, fp long")
+    text = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(
+        per_batch(columns, schema), "id long, key long, fp long")
 
 
 def part_masks() -> list[int]:
@@ -187,17 +188,10 @@ def link_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Rec
         yield out(held_key, held_fp)
 
 
-def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) for each row; ``component_id`` is the smallest id that links reach.
-
-    NULL and empty texts have fingerprint 0 and link like any other. Equal
-    fingerprints are one node, so copies cost one row before the comparison.
-    A NULL id gives a row but never names a component; a component of NULL ids
-    alone has NULL. Repeated ids stay separate rows.
-    """
+def groups(docs: DataFrame, radius: int) -> DataFrame:
+    """(fp, component_id) of all fingerprints; ``component_id`` is the smallest id that links reach."""
     if radius >= PARTS - SAME + 1:
         raise ValueError(f"the parts find up to {PARTS - SAME} bits")
-    docs = saved(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     nodes = docs.groupBy("fp").agg(F.min("id").alias("least"))
     keyed = nodes.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(part_masks())])).alias("key"))
     found = keyed.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(lambda it: link_runs(it, radius), "a long, b long")
@@ -205,14 +199,31 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: st
     label = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     names = label.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = label.join(names, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(
+    return label.join(names, "root").select("fp", "component_id")
+
+
+def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) for each row; ``component_id`` is the smallest id that links reach.
+
+    NULL and empty texts have fingerprint 0 and link like any other. Equal
+    fingerprints are one node, so copies cost one row before the comparison.
+    A NULL id gives a row but never names a component; a component of NULL ids
+    alone has NULL. Repeated ids stay separate rows. An empty table gives no rows.
+    """
+    docs = saved(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    return docs.join(groups(docs, radius), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: that with the smallest id. Among rows of that id, one; rows without an id stay."""
-    out = near_duplicates(df, shingle, radius, id_col, text_col)
-    first = out.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_first")).distinct()
-    kept = df.join(first, df[id_col].cast("long") == first["_first"], "left_semi").dropDuplicates([id_col])
-    return kept.union(df.where(F.col(id_col).isNull()))
+    """One row of each group: that with the smallest id. Rows without an id stay.
+
+    A row is known by its id and a hash of its text: where ids repeat, the least
+    hash of the smallest id stays, in every run. Of rows equal in both, one stays.
+    """
+    docs = saved(fingerprints(df, shingle, id_col, text_col), "fingerprints")
+    first = (docs.where("id is not null").join(groups(docs, radius), "fp").groupBy("component_id")
+                 .agg(F.min(F.struct("id", "key")).alias("kept")).select(F.col("kept.id").alias("_id"), F.col("kept.key").alias("_key")))
+    named = df.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.xxhash64(F.col(text_col).cast("string"))})
+    kept = named.join(first, (named["_own_id"] == first["_id"]) & (named["_own_key"] == first["_key"]), "left_semi")
+    return kept.dropDuplicates(["_own_id", "_own_key"]).drop("_own_id", "_own_key").union(df.where(F.col(id_col).isNull()))
