@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved
 
-#: Words that the even shares leave to the knapsack search; the table of sources may hold so many rows.
-RESERVE, MAX_SOURCES = 1 << 15, 100_000
+#: Words that the even shares leave to the knapsack search.
+RESERVE = 1 << 15
 #: Documents that one task orders by hash at a time; larger groups of one length are cut into slots of about this many.
 SLOT = 5_000
 
@@ -100,19 +100,19 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(id, size, source_size, target, taken) for each row; ``carry`` gives the input's row as a struct ``_row`` and ``repeats`` instead.
 
     ``taken`` is ``size`` times the number of times the row is used. Rows of
-    size 0 take 0. NULL sources are one source, last in order. Rows of one
-    source, length and id are taken or left together. The same input gives the
-    same result on every run.
+    size 0 take 0. NULL sources are one source, last in order. A NULL text has
+    size 0. Rows of one source and length are ordered by a seeded hash of id
+    and text, and of equal ones just as many are taken as the length still
+    owes, so repeated and NULL ids do not move a source off its target. The same input
+    gives the same result on every run. An empty table gives no rows.
     """
     spark, keys = df.sparkSession, ["_src", "_none", "size"]
     marks = [F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), F.col(source_col).isNull().alias("_none"),
-             word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("_h")]
+             word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_h")]
     rows = saved(df.select(F.col(id_col).cast("long").alias("_id"), *marks), "sizes")
     lengths = rows.groupBy(*keys).agg(F.count("*").alias("docs"))
 
-    sources = lengths.groupBy("_src", "_none").agg(F.sum(F.col("size") * F.col("docs")).alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(sources) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sources = lengths.groupBy("_src", "_none").agg(F.sum(F.col("size") * F.col("docs")).alias("words")).collect()  # a row a source
     sizes = [(None if r["_none"] else r["_src"], r["words"]) for r in sources]
     targets = budgets(sizes, weight, times)
     goal = [(name or "", name is None, words, targets[name]) for name, words in sizes]
@@ -124,7 +124,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         rest = 0 if whole >= times or not total else min(total, round(target) - whole * total)
         return table.assign(whole=whole, extra=fit(table["size"].to_numpy(), table["docs"].to_numpy(), max(0, rest)) if total else 0)
 
-    goals = F.broadcast(spark.createDataFrame(goal, "_src string, _none boolean, source_size long, target double"))  # at most MAX_SOURCES rows
+    goals = spark.createDataFrame(goal, "_src string, _none boolean, source_size long, target double")
     shares = saved(lengths.join(goals, ["_src", "_none"]).groupBy("_src", "_none").applyInPandas(
         plan, "_src string, _none boolean, size long, docs long, source_size long, target double, whole long, extra long"), "shares")
 
@@ -135,17 +135,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     counts = placed.groupBy(*keys, "_slot").agg(F.count("*").alias("here"), F.first("extra").alias("extra"))
     before = F.coalesce(F.sum("here").over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     on = counts.select(*keys, "_slot", "here", (F.col("extra") - before).alias("give")).where("give > 0 and give <= here")
-    place = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_h"))
-    borders = placed.join(on, [*keys, "_slot"]).withColumn("_place", place).where("_place = give").select(*keys, F.col("_h").alias("_border"))
+    inside = Window.partitionBy(*keys, "_slot").orderBy("_h")
+    owed = F.col("give") - F.rank().over(inside) + 1  # of the rows with the border's hash
+    borders = placed.join(on, [*keys, "_slot"]).select(*keys, "_h", "give", F.row_number().over(inside).alias("_place"), owed.alias("_owed")).where(
+        "_place = give").select(*keys, F.col("_h").alias("_border"), "_owed")
     border = F.when(F.col("extra") >= F.col("docs"), F.lit(2**63 - 1)).otherwise(F.col("_border"))
-    table = shares.join(borders, keys, "left").select(*keys, "source_size", "target", "whole", border.alias("_border"))
+    table = saved(shares.join(borders, keys, "left").select(*keys, "source_size", "target", "whole", border.alias("_border"), "_owed"), "borders")
+
+    # Rows with the border's own hash are numbered only where there are more of them than the length still owes.
+    equal = rows.join(table.where("_owed is not null"), keys).where("_h = _border").groupBy(*keys).agg(F.count("*").alias("n"), F.first("_owed").alias("owed"))
+    tied = saved(equal.where("n > owed").select(*keys, F.lit(True).alias("_tied")), "ties")
+
+    def with_times(df: DataFrame) -> DataFrame:
+        if tied.isEmpty():
+            below = F.coalesce(F.col("_h") <= F.col("_border"), F.lit(False))
+            return df.join(table, keys).withColumn("_again", F.col("whole") + below.cast("long"))
+        met = df.join(table.join(tied, keys, "left"), keys)
+        on_border = F.coalesce(F.col("_tied") & (F.col("_h") == F.col("_border")), F.lit(False))
+        number = F.row_number().over(Window.partitionBy(*keys, "_h", F.when(~on_border, F.monotonically_increasing_id())).orderBy("_h"))
+        below = F.when(on_border, number <= F.col("_owed")).otherwise(F.coalesce(F.col("_h") <= F.col("_border"), F.lit(False)))
+        return met.withColumn("_again", F.col("whole") + below.cast("long"))
 
-    again = F.col("whole") + F.coalesce(F.col("_h") <= F.col("_border"), F.lit(False)).cast("long")
     if carry:
         full = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *marks)
-        return full.join(table, keys).select("_row", again.alias("repeats"))
-    return rows.join(table, keys).select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * again).alias("taken"))
+        return with_times(full).select("_row", F.col("_again").alias("repeats"))
+    return with_times(rows).select(
+        F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("_again")).alias("taken"))
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
