@@ -1,7 +1,8 @@
 """BPE encoding and decoding (operator 3) as a bounded-lookahead streaming transducer.
 
 The encoder reads a merge list and computes how far a change at the end of a
-text can reach back into its tokens (``sufficient_lookahead``). A run of
+text can reach back into its tokens (``sufficient_lookahead``). A text goes in
+block by block, cut at white space, and ids come out as they become stable. A run of
 symbols longer than that is encoded through a window: tokens that end before
 the reach of what is still unread are stable and leave the window, the rest
 starts again from the last stable border. Memory is the window and a bounded
@@ -28,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SPACES
+
 #: Longest stretch without white space that is cached, in bytes, and cached stretches per generation.
 CACHED_BYTES, CACHED_WORDS = 64, 400_000
-#: Ids that the decoder takes at a time.
-DECODE_BLOCK = 1 << 16
+#: Bytes of text that go in at a time, and ids that the decoder takes at a time.
+BLOCK, DECODE_BLOCK = 1 << 18, 1 << 16
 #: The rank of a pair that no merge has.
 NONE = 1 << 60
 
@@ -187,6 +190,29 @@ class Encoder:
         young = self.young.get
         return b"".join([young(w) or self.cached(w) for w in data.split()])
 
+    def transduce(self, data: bytes | memoryview, block: int = BLOCK) -> Iterator[bytes]:
+        """The same ids, as they become stable: a block of text goes in, cut at its last white space, and its ids come out.
+
+        Beyond the text, one block and its ids are held. A stretch without white
+        space that is longer than a block goes in whole; inside it, words leave
+        through the lookahead's window.
+        """
+        at, size = 0, len(data)
+        while at < size:
+            piece = bytes(data[at:at + block])
+            if at + block < size:
+                cut = max(piece.rfind(bytes([s])) for s in SPACES)
+                while cut < 0:
+                    more = bytes(data[at + len(piece):at + 2 * len(piece)])
+                    found = [i for s in SPACES if (i := more.find(bytes([s]))) >= 0]
+                    cut = len(piece) + min(found) if found else (-1 if at + len(piece) + len(more) < size else len(piece) + len(more))
+                    piece += more
+                piece = piece[:cut]
+            at += max(len(piece), 1)
+            ids = self.encode(piece)
+            if ids:
+                yield ids
+
 
 class Decoder:
     """Ids to text, a block at a time; ``feed`` gives what is complete, ``end`` what is left.
@@ -224,8 +250,10 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     ``texts`` adds ``ids`` and ``decoded``. NULL and empty texts have no ids and
     decode to an empty text. Ids may be NULL or repeat: rows stay apart. Other
-    columns are ignored. Rows are independent: no shuffle, and a lost task is
-    simply run again.
+    columns are ignored. An empty table gives no rows. A text of any length
+    goes through in blocks: beside it, a task holds one block and its ids (all
+    ids and the decoded text only with ``texts``). Rows are independent: no
+    shuffle, and a lost task is simply run again.
     """
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if texts else "")
 
@@ -234,18 +262,23 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for value in batch.column(1):
-                data = value.as_buffer().to_pybytes() if value.is_valid else b""
-                ids = enc.encode(data)
-                digest, dec, out = hashlib.sha256(), Decoder(enc), []
-                numbers = np.frombuffer(ids, "<u4")
-                for at in range(0, len(numbers), DECODE_BLOCK):
-                    piece = dec.feed(numbers[at:at + DECODE_BLOCK].tolist())
-                    digest.update(piece.encode())
+                data = memoryview(value.as_buffer()) if value.is_valid else b""
+                count, encoded, digest, dec, kept, out = 0, hashlib.sha256(), hashlib.sha256(), Decoder(enc), [], []
+                for ids in enc.transduce(data):
+                    numbers = np.frombuffer(ids, "<u4")
+                    count += len(numbers)
+                    encoded.update(ids)
+                    for at in range(0, len(numbers), DECODE_BLOCK):
+                        piece = dec.feed(numbers[at:at + DECODE_BLOCK].tolist())
+                        digest.update(piece.encode())
+                        if texts:
+                            out.append(piece)
                     if texts:
-                        out.append(piece)
+                        kept.append(numbers.astype(np.int32))
                 last = dec.end()
                 digest.update(last.encode())
-                for col, v in zip(cols, (len(numbers), hashlib.sha256(ids).hexdigest(), digest.hexdigest(), numbers.astype(np.int32) if texts else None, "".join(out) + last)):
+                whole = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+                for col, v in zip(cols, (count, encoded.hexdigest(), digest.hexdigest(), whole, "".join(out) + last)):
                     col.append(v)
             arrays = [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
