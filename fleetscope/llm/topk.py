@@ -79,6 +79,8 @@ def scan(block: dict[int, tuple], batches: Iterator[pa.RecordBatch], k: int, sca
                 if len(a):
                     best.add(a, name[b], -inner(q, x, a, b))
     for own, _, _, _, best in held.values():
+        if len(best.score) and max(map(abs, best.score)) >= 2**63:
+            raise OverflowError("an inner product does not fit into a long: scale the vectors down")
         yield pa.RecordBatch.from_arrays(
             [pa.array(own[best.query]), pa.array(best.id), pa.array([int(-s) for s in best.score], pa.int64())], ["query_id", "vec_id", "score"])
 
@@ -90,6 +92,8 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     different lengths don't meet. NULL ids, NULL and empty vectors, and those
     with NULL or non-finite components take no part. A repeated id is one
     query, with the least of its vectors, and as many candidates as it has rows.
+    Scores are longs: a pair whose score does not fit into one stops the job
+    with a message. An empty table gives no rows.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     return search(query_rows(df, is_query, id_col, vector_col), rows, k, block_of(scale),

@@ -337,3 +337,65 @@ def test_difference_cover():
     for gap in range(substring.PERIOD):
         assert any((a - b) % substring.PERIOD == gap for a in substring.COVER for b in substring.COVER)
     assert substring.ANCHOR + substring.PERIOD - 1 == substring.WINDOW
+
+
+@pytest.mark.parametrize("ids", [[None] * 300, [7] * 300, list(range(300))], ids=["none", "repeated", "own"])
+@pytest.mark.parametrize("same", [True, False])
+def test_mix_comes_near_its_target_whatever_the_ids(spark, ids, same):
+    """Three hundred documents of five words in a source that may give 900 of its words, also where all rows are equal."""
+    rows = [(i, " ".join(["w"] * 4 + ["x" if same else f"x{n}"]), "a") for n, i in enumerate(ids)] + [(1000 + n, "big " * 30, s) for s in "bc" for n in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for mixed in (mixing.mix(df), mixing.mix(df)):
+        got = {(r.source_size, round(r.target, 6)): r.taken for r in mixed.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()}
+        assert all(abs(t - taken) <= 5 + 30 for (_, t), taken in got.items() if t < 3 * 1500)
+        assert abs(next(t for (size, t) in got if size == 1500) - next(v for (size, _), v in got.items() if size == 1500)) <= 5
+    carried = mixing.mixed_documents(df).where("source = 'a'").count() * 5
+    assert abs(carried - next(t for (size, t) in got if size == 1500)) <= 5
+
+
+def test_keep_one_knows_rows_by_id_and_text(spark):
+    """Ids 3, 5, 5: the unique text under the repeated id stays, the near copy of 3 goes; the same in every run."""
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [(3, base), (5, base + " more"), (5, "something else that nobody has written so far " * 3), (9, base), (9, base), (None, base)]
+    for parts in (1, 3):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert rows_of(kept) == sorted([(3, base), rows[2], (None, base)], key=key)
+
+
+def test_score_against_counts_that_are_not_quantised(spark):
+    """The smoothed formula with exact counts: levels of base 1.5 move a token by less than log10(1.5), and none when all counts are 0."""
+    docs = frame(spark, fuzz(21))
+    held = lm.fold()
+    got = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): r for r in lm.score(docs, lm.fit(docs, ~held), held).collect()}
+    lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    tokens_of = lambda t: [*(t or "").encode().translate(lower).split(), None]
+    train = [tokens_of(r.text) for r in docs.where(~held).collect()]
+    words = collections.Counter(t for d in train for t in d)
+    pairs = collections.Counter(p for d in train for p in zip(["begin", *d[:-1]], d))
+    total, kinds = sum(words.values()), len(words)
+    for r in docs.collect():
+        toks, exact = tokens_of(r.text), 0.0
+        for before, token in zip(["begin", *toks[:-1]], toks):
+            seen = len(train) if before == "begin" else words[before]
+            share = pairs[before, token] / seen if seen else 0.0
+            exact += math.log10(0.3 * share + 0.7 * (words[token] + 1) / (total + kinds + 1))
+        base = sum(math.log10((words[t] + 1) / (total + kinds + 1)) for t in toks)
+        near = got[r.doc_id, len(toks), round(base, 6)]
+        assert abs(near.score - exact) <= math.log10(1.5) * len(toks) + 1e-9 and near.score <= 0
+
+
+def test_filter_at_its_bound_stays_a_probability(spark, monkeypatch):
+    """Room for few pairs: rare ones count as unseen, words keep their counts, no score is above zero."""
+    docs, held = frame(spark, fuzz(22)), lm.fold()
+    full = lm.fit(docs, ~held).model
+    monkeypatch.setattr(lm, "FILTER_BYTES", len(full.bits) // 3)
+    small = lm.fit(docs, ~held)
+    assert len(small.model.bits) < len(full.bits) and small.model.tokens == full.tokens
+    scores = [r.score for r in lm.score(docs, small, held).collect()]
+    assert all(s <= 0 for s in scores) and len(scores) == docs.count()
+
+
+def test_probing_ends_at_the_largest_count():
+    model = lm.Model(1, 64, np.full(8, 255, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), 10, 5, 4)
+    assert model.level(np.arange(5, dtype=np.uint64), True).max() <= 4
+

@@ -102,3 +102,10 @@ def test_recall_on_the_given_table(spark):
 def test_top_k_matches_duckdb(spark):
     path = "/root/testdata/sf0.01"
     assert compare(spark, duck(path), queries.op1_exact_top_k, queries.ORACLE["op1_exact_top_k"], path) is None
+
+
+def test_components_too_large_for_a_long_are_said_so(spark):
+    df = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit into a long"):
+        topk.exact_top_k(df, F.col("vec_id") == 0).collect()
+    assert topk.exact_top_k(df.where("vec_id = 2 or vec_id < 0"), F.col("vec_id") == 0).collect() == []
