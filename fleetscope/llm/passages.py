@@ -40,7 +40,7 @@ from .common import shuffle_parts, slices, text_buffer
 #: Bits of an anchor hash that travel beside its bucket, and of a span's hash.
 CODE_BITS, SPAN_BITS = 40, 47
 #: Entries that a task sorts at a time, bytes of text that it looks at together, and bytes that it gathers before it sends them.
-ENTRIES, CHUNK, SEND = 1 << 19, 1 << 20, 1 << 23
+ENTRIES, CHUNK, SEND = 1 << 19, 1 << 20, 1 << 24
 #: Buckets that a task takes one after another, so that it holds this share of its input.
 BUCKETS_A_TASK = 4
 #: What a document is told about a span: claim it, or send its windows.
@@ -160,6 +160,26 @@ def by_home(ids: np.ndarray, keys: np.ndarray, buckets: int, *columns: tuple[np.
     return rows_batch(rows, pa.schema([("home", pa.int32()), *((n, pa.binary()) for n in names)]))
 
 
+class Outbox:
+    """What goes back to documents, over several buckets of a task, so that a home gets few packed rows and not one a bucket."""
+
+    def __init__(self, homes: int, *sizes: int):
+        self.homes, self.sizes, self.held, self.count = homes, sizes, [], 0
+
+    def add(self, ids: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(ids):
+            self.held.append((ids, keys, *columns))
+            self.count += len(ids)
+        if self.count >= ENTRIES:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            ids, keys, *columns = (np.concatenate(c) for c in zip(*self.held))
+            self.held, self.count = [], 0
+            yield by_home(ids, keys, self.homes, *zip(columns, self.sizes))
+
+
 def gather(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """One row for each document with all that came back to it, and the keys of what came; rows come sorted by home."""
     names = [f"c{i}" for i in range(len(sizes))]
@@ -180,7 +200,7 @@ def gathered(df: DataFrame, tasks: int, sizes: tuple[int, ...]) -> DataFrame:
     return df.repartition(tasks, "home").sortWithinPartitions("home").mapInArrow(lambda it: gather(it, sizes), f"node long, keys binary, {columns}")
 
 
-def homes(count: int) -> str:
+def packets(count: int) -> str:
     return "home int, doc binary, ids binary, keys binary" + "".join(f", c{i} binary" for i in range(count))
 
 
@@ -199,7 +219,7 @@ def rows_batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def map_anchors(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
+def map_anchors(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, homes: int) -> Iterator[pa.RecordBatch]:
     """Step 1. A span's lowest bit says whether several documents of the task have it. Rows with a bucket below 0 hold the
     tags that all but the first of those are told, spread by home."""
     schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("code", "span", "doc", "ids"))])
@@ -220,7 +240,7 @@ def map_anchors(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
         several = np.logical_or.reduceat(done, first) if len(first) else done
         rows = list(entry_rows(bucket[first], code[first], span[first] << np.uint64(1) | several, ids[first]))
         tags, owner = tag(bucket[done], code[done], span[done]), ids[done]
-        home = -1 - home_of(owner, buckets)
+        home = -1 - home_of(owner, homes)
         order = np.argsort(home, kind="stable")
         rows += entry_rows(home[order], tags[order], np.zeros(len(order), np.uint64), owner[order], 8)
         return rows_batch(rows, schema)
@@ -251,12 +271,13 @@ def bucket_runs(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Itera
         yield now, held
 
 
-def meet_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def meet_anchors(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
     """Step 2: what each document is told, as tags."""
+    out = Outbox(homes, 8)
     for bucket, rows in bucket_runs(batches):
         ids = np.concatenate([unplanes(r["ids"], 8).view(np.int64)[unplanes(r["doc"], 4)] for r in rows])
         if bucket < 0:
-            yield by_home(ids, np.zeros_like(ids), buckets, (np.concatenate([unplanes(r["code"], 8) for r in rows]), 8))
+            yield from out.add(ids, np.zeros_like(ids), np.concatenate([unplanes(r["code"], 8) for r in rows]))
             continue
         code = np.concatenate([unplanes(r["code"], 5) for r in rows])
         span = np.concatenate([unplanes(r["span"], 6) for r in rows])
@@ -276,7 +297,8 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         tags = tag(np.full(len(ids), bucket), code, span)
         told = np.concatenate((tags[claim] | np.uint64(CLAIM), tags[ask] | np.uint64(ASK)))
         owner = np.concatenate((ids[claim], ids[ask]))
-        yield by_home(owner, np.zeros_like(owner), buckets, (told, 8))
+        yield from out.add(owner, np.zeros_like(owner), told)
+    yield from out.flush()
 
 
 RUN = "bucket int, code binary, doc binary, ids binary, keys binary, place binary, near binary, far binary, digest binary, data array<binary>"
@@ -285,11 +307,33 @@ RUN = "bucket int, code binary, doc binary, ids binary, keys binary, place binar
 def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
     """Step 3, at the documents: claims with their digests, and windows that were asked for, by the anchor's bucket."""
     schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("code", "doc", "ids", "keys", "place", "near", "far", "digest")), ("data", pa.list_(pa.binary()))])
+
+    def packed_rows(held: list[tuple], ids: np.ndarray, keys: np.ndarray, kind: int) -> Iterator[list]:
+        """A row for each bucket out of (bucket, code, doc, place, near, far, digest or windows) of many chunks."""
+        if not held:
+            return
+        where, code, doc, place, near, far = (np.concatenate([h[i] for h in held]) for i in range(6))
+        said = np.concatenate([h[6] for h in held]) if kind == CLAIM else [x for h in held for x in h[6]]
+        order = np.argsort(where, kind="stable")
+        edges = np.append(np.flatnonzero(starts_of(where[order])), len(order))
+        for i, j in zip(edges[:-1], edges[1:]):
+            at = order[i:j]
+            own, index = owners(ids[doc[at]], keys[doc[at]])
+            yield [int(where[at[0]]), planes(code[at], 5), planes(index, 4), *own, planes(place[at], 4), planes(near[at], 1), planes(far[at], 1),
+                   planes(said[at], 8) if kind == CLAIM else b"", [said[x] for x in at.tolist()] if kind == ASK else []]
+
     for batch in batches:
         ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         lists = batch.column(3)
-        rows: list[list] = []
+        held: dict[int, list[tuple]] = {CLAIM: [], ASK: []}
         size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [r for kind in (CLAIM, ASK) for r in packed_rows(held[kind], ids, keys, kind)]  # noqa: B023
+            held[CLAIM].clear()  # noqa: B023
+            held[ASK].clear()  # noqa: B023
+            return rows_batch(rows, schema)
+
         for a, found in chunks(ids, batch.column(2), shape):
             if not len(found.row):
                 continue
@@ -302,23 +346,15 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
             salt = found.row.astype(np.uint64) * STEP
             for kind in (CLAIM, ASK):
                 at = np.flatnonzero(np.isin(mixed((mine | np.uint64(kind)) ^ salt), told))
-                at = at[np.argsort(bucket[at], kind="stable")]
-                if not len(at):
-                    continue
-                doc, where = a + found.row[at], bucket[at]
-                data = shape.records(found, at) if kind == ASK else None
-                digest = shape.digests(found, at) if kind == CLAIM else None
-                edges = np.append(np.flatnonzero(starts_of(where)), len(where))
-                for i, j in zip(edges[:-1], edges[1:]):
-                    own, index = owners(ids[doc[i:j]], keys[doc[i:j]])
-                    rows.append([int(where[i]), planes(code[at[i:j]], 5), planes(index, 4), *own, planes(found.place[at[i:j]], 4), planes(found.near[at[i:j]], 1),
-                                 planes(found.far[at[i:j]], 1), planes(digest[i:j], 8) if digest is not None else b"", data[i:j] if data else []])
-                size += 32 * len(at) + (sum(map(len, data)) if data else 0)
+                if len(at):
+                    data = shape.digests(found, at) if kind == CLAIM else shape.records(found, at)
+                    held[kind].append((bucket[at], code[at], a + found.row[at], found.place[at], found.near[at], found.far[at], data))
+                    size += 56 * len(at) + (sum(map(len, data)) if kind == ASK else 0)
             if size >= SEND:
-                yield rows_batch(rows, schema)
-                rows, size = [], 0
-        if rows:
-            yield rows_batch(rows, schema)
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
 
 
 def unpacked(rows: list[dict], *fields: tuple[str, int]) -> list[np.ndarray]:
@@ -328,9 +364,9 @@ def unpacked(rows: list[dict], *fields: tuple[str, int]) -> list[np.ndarray]:
     return own + [np.concatenate([unplanes(r[n], size) for r in rows]) if rows else np.zeros(0, np.uint64) for n, size in fields]
 
 
-def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
+def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, homes: int) -> Iterator[pa.RecordBatch]:
     """Step 3, at the anchors, and step 4: c0 first windows, c1 how many, of the removable runs of each document."""
-    places = (("code", 5), ("place", 4), ("near", 1), ("far", 1))
+    places, out = (("code", 5), ("place", 4), ("near", 1), ("far", 1)), Outbox(homes, 4, 4)
     for _, rows in bucket_runs(batches):
         ids, keys, code, place, near, far, digest = unpacked([r for r in rows if r["digest"]], *places, ("digest", 8))
         # A claim holds if a smaller id claims the same text around the same anchor.
@@ -357,7 +393,8 @@ def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int)
             edge = np.flatnonzero(fresh)
             stop = np.append(edge[1:], len(ids)) - 1
             ids, keys, first, many = ids[edge], keys[edge], first[edge], end[stop] - first[edge]
-        yield by_home(ids, keys, buckets, (first, 4), (many, 4))
+        yield from out.add(ids, keys, first, many)
+    yield from out.flush()
 
 
 def repeated_windows(df: DataFrame, shape: Shape, id_col: str, text_col: str, others: list[str] = []) -> DataFrame:  # noqa: B006
@@ -374,12 +411,12 @@ def repeated_windows(df: DataFrame, shape: Shape, id_col: str, text_col: str, ot
     docs = df.select(F.coalesce(row_id, F.lit(NO_ID)).alias("node"), row_id.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *kept)
     names = [f"c_{i}" for i in range(len(others))]
     source = df.select(row_id.alias("id"), text.alias("text")).where("id is not null and text is not null")
-    entries = source.mapInArrow(lambda it: map_anchors(it, shape, buckets), ENTRY)
-    tags = gathered(entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: meet_anchors(it, buckets), homes(1)), tasks, (8,))
+    entries = source.mapInArrow(lambda it: map_anchors(it, shape, buckets, tasks), ENTRY)
+    tags = gathered(entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: meet_anchors(it, tasks), packets(1)), tasks, (8,))
     asked = docs.join(tags.select("node", F.col("c0").alias("tags")), "node").select("id", "key", "text", "tags", *names)
     sent = asked.mapInArrow(lambda it: ask_windows(it, shape, buckets), RUN)
     runs = gathered(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        lambda it: meet_windows(it, shape, buckets), homes(2)), tasks, (4, 4)).select("node", F.struct("keys", "c0", "c1").alias("runs"))
+        lambda it: meet_windows(it, shape, tasks), packets(2)), tasks, (4, 4)).select("node", F.struct("keys", "c0", "c1").alias("runs"))
     return docs.join(runs, "node", "left").select("id", "key", "text", "runs", *names)
 
 

@@ -34,10 +34,10 @@ def stretches(shape, rows, tasks=2, buckets=3):
     for part in (rows[i::tasks] for i in range(tasks)):
         if part:
             batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.string())], ["id", "text"])
-            entries += rows_from(passages.map_anchors(iter([batch]), shape, buckets))
+            entries += rows_from(passages.map_anchors(iter([batch]), shape, buckets, 2))
     if not entries:
         return {(i, k): [] for i, k, _ in rows}
-    told = rows_from(passages.meet_anchors(sorted_batch(entries, "bucket"), buckets))
+    told = rows_from(passages.meet_anchors(sorted_batch(entries, "bucket"), 2))
     tags = {r["node"]: r["c0"] for r in rows_from(passages.gather(sorted_batch(told, "home"), (8,)))} if told else {}
     runs = {}
     asked = [r for r in rows if r[0] in tags]
@@ -45,7 +45,7 @@ def stretches(shape, rows, tasks=2, buckets=3):
         batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in asked], pa.int64()), pa.array([r[1] for r in asked], pa.int64()),
                                             pa.array([r[2] for r in asked], pa.string()), pa.array([tags[r[0]] for r in asked], pa.binary())], ["id", "key", "text", "tags"])
         sent = rows_from(passages.ask_windows(iter([batch]), shape, buckets))
-        met = rows_from(passages.meet_windows(sorted_batch(sent, "bucket"), shape, buckets)) if sent else []
+        met = rows_from(passages.meet_windows(sorted_batch(sent, "bucket"), shape, 2)) if sent else []
         runs = {r["node"]: r for r in rows_from(passages.gather(sorted_batch(met, "home"), (4, 4)))} if met else {}
     size = (lambda t: len(t.encode())) if shape is BYTES else (lambda t: len(t.split()))
     return {(i, k): passages.covered(runs.get(i), k, size(t), shape.window) for i, k, t in rows}
