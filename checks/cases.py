@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from checks.standins import BASE, HOST_TABLES, Fleet, standin_sql, uuid_sql
-from fleetscope.operators import detect, diff, envelope, hooks, joins, predicates as P, ranges, rates, registry, results, topk
+from fleetscope.operators import detect, diff, envelope, hooks, joins, predicates as P, ranges, rates, registry, results, rulescan, topk
 from fleetscope.plans import catalogue as cat, packs
 from fleetscope.session import scratch_dir
 from fleetscope.sources import baseline, events as src, history, host_table, registry as reg_src, retention, sinks, validity
@@ -306,6 +306,41 @@ def _(f):
     return typed.drop("node_id", "query_name", "action")
 
 
+FILE_SQL = """select event_id, '/etc/f' || (event_id % 7) as path, case when event_id % 3 = 0 then 'modify' else 'create' end as operation,
+  try_cast(case when event_id % 11 = 5 then 'x' || event_id else cast(event_id as varchar) end as bigint) as pid, event_type as process_name,
+  try_cast(case when event_id % 13 = 0 then '99999999999' else cast(event_id % 3 as varchar) end as integer) as return_code,
+  event_id % 11 = 5 or event_id % 13 = 0 as cast_failed from telemetry"""
+
+
+@case("b8_normalise_file", FILE_SQL)
+def _(f):
+    col = F.create_map(
+        F.lit("path"), F.expr("'/etc/f' || (event_id % 7)"), F.lit("operation"), F.expr("case when event_id % 3 = 0 then 'modify' else 'create' end"),
+        F.lit("pid"), F.expr("case when event_id % 11 = 5 then 'x' || event_id else cast(event_id as string) end"), F.lit("process_name"), F.col("event_type"),
+        F.lit("return_code"), F.expr("case when event_id % 13 = 0 then '99999999999' else cast(event_id % 3 as string) end"))
+    return results.normalise(f.telemetry.select("event_id", col.alias("columns")), "file")
+
+
+def network_maps(f: Fleet) -> DataFrame:
+    col = F.create_map(
+        F.lit("src_ip"), F.expr("'10.0.0.' || (event_id % 250)"), F.lit("dst_ip"), F.lit("10.1.1.1"), F.lit("src_port"), F.expr("cast(1024 + event_id % 5000 as string)"),
+        F.lit("dst_port"), F.lit("443"), F.lit("protocol"), F.lit("tcp"), F.lit("pid"), F.col("event_id").cast("string"), F.lit("direction"), F.lit("out"))
+    return f.telemetry.select("node_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp_ns"), F.col("sequence_no").alias("sequence_id"), col.alias("columns"))
+
+
+@case("b8_normalise_network", """select event_id, '10.0.0.' || (event_id % 250) as src_ip, '10.1.1.1' as dst_ip, cast(1024 + event_id % 5000 as bigint) as src_port, cast(443 as bigint) as dst_port,
+  'tcp' as protocol, event_id as pid, 'out' as direction, false as cast_failed from telemetry""")
+def _(f):
+    return results.normalise(network_maps(f).select("event_id", "columns"), "network")
+
+
+@case("b8_normalised_event", """select md5(node_id || ':' || sequence_no) as id, node_id, 'network' as event_type, epoch_us(ts) as timestamp_ns, cast(null as varchar) as hostname,
+  cast(to_json({'src_ip': '10.0.0.' || (event_id % 250), 'dst_ip': '10.1.1.1', 'src_port': 1024 + event_id % 5000, 'dst_port': 443, 'protocol': 'tcp', 'pid': event_id, 'direction': 'out'}) as varchar) as payload,
+  sequence_no as raw_sequence_id from telemetry""")
+def _(f):
+    return results.normalised_event(results.normalise(network_maps(f), "network"), "network")
+
+
 @case("b9_filter_like", """select node_id, pid, path from h_processes where path like '/tmp/%' or path like '/dev/shm/%'""")
 def _(f):
     return P.filter_like(f.h_processes, "path", ["/tmp/%", "/dev/shm/%"]).select("node_id", "pid", "path")
@@ -440,6 +475,12 @@ def _(f):
     return joins.join_on_host(f.h_users.select("node_id", "uid", "username"), f.h_authorized_keys.select("node_id", "uid", "key"), ["uid"])
 
 
+@case("c2_join_on_host_orders", """select l.l_orderkey as order_key, l_linenumber, l_quantity, o_custkey, o_totalprice from lineitem l join orders o on o.o_orderkey = l.l_orderkey where o_orderstatus = 'F'""")
+def _(f):
+    items, orders = f.table("lineitem").withColumnRenamed("l_orderkey", "order_key"), f.table("orders").withColumnRenamed("o_orderkey", "order_key")
+    return joins.join_on_host(items, orders.where("o_orderstatus = 'F'"), ["order_key"], host=()).select("order_key", "l_linenumber", "l_quantity", "o_custkey", "o_totalprice")
+
+
 @case("c3_join_on_host_expr", """select s.node_id, s.path, s.username, f.size from h_suid_bin s join h_file f on f.node_id = s.node_id and f.path = s.path and f.writable = 1""")
 def _(f):
     out = joins.join_on_host_expr(f.h_suid_bin, f.h_file.filter("writable = 1"), F.col("a.path") == F.col("b.path"))
@@ -508,7 +549,7 @@ def _(f):
 @case("c8_enrich_alerts", f"""select a.id, a.severity, t.event_type, t.payload, case when a.node_id % 7 <> 3 then 'host-' || cast(a.node_id as varchar) end as hostname
   from ({ALERTS_SQL}) a left join shared_telemetry t on t.event_id = a.triggering_event_id and t.node_id = a.node_id""")
 def _(f):
-    nodes = f.node_numbers.filter("node_id % 7 <> 3").select("node_id", F.concat(F.lit("host-"), F.col("node_id").cast("string")).alias("hostname"))
+    nodes = f.shared_telemetry.select("node_id").distinct().filter("node_id % 7 <> 3").select("node_id", F.concat(F.lit("host-"), F.col("node_id").cast("string")).alias("hostname"))
     return joins.enrich_alerts(alerts_of(f), f.shared_telemetry, nodes).select("id", "severity", "event_type", "payload", "hostname")
 
 
@@ -563,6 +604,13 @@ def _(f):
     return diff.differential(f.executions, keyed_rows(f), run="run_day")
 
 
+@case("d2_differential_repeated_runs", diff_sql())
+def _(f):
+    """Runs that an agent recorded twice are one run."""
+    again = f.executions.where("node_id % 3 = 0")
+    return diff.differential(f.executions.unionByName(again), keyed_rows(f), run="run_day")
+
+
 @case("d3_snapshots", f"""select x.node_id, x.query_name, x.run_day, {ROW_SQL} as row, 'SNAPSHOT' as action from result_rows x
   join executions e on e.node_id = x.node_id and e.run_day = x.run_day where e.status_code = 0""")
 def _(f):
@@ -764,6 +812,13 @@ def _(f):
     return topk.top_n_per_node(f.h_processes.select("node_id", "pid", "resident_size"), "resident_size", 25)
 
 
+@case("f1_top_n_line_items", """select l_suppkey, l_orderkey, l_linenumber, l_extendedprice from (select *, row_number() over (partition by l_suppkey order by l_extendedprice desc, l_orderkey * 10 + l_linenumber) as rn
+  from lineitem) t where rn <= 5""")
+def _(f):
+    rows = f.table("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", F.expr("l_orderkey * 10 + l_linenumber").alias("line"))
+    return topk.top_n_per_node(rows, "l_extendedprice", 5, ["l_suppkey"], "line").drop("line")
+
+
 @case("f2_first_n_per_node", """select node_id, pid, fd, path from (select node_id, pid, fd, path, row_number() over (partition by node_id order by pid, fd, path) as rn
   from h_process_open_files where path not like '/proc/%' and path not like '/dev/%') t where rn <= 1000""")
 def _(f):
@@ -1011,33 +1066,51 @@ def _(f):
 
 # --- H: detection -------------------------------------------------------------------------------
 
-@case("h1_match_rules", """select t.event_id, t.node_id, r.rule_id, r.severity, r.technique_id from telemetry t join rules r on r.event_type = t.event_type and contains(t.payload, r.needle)""")
+RULES_SQL = """select t.event_id, t.node_id, r.rule_id, r.severity, r.technique_id from telemetry t join rules r on r.event_type = t.event_type and contains(t.payload, r.needle)"""
+
+
+@case("h1_match_rules", RULES_SQL)
 def _(f):
     return detect.match_rules(f.telemetry, detect.substring_rules(f.rules)).select("event_id", "node_id", "rule_id", "severity", "technique_id")
 
 
-@case("h1_match_rules_n_of", """select event_id, rule_id, cast(count(*) as bigint) as hits from (
+N_OF_SQL = """select event_id, rule_id, cast(count(*) as bigint) as hits from (
   select t.event_id, c.rule_id, c.need from (select event_id, event_type, payload, case when json_valid(payload) then json_extract_string(payload, '$.k') end as k
     from telemetry) t join conditions c on c.event_type = t.event_type
   where case when c.mode = 'contains' then contains(case when c.field = '*' then t.payload else t.k end, c.pattern)
     else regexp_matches(case when c.field = '*' then t.payload else t.k end, c.pattern) end) h
-  group by event_id, rule_id having count(*) >= case rule_id when 'c2' then 1 else 2 end""")
+  group by event_id, rule_id having count(*) >= case rule_id when 'c2' then 1 else 2 end"""
+
+
+@case("h1_match_rules_n_of", N_OF_SQL)
 def _(f):
     return detect.match_rules(f.telemetry, f.conditions).select("event_id", "rule_id", "hits")
 
 
-@case("h1_match_rules_long_text", """select doc_id, rule_id, hits from (select doc_id, 'd1' as rule_id, cast(contains(text, 'http') as bigint) + cast(regexp_matches(text, '[0-9]{4}') as bigint) as hits from documents where lang = 'en'
-  union all select doc_id, 'd2', cast(regexp_matches(text, '[A-Z][a-z]+@') as bigint) + cast(contains(text, 'de') as bigint) from documents where lang = 'fr') t
-  where hits >= case rule_id when 'd1' then 1 else 1 end""")
+LONG_RULES = [("d1", "en", "http", "contains"), ("d1", "en", "[0-9]{4}", "regex"), ("d2", "fr", "[A-Z][a-z]+@", "regex"), ("d2", "fr", "de", "contains"),
+              ("d3", "de", "[0-9]+", "regex"), ("d3", "de", "ein", "contains"), ("d4", "es", "ar", "contains"), ("d4", "es", "@", "contains")]
+
+
+@case("h1_match_rules_long_text", "select doc_id, rule_id, cast(sum(hit) as bigint) as hits from (" + " union all ".join(
+    f"select doc_id, '{r}' as rule_id, cast({f"contains(text, '{p}')" if m == 'contains' else f"regexp_matches(text, '{p}')"} as bigint) as hit from documents where lang = '{lang}'"
+    for r, lang, p, m in LONG_RULES) + ") t group by doc_id, rule_id having sum(hit) >= 1")
 def _(f):
     docs = f.table("documents").select("doc_id", F.col("lang").alias("event_type"), "text")
-    row = lambda r, lang, pat, mode: (r, lang, "*", pat, mode, "low", 0.5, "T0", "any")
-    rules = f.spark.createDataFrame(
-        [row("d1", "en", "http", "contains"), row("d1", "en", "[0-9]{4}", "regex"), row("d2", "fr", "[A-Z][a-z]+@", "regex"), row("d2", "fr", "de", "contains")],
-        "rule_id string, event_type string, field string, pattern string, mode string, severity string, confidence double, technique_id string, need string")
+    rules = f.spark.createDataFrame([(r, lang, "*", p, m, "low", 0.5, "T0", "any") for r, lang, p, m in LONG_RULES],
+                                    "rule_id string, event_type string, field string, pattern string, mode string, severity string, confidence double, technique_id string, need string")
     return detect.match_rules(docs, rules, "text").select("doc_id", "rule_id", "hits")
 
 
+@case("h1_match_rules_indexed", RULES_SQL)
+def _(f):
+    return rulescan.match_rules_indexed(f.telemetry, detect.substring_rules(f.rules)).select("event_id", "node_id", "rule_id", "severity", "technique_id")
+
+
+@case("h1_match_rules_indexed_n_of", N_OF_SQL)
+def _(f):
+    return rulescan.match_rules_indexed(f.telemetry, f.conditions).select("event_id", "rule_id", "hits")
+
+
 @case("h2_with_technique", """select t.event_id, r.rule_id, r.technique_id, q.tactic, q.technique_name from telemetry t join rules r on r.event_type = t.event_type and contains(t.payload, r.needle)
   left join techniques q on q.technique_id = r.technique_id""")
 def _(f):
@@ -1204,6 +1277,43 @@ def _(f):
     return f.spark.read.format(fmt).option("path", out).load()
 
 
+def wtmp_files(f: Fleet) -> str:
+    """Login records of the events, as the hosts' own files: one file a task and node."""
+    out = scratch_dir(f.spark, "wtmp").removeprefix("file:")
+    layout = list(host_table.LOGIN_RECORD)
+
+    def write(batches):
+        import os
+
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+        for n, pdf in enumerate(batches):
+            for node, own in pdf.groupby("node_id"):
+                rows = np.zeros(len(own), np.dtype(layout))
+                for name in ("type", "pid", "time"):
+                    rows[name] = own[name]
+                for name in ("username", "tty", "host"):
+                    rows[name] = [v.encode() for v in own[name]]
+                os.makedirs(f"{out}/node_id={node}", exist_ok=True)
+                with open(f"{out}/node_id={node}/wtmp-{TaskContext.get().partitionId()}-{n}", "wb") as file:
+                    file.write(rows.tobytes())
+            yield pd.DataFrame({"rows": [len(pdf)]})
+
+    logins = f.telemetry.select("node_id", (F.col("event_id") % 9).alias("type"), F.col("event_id").alias("pid"),
+                                F.expr("1704067200 + event_id").alias("time"), F.concat(F.lit("u"), F.col("event_id") % 7).alias("username"),
+                                F.concat(F.lit("pts/"), F.col("event_id") % 5).alias("tty"), F.concat(F.lit("10.0.0."), F.col("event_id") % 11).alias("host"))
+    logins.repartition(4).mapInPandas(write, "rows bigint").agg(F.sum("rows")).collect()
+    return out
+
+
+@case("u2_login_records", """select cast(node_id as varchar) as node_id, 'u' || (event_id % 7) as username, 'pts/' || (event_id % 5) as tty, event_id as pid, event_id % 9 as type,
+  1704067200 + event_id as time, '10.0.0.' || (event_id % 11) as host from telemetry where event_id % 9 in (6, 7, 8) and node_id <> 3""")
+def _(f):
+    fmt = host_table.login_records(f.spark)
+    return f.spark.read.format(fmt).option("path", wtmp_files(f)).load().where("type in (6, 7, 8) and node_id <> '3'")
+
+
 @case("u3_result_status_sink", """select event_id, payload, cast(0 as int) as batch_id, case when event_id % 7 = 0 then 'status' else 'result' end as kind from telemetry""")
 def _(f):
     out = scratch_dir(f.spark, "u3")

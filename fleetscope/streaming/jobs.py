@@ -16,7 +16,7 @@ from fleetscope.operators.envelope import decode_envelope, route_class, sanitise
 from fleetscope.operators.joins import HOST, enrich_events
 from fleetscope.operators.registry import has_id
 from fleetscope.sources.events import read_events_stream
-from fleetscope.sources.versioned import BucketedTable
+from fleetscope.sources.versioned import BucketedTable, Folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,21 +41,30 @@ def run_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
        .trigger(availableNow=True).start().awaitTermination())
 
 
-def replace_table(path: str) -> Callable[[DataFrame, int], None]:
+def replace_table(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer for complete mode: each batch is the whole result, in a folder of its own.
 
     A crash leaves the result before it in place; a batch that is run again
-    replaces its own folder. ``read_replaced`` takes the newest finished one.
+    replaces its own folder. The ``keep`` newest results stay, for readers that
+    are at one of them; older ones go. ``read_replaced`` takes the newest finished one.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        folder = Folder(batch.sparkSession, path)
+        for old in [n for n in finished_batches(folder) if n <= batch_id][:-keep]:
+            folder.delete(f"batch_id={old}")
     return write
 
 
+def finished_batches(folder: Folder) -> list[int]:
+    """Numbers of the batch folders that were written to their end, oldest first."""
+    found = [int(n.removeprefix("batch_id=")) for n in folder.names() if n.startswith("batch_id=")]
+    return sorted(n for n in found if "_SUCCESS" in folder.names(f"batch_id={n}"))
+
+
 def read_replaced(spark: SparkSession, path: str) -> DataFrame:
-    """The newest whole result of ``replace_table``. Files of a batch that did not finish are not in its folder yet."""
-    table = spark.read.parquet(path)
-    return table.filter(F.col("batch_id") == table.agg(F.max("batch_id")).scalar()).drop("batch_id")
+    """The newest whole result of ``replace_table``; no other folder is looked into."""
+    return spark.read.parquet(f"{path}/batch_id={finished_batches(Folder(spark, path))[-1]}")
 
 
 def route_stream(spark: SparkSession, conf, prefix: str = "") -> DataFrame:

@@ -69,3 +69,34 @@ def test_findings(spark):
     users = spark.createDataFrame([("n", 0, "root"), ("n", 0, "toor"), ("n", 1, "a")], "node_id string, uid int, username string")
     got = sorted((r.finding, r.subject, r.detail) for r in H.critical_findings({"uptime": up, "arp_cache": arp, "users": users}).collect())
     assert got == [("address_moved", "ip", "m2"), ("extra_root_account", "toor", None), ("reboot", "2", "5")]
+
+
+def test_indexed_scan_gives_the_same(spark):
+    """Overlapping needles, an empty one, NULL texts and types, fields, regular expressions, rules of no type, and a thousand rules."""
+    from fleetscope.operators import rulescan
+    texts = ['{"cmd": "curl x | sh", "u": "root"}', '{"cmd": "ls"}', "curlcurl abc", None, "", '{"cmd": null}', "bcd abcd"]
+    events = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate((k, t) for k in ("process_start", "file_modify", None) for t in texts)],
+                                   "event_id int, event_type string, payload string")
+    rules = [rule("a", "abc"), rule("b", "bcd"), rule("b2", "abcd", kind="file_modify"), rule("empty", ""), rule("any", "curl", kind=None),
+             rule("two", "curl", need="2"), rule("two", r"\\|\\s*sh", "regex", "2", "cmd"), rule("two", "nope", need="2"), rule("all", "root", need="all", field="u"),
+             rule("all", "sh", need="all", field="cmd"), rule("re", "^ls$", "regex", field="cmd")]
+    rules += [rule(f"n{i}", f"needle {i}") for i in range(1000)]
+    table = spark.createDataFrame(rules, RULE)
+    plain = H.match_rules(events, table).select("event_id", "rule_id", "severity", "confidence", "technique_id", "hits")
+    ours = rulescan.match_rules_indexed(events, table).select(plain.columns)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect())) and plain.count() > 10
+    text = ours._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in text and "Exchange" not in text
+    assert rulescan.match_rules_indexed(events, table.where("rule_id = 'no'")).collect() == []
+    with pytest.raises(ValueError, match="rule x"):
+        rulescan.match_rules_indexed(events, spark.createDataFrame([rule("x", "y", "glob")], RULE))
+
+
+def test_substrings_without_the_library(monkeypatch):
+    import sys
+
+    from fleetscope.operators import rulescan
+    needles = {"ab": [0], "abc": [1, 2], "": [3], "z": [4]}
+    found = rulescan.substring_finder(needles)("xxabcab")
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    assert found == rulescan.substring_finder(needles)("xxabcab") == {0, 1, 2, 3}

@@ -87,3 +87,33 @@ def test_explode_feeds_typed_views(spark):
     df = spark.createDataFrame([(1, text)], "node_id int, payload string")
     view = results.typed_view(results.explode_results(df), C.host_tables()["processes"])
     assert (view.first().pid, view.first().parent) == (4, 1)
+
+
+def test_login_records(spark, tmp_path):
+    """Two nodes, a file in two parts, a cut-off last record, constraints that reach the reader."""
+    import numpy as np
+
+    from fleetscope.sources import host_table
+
+    def rows(n, user):
+        out = np.zeros(n, np.dtype(host_table.LOGIN_RECORD))
+        out["pid"], out["type"], out["time"], out["username"], out["host"] = np.arange(n), np.arange(n) % 3, 7, user, "ü".encode()
+        return out.tobytes()
+
+    for node, data in (("a", rows(5, b"ann") + b"x" * 100), ("b", rows(3, b"bob"))):
+        (tmp_path / f"node_id={node}").mkdir()
+        (tmp_path / f"node_id={node}" / "wtmp").write_bytes(data)
+    (tmp_path / "node_id=b" / ".hidden").write_bytes(b"x" * 384)
+    kept = host_table.LOGIN_PART
+    host_table.LOGIN_PART = 2 * 384
+    try:
+        fmt = host_table.login_records(spark)
+    finally:
+        host_table.LOGIN_PART = kept
+    df = spark.read.format(fmt).option("path", str(tmp_path)).load()
+    assert df.rdd.getNumPartitions() == 5
+    assert sorted((r.node_id, r.pid, r.username, r.host) for r in df.collect()) == [("a", i, "ann", "ü") for i in range(5)] + [("b", i, "bob", "ü") for i in range(3)]
+    assert sorted((r.node_id, r.pid) for r in df.where("type = 1 and node_id = 'a'").collect()) == [("a", 1), ("a", 4)]
+    assert df.where("username in ('bob', 'eve') and pid = 2").count() == 1
+    (tmp_path / "none").mkdir()
+    assert spark.read.format(fmt).option("path", str(tmp_path / "none")).load().count() == 0

@@ -194,3 +194,14 @@ def test_every_row_comes_out_once(spark, tmp_path):
     assert sorted(got.values()).count("kept") == 7 and {k[2] for k, v in got.items() if v == "late"} == {6, 8, 13}
     assert len([k for k, v in got.items() if v == "duplicate" and k[1] == "1" and k[2] in (1, 2, None)]) == 2
     assert got["d", "9", 12, None, t(40)] == "duplicate" and got["d", "1", 11, None, t(39.5)] == "kept"
+
+
+def test_replaced_results_keep_the_newest(spark, tmp_path):
+    """Old results go, a result that was not finished is not read, a batch that runs again replaces itself."""
+    write, path = jobs.replace_table(str(tmp_path)), str(tmp_path)
+    for batch in (0, 1, 2, 2, 3):
+        write(spark.range(batch + 1), batch)
+    assert sorted(p.name for p in tmp_path.glob("batch_id=*")) == ["batch_id=2", "batch_id=3"]
+    spark.range(99).write.parquet(f"{path}/batch_id=4")
+    (tmp_path / "batch_id=4" / "_SUCCESS").unlink()
+    assert jobs.read_replaced(spark, path).count() == 4
