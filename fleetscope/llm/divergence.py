@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -47,24 +48,26 @@ def words_of(text: pa.StringScalar) -> list[bytes]:
 
 
 def split_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, terms): the distinct terms of each text, each led by its language and the mark."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string()))])
+    """(lang, source, terms, some): the distinct terms of each text, each led by its language and the mark, and one in ``SHARE`` of them."""
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string())), ("some", pa.list_(pa.string()))])
     for batch in batches:
-        begin, words, ends = 0, [], [0]
+        begin, words, ends, some, some_ends = 0, [], [0], [], [0]
         for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
             lead = (lang + MARK).encode()
-            words += [lead + w for w in set(words_of(text))]
+            own = [lead + w for w in set(words_of(text))]
+            words += own
+            some += [w for w in own if not crc32(w) % SHARE]
             ends.append(len(words))
+            some_ends.append(len(some))
             if len(words) >= SEND or i == batch.num_rows - 1:
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), batch.column(1).slice(begin, i + 1 - begin), lists], schema=schema)
-                begin, words, ends = i + 1, [], [0]
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(w, pa.binary()).cast(pa.string())) for e, w in ((ends, words), (some_ends, some))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), batch.column(1).slice(begin, i + 1 - begin), *lists], schema=schema)
+                begin, words, ends, some, some_ends = i + 1, [], [0], [], [0]
 
 
 def rounds_of(docs: DataFrame, least_docs: int, most: int) -> int:
     """How many shares of the terms hold about ``most`` kept ones each, judged by one in ``SHARE``."""
-    some = docs.select(F.explode("terms").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(SHARE)) == 0)
-    kept = some.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).count() * SHARE
+    kept = docs.select(F.explode("some").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs).count() * SHARE
     return max(1, -(-kept // most))
 
 
@@ -77,39 +80,75 @@ def by_language(vocabulary: list[str]) -> dict[str, dict[bytes, int]]:
     return out
 
 
-def summed_vectors(batches: Iterator[pa.RecordBatch], places: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, count): each document's sparse vector, summed by group a packed share of the input at a time."""
-    groups: dict[tuple[str, str], int] = {}
+PACKED = "bucket int, groups array<struct<lang:string,source:string>>, owner binary, term binary, count binary"
+
+
+def summed_vectors(batches: Iterator[pa.RecordBatch], places: dict[str, dict[bytes, int]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each document's sparse vector, summed by (lang, source) a share of the input at a time; a packed row for each bucket of terms."""
+    names: dict[tuple[str, str], int] = {}
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        key, count = (np.concatenate([h[i] for h in held]) for i in range(2))
-        key, back = np.unique(key, return_inverse=True)
-        return key, np.bincount(back, count, len(key)).astype(np.int64)
-
     def out() -> pa.RecordBatch:
-        key, count = merged()
-        names, owner = list(groups), pa.array(key >> 32)
-        lang, source = (pa.array([n[i] for n in names], pa.string()).take(owner) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([lang, source, pa.array(key & 0xFFFFFFFF), pa.array(count)], ["lang", "source", "term", "count"])
+        key, count = summed(held)
+        groups = [{"lang": g[0], "source": g[1]} for g in names]
+        owner, term = key >> 32, key & 0xFFFFFFFF
+        bucket = term % buckets
+        order = np.argsort(bucket, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))
+        rows = [(int(bucket[at[0]]), groups, owner[at].astype("<u4").tobytes(), (term[at] // buckets).astype("<u4").tobytes(), count[at].astype("<i8").tobytes())
+                for at in np.split(order, edge[1:])]
+        kinds = (pa.int32(), pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())])), *[pa.binary()] * 3)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "groups", "owner", "term", "count"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             known = places.get(lang)
             if not known:
                 continue
-            vector = {known[w]: n for w, n in Counter(words_of(text)).items() if w in known}
+            place = known.get
+            vector = {i: n for w, n in Counter(words_of(text)).items() if (i := place(w)) is not None}
             if vector:
-                code = groups.setdefault((lang, source), len(groups)) << 32
+                code = names.setdefault((lang, source), len(names)) << 32
                 held.append((np.fromiter(vector, np.int64, len(vector)) | code, np.fromiter(vector.values(), np.int64, len(vector))))
                 size += len(vector)
             if size >= ENTRIES:
-                held = [merged()]
+                held = [summed(held)]
                 size = len(held[0][0])
                 if size >= ENTRIES // 2:
                     yield out()
-                    groups, held, size = {}, [], 0
+                    names, held, size = {}, [], 0
+    if held:
+        yield out()
+
+
+def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts, in whole numbers."""
+    key, count = (np.concatenate([h[i] for h in held]) for i in range(2))
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[edge], np.add.reduceat(count, edge)
+
+
+def group_sums(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, count) out of the packed rows; rows come sorted by bucket."""
+    now, names, held = None, {}, []
+
+    def out() -> pa.RecordBatch:
+        key, count = summed(held)
+        groups, owner = list(names), pa.array(key >> 32)
+        lang, source = (pa.array([g[i] for g in groups], pa.string()).take(owner) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, source, pa.array((key & 0xFFFFFFFF) * buckets + now), pa.array(count)], ["lang", "source", "term", "count"])
+
+    for batch in batches:
+        for i, bucket in enumerate(batch.column(0).to_pylist()):
+            if bucket != now and held:
+                yield out()
+                names, held = {}, []
+            now, row = bucket, batch.slice(i, 1).to_pylist()[0]
+            codes = np.array([names.setdefault((g["lang"], g["source"]), len(names)) for g in row["groups"]], np.int64)
+            held.append((codes[np.frombuffer(row["owner"], "<u4")] << 32 | np.frombuffer(row["term"], "<u4"), np.frombuffer(row["count"], "<i8")))
     if held:
         yield out()
 
@@ -117,7 +156,7 @@ def summed_vectors(batches: Iterator[pa.RecordBatch], places: dict[str, dict[byt
 def counted(texts: DataFrame, docs: DataFrame, least_docs: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, count) of all kept terms, and (term, item, lang); a term's number holds for one language."""
     spark = docs.sparkSession
-    shares, names = [], []
+    shares, names, buckets = [], [], shuffle_parts(spark)
     rounds = rounds_of(docs, least_docs, most)
     for r in range(rounds):
         own = docs if rounds == 1 else docs.withColumn(
@@ -126,8 +165,10 @@ def counted(texts: DataFrame, docs: DataFrame, least_docs: int, most: int) -> tu
         number = F.col("term") * rounds + r
         if vocabulary:
             shared = spark.sparkContext.broadcast(by_language(vocabulary))  # about VOCABULARY terms
-            part = texts.mapInArrow(lambda it, b=shared: summed_vectors(it, b.value), "lang string, source string, term long, count long").withColumn("term", number)
-            shares.append(part.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")))
+            packed = texts.mapInArrow(lambda it, b=shared: summed_vectors(it, b.value, buckets), PACKED)
+            sums = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+                lambda it: group_sums(it, buckets), "lang string, source string, term long, count long")
+            shares.append(sums.withColumn("term", number))
             names.append(spark.createDataFrame(list(enumerate(vocabulary)), "term long, text string").withColumn("term", number))
     if not shares:
         return (spark.createDataFrame([], "lang string, source string, term long, count long"),
@@ -225,7 +266,7 @@ def audit(df: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, vocabular
     spark = df.sparkSession
     blank = F.lit("")
     texts = df.select(*[F.coalesce(F.col(c).cast("string"), blank).alias(c) for c in ("lang", "source", "text")])
-    docs = saved(texts.mapInArrow(split_terms, "lang string, source string, terms array<string>"), "divergence-terms")
+    docs = saved(texts.mapInArrow(split_terms, "lang string, source string, terms array<string>, some array<string>"), "divergence-terms")
     counts, names = counted(texts, docs, least_docs, vocabulary)
 
     kept = names.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
@@ -238,7 +279,7 @@ def audit(df: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, vocabular
         "lang", "source", "code", "term", "count", chance(F.col("count"), F.col("n"), F.col("v")).alias("p")), "divergence-entries")
 
     # Pairs: each block of terms meets the probabilities of absent terms of all sources of its language.
-    blocks = shuffle_parts(spark)
+    blocks = max(1, -(-found.count() // ENTRIES))  # as many as there are shares of entries: each gives a row a pair
     none = chance(F.lit(0).cast("long"), F.col("n"), F.col("v"))
     heads = groups.where("v > 0").select("lang", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
                                          F.lit(None).cast("long").alias("term"), "code", none.alias("p"))
