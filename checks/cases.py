@@ -213,7 +213,7 @@ def _(f):
   cast('0x' || substr(md5(cast(n.node_id as varchar) || ':' || cast(s.step_no as varchar)), 1, 6) as bigint) % 100 as events_buffered
   from node_numbers n, (select unnest(generate_series(1, 60)) as step_no) s, (select max(ts) as t from events) m""")
 def _(f):
-    return src.heartbeat_series(f.node_numbers, P.latest_time(f.table("events"), "ts"), 60)
+    return src.heartbeat_series(f.node_numbers, f.table("events").agg(F.max("ts")).scalar(), 60)
 
 
 # --- B: projections and filters -----------------------------------------------------------------
