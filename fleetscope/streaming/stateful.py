@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetscope.operators.registry import has_id
 
+#: Groups that a bucket of ``split_stream`` is dealt into, and ids that it gathers before it hands them to the state.
+GROUPS, PIECE = 64, 1 << 14
 DIFF_SCHEMA = "node_id string, query_name string, execution_no bigint, row string, action string"
 
 
@@ -188,7 +190,10 @@ def split_stream(df: DataFrame, delay: str, key: str = "sequence_id", ts: str =
     One read of the source serves all sinks: write it partitioned by
     ``outcome``, or filter in ``foreachBatch``. Ids are spread over ``buckets``; each
     holds its ids and, by slices of time, which ones to forget when the watermark
-    has passed a slice, so forgetting reads what goes and nothing else.
+    has passed a slice, so forgetting reads what goes and nothing else. A slice is
+    kept in pieces of at most ``PIECE`` ids, however many it has. Spark's Python worker
+    gathers all rows that come out for one key of a micro-batch before it sends
+    them; so a bucket is ``GROUPS`` keys, and a worker holds the rows of one of them.
     """
     from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
@@ -198,19 +203,27 @@ def split_stream(df: DataFrame, delay: str, key: str = "sequence_id", ts: str =
     # The watermark's column stays behind, so that Spark lets late rows through; the time travels as a number.
     sent = df.withColumn("__t", F.col(ts).cast("timestamp")).withWatermark("__t", delay).select(
         *columns, F.unix_millis("__t").alias("__ms"), F.when(named, F.col(key).cast("string")).alias("__id"),
-        F.pmod(F.when(named, F.xxhash64(key)).otherwise(F.xxhash64(*columns)), F.lit(buckets)).cast("int").alias("__bucket"))
+        F.pmod(F.when(named, F.xxhash64(key)).otherwise(F.xxhash64(*columns)), F.lit(buckets * GROUPS)).cast("int").alias("__group"))
     kept_ms = interval_ms(df.sparkSession, delay)
-    width = max(kept_ms // 8, 1)
+    width, piece = max(kept_ms // 8, 1), PIECE
     result = Row(*columns, "outcome")
 
     class Splitter(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
             self.ids = handle.getMapState("ids", "id string", "until bigint")
-            self.slices = handle.getMapState("slices", "slice bigint", "ids array<string>")
+            self.pieces = handle.getMapState("pieces", "slice bigint, piece bigint", "ids array<string>")
+            self.counts = handle.getMapState("counts", "slice bigint", "pieces bigint")
+
+        def keep(self, added):
+            for at, ids in added.items():
+                n = self.counts.getValue((at,))[0] if self.counts.containsKey((at,)) else 0
+                self.pieces.updateValue((at, n), (ids,))
+                self.counts.updateValue((at,), (n + 1,))
+                self.handle.registerTimer((at + 1) * width)
 
         def handleInputRows(self, key, rows, timerValues):
-            passed, added = timerValues.getCurrentWatermarkInMs(), {}
+            passed, added, size = timerValues.getCurrentWatermarkInMs(), {}, 0
             for row in rows:
                 ms, ident, outcome = row["__ms"], row["__id"], "kept"
                 if ms is not None and ms <= passed:
@@ -222,24 +235,27 @@ def split_stream(df: DataFrame, delay: str, key: str = "sequence_id", ts: str =
                         until = ms + kept_ms
                         self.ids.updateValue((ident,), (until,))
                         added.setdefault(until // width, []).append(ident)
+                        size += 1
+                        if size >= piece:
+                            self.keep(added)
+                            added, size = {}, 0
                 yield result(*[row[c] for c in columns], outcome)
-            for at, ids in added.items():
-                held = self.slices.getValue((at,)) if self.slices.containsKey((at,)) else None
-                self.slices.updateValue((at,), ((list(held[0]) if held else []) + ids,))
-                self.handle.registerTimer((at + 1) * width)
+            self.keep(added)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             at = expiredTimerInfo.getExpiryTimeInMs() // width - 1
-            if self.slices.containsKey((at,)):
-                for ident in self.slices.getValue((at,))[0]:
-                    self.ids.removeKey((ident,))
-                self.slices.removeKey((at,))
+            if self.counts.containsKey((at,)):
+                for n in range(self.counts.getValue((at,))[0]):
+                    for ident in self.pieces.getValue((at, n))[0]:
+                        self.ids.removeKey((ident,))
+                    self.pieces.removeKey((at, n))
+                self.counts.removeKey((at,))
             return iter(())
 
         def close(self):
             pass
 
-    return sent.groupBy("__bucket").transformWithState(
+    return sent.groupBy("__group").transformWithState(
         statefulProcessor=Splitter(), outputStructType=StructType([*df.schema.fields, StructField("outcome", StringType())]),
         outputMode="Append", timeMode="EventTime")
 

@@ -1,5 +1,6 @@
 """Queries on tables of other shapes than the driver's: own events, and inputs of several files."""
 
+import collections
 import datetime as dt
 import glob
 
@@ -7,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from checks.cases import in_steps
+from checks.cases import in_steps, rocksdb
 from checks.compare import compare
 from checks.standins import Fleet
-from fleetscope.streaming import jobs
+from fleetscope.streaming import jobs, stateful
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 TYPES = ["click", "view", "error", "signup", "purchase"]
@@ -53,3 +54,23 @@ def test_steps_are_written_by_several_tasks(spark, tmp_path):
     jobs.run_batches(stream, lambda batch, n: seen.append(sorted(r.event_id for r in batch.collect())), str(tmp_path / "cp"))
     assert parts > 1 and len(files) == 4 * parts
     assert seen == [list(range(0, 600, 2)), [], list(range(1, 600, 2)), [5]]
+
+
+def test_split_stream_holds_few_rows_at_a_time(spark, tmp_path, monkeypatch):
+    """A bucket is many keys, its slices are short pieces, and all of them go when their time has passed."""
+    schema, day = "sequence_id string, ts timestamp_ntz", dt.datetime(2024, 1, 1)
+    monkeypatch.setattr(stateful, "PIECE", 4, raising=False)
+    ids = [(str(i), day) for i in range(600)]
+    states, out = [], str(tmp_path / "out")
+    with rocksdb(spark):
+        for batch in (ids, ids[:50], [("late", day + dt.timedelta(days=9))], [("end", day + dt.timedelta(days=9))]):
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            jobs.write_outcomes(stateful.split_stream(stream, "1 hour", buckets=1), out, str(tmp_path / "cp"))
+            states.append(spark.read.format("statestore").option("stateVarName", "pieces").load(str(tmp_path / "cp")).collect())
+    first, last = states[0], states[-1]
+    assert sorted(i for r in first for i in r.user_map_value.ids) == sorted(i for i, _ in ids)
+    assert len({r.key for r in first}) > 30 and max(len(r.user_map_value.ids) for r in first) <= 4 and any(r.user_map_key.piece for r in first)
+    assert {i for r in last for i in r.user_map_value.ids} == {"late", "end"}
+    got = collections.Counter(r.outcome for r in spark.read.parquet(out).collect())
+    assert got == {"kept": 602, "duplicate": 50}
