@@ -19,6 +19,9 @@ from fleetscope.sources.events import read_events_stream
 from fleetscope.sources.versioned import BucketedTable, Folder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the state store. Counting all rows that it holds would cost a lookup for each row that is written or removed.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+               "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
