@@ -62,7 +62,7 @@ def match_rules_indexed(events: DataFrame, conditions: DataFrame, text: str = "p
         if mode == "regex":
             of_type = F.lit(True) if kinds[no] is None else F.col("event_type") == kinds[no]
             passed.append(F.when(of_type & F.rlike(F.col(f"__v.f{fields.index(field)}"), F.lit(pattern)), F.lit(i)))
-    found = F.array_compact(F.array(*passed)) if passed else F.array().cast("array<int>")
+    found = F.array(*passed) if passed else F.array().cast("array<int>")  # NULL where a test has not passed
     needles: list[dict[str, list[int]]] = [{} for _ in fields]
     for i, (_, field, pattern, mode) in enumerate(tests):
         if mode == "contains" and pattern is not None:
@@ -75,7 +75,7 @@ def match_rules_indexed(events: DataFrame, conditions: DataFrame, text: str = "p
         out = []
         for kind, regex_hits, *values in zip(*columns):
             hits: dict[int, int] = {}
-            for i in reduce(set.union, (find(v) for find, v in zip(finders, values) if v is not None), set(regex_hits)):
+            for i in reduce(set.union, (find(v) for find, v in zip(finders, values) if v is not None), set(regex_hits) - {None}):
                 no = owner[i]
                 if kinds[no] is None or kinds[no] == kind:
                     hits[no] = hits.get(no, 0) + 1
