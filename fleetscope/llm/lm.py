@@ -8,6 +8,10 @@ hash, so segments are filled where their counts lie and only they are gathered.
 
 p(w | h) = k · c(h, w) / c(h) + (1 - k) · (c(w) + 1) / (N + V + 1), all counts from the filter.
 
+Pairs below a level may stay out of the filter, so that it fits into its bound. An
+occurrence whose pair the filter does not hold at that level meets the pair's count in
+a shuffle, with the levels of its two words, and comes back as part of a sum.
+
 The plain base score needs exact counts. Frequent words have theirs in a table
 of bounded size that goes to all workers; occurrences of other words meet their
 counts in a shuffle and come back as one sum for each document and bucket.
@@ -152,7 +156,10 @@ def places(key: np.ndarray, bucket: np.ndarray, level: np.ndarray | int, turn: i
 
 
 def fill_task(batches: Iterator[pa.RecordBatch], segment_bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The filter's segment of each bucket: a bit array with all levels of its words and of its pairs from level ``least`` on."""
+    """The filter's segment of each bucket: a bit array with all levels of its words and of its pairs from level ``least`` on.
+
+    ``pair_rows`` has the counts of the other pairs, which ``pair_task`` looks up.
+    """
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -180,6 +187,7 @@ class Model(NamedTuple):
     tokens: int
     words: int
     top: int = LEVELS
+    least: int = 1  # the level from which on pairs are in the filter
 
     def level(self, h: np.ndarray, pair: bool) -> np.ndarray:
         """Levels by probing: one after another until a bit of one is not set."""
@@ -210,8 +218,8 @@ def fit(df: DataFrame, train: Column, text_col: str = "text") -> Trained:
     The filter takes ``ENTRY_BITS`` bits for each entry, so its false hits do
     not grow with the corpus. All words enter it, and the pairs from the least level on
     at which they fit into ``FILTER_BYTES``: all of them up to some 60 million
-    entries, beyond that those seen a few times or more (rarer ones count as unseen
-    and leave the estimate to the word). Should the words alone not fit, the
+    entries, beyond that those seen a few times or more (``score`` looks up the counts of rarer
+    ones where they lie). Should the words alone not fit, the
     filter is as large as they need. Frequent words are those with at least 2**i occurrences, for the
     least i that keeps the table within ``HEAD`` words.
     """
@@ -250,31 +258,61 @@ def fit(df: DataFrame, train: Column, text_col: str = "text") -> Trained:
     h, n = (np.frombuffer(b"".join(bytes(r[c]) for r in head), "<u8") for c in ("h", "n"))
     order = np.argsort(h)
     top = int(levels(np.array([2.0 ** max((i + 1 for i in range(48) if sums[f"l{i}"]), default=1)]))[0])
-    return Trained(Model(buckets, segment_bits, bits, h[order], n[order], int(sums["tokens"]), int(sums["words"]), top), totals)
+    return Trained(Model(buckets, segment_bits, bits, h[order], n[order], int(sums["tokens"]), int(sums["words"]), top, least), totals)
 
 
-SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, h binary, doc binary, n binary, uids binary"
+SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, h binary, doc binary, n binary, uids binary, before binary, own binary"
 SCORED_ARROW = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
-                          ("score", pa.float64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("h", "doc", "n", "uids"))])
+                          ("score", pa.float64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("h", "doc", "n", "uids", "before", "own"))])
+
+
+def log_chance(both: np.ndarray, before: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
+    """log10 p(w | h) out of the counts of the pair, of h and of w."""
+    share = np.where(before > 0, np.minimum(both, before) / np.maximum(before, 1.0), 0.0)
+    return np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (own + 1) / floor)
+
+
+def entries_of(h: np.ndarray, row: np.ndarray, ids: np.ndarray, buckets: int, size: int, *levels: np.ndarray) -> pa.RecordBatch:
+    """Occurrences that meet their counts elsewhere, packed by bucket; ``levels`` are the same wherever a hash and a row are."""
+    order = np.lexsort((row, h))
+    edge = np.flatnonzero(starts_of(h[order], row[order]))
+    times = np.diff(np.append(edge, len(order)))
+    h, doc, *levels = (x[order][edge] for x in (h, row, *levels))
+    bucket = bucket_of(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    h, doc, times, bucket, *levels = (x[order] for x in (h, doc, times, bucket, *levels))
+    edges = np.append(np.flatnonzero(starts_of(bucket)), len(h))
+    out = []
+    for i, j in zip(edges[:-1], edges[1:]):
+        own, index = np.unique(doc[i:j], return_inverse=True)
+        out.append([None] * 7 + [int(bucket[i]), planes(h[i:j], size), planes(index, 4), planes(times[i:j], 4), planes(ids[own].view(np.uint64), 8),
+                                 *([planes(x[i:j], 1) for x in levels] or (None, None))])
+    return rows_batch(out, SCORED_ARROW)
 
 
 def score_task(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and packed rows of its less frequent words by bucket."""
+    """A row for each document, and packed rows of its less frequent words, and of pairs that are not in the filter, by bucket."""
     uid, floor = TaskContext.get().partitionId() << 36, model.tokens + model.words + 1.0
-    texts = held_texts(model)
+    counts = middle(np.arange(model.top + 1))
+    texts = model.level(np.array([END]), False)[0]  # of the count of training texts, which the filter holds like any other
     for batch in batches:
         buf, off = text_buffer(batch.column(2))
         for a, z in slices(off, CHUNK):
             row, tok, pair = token_hashes(buf[off[a]:off[z]], off[a:z + 1] - off[a])
             rows = z - a
             word, at_word = np.unique(tok, return_inverse=True)
-            count = middle(model.level(word, False))
+            level = model.level(word, False)
             pairs, at_pair = np.unique(pair, return_inverse=True)
-            both = middle(model.level(pairs, True))[at_pair]
-            before = np.concatenate(([0.0], count[at_word[:-1]]))
+            both = model.level(pairs, True)[at_pair]
+            before = np.concatenate(([0], level[at_word[:-1]]))
             before[starts_of(row)] = texts
-            share = np.where(before > 0, np.minimum(both, before) / np.maximum(before, 1.0), 0.0)
-            score = np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (count[at_word] + 1) / floor)
+            away = np.zeros(0, np.int64)
+            if model.least > 1:  # a pair of words of which one was never seen has not been seen either
+                low = both < model.least
+                both[low] = 0
+                away = np.flatnonzero(low & (before > 0) & (level > 0)[at_word])
+            score = log_chance(counts[both], counts[before], counts[level][at_word], floor)
+            score[away] = 0.0
             # Exact counts where the table has them; the others leave as entries.
             spot = np.minimum(np.searchsorted(model.head_h, word), max(0, len(model.head_h) - 1))
             known = model.head_h[spot] == word if len(model.head_h) else np.zeros(len(word), bool)
@@ -287,27 +325,12 @@ def score_task(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
                  pa.array(base), pa.array(np.bincount(row, score, rows)), *(pa.nulls(rows, f.type) for f in list(SCORED_ARROW)[7:])], schema=SCORED_ARROW)
             rare = np.flatnonzero(~known[at_word])
             if len(rare):
-                order = rare[np.lexsort((row[rare], tok[rare]))]
-                edge = np.flatnonzero(starts_of(tok[order], row[order]))
-                times = np.diff(np.append(edge, len(order)))
-                h, doc = tok[order][edge], row[order][edge]
-                bucket = bucket_of(h, model.buckets)
-                order = np.argsort(bucket, kind="stable")
-                h, doc, times, bucket = h[order], doc[order], times[order], bucket[order]
-                edges = np.append(np.flatnonzero(starts_of(bucket)), len(h))
-                out = []
-                for i, j in zip(edges[:-1], edges[1:]):
-                    own, index = np.unique(doc[i:j], return_inverse=True)
-                    out.append([None] * 7 + [int(bucket[i]), planes(h[i:j], 8), planes(index, 4), planes(times[i:j], 4), planes(ids[own].view(np.uint64), 8)])
-                yield rows_batch(out, SCORED_ARROW)
+                yield entries_of(tok[rare], row[rare], ids, model.buckets, 8)
+            if len(away):
+                yield entries_of(pair[away], row[away], ids, model.buckets, 6, before[away], level[at_word[away]])
             uid += rows
 
 
-def held_texts(model: Model) -> float:
-    """How many training texts there are: the count of the end token, which the filter holds like any other."""
-    return float(middle(model.level(np.array([END]), False))[0])
-
-
 def exact_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of log10(c + 1) and of known tokens for each document, from the exact counts of a bucket's words."""
     schema = pa.schema([("uid", pa.int64()), ("more", pa.float64()), ("known", pa.int64())])
@@ -327,6 +350,52 @@ def exact_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(more), pa.array(np.bincount(doc, times * (c > 0), len(uid)).astype(np.int64))], schema=schema)
 
 
+MET = "bucket int, h binary, doc binary, n binary, uids binary, before binary, own binary"
+
+
+def pair_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a bucket's pairs that are not in the filter, those below level ``least``."""
+    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("h", "doc", "n", "uids", "before", "own"))])
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            n = unplanes(r["pair_n"], 6)
+            keep = levels(n) < least if len(n) else np.zeros(0, bool)
+            out.append([r["bucket"], planes(unplanes(r["pair_h"], 6)[keep], 6), None, planes(n[keep], 6), None, None, None])
+        yield rows_batch(out, schema)
+
+
+def pair_task(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
+    """Sums of log10 p(w | h) for each document over the occurrences whose pairs are not in the filter; the counts come first."""
+    schema = pa.schema([("uid", pa.int64()), ("score", pa.float64())])
+    none = np.zeros(0, np.uint64), np.zeros(0)
+    now, (h, count) = None, none
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["uids"] is None:
+                n = unplanes(r["n"], 6)
+                now, h, count = r["bucket"], unplanes(r["h"], 6), middle(levels(n)) if len(n) else none[1]
+                continue
+            if r["bucket"] != now:
+                now, (h, count) = r["bucket"], none
+            pair, times, uid = unplanes(r["h"], 6), unplanes(r["n"], 4).astype(float), unplanes(r["uids"], 8).view(np.int64)
+            spot = np.minimum(np.searchsorted(h, pair), max(0, len(h) - 1))
+            both = np.where(h[spot] == pair, count[spot], 0.0) if len(h) else np.zeros(len(pair))
+            before, own = (middle(unplanes(r[c], 1).astype(np.int64)) for c in ("before", "own"))
+            sums = np.bincount(unplanes(r["doc"], 4).astype(np.int64), times * log_chance(both, before, own, floor), len(uid))
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(sums)], schema=schema)
+
+
+def away_scores(found: DataFrame, trained: Trained) -> DataFrame:
+    """(uid, away): what the pairs that are not in the filter add to the score of a document."""
+    model = trained.model
+    counts = trained.totals.select("bucket", "pair_h", "pair_n").mapInArrow(lambda it: pair_rows(it, model.least), MET)
+    entries = found.where("before is not null").select(*counts.columns)
+    met = counts.union(entries).withColumn("late", F.col("uids").isNotNull()).repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "late")
+    floor = model.tokens + model.words + 1.0
+    return met.select(*counts.columns).mapInArrow(lambda it: pair_task(it, floor), "uid long, score double").groupBy("uid").agg(F.sum("score").alias("away"))
+
+
 def score(df: DataFrame, trained: Trained, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
@@ -338,14 +407,17 @@ def score(df: DataFrame, trained: Trained, held_out: Column, id_col: str = "doc_
     shared = df.sparkSession.sparkContext.broadcast(model)  # FILTER_BYTES and HEAD words at most
     rows = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     found = saved(rows.mapInArrow(lambda it: score_task(it, shared.value), SCORED), "scores")
-    entries = found.where("uids is not null").select("bucket", "h", "doc", "n", "uids")
+    entries = found.where("uids is not null and before is null").select("bucket", "h", "doc", "n", "uids")
     none = F.lit(None).cast("binary")
     counts = trained.totals.select("bucket", F.col("word_h").alias("h"), none.alias("doc"), F.col("word_n").alias("n"), none.alias("uids"))
     met = counts.union(entries).withColumn("late", F.col("uids").isNotNull()).repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "late")
     sums = met.select("bucket", "h", "doc", "n", "uids").mapInArrow(exact_task, "uid long, more double, known long").groupBy("uid").agg(
         F.sum("more").alias("more"), F.sum("known").alias("known"))
     floor = math.log10(model.tokens + model.words + 1)
-    return found.where("uids is null").select("uid", "id", "held_out", "n_tokens", "n_known", "base", "score").join(sums, "uid", "left").select(
+    texts = found.where("uids is null").select("uid", "id", "held_out", "n_tokens", "n_known", "base", "score")
+    if model.least > 1:
+        texts = texts.join(away_scores(found, trained), "uid", "left").withColumn("score", F.col("score") + F.coalesce("away", F.lit(0.0)))
+    return texts.join(sums, "uid", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"), "score")
 

@@ -399,3 +399,24 @@ def test_probing_ends_at_the_largest_count():
     model = lm.Model(1, 64, np.full(8, 255, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.uint64), 10, 5, 4)
     assert model.level(np.arange(5, dtype=np.uint64), True).max() <= 4
 
+
+@pytest.mark.parametrize("room", [0, 3])
+def test_pairs_beyond_the_filter_count_too(spark, monkeypatch, room):
+    """No room for pairs, or for the frequent ones only: scores stay as near to exact counts as with all of them in the filter."""
+    docs, held = frame(spark, fuzz(21)), lm.fold()
+    full = len(lm.fit(docs, ~held).model.bits)
+    monkeypatch.setattr(lm, "FILTER_BYTES", full // room if room else 0)
+    small = lm.fit(docs, ~held)
+    assert len(small.model.bits) < full
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(docs, small, held).collect()}
+    tokens_of = lambda t: [*(t or "").encode().lower().split(), None]
+    train = [tokens_of(r.text) for r in docs.where(~held).collect()]
+    words = collections.Counter(t for d in train for t in d)
+    pairs = collections.Counter(p for d in train for p in zip(["begin", *d[:-1]], d))
+    floor, off = sum(words.values()) + len(words) + 1, []
+    for r in docs.dropDuplicates(["doc_id"]).where("doc_id is not null").collect():
+        toks = tokens_of(r.text)
+        seen = lambda t: len(train) if t == "begin" else words[t]
+        exact = sum(math.log10(0.3 * (pairs[b, t] / seen(b) if seen(b) else 0.0) + 0.7 * (words[t] + 1) / floor) for b, t in zip(["begin", *toks[:-1]], toks))
+        off.append(abs(got[r.doc_id, len(toks)] - exact) / len(toks))
+    assert max(off) <= math.log10(1.5) + 1e-9 and len(off) > 10
