@@ -11,7 +11,8 @@ windows are compared; the way through Spark is the same.
 2. Entries meet by anchor. Where a span stands in several documents, all of them
    are told to claim it. Where one anchor stands in different spans of different
    documents, the first document of each span is asked for its windows.
-3. Claims carry a digest of the span's own text, made anew where the text is.
+3. Claims carry a digest of the span's own text, made anew where the text is,
+   and windows that were asked for lie behind the claims of their bucket in one row.
    Claims and windows meet by anchor: a claim holds if a smaller id claims the
    same digest, windows are compared one by one. The hashes of step 1 only say what is worth
    claiming; nothing is removed on their word.
@@ -302,25 +303,31 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.R
 
 
 RUN = "bucket int, code binary, doc binary, ids binary, keys binary, place binary, near binary, far binary, digest binary, data array<binary>"
+#: Bytes of the anchor's code that go with a claim, whose digest says the rest, and with a window that is compared.
+CLAIM_CODE, ASK_CODE = 2, 5
 
 
 def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -> Iterator[pa.RecordBatch]:
     """Step 3, at the documents: claims with their digests, and windows that were asked for, by the anchor's bucket."""
     schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("code", "doc", "ids", "keys", "place", "near", "far", "digest")), ("data", pa.list_(pa.binary()))])
 
-    def packed_rows(held: list[tuple], ids: np.ndarray, keys: np.ndarray, kind: int) -> Iterator[list]:
-        """A row for each bucket out of (bucket, code, doc, place, near, far, digest or windows) of many chunks."""
-        if not held:
+    def packed_rows(held: dict[int, list[tuple]], ids: np.ndarray, keys: np.ndarray) -> Iterator[list]:
+        """A row for each bucket out of (bucket, code, doc, place, near, far, digest or windows) of many chunks: its claims, then its windows."""
+        both = [*held[CLAIM], *held[ASK]]
+        if not both:
             return
-        where, code, doc, place, near, far = (np.concatenate([h[i] for h in held]) for i in range(6))
-        said = np.concatenate([h[6] for h in held]) if kind == CLAIM else [x for h in held for x in h[6]]
+        where, code, doc, place, near, far = (np.concatenate([h[i] for h in both]) for i in range(6))
+        digest, data = np.concatenate([np.zeros(0, np.uint64), *(h[6] for h in held[CLAIM])]), [x for h in held[ASK] for x in h[6]]
+        claims = len(digest)
         order = np.argsort(where, kind="stable")
         edges = np.append(np.flatnonzero(starts_of(where[order])), len(order))
         for i, j in zip(edges[:-1], edges[1:]):
             at = order[i:j]
+            many = int(np.searchsorted(at, claims))
             own, index = owners(ids[doc[at]], keys[doc[at]])
-            yield [int(where[at[0]]), planes(code[at], 5), planes(index, 4), *own, planes(place[at], 4), planes(near[at], 1), planes(far[at], 1),
-                   planes(said[at], 8) if kind == CLAIM else b"", [said[x] for x in at.tolist()] if kind == ASK else []]
+            codes = planes(code[at[:many]], CLAIM_CODE) + planes(code[at[many:]], ASK_CODE)
+            yield [int(where[at[0]]), codes, planes(index, 4), *own, planes(place[at], 4), planes(near[at], 1), planes(far[at], 1),
+                   planes(digest[at[:many]], 8), [data[x - claims] for x in at[many:].tolist()]]
 
     for batch in batches:
         ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -329,7 +336,7 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
         size = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [r for kind in (CLAIM, ASK) for r in packed_rows(held[kind], ids, keys, kind)]  # noqa: B023
+            rows = list(packed_rows(held, ids, keys))  # noqa: B023
             held[CLAIM].clear()  # noqa: B023
             held[ASK].clear()  # noqa: B023
             return rows_batch(rows, schema)
@@ -357,18 +364,24 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
             yield flush()
 
 
-def unpacked(rows: list[dict], *fields: tuple[str, int]) -> list[np.ndarray]:
-    """Ids, keys and other fields of packed rows, end to end."""
-    doc = [unplanes(r["doc"], 4) for r in rows]
-    own = [np.concatenate([unplanes(r[n], 8).view(np.int64)[d] for r, d in zip(rows, doc)]) if rows else np.zeros(0, np.int64) for n in ("ids", "keys")]
-    return own + [np.concatenate([unplanes(r[n], size) for r in rows]) if rows else np.zeros(0, np.uint64) for n, size in fields]
+def unpacked(rows: list[dict], kind: int) -> list[np.ndarray]:
+    """Ids, keys, codes, places, nearest and farthest windows of the claims of packed rows, or of the windows behind them, end to end."""
+    columns: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 4]
+    for r in rows:
+        claims = len(r["digest"]) // 8
+        mine, border = (slice(claims), slice(CLAIM_CODE * claims)) if kind == CLAIM else (slice(claims, None), slice(CLAIM_CODE * claims, None))
+        doc = unplanes(r["doc"], 4)[mine]
+        columns.append([*(unplanes(r[n], 8).view(np.int64)[doc] for n in ("ids", "keys")), unplanes(r["code"][border], CLAIM_CODE if kind == CLAIM else ASK_CODE),
+                        *(unplanes(r[n], size)[mine] for n, size in (("place", 4), ("near", 1), ("far", 1)))])
+    return [np.concatenate(c) for c in zip(*columns)]
 
 
 def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, homes: int) -> Iterator[pa.RecordBatch]:
     """Step 3, at the anchors, and step 4: c0 first windows, c1 how many, of the removable runs of each document."""
-    places, out = (("code", 5), ("place", 4), ("near", 1), ("far", 1)), Outbox(homes, 4, 4)
+    out = Outbox(homes, 4, 4)
     for _, rows in bucket_runs(batches):
-        ids, keys, code, place, near, far, digest = unpacked([r for r in rows if r["digest"]], *places, ("digest", 8))
+        ids, keys, code, place, near, far = unpacked(rows, CLAIM)
+        digest = np.concatenate([unplanes(r["digest"], 8) for r in rows])
         # A claim holds if a smaller id claims the same text around the same anchor.
         order = np.lexsort((ids, digest, code))
         new = starts_of(code[order], digest[order])
@@ -377,10 +390,10 @@ def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, homes: int) ->
             held[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         first, many = place.astype(np.int64) - far.astype(np.int64), far.astype(np.int64) - near.astype(np.int64) + 1
         found = [(ids[held], keys[held], first[held], many[held])]
-        asked = [r for r in rows if not r["digest"]]
-        if asked:
-            ids, keys, code, place, near, far = unpacked(asked, *places)
-            at, back = shape.removable(code, ids, near.astype(np.int64), far.astype(np.int64), [x for r in asked for x in r["data"]])
+        data = [x for r in rows for x in r["data"]]
+        if data:
+            ids, keys, code, place, near, far = unpacked(rows, ASK)
+            at, back = shape.removable(code, ids, near.astype(np.int64), far.astype(np.int64), data)
             found.append((ids[at], keys[at], place[at].astype(np.int64) - back, np.ones(len(at), np.int64)))
         ids, keys, first, many = (np.concatenate(x) for x in zip(*found))
         # Runs that touch become one before they travel.
