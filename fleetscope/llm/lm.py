@@ -285,7 +285,9 @@ def entries_of(h: np.ndarray, row: np.ndarray, ids: np.ndarray, buckets: int, si
     out = []
     for i, j in zip(edges[:-1], edges[1:]):
         own, index = np.unique(doc[i:j], return_inverse=True)
-        out.append([None] * 7 + [int(bucket[i]), planes(h[i:j], size), planes(index, 4), planes(times[i:j], 4), planes(ids[own].view(np.uint64), 8),
+        # Pairs are many: their numbers take the bytes that they need.
+        sizes = [1 if x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 for x in (index, times[i:j])] if levels else [4, 4]
+        out.append([None] * 7 + [int(bucket[i]), planes(h[i:j], size), planes(index, sizes[0]), planes(times[i:j], sizes[1]), planes(ids[own].view(np.uint64), 8),
                                  *([planes(x[i:j], 1) for x in levels] or (None, None))])
     return rows_batch(out, SCORED_ARROW)
 
@@ -378,11 +380,12 @@ def pair_task(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Re
                 continue
             if r["bucket"] != now:
                 now, (h, count) = r["bucket"], none
-            pair, times, uid = unplanes(r["h"], 6), unplanes(r["n"], 4).astype(float), unplanes(r["uids"], 8).view(np.int64)
+            pair, uid = unplanes(r["h"], 6), unplanes(r["uids"], 8).view(np.int64)
+            doc, times = (unplanes(r[c], len(r[c]) // len(pair)).astype(np.int64) for c in ("doc", "n"))
             spot = np.minimum(np.searchsorted(h, pair), max(0, len(h) - 1))
             both = np.where(h[spot] == pair, count[spot], 0.0) if len(h) else np.zeros(len(pair))
             before, own = (middle(unplanes(r[c], 1).astype(np.int64)) for c in ("before", "own"))
-            sums = np.bincount(unplanes(r["doc"], 4).astype(np.int64), times * log_chance(both, before, own, floor), len(uid))
+            sums = np.bincount(doc, times * log_chance(both, before, own, floor), len(uid))
             yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(sums)], schema=schema)
 
 

@@ -3,6 +3,7 @@
 import collections
 import datetime as dt
 import glob
+import uuid
 
 import duckdb
 import pytest
@@ -47,10 +48,9 @@ def test_streams_over_events_in_parts(spark, tmp_path, key):
 def test_steps_are_written_by_several_tasks(spark, tmp_path):
     """One frame a micro-batch, in order, also an empty one; none of them goes through a single task."""
     f = Fleet(spark, events(spark, tmp_path, files=3))
-    parts = f.table("events").rdd.getNumPartitions()
-    seen = []
-    stream = in_steps(f, [f.telemetry.where(w) for w in ("event_id % 2 = 0", "event_id < 0", "event_id % 2 = 1", "event_id = 5")], "parts")
-    files = glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/parts-*/in/*.parquet")
+    parts, label, seen = f.table("events").rdd.getNumPartitions(), uuid.uuid4().hex, []
+    stream = in_steps(f, [f.telemetry.where(w) for w in ("event_id % 2 = 0", "event_id < 0", "event_id % 2 = 1", "event_id = 5")], label)
+    files = glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/{label}-*/in/*.parquet")
     jobs.run_batches(stream, lambda batch, n: seen.append(sorted(r.event_id for r in batch.collect())), str(tmp_path / "cp"))
     assert parts > 1 and len(files) == 4 * parts
     assert seen == [list(range(0, 600, 2)), [], list(range(1, 600, 2)), [5]]
