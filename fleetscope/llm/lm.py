@@ -8,13 +8,14 @@ hash, so segments are filled where their counts lie and only they are gathered.
 
 p(w | h) = k · c(h, w) / c(h) + (1 - k) · (c(w) + 1) / (N + V + 1), all counts from the filter.
 
-Pairs below a level may stay out of the filter, so that it fits into its bound. An
-occurrence whose pair the filter does not hold at that level meets the pair's count in
-a shuffle, with the levels of its two words, and comes back as part of a sum.
+Pairs below a level may stay out of the filter, so that it fits into its bound; of all but
+small corpora those seen once do, at every size. A row that was learned from knows that its own
+pairs were seen. Any other occurrence whose pair the filter does not hold at that level meets the
+pair's count in a shuffle, with the levels of its two words, and comes back as part of a sum.
 
 The plain base score needs exact counts. Frequent words have theirs in a table
 of bounded size that goes to all workers; occurrences of other words meet their
-counts in a shuffle and come back as one sum for each document and bucket.
+counts in the same shuffle and come back as one sum for each document and bucket.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .substring import word_hashes
 
 #: Bound of the filter, bits for each entry, and hash functions.
 FILTER_BYTES, ENTRY_BITS, HASHES = 1 << 26, 8, 3
+#: Up to this size the filter also holds the pairs that were seen once, which are most of them.
+WHOLE_BYTES = 1 << 22
 #: Base of the levels, and weight of the pair estimate.
 LEVEL_BASE, PAIR_WEIGHT = 1.5, 0.3
 #: Levels that are told apart in the sizing of the filter; entries that a task sums at a time.
@@ -158,7 +161,7 @@ def places(key: np.ndarray, bucket: np.ndarray, level: np.ndarray | int, turn: i
 def fill_task(batches: Iterator[pa.RecordBatch], segment_bits: int, least: int) -> Iterator[pa.RecordBatch]:
     """The filter's segment of each bucket: a bit array with all levels of its words and of its pairs from level ``least`` on.
 
-    ``pair_rows`` has the counts of the other pairs, which ``pair_task`` looks up.
+    ``count_rows`` has the counts of the other pairs, which ``meet_task`` looks up.
     """
     for batch in batches:
         out = []
@@ -217,9 +220,9 @@ def fit(df: DataFrame, train: Column, text_col: str = "text") -> Trained:
 
     The filter takes ``ENTRY_BITS`` bits for each entry, so its false hits do
     not grow with the corpus. All words enter it, and the pairs from the least level on
-    at which they fit into ``FILTER_BYTES``: all of them up to some 60 million
-    entries, beyond that those seen a few times or more (``score`` looks up the counts of rarer
-    ones where they lie). Should the words alone not fit, the
+    at which they fit into ``FILTER_BYTES``: all of them up to ``WHOLE_BYTES``, beyond that those
+    seen twice or more, and beyond some 60 million entries those seen a few times or more
+    (``score`` looks up the counts of rarer ones where they lie). Should the words alone not fit, the
     filter is as large as they need. Frequent words are those with at least 2**i occurrences, for the
     least i that keeps the table within ``HEAD`` words.
     """
@@ -230,8 +233,10 @@ def fit(df: DataFrame, train: Column, text_col: str = "text") -> Trained:
     sums = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
                       *[F.coalesce(F.sum(F.col("lengths")[i]), F.lit(0)).alias(f"l{i}") for i in range(48)],
                       *[F.coalesce(F.sum(F.col("pair_levels")[i]), F.lit(0)).alias(f"p{i}") for i in range(LEVELS)]).first()
+    whole = sums["entries"] + sum(i * sums[f"p{i}"] for i in range(LEVELS))
+    first = 1 if whole * ENTRY_BITS <= WHOLE_BYTES * 8 else 2
     entries, least = sums["entries"], LEVELS
-    while least > 1 and (entries + (least - 1) * sums[f"p{least - 1}"]) * ENTRY_BITS <= FILTER_BYTES * 8:
+    while least > first and (entries + (least - 1) * sums[f"p{least - 1}"]) * ENTRY_BITS <= FILTER_BYTES * 8:
         least -= 1
         entries += least * sums[f"p{least}"]
     segment_bits = max(64, -(-entries * ENTRY_BITS // buckets)) // 8 * 8
@@ -261,9 +266,15 @@ def fit(df: DataFrame, train: Column, text_col: str = "text") -> Trained:
     return Trained(Model(buckets, segment_bits, bits, h[order], n[order], int(sums["tokens"]), int(sums["words"]), top, least), totals)
 
 
-SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, bucket int, h binary, doc binary, n binary, uids binary, before binary, own binary"
-SCORED_ARROW = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()),
-                          ("score", pa.float64()), ("bucket", pa.int32()), *((n, pa.binary()) for n in ("h", "doc", "n", "uids", "before", "own"))])
+#: Kinds of rows that travel by bucket: words, pairs, and what is known of a chunk's documents.
+WORDS, PAIRS, TEXTS = range(3)
+#: Entries that leave a task together, and documents.
+SEND, DOCUMENTS = 1 << 19, 1 << 16
+MET = "bucket int, kind int, late boolean, chunk long, h binary, doc binary, n binary, before binary, own binary"
+BLOBS = [(n, pa.binary()) for n in ("h", "doc", "n", "before", "own")]
+MET_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("late", pa.bool_()), ("chunk", pa.int64()), *BLOBS])
+PART = "chunk long, kind int, h binary, doc binary, n binary, before binary, own binary"
+PART_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), *BLOBS])
 
 
 def log_chance(both: np.ndarray, before: np.ndarray, own: np.ndarray, floor: float) -> np.ndarray:
@@ -272,47 +283,77 @@ def log_chance(both: np.ndarray, before: np.ndarray, own: np.ndarray, floor: flo
     return np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (own + 1) / floor)
 
 
-def entries_of(h: np.ndarray, row: np.ndarray, ids: np.ndarray, buckets: int, size: int, *levels: np.ndarray) -> pa.RecordBatch:
-    """Occurrences that meet their counts elsewhere, packed by bucket; ``levels`` are the same wherever a hash and a row are."""
-    order = np.lexsort((row, h))
-    edge = np.flatnonzero(starts_of(h[order], row[order]))
+def least_bytes(values: np.ndarray) -> int:
+    return max(1, -(-int(values.max()).bit_length() // 8))
+
+
+def whole_numbers(data: bytes, count: int) -> np.ndarray:
+    """Numbers that took the bytes they needed."""
+    return unplanes(data, len(data) // count).astype(np.int64)
+
+
+def entries_of(kind: int, chunk: int, buckets: int, h: np.ndarray, doc: np.ndarray, *levels: np.ndarray) -> Iterator[list]:
+    """Occurrences that meet their counts elsewhere, packed by bucket; ``levels`` are the same wherever a hash and a document are."""
+    order = np.lexsort((doc, h))
+    edge = np.flatnonzero(starts_of(h[order], doc[order]))
     times = np.diff(np.append(edge, len(order)))
-    h, doc, *levels = (x[order][edge] for x in (h, row, *levels))
+    h, doc, *levels = (x[order][edge] for x in (h, doc, *levels))
     bucket = bucket_of(h, buckets)
     order = np.argsort(bucket, kind="stable")
     h, doc, times, bucket, *levels = (x[order] for x in (h, doc, times, bucket, *levels))
     edges = np.append(np.flatnonzero(starts_of(bucket)), len(h))
-    out = []
     for i, j in zip(edges[:-1], edges[1:]):
-        own, index = np.unique(doc[i:j], return_inverse=True)
-        # Pairs are many: their numbers take the bytes that they need.
-        sizes = [1 if x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 for x in (index, times[i:j])] if levels else [4, 4]
-        out.append([None] * 7 + [int(bucket[i]), planes(h[i:j], size), planes(index, sizes[0]), planes(times[i:j], sizes[1]), planes(ids[own].view(np.uint64), 8),
-                                 *([planes(x[i:j], 1) for x in levels] or (None, None))])
-    return rows_batch(out, SCORED_ARROW)
+        yield [int(bucket[i]), kind, True, chunk, planes(h[i:j], 6 if kind == PAIRS else 8), planes(doc[i:j], least_bytes(doc[i:j])), planes(times[i:j], least_bytes(times[i:j])),
+               *([planes(x[i:j], 1) for x in levels] or (None, None))]
 
 
 def score_task(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and packed rows of its less frequent words, and of pairs that are not in the filter, by bucket."""
-    uid, floor = TaskContext.get().partitionId() << 36, model.tokens + model.words + 1.0
+    """Packed rows of a chunk's documents, of their less frequent words, and of pairs whose counts neither the filter nor the row tells, by bucket.
+
+    A pair of a row that was learned from has been seen once at least: where the filter holds all that were seen more often, its count is 1.
+    """
+    chunk, floor = TaskContext.get().partitionId() << 36, model.tokens + model.words + 1.0
     counts = middle(np.arange(model.top + 1))
-    texts = model.level(np.array([END]), False)[0]  # of the count of training texts, which the filter holds like any other
+    end = model.level(np.array([END]), False)[0]  # of the count of training texts, which the filter holds like any other
+    words, pairs, texts = [], [], []
+    docs = size = 0
+
+    def flush() -> pa.RecordBatch:
+        ids, state, *numbers = (np.concatenate([t[i] for t in texts]) for i in range(6))
+        rows = [[chunk % model.buckets, TEXTS, True, chunk, planes(ids.view(np.uint64), 8), state.tobytes(), planes(numbers[0], 6), planes(numbers[1], 6),
+                 np.concatenate(numbers[2:]).tobytes()]]
+        for kind, held in ((WORDS, words), (PAIRS, pairs)):
+            if held:
+                rows += entries_of(kind, chunk, model.buckets, *(np.concatenate([x[i] for x in held]) for i in range(len(held[0]))))
+            held.clear()
+        texts.clear()
+        return rows_batch(rows, MET_ARROW)
+
     for batch in batches:
         buf, off = text_buffer(batch.column(2))
+        id_null, held_null = (np.asarray(batch.column(i).is_null()) for i in (0, 1))
+        every_id = np.asarray(batch.column(0).fill_null(0)).astype(np.int64)
+        held_out = np.asarray(batch.column(1).fill_null(True)).astype(bool)
+        states = (id_null + 2 * held_out + 4 * held_null).astype(np.uint8)
         for a, z in slices(off, CHUNK):
             row, tok, pair = token_hashes(buf[off[a]:off[z]], off[a:z + 1] - off[a])
             rows = z - a
             word, at_word = np.unique(tok, return_inverse=True)
             level = model.level(word, False)
-            pairs, at_pair = np.unique(pair, return_inverse=True)
-            both = model.level(pairs, True)[at_pair]
+            some, at_pair = np.unique(pair, return_inverse=True)
+            both = model.level(some, True)[at_pair]
             before = np.concatenate(([0], level[at_word[:-1]]))
-            before[starts_of(row)] = texts
+            before[starts_of(row)] = end
             away = np.zeros(0, np.int64)
             if model.least > 1:  # a pair of words of which one was never seen has not been seen either
                 low = both < model.least
                 both[low] = 0
-                away = np.flatnonzero(low & (before > 0) & (level > 0)[at_word])
+                low &= (before > 0) & (level > 0)[at_word]
+                if model.least == 2:
+                    once = low & ~held_out[a:z][row]
+                    both[once] = 1
+                    low &= ~once
+                away = np.flatnonzero(low)
             score = log_chance(counts[both], counts[before], counts[level][at_word], floor)
             score[away] = 0.0
             # Exact counts where the table has them; the others leave as entries.
@@ -320,109 +361,117 @@ def score_task(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
             known = model.head_h[spot] == word if len(model.head_h) else np.zeros(len(word), bool)
             exact = np.where(known, model.head_n[spot] if len(model.head_h) else 0, 0)
             base = np.bincount(row, np.log10(exact + 1.0)[at_word], rows)
-            ids = uid + np.arange(rows)
-            size = np.bincount(row, minlength=rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), batch.column(0).slice(a, rows), batch.column(1).slice(a, rows), pa.array(size), pa.array(np.bincount(row, known[at_word], rows).astype(np.int64)),
-                 pa.array(base), pa.array(np.bincount(row, score, rows)), *(pa.nulls(rows, f.type) for f in list(SCORED_ARROW)[7:])], schema=SCORED_ARROW)
+            texts.append((every_id[a:z], states[a:z], np.bincount(row, minlength=rows), np.bincount(row, known[at_word], rows).astype(np.int64), base, np.bincount(row, score, rows)))
             rare = np.flatnonzero(~known[at_word])
             if len(rare):
-                yield entries_of(tok[rare], row[rare], ids, model.buckets, 8)
+                words.append((tok[rare], row[rare] + docs))
             if len(away):
-                yield entries_of(pair[away], row[away], ids, model.buckets, 6, before[away], level[at_word[away]])
-            uid += rows
+                pairs.append((pair[away], row[away] + docs, before[away], level[at_word[away]]))
+            size += len(rare) + len(away)
+            docs += rows
+            if size >= SEND or docs >= DOCUMENTS:
+                yield flush()
+                chunk += docs
+                docs = size = 0
+    if docs:
+        yield flush()
 
 
-def exact_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of log10(c + 1) and of known tokens for each document, from the exact counts of a bucket's words."""
-    schema = pa.schema([("uid", pa.int64()), ("more", pa.float64()), ("known", pa.int64())])
-    now, h, n = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def count_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The counts of a bucket's words, and of its pairs that are not in the filter, those below level ``least``."""
     for batch in batches:
+        out = []
         for r in batch.to_pylist():
-            if r["uids"] is None:  # the counts come first
-                now, h, n = r["bucket"], unplanes(r["h"], 8), unplanes(r["n"], 6)
-                continue
-            if r["bucket"] != now:
-                now, h, n = r["bucket"], np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            word, times = unplanes(r["h"], 8), unplanes(r["n"], 4).astype(float)
-            uid, doc = unplanes(r["uids"], 8).view(np.int64), unplanes(r["doc"], 4).astype(np.int64)
-            spot = np.minimum(np.searchsorted(h, word), max(0, len(h) - 1))
-            c = np.where(h[spot] == word, n[spot], 0).astype(float) if len(h) else np.zeros(len(word))
-            more = np.bincount(doc, times * np.log10(c + 1), len(uid))
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(more), pa.array(np.bincount(doc, times * (c > 0), len(uid)).astype(np.int64))], schema=schema)
-
+            out.append([r["bucket"], WORDS, False, None, r["word_h"], None, r["word_n"], None, None])
+            if least > 1:
+                n = unplanes(r["pair_n"], 6)
+                keep = levels(n) < least if len(n) else np.zeros(0, bool)
+                out.append([r["bucket"], PAIRS, False, None, planes(unplanes(r["pair_h"], 6)[keep], 6), None, planes(n[keep], 6), None, None])
+        yield rows_batch(out, MET_ARROW)
 
-MET = "bucket int, h binary, doc binary, n binary, uids binary, before binary, own binary"
 
+def meet_task(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
+    """What a bucket's counts add to the documents of each chunk; the counts of a kind come before its entries.
 
-def pair_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The counts of a bucket's pairs that are not in the filter, those below level ``least``."""
-    schema = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("h", "doc", "n", "uids", "before", "own"))])
+    Words: known tokens and the sum of log10(c + 1). Pairs: the sum of log10 p(w | h). What is known of documents goes on as it is.
+    """
+    none = np.zeros(0, np.uint64)
+    now, h, count = None, none, none
     for batch in batches:
-        out = []
         for r in batch.to_pylist():
-            n = unplanes(r["pair_n"], 6)
-            keep = levels(n) < least if len(n) else np.zeros(0, bool)
-            out.append([r["bucket"], planes(unplanes(r["pair_h"], 6)[keep], 6), None, planes(n[keep], 6), None, None, None])
-        yield rows_batch(out, schema)
-
+            kind, chunk = r["kind"], r["chunk"]
+            if kind == TEXTS:
+                yield rows_batch([[chunk, kind, *(r[n] for n, _ in BLOBS)]], PART_ARROW)
+                continue
+            key = unplanes(r["h"], 6 if kind == PAIRS else 8)
+            if not r["late"]:
+                n = unplanes(r["n"], 6)
+                now, h, count = (r["bucket"], kind), key, middle(levels(n)) if kind == PAIRS and len(n) else n.astype(float)
+                continue
+            if (r["bucket"], kind) != now:
+                now, h, count = (r["bucket"], kind), none, none
+            spot = np.minimum(np.searchsorted(h, key), max(0, len(h) - 1))
+            c = np.where(h[spot] == key, count[spot], 0.0) if len(h) else np.zeros(len(key))
+            doc, index = np.unique(whole_numbers(r["doc"], len(key)), return_inverse=True)
+            times = whole_numbers(r["n"], len(key))
+            if kind == PAIRS:
+                before, own = (middle(unplanes(r[n], 1).astype(np.int64)) for n in ("before", "own"))
+                known, each = None, log_chance(c, before, own, floor)
+            else:
+                known, each = planes(np.bincount(index, times * (c > 0), len(doc)).astype(np.int64), 6), np.log10(c + 1)
+            sums = np.bincount(index, times * each, len(doc))
+            yield rows_batch([[chunk, kind, None, planes(doc, least_bytes(doc)), known, None, sums.tobytes()]], PART_ARROW)
+
+
+def sum_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a chunk, with all that was added to it; what is known of documents comes first."""
+    schema = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    held = None
+
+    def out() -> pa.RecordBatch:
+        ids, state, size, known, base, score = held
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=state & 1 > 0), pa.array(state & 2 > 0, mask=state & 4 > 0), *map(pa.array, (size, known, base, score))], schema=schema)
 
-def pair_task(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
-    """Sums of log10 p(w | h) for each document over the occurrences whose pairs are not in the filter; the counts come first."""
-    schema = pa.schema([("uid", pa.int64()), ("score", pa.float64())])
-    none = np.zeros(0, np.uint64), np.zeros(0)
-    now, (h, count) = None, none
     for batch in batches:
         for r in batch.to_pylist():
-            if r["uids"] is None:
-                n = unplanes(r["n"], 6)
-                now, h, count = r["bucket"], unplanes(r["h"], 6), middle(levels(n)) if len(n) else none[1]
+            if r["kind"] == TEXTS:
+                if held:
+                    yield out()
+                size, known = (unplanes(r[n], 6).astype(np.int64) for n in ("n", "before"))
+                base, score = np.frombuffer(r["own"]).reshape(2, -1).copy()
+                held = unplanes(r["h"], 8).view(np.int64), np.frombuffer(r["doc"], np.uint8), size, known, base, score
                 continue
-            if r["bucket"] != now:
-                now, (h, count) = r["bucket"], none
-            pair, uid = unplanes(r["h"], 6), unplanes(r["uids"], 8).view(np.int64)
-            doc, times = (unplanes(r[c], len(r[c]) // len(pair)).astype(np.int64) for c in ("doc", "n"))
-            spot = np.minimum(np.searchsorted(h, pair), max(0, len(h) - 1))
-            both = np.where(h[spot] == pair, count[spot], 0.0) if len(h) else np.zeros(len(pair))
-            before, own = (middle(unplanes(r[c], 1).astype(np.int64)) for c in ("before", "own"))
-            sums = np.bincount(doc, times * log_chance(both, before, own, floor), len(uid))
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(sums)], schema=schema)
-
-
-def away_scores(found: DataFrame, trained: Trained) -> DataFrame:
-    """(uid, away): what the pairs that are not in the filter add to the score of a document."""
-    model = trained.model
-    counts = trained.totals.select("bucket", "pair_h", "pair_n").mapInArrow(lambda it: pair_rows(it, model.least), MET)
-    entries = found.where("before is not null").select(*counts.columns)
-    met = counts.union(entries).withColumn("late", F.col("uids").isNotNull()).repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "late")
-    floor = model.tokens + model.words + 1.0
-    return met.select(*counts.columns).mapInArrow(lambda it: pair_task(it, floor), "uid long, score double").groupBy("uid").agg(F.sum("score").alias("away"))
+            sums = np.frombuffer(r["own"])
+            doc = whole_numbers(r["doc"], len(sums))  # each once
+            if r["kind"] == WORDS:
+                held[3][doc] += unplanes(r["n"], 6).astype(np.int64)
+                held[4][doc] += sums
+            else:
+                held[5][doc] += sums
+    if held:
+        yield out()
 
 
 def score(df: DataFrame, trained: Trained, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
-    NULL and empty texts are one end token. Ids may be NULL or repeat: rows stay
-    apart. Without a training row every count is 0. An empty table gives no
-    rows. Other columns are ignored.
+    ``held_out`` is false for rows that were learned from. NULL and empty texts are one end token. Ids may be NULL or
+    repeat: rows stay apart. Without a training row every count is 0. An empty table gives no
+    rows. Other columns are ignored. Entries go to their counts, and sums of a chunk's
+    documents back, in one shuffle each; nothing is written in between.
     """
     model = trained.model
     shared = df.sparkSession.sparkContext.broadcast(model)  # FILTER_BYTES and HEAD words at most
     rows = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    found = saved(rows.mapInArrow(lambda it: score_task(it, shared.value), SCORED), "scores")
-    entries = found.where("uids is not null and before is null").select("bucket", "h", "doc", "n", "uids")
-    none = F.lit(None).cast("binary")
-    counts = trained.totals.select("bucket", F.col("word_h").alias("h"), none.alias("doc"), F.col("word_n").alias("n"), none.alias("uids"))
-    met = counts.union(entries).withColumn("late", F.col("uids").isNotNull()).repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "late")
-    sums = met.select("bucket", "h", "doc", "n", "uids").mapInArrow(exact_task, "uid long, more double, known long").groupBy("uid").agg(
-        F.sum("more").alias("more"), F.sum("known").alias("known"))
-    floor = math.log10(model.tokens + model.words + 1)
-    texts = found.where("uids is null").select("uid", "id", "held_out", "n_tokens", "n_known", "base", "score")
-    if model.least > 1:
-        texts = texts.join(away_scores(found, trained), "uid", "left").withColumn("score", F.col("score") + F.coalesce("away", F.lit(0.0)))
-    return texts.join(sums, "uid", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"), "score")
+    found = rows.mapInArrow(lambda it: score_task(it, shared.value), MET)
+    least, buckets, floor = model.least, model.buckets, model.tokens + model.words + 1.0
+    counts = trained.totals.select("bucket", "word_h", "word_n", "pair_h", "pair_n") if least > 1 else trained.totals.select("bucket", "word_h", "word_n")
+    met = counts.mapInArrow(lambda it: count_rows(it, least), MET).union(found).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind", "late")
+    parts = met.mapInArrow(lambda it: meet_task(it, floor), PART).repartition(buckets, "chunk").sortWithinPartitions("chunk", F.desc("kind"))
+    texts = parts.mapInArrow(sum_task, "id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    return texts.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * math.log10(floor)).alias("base_score"), "score")
 
 
 def fold(id_col: str = "doc_id", folds: int = 7, held: int = 2) -> Column:

@@ -420,3 +420,25 @@ def test_pairs_beyond_the_filter_count_too(spark, monkeypatch, room):
         exact = sum(math.log10(0.3 * (pairs[b, t] / seen(b) if seen(b) else 0.0) + 0.7 * (words[t] + 1) / floor) for b, t in zip(["begin", *toks[:-1]], toks))
         off.append(abs(got[r.doc_id, len(toks)] - exact) / len(toks))
     assert max(off) <= math.log10(1.5) + 1e-9 and len(off) > 10
+
+
+def test_rows_that_were_learned_from_look_up_no_single_pairs(spark, monkeypatch):
+    """Pairs seen once stay out of the filter before it is full; only held out rows send theirs, and no score moves by more than a level a token."""
+    monkeypatch.setattr(lm, "WHOLE_BYTES", 0)
+    docs, held = frame(spark, fuzz(21)), lm.fold()
+    trained = lm.fit(docs, ~held)
+    model = trained.model
+    assert model.least == 2
+
+    def sent(rows):
+        rows = rows.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text")
+        return rows.mapInArrow(lambda it: lm.score_task(it, model), lm.MET).where(F.col("kind") == lm.PAIRS).count()
+
+    assert sent(docs.where(~held)) == 0 < sent(docs.where(held))
+    got = sorted(tuple(r) for r in lm.score(docs.where("doc_id is not null"), trained, held).collect())
+    monkeypatch.setattr(lm, "FILTER_BYTES", 0)
+    every = lm.fit(docs, ~held)
+    assert every.model.least > 2
+    want = sorted(tuple(r) for r in lm.score(docs.where("doc_id is not null"), every, held).collect())
+    assert [r[:5] for r in got] == [r[:5] for r in want] and len(got) > 10
+    assert all(abs(a[6] - b[6]) <= math.log10(1.5) * a[2] + 1e-9 for a, b in zip(got, want))
