@@ -16,53 +16,87 @@ work in proportion to the entries and the sources, and emits no pairs of rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import top_per_key
-from .common import saved, shuffle_parts
+from .common import saved, shuffle_parts, slices, text_buffer
+from .passages import starts_of
 
 LEAST_DOCS, TOP = 30, 50
 #: A term is a run of letters and of bytes from 0x80 on; all else becomes a space, and ASCII letters lower-case.
-TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+#: Weights by which a share of all terms is picked.
+WEIGHTS = np.array([crc32(bytes([b])) for b in range(256)], np.uint64)
 #: What stands between language and term; no term holds it.
 MARK = "\x00"
 #: Kept terms of a round, the share of all terms that tells how many there are, and the largest vocabulary that Spark's parameter allows.
 VOCABULARY, SHARE, NO_LIMIT = 1 << 18, 16, (1 << 31) - 1
-#: Terms that leave a task together.
-SEND = 1 << 16
+#: Bytes of texts whose terms are cut, and leave a task, together.
+SEND = 1 << 21
 #: Entries that a task sums at a time, and cells of the matrix in which it compares sources.
 ENTRIES, CELLS = 1 << 21, 1 << 21
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
-def words_of(text: pa.StringScalar) -> list[bytes]:
-    return text.as_buffer().to_pybytes().translate(TABLE).split()
+def words_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """The row of each term occurrence, and the terms themselves. No term goes over the end of its row."""
+    clean = LETTERS[buf]
+    solid = clean != 32
+    inner = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(buf))]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    first[inner], last[inner - 1] = solid[inner], solid[inner - 1]
+    start = np.flatnonzero(first)
+    borders = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - start)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(borders), pa.py_buffer(clean[solid])])
+    return np.searchsorted(off, start, side="right") - 1, words
+
+
+def plain(words: pa.LargeBinaryArray) -> list[bytes]:
+    """The terms as Python has them, cut out of one buffer: none holds a space or is empty."""
+    if not len(words):
+        return []
+    buf, off = text_buffer(words)
+    spaced = np.insert(buf, off[1:-1], 32)
+    return spaced.tobytes().split(b" ")
+
+
+def share_of(words: pa.LargeBinaryArray) -> np.ndarray:
+    """Whether a term is among the one in ``SHARE``, by a sum over its bytes."""
+    if not len(words):
+        return np.zeros(0, bool)
+    buf, off = text_buffer(words)
+    return (np.add.reduceat(WEIGHTS[buf], off[:-1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(SHARE) == 0
 
 
 def split_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, terms, some): the distinct terms of each text, each led by its language and the mark, and one in ``SHARE`` of them."""
+    """(lang, source, terms, some): the distinct terms of each text, each led by its language and the mark, and those of one in ``SHARE`` words."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.list_(pa.string())), ("some", pa.list_(pa.string()))])
     for batch in batches:
-        begin, words, ends, some, some_ends = 0, [], [0], [], [0]
-        for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
-            lead = (lang + MARK).encode()
-            own = [lead + w for w in set(words_of(text))]
-            words += own
-            some += [w for w in own if not crc32(w) % SHARE]
-            ends.append(len(words))
-            some_ends.append(len(some))
-            if len(words) >= SEND or i == batch.num_rows - 1:
-                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(w, pa.binary()).cast(pa.string())) for e, w in ((ends, words), (some_ends, some))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), batch.column(1).slice(begin, i + 1 - begin), *lists], schema=schema)
-                begin, words, ends, some, some_ends = i + 1, [], [0], [], [0]
+        buf, off = text_buffer(batch.column(2))
+        for a, z in slices(off, SEND):
+            row, words = words_of(buf[off[a]:off[z]], off[a:z + 1] - off[a])
+            coded = words.dictionary_encode()
+            key = np.sort(row << 32 | np.asarray(coded.indices))
+            key = key[starts_of(key)]
+            row, word = key >> 32, key & 0xFFFFFFFF
+            leads = pa.array([(lang + MARK).encode() for lang in batch.column(0).slice(a, z - a).to_pylist()], pa.large_binary())
+            terms = pc.binary_join_element_wise(leads.take(pa.array(row)), coded.dictionary.take(pa.array(word)), pa.scalar(b"", pa.large_binary()))
+            terms = terms.cast(pa.binary()).cast(pa.string())
+            some = share_of(coded.dictionary)[word]
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(r, minlength=z - a)))), pa.int32()), t)
+                     for r, t in ((row, terms), (row[some], terms.filter(pa.array(some))))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), *lists], schema=schema)
 
 
 def rounds_of(docs: DataFrame, least_docs: int, most: int) -> int:
@@ -102,16 +136,25 @@ def summed_vectors(batches: Iterator[pa.RecordBatch], places: dict[str, dict[byt
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "groups", "owner", "term", "count"])
 
     for batch in batches:
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            known = places.get(lang)
-            if not known:
-                continue
-            place = known.get
-            vector = {i: n for w, n in Counter(words_of(text)).items() if (i := place(w)) is not None}
-            if vector:
-                code = names.setdefault((lang, source), len(names)) << 32
-                held.append((np.fromiter(vector, np.int64, len(vector)) | code, np.fromiter(vector.values(), np.int64, len(vector))))
-                size += len(vector)
+        buf, off = text_buffer(batch.column(2))
+        owners = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for a, z in slices(off, SEND):
+            row, words = words_of(buf[off[a]:off[z]], off[a:z + 1] - off[a])
+            langs = {lang: i for i, lang in enumerate(dict.fromkeys(g[0] for g in owners[a:z]))}
+            spoken = np.array([langs[g[0]] for g in owners[a:z]])[row]
+            code = np.array([names.setdefault(g, len(names)) if g[0] in places else 0 for g in owners[a:z]], np.int64)[row]
+            for lang, i in langs.items():
+                if lang not in places:
+                    continue
+                mine = spoken == i
+                coded = words.filter(pa.array(mine)).dictionary_encode()
+                place = np.fromiter(map(places[lang].get, plain(coded.dictionary), repeat(-1)), np.int64, len(coded.dictionary))[np.asarray(coded.indices)]
+                kept = place >= 0
+                if kept.any():
+                    key = np.sort(code[mine][kept] << 32 | place[kept])
+                    edge = np.flatnonzero(starts_of(key))
+                    held.append((key[edge], np.diff(np.append(edge, len(key)))))
+                    size += len(edge)
             if size >= ENTRIES:
                 held = [summed(held)]
                 size = len(held[0][0])

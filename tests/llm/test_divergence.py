@@ -82,3 +82,27 @@ def test_no_kept_term_and_no_rows(spark):
 def test_sql_twins(spark, key):
     sf = "/root/testdata/sf0.001"
     assert compare(spark, duck(sf), queries.QUERIES[key], queries.ORACLE[key], sf) is None
+
+
+def test_terms_of_many_texts_are_cut_together(monkeypatch):
+    """Texts that end and begin with letters, empty ones at both ends, NULL, no letters at all; all at once, or a text at a time."""
+    import pyarrow as pa
+
+    texts = ["", None, "ab Ab", "cd", "", "c d", "1 2", "Ünter\x00ß x_y 日本", "z", "", None]
+    langs = ["en", "de", "en", "en", "de", "de", "en", "de", "", "en", "en"]
+    want = [TERM.findall((t or "").translate(A_TO_Z)) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (langs, ["s"] * len(texts), texts)], names=["lang", "source", "text"])
+    places = {"en": {b"ab": 0, b"cd": 1}, "de": {"ünter".encode(): 2, "Ünter".encode(): 3, b"d": 4}}
+    for send in (1 << 21, 1):
+        monkeypatch.setattr(divergence, "SEND", send)
+        for part in (batch, batch.slice(2), batch.slice(3, 4), batch.slice(0, 2)):
+            begin = next(i for i in range(len(texts)) if batch.slice(i, part.num_rows).equals(part))
+            rows = [r for out in divergence.split_terms(iter([part])) for r in out.to_pylist()]
+            assert [sorted(r["terms"]) for r in rows] == [sorted({f"{g}\x00{w}" for w in ws}) for g, ws in list(zip(langs, want))[begin:begin + part.num_rows]]
+            assert all(set(r["some"]) <= set(r["terms"]) for r in rows)
+        sums = collections.Counter()
+        for packed in divergence.summed_vectors(iter([batch]), places, 1):
+            for r in packed.to_pylist():
+                for owner, term, n in zip(*(memoryview(r[c]).cast(k) for c, k in (("owner", "I"), ("term", "I"), ("count", "q")))):
+                    sums[r["groups"][owner]["lang"], term] += n
+        assert sums == {("en", 0): 2, ("en", 1): 1, ("de", 3): 1, ("de", 4): 1}
