@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, short_batches
 
 #: Longest stretch without white space that is cached, in bytes, and cached stretches per generation.
 CACHED_BYTES, CACHED_WORDS = 64, 400_000
@@ -287,5 +287,5 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    out = short_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..session import scratch_dir
 
@@ -16,6 +18,10 @@ from ..session import scratch_dir
 SPACES = b" \t\n\x0b\x0c\r"
 #: What ends a word, as a Java and Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that go to a Python worker at a time. At Spark's 64 MB (or 10,000 rows) Java and Python each hold a task's
+#: whole share of the texts, several times over, and neither gives the memory back.
+BATCH_BYTES = 1 << 22
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +60,19 @@ def packed(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """The frame, its session set to Arrow batches of BATCH_BYTES unless it has a setting of its own. The rows are the same."""
+    if df.sparkSession.conf.get(BATCH_CONF, None) is None:
+        df.sparkSession.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of rows that the driver has, inside the plan: a list would go through Python workers of another kind, which executors then keep."""
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds))
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared scratch folder and read back: lineage ends there and survives lost executors."""
     path = scratch_dir(df.sparkSession, label)

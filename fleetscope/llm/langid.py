@@ -15,7 +15,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_crc32
+from .common import few_rows, id_crc32, short_batches
 
 #: Bounds of the fit: documents of each language and characters of each document. A dictionary holds all of its sample that
 #: fits into DICT_BYTES, which is the sample of texts without many wide characters.
@@ -48,7 +48,7 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     counts = named.groupBy("lang").agg(F.count("*").alias("rows"), F.min("h").alias("least")).collect()  # a row a language
     order = sorted(counts, key=lambda r: (-r["rows"], r["lang"]))
     bounds = [(r["lang"], max(r["least"], min(2**63 - 1, 2**64 * SPARE * DOCS_PER_LANG // r["rows"] - 2**63))) for r in order]
-    near = named.join(F.broadcast(spark.createDataFrame(bounds, "lang string, bound long")), "lang").where("h <= bound")  # a row a language
+    near = named.join(F.broadcast(few_rows(spark, bounds, "lang string, bound long")), "lang").where("h <= bound")  # a row a language
     first = Window.partitionBy("lang").orderBy("h", "id", "data")
     kept = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= DOCS_PER_LANG)
     found = kept.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "data"))).alias("docs")).collect()
@@ -101,7 +101,7 @@ def identify(df: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", tex
                 [batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))],
                 ["id", "lang_pred", "score", "rejected"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return short_batches(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "id long, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
@@ -115,7 +115,7 @@ def keep_identified(df: DataFrame, dicts: dict[str, bytes], text_col: str = "tex
         for batch in batches:
             yield batch.filter(pa.array([not packer.classify(t or "", margin)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return short_batches(df).mapInArrow(run, df.schema)
 
 
 def training_rows(id_col: str = "doc_id", folds: int = 5) -> Column:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, few_rows, saved
 
 #: Words that the even shares leave to the knapsack search.
 RESERVE = 1 << 15
@@ -124,7 +124,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         rest = 0 if whole >= times or not total else min(total, round(target) - whole * total)
         return table.assign(whole=whole, extra=fit(table["size"].to_numpy(), table["docs"].to_numpy(), max(0, rest)) if total else 0)
 
-    goals = spark.createDataFrame(goal, "_src string, _none boolean, source_size long, target double")
+    goals = few_rows(spark, goal, "_src string, _none boolean, source_size long, target double")
     shares = saved(lengths.join(goals, ["_src", "_none"]).groupBy("_src", "_none").applyInPandas(
         plan, "_src string, _none boolean, size long, docs long, source_size long, target double, whole long, extra long"), "shares")
 

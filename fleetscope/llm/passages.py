@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, slices, text_buffer
+from .common import short_batches, shuffle_parts, slices, text_buffer
 
 #: Bits of an anchor hash that travel beside its bucket, and of a span's hash.
 CODE_BITS, SPAN_BITS = 40, 47
@@ -329,19 +329,23 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
             yield [int(where[at[0]]), codes, planes(index, 4), *own, planes(place[at], 4), planes(near[at], 1), planes(far[at], 1),
                    planes(digest[at[:many]], 8), [data[x - claims] for x in at[many:].tolist()]]
 
-    for batch in batches:
-        ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists = batch.column(3)
-        held: dict[int, list[tuple]] = {CLAIM: [], ASK: []}
-        size = 0
+    held: dict[int, list[tuple]] = {CLAIM: [], ASK: []}
+    rows: list[tuple[np.ndarray, np.ndarray]] = []  # ids and keys of the batches that the held ones stand in
+    size = 0
 
-        def flush() -> pa.RecordBatch:
-            rows = list(packed_rows(held, ids, keys))  # noqa: B023
-            held[CLAIM].clear()  # noqa: B023
-            held[ASK].clear()  # noqa: B023
-            return rows_batch(rows, schema)
+    def flush() -> pa.RecordBatch:
+        out = rows_batch(list(packed_rows(held, *(np.concatenate(c) for c in zip(*rows)))), schema)
+        held[CLAIM].clear()
+        held[ASK].clear()
+        return out
 
-        for a, found in chunks(ids, batch.column(2), shape):
+    for batch in batches:
+        if not size:
+            rows.clear()
+        base = sum(len(ids) for ids, _ in rows)
+        rows.append((batch.column(0).to_numpy().copy(), batch.column(1).to_numpy().copy()))  # views would hold the batch's texts
+        lists = batch.column(3)
+        for a, found in chunks(rows[-1][0], batch.column(2), shape):
             if not len(found.row):
                 continue
             bucket, code = split_code(found.code, buckets)
@@ -355,13 +359,13 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
                 at = np.flatnonzero(np.isin(mixed((mine | np.uint64(kind)) ^ salt), told))
                 if len(at):
                     data = shape.digests(found, at) if kind == CLAIM else shape.records(found, at)
-                    held[kind].append((bucket[at], code[at], a + found.row[at], found.place[at], found.near[at], found.far[at], data))
+                    held[kind].append((bucket[at], code[at], base + a + found.row[at], found.place[at], found.near[at], found.far[at], data))
                     size += 56 * len(at) + (sum(map(len, data)) if kind == ASK else 0)
             if size >= SEND:
                 yield flush()
                 size = 0
-        if size:
-            yield flush()
+    if size:
+        yield flush()
 
 
 def unpacked(rows: list[dict], kind: int) -> list[np.ndarray]:
@@ -423,7 +427,7 @@ def repeated_windows(df: DataFrame, shape: Shape, id_col: str, text_col: str, ot
     # Both joins take the same columns and a key that is never NULL, so that the second one reads the first one's shuffle.
     docs = df.select(F.coalesce(row_id, F.lit(NO_ID)).alias("node"), row_id.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *kept)
     names = [f"c_{i}" for i in range(len(others))]
-    source = df.select(row_id.alias("id"), text.alias("text")).where("id is not null and text is not null")
+    source = short_batches(df).select(row_id.alias("id"), text.alias("text")).where("id is not null and text is not null")
     entries = source.mapInArrow(lambda it: map_anchors(it, shape, buckets, tasks), ENTRY)
     tags = gathered(entries.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: meet_anchors(it, tasks), packets(1)), tasks, (8,))
     asked = docs.join(tags.select("node", F.col("c0").alias("tags")), "node").select("id", "key", "text", "tags", *names)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, per_batch, saved, text_buffer
+from .common import components, per_batch, saved, short_batches, text_buffer
 
 BITS, SEED = 64, 42
 PARTS, SAME = 6, 2
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_c
         return {"id": batch.column(0), "key": batch.column(1), "fp": pa.array(fp.view(np.int64))}
 
     text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(
+    return short_batches(df).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(
         per_batch(columns, schema), "id long, key long, fp long")
 
 

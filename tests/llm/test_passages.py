@@ -136,3 +136,27 @@ def test_covered_joins_stretches():
     assert passages.covered(runs, 1, 33, 10) == [(0, 16), (30, 33)]
     assert passages.covered(runs, 3, 33, 10) == [] == passages.covered(None, 1, 33, 10)
     assert passages.without("abcdef", [(1, 2), (4, 6)]) == ["a", "cd", ""]
+
+
+@pytest.mark.parametrize("shape", [BYTES, WORDS])
+def test_claims_of_many_batches_travel_together(shape):
+    """A bucket gets one row from a task, however many batches its texts come in, with the same claims and windows."""
+    rows = sorted(data_of(4))
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[2] for r in rows])], schema=schema)
+    entries = rows_from(passages.map_anchors(iter([batch]), shape, 3, 2))
+    told = rows_from(passages.meet_anchors(sorted_batch(entries, "bucket"), 2))
+    tags = {r["node"]: r["c0"] for r in rows_from(passages.gather(sorted_batch(told, "home"), (8,)))}
+    asked = [r for r in rows if r[0] in tags]
+    names = ["id", "key", "text", "tags"]
+    whole = pa.RecordBatch.from_pylist([dict(zip(names, (*r, tags[r[0]]))) for r in asked], schema=pa.schema(
+        [("id", pa.int64()), ("key", pa.int64()), ("text", pa.string()), ("tags", pa.binary())]))
+    one = rows_from(passages.ask_windows(iter([whole]), shape, 3))
+    many = rows_from(passages.ask_windows((whole.slice(i, 2) for i in range(0, len(whole), 2)), shape, 3))
+    assert len(one) == len(many) == len({r["bucket"] for r in one}) and len(whole) > 4
+
+    def held(sent):
+        met = rows_from(passages.meet_windows(sorted_batch(sent, "bucket"), shape, 2))
+        return {r["node"]: r for r in rows_from(passages.gather(sorted_batch(met, "home"), (4, 4)))}
+
+    assert held(one) == held(many) and held(one)

@@ -5,11 +5,12 @@ import hashlib
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetscope.llm import langid, mixing, queries
+from fleetscope.llm import common, langid, mixing, queries
 from tests.llm.test_text_operators import key, reference_fingerprint, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +130,33 @@ def test_run_chains_the_stages(spark, folder, staged):
 def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_get_texts_in_short_batches(spark):
+    """A task's whole share of the texts in one batch is held by Java and Python several times over, and stays with the executor."""
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("plain words "), 1000).alias("text"))
+    spark.conf.unset(common.BATCH_CONF)
+    langid.keep_identified(docs, {"en": b"plain words"})
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    got = docs.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 2000 and max(r.size for r in got) <= 2 * common.BATCH_BYTES
+    spark.conf.set(common.BATCH_CONF, "100000")
+    assert langid.keep_identified(docs, {"en": b"plain words"}).count() == 2000
+    assert spark.conf.get(common.BATCH_CONF) == "100000"
+    spark.conf.unset(common.BATCH_CONF)
+
+
+def test_few_rows_of_the_driver_need_no_worker(spark, staged, monkeypatch):
+    """Lists go through Python workers of another kind, which executors keep beside the others."""
+    def no(*_, **__):
+        raise AssertionError("rows went through Python workers")
+
+    want, taken = langid.fit(staged[0], langid.training_rows()), sorted(map(str, mixing.mix(staged[3]).collect()))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", no)
+    assert langid.fit(staged[0], langid.training_rows()) == want and len(want) > 1
+    assert langid.fit(staged[0].limit(0), langid.training_rows()) == {}
+    assert sorted(map(str, mixing.mix(staged[3]).collect())) == taken and mixing.mix(staged[3].limit(0)).collect() == []
