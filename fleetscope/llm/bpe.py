@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, short_batches
 
 #: Longest stretch without white space that is cached, in bytes, and cached stretches per generation.
-CACHED_BYTES, CACHED_WORDS = 64, 400_000
+CACHED_BYTES, CACHED_WORDS = 64, 100_000
 #: Bytes of text that go in at a time, and ids that the decoder takes at a time.
 BLOCK, DECODE_BLOCK = 1 << 18, 1 << 16
 #: The rank of a pair that no merge has.

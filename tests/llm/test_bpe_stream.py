@@ -41,3 +41,12 @@ def test_memory_does_not_grow_with_the_text(encoder):
         tracemalloc.stop()
         assert count > size // 8
     assert peaks[1] < 1.5 * peaks[0] + (1 << 20) and peaks[1] < 64 << 20
+
+
+def test_cache_is_dropped_with_its_generations():
+    """An executor keeps its workers, and they their encoders: what they remember stays small beside the executor's memory."""
+    enc = bpe.encoder_of(queries.tokenizer_path())
+    words = [b"w%d" % i for i in range(250_000)]
+    enc.encode(b" ".join(words))
+    assert len(enc.young) + len(enc.old) <= 200_000
+    assert enc.encode(words[0]) == enc.encode(b" " + words[0]) and len(enc.encode(b" ".join(words[:2]))) > 0
