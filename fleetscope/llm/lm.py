@@ -21,7 +21,7 @@ counts in the same shuffle and come back as one sum for each document and bucket
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc32, saved, shuffle_parts, slices, text_buffer
+from .common import BATCH_BYTES, id_crc32, saved, short_batches, shuffle_parts, slices, text_buffer
 from .passages import CHUNK, STEP, mixed, planes, rows_batch, starts_of, unplanes
 from .substring import word_hashes
 
@@ -40,8 +40,10 @@ FILTER_BYTES, ENTRY_BITS, HASHES = 1 << 26, 8, 3
 WHOLE_BYTES = 1 << 22
 #: Base of the levels, and weight of the pair estimate.
 LEVEL_BASE, PAIR_WEIGHT = 1.5, 0.3
-#: Levels that are told apart in the sizing of the filter; entries that a task sums at a time.
-LEVELS, ENTRIES = 96, 1 << 21
+#: Levels that are told apart in the sizing of the filter; tokens that a task counts at a time.
+LEVELS, TOKENS = 96, 1 << 22
+#: Hashes that get their bucket at a time.
+BLOCK = 1 << 18
 #: Words whose exact counts go to all workers at most.
 HEAD = 500_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -70,6 +72,39 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed(h) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
+def by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, and the places of its hashes."""
+    bucket = np.empty(len(h), np.min_scalar_type(buckets))  # short numbers take little room and are sorted by their digits
+    for i in range(0, len(h), BLOCK):
+        bucket[i:i + BLOCK] = bucket_of(h[i:i + BLOCK], buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.append(np.flatnonzero(starts_of(bucket[order])), len(h))
+    for a, z in zip(edges[:-1], edges[1:]):
+        yield int(bucket[order[a]]), order[a:z]
+
+
+def in_batches(rows: Iterable[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Packed rows in batches of some BATCH_BYTES; rows are made as they are asked for."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= BATCH_BYTES:
+            yield rows_batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield rows_batch(held, schema)
+
+
+def least_bytes(values: np.ndarray) -> int:
+    return max(1, -(-int(values.max()).bit_length() // 8))
+
+
+def whole_numbers(data: bytes, count: int) -> np.ndarray:
+    """Numbers that took the bytes they needed."""
+    return unplanes(data, len(data) // count).astype(np.int64)
+
+
 def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(h, kind="stable")
     h, n = h[order], n[order]
@@ -82,34 +117,34 @@ COUNTS_ARROW = pa.schema([("bucket", pa.int32()), ("pair", pa.bool_()), ("h", pa
 
 
 def count_task(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Counts of what a task reads, packed by bucket."""
+    """Counts of what a task reads, packed by bucket. What is held are the hashes alone, and they are sorted in place."""
     held: dict[bool, list] = {False: [], True: []}
 
-    def flush() -> pa.RecordBatch:
-        rows = []
+    def rows() -> Iterator[list]:
         for pair, parts in held.items():
-            h, n = summed(*(np.concatenate([p[i] for p in parts]) for i in range(2)))
-            bucket = bucket_of(h, buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, h, n = bucket[order], h[order], n[order]
-            edges = np.append(np.flatnonzero(starts_of(bucket)), len(h))
-            rows += [[int(bucket[a]), pair, planes(h[a:z], 6 if pair else 8), planes(n[a:z], 6)] for a, z in zip(edges[:-1], edges[1:])]
+            h = np.concatenate(parts)
             parts.clear()
-        return rows_batch(rows, COUNTS_ARROW)
+            h.sort()
+            edge = np.flatnonzero(starts_of(h)).astype(np.uint32)
+            n = np.diff(edge, append=np.uint32(len(h)))
+            h = h[edge]
+            del edge
+            for bucket, at in by_bucket(h, buckets):
+                yield [bucket, pair, planes(h[at], 6 if pair else 8), planes(n[at], least_bytes(n[at]))]
 
     size = 0
     for batch in batches:
         buf, off = text_buffer(batch.column(0))
         for a, z in slices(off, CHUNK):
             _, tok, pair = token_hashes(buf[off[a]:off[z]], off[a:z + 1] - off[a])
-            for which, h in ((False, tok), (True, pair)):
-                held[which].append(np.unique(h, return_counts=True))
-                size += len(held[which][-1][0])
-        if size >= 2 * ENTRIES:
-            yield flush()
-            size = 0
+            held[False].append(tok)
+            held[True].append(pair)
+            size += len(tok)
+            if size >= TOKENS:
+                yield from in_batches(rows(), COUNTS_ARROW)
+                size = 0
     if size:
-        yield flush()
+        yield from in_batches(rows(), COUNTS_ARROW)
 
 
 def levels(n: np.ndarray) -> np.ndarray:
@@ -134,8 +169,9 @@ def total_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = []
         for pair, size in ((False, 8), (True, 6)):
             mine = [r for r in held if r["pair"] is pair]
-            h, n = (np.concatenate([none, *(unplanes(r[c], s) for r in mine)]) for c, s in (("h", size), ("n", 6)))
-            both.append(summed(h, n))
+            h = [unplanes(r["h"], size) for r in mine]
+            n = [whole_numbers(r["n"], len(x)).astype(np.uint64) for x, r in zip(h, mine)]
+            both.append(summed(np.concatenate([none, *h]), np.concatenate([none, *n])))
         (wh, wn), (ph, pn) = both
         bits = np.floor(np.log2(np.maximum(wn, 1).astype(float))).astype(np.int64)
         return [bucket, planes(wh, 8), planes(wn, 6), planes(ph, 6), planes(pn, 6), int(wn.sum()), len(wh),
@@ -228,7 +264,7 @@ def fit(df: DataFrame, train: Column, text_col: str = "text") -> Trained:
     """
     spark = df.sparkSession
     buckets = shuffle_parts(spark)
-    counted = df.where(train).select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: count_task(it, buckets), COUNTS)
+    counted = short_batches(df).where(train).select(F.col(text_col).cast("string").alias("text")).mapInArrow(lambda it: count_task(it, buckets), COUNTS)
     totals = saved(counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(total_task, TOTALS), "counts")
     sums = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("entries"), F.lit(0)).alias("entries"),
                       *[F.coalesce(F.sum(F.col("lengths")[i]), F.lit(0)).alias(f"l{i}") for i in range(48)],
@@ -283,28 +319,15 @@ def log_chance(both: np.ndarray, before: np.ndarray, own: np.ndarray, floor: flo
     return np.log10(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * (own + 1) / floor)
 
 
-def least_bytes(values: np.ndarray) -> int:
-    return max(1, -(-int(values.max()).bit_length() // 8))
-
-
-def whole_numbers(data: bytes, count: int) -> np.ndarray:
-    """Numbers that took the bytes they needed."""
-    return unplanes(data, len(data) // count).astype(np.int64)
-
-
 def entries_of(kind: int, chunk: int, buckets: int, h: np.ndarray, doc: np.ndarray, *levels: np.ndarray) -> Iterator[list]:
     """Occurrences that meet their counts elsewhere, packed by bucket; ``levels`` are the same wherever a hash and a document are."""
     order = np.lexsort((doc, h))
     edge = np.flatnonzero(starts_of(h[order], doc[order]))
     times = np.diff(np.append(edge, len(order)))
     h, doc, *levels = (x[order][edge] for x in (h, doc, *levels))
-    bucket = bucket_of(h, buckets)
-    order = np.argsort(bucket, kind="stable")
-    h, doc, times, bucket, *levels = (x[order] for x in (h, doc, times, bucket, *levels))
-    edges = np.append(np.flatnonzero(starts_of(bucket)), len(h))
-    for i, j in zip(edges[:-1], edges[1:]):
-        yield [int(bucket[i]), kind, True, chunk, planes(h[i:j], 6 if kind == PAIRS else 8), planes(doc[i:j], least_bytes(doc[i:j])), planes(times[i:j], least_bytes(times[i:j])),
-               *([planes(x[i:j], 1) for x in levels] or (None, None))]
+    for bucket, at in by_bucket(h, buckets):
+        yield [bucket, kind, True, chunk, planes(h[at], 6 if kind == PAIRS else 8), planes(doc[at], least_bytes(doc[at])), planes(times[at], least_bytes(times[at])),
+               *([planes(x[at], 1) for x in levels] or (None, None))]
 
 
 def score_task(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -318,16 +341,16 @@ def score_task(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
     words, pairs, texts = [], [], []
     docs = size = 0
 
-    def flush() -> pa.RecordBatch:
+    def packed_rows() -> Iterator[list]:
         ids, state, *numbers = (np.concatenate([t[i] for t in texts]) for i in range(6))
-        rows = [[chunk % model.buckets, TEXTS, True, chunk, planes(ids.view(np.uint64), 8), state.tobytes(), planes(numbers[0], 6), planes(numbers[1], 6),
-                 np.concatenate(numbers[2:]).tobytes()]]
+        texts.clear()
+        yield [chunk % model.buckets, TEXTS, True, chunk, planes(ids.view(np.uint64), 8), state.tobytes(), planes(numbers[0], 6), planes(numbers[1], 6),
+               np.concatenate(numbers[2:]).tobytes()]
         for kind, held in ((WORDS, words), (PAIRS, pairs)):
             if held:
-                rows += entries_of(kind, chunk, model.buckets, *(np.concatenate([x[i] for x in held]) for i in range(len(held[0]))))
-            held.clear()
-        texts.clear()
-        return rows_batch(rows, MET_ARROW)
+                columns = [np.concatenate([x[i] for x in held]) for i in range(len(held[0]))]
+                held.clear()
+                yield from entries_of(kind, chunk, model.buckets, *columns)
 
     for batch in batches:
         buf, off = text_buffer(batch.column(2))
@@ -370,11 +393,11 @@ def score_task(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
             size += len(rare) + len(away)
             docs += rows
             if size >= SEND or docs >= DOCUMENTS:
-                yield flush()
+                yield from in_batches(packed_rows(), MET_ARROW)
                 chunk += docs
                 docs = size = 0
     if docs:
-        yield flush()
+        yield from in_batches(packed_rows(), MET_ARROW)
 
 
 def count_rows(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -462,7 +485,7 @@ def score(df: DataFrame, trained: Trained, held_out: Column, id_col: str = "doc_
     """
     model = trained.model
     shared = df.sparkSession.sparkContext.broadcast(model)  # FILTER_BYTES and HEAD words at most
-    rows = df.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = short_batches(df).select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(lambda it: score_task(it, shared.value), MET)
     least, buckets, floor = model.least, model.buckets, model.tokens + model.words + 1.0
     counts = trained.totals.select("bucket", "word_h", "word_n", "pair_h", "pair_n") if least > 1 else trained.totals.select("bucket", "word_h", "word_n")

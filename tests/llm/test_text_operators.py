@@ -9,11 +9,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fleetscope.llm import bpe, langid, lm, mixing, passages, queries, simhash, substring, suffix, tokens
+from fleetscope.llm import bpe, common, langid, lm, mixing, passages, queries, simhash, substring, suffix, tokens
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, `key` string, size string, fp string, uid string, runs string"
@@ -442,3 +443,39 @@ def test_rows_that_were_learned_from_look_up_no_single_pairs(spark, monkeypatch)
     want = sorted(tuple(r) for r in lm.score(docs.where("doc_id is not null"), every, held).collect())
     assert [r[:5] for r in got] == [r[:5] for r in want] and len(got) > 10
     assert all(abs(a[6] - b[6]) <= math.log10(1.5) * a[2] + 1e-9 for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("tokens", [1 << 22, 300_000])
+def test_counts_leave_a_task_in_short_batches(monkeypatch, tokens):
+    """All counts of a task in one batch are held by Java and Python at once; what is packed is whole, also if it goes in several turns."""
+    monkeypatch.setattr(lm, "TOKENS", tokens, raising=False)
+    numbers = np.random.default_rng(1).integers(10**6, size=(400, 2000))
+    texts = [" ".join(map("w{}".format, line)) for line in numbers.tolist()]
+    batches = [pa.record_batch([pa.array(texts[i:i + 40])], ["text"]) for i in range(0, 400, 40)]
+    out = list(lm.count_task(iter(batches), 5))
+    assert max(b.nbytes for b in out) <= 2 * common.BATCH_BYTES
+    got = [r for b in lm.total_task(iter(pa.Table.from_batches(out).sort_by("bucket").to_batches())) for r in b.to_pylist()]
+    buf, off = lm.text_buffer(pa.array(texts))
+    _, tok, pair = lm.token_hashes(buf, off)
+    for name, size, all_of in (("word", 8, tok), ("pair", 6, pair & lm.LOW)):
+        h, n = (np.concatenate([passages.unplanes(r[f"{name}_{c}"], s) for r in got]) for c, s in (("h", size), ("n", 6)))
+        want = np.unique(all_of, return_counts=True)
+        assert all((a == b).all() for a, b in zip(lm.summed(h, n), want))
+    assert len(got) == 5 and sum(r["tokens"] for r in got) == len(tok)
+
+
+def test_model_gets_texts_in_short_batches(spark):
+    docs, held = frame(spark, fuzz(23)), lm.fold()
+    long = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("plain words "), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    trained = lm.fit(docs, ~held)
+    for use in (lambda: lm.fit(docs, ~held), lambda: lm.score(docs, trained, held)):
+        spark.conf.unset(common.BATCH_CONF)
+        use()
+        got = long.mapInArrow(sizes, "rows long, size long").collect()
+        assert sum(r.rows for r in got) == 2000 and max(r.size for r in got) <= 2 * common.BATCH_BYTES
+    spark.conf.unset(common.BATCH_CONF)
