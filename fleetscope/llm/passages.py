@@ -42,6 +42,8 @@ from .common import short_batches, shuffle_parts, slices, text_buffer
 CODE_BITS, SPAN_BITS = 40, 47
 #: Entries that a task sorts at a time, bytes of text that it looks at together, and bytes that it gathers before it sends them.
 ENTRIES, CHUNK, SEND = 1 << 19, 1 << 20, 1 << 24
+#: Bytes of short documents that are looked at together: their hashes, 8 bytes a byte, stay in a core's cache.
+GROUP = 1 << 16
 #: Buckets that a task takes one after another, so that it holds this share of its input.
 BUCKETS_A_TASK = 4
 #: What a document is told about a span: claim it, or send its windows.
@@ -79,8 +81,10 @@ class Shape(Protocol):
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(31))
+    x *= MIX
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def planes(values: np.ndarray, size: int) -> bytes:
@@ -97,8 +101,8 @@ def unplanes(data: bytes, size: int) -> np.ndarray:
 
 def text_digests(texts: list[bytes], near: np.ndarray, far: np.ndarray) -> np.ndarray:
     """A 64-bit BLAKE2 digest of each text and its anchor's place in it; no relation to the hashes that brought the texts together."""
-    blake, salt = hashlib.blake2b, [bytes((n & 255, f & 255)) for n, f in zip(near.tolist(), far.tolist())]
-    return np.frombuffer(b"".join([blake(t, digest_size=8, salt=x).digest() for t, x in zip(texts, salt)]), "<u8")
+    blake, place = hashlib.blake2b, np.stack((near, far), axis=1).astype(np.uint8).tobytes()
+    return np.frombuffer(b"".join([blake(t + place[i:i + 2], digest_size=8).digest() for i, t in zip(range(0, len(place), 2), texts)]), "<u8")
 
 
 def starts_of(*keys: np.ndarray) -> np.ndarray:
@@ -110,6 +114,18 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def order_of(key: np.ndarray, *minor: np.ndarray) -> np.ndarray:
+    """The order by ``key``, then by the others as in ``lexsort``, the last one first; only rows that share a key are sorted by those."""
+    order = np.argsort(key)
+    held = key[order]
+    new = starts_of(held)
+    shared = ~new
+    shared[:-1] |= ~new[1:]
+    some = order[shared]
+    order[shared] = some[np.lexsort((*(m[some] for m in minor), held[shared]))]
+    return order
+
+
 def tag(bucket: np.ndarray, code: np.ndarray, span: np.ndarray) -> np.ndarray:
     """One number for an anchor and its span; the lowest bit is free for what a document is told."""
     return mixed(mixed((bucket.astype(np.uint64) << np.uint64(CODE_BITS)) | code) + span * STEP) & ~np.uint64(1)
@@ -120,9 +136,9 @@ def split_code(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(ids: np.ndarray, text: pa.Array, shape: Shape) -> Iterator[tuple[int, Anchors]]:
-    """(first row, anchors) of runs of documents of about CHUNK bytes, and of pieces of longer ones."""
+    """(first row, anchors) of runs of documents of about GROUP bytes, and of pieces of CHUNK bytes of long ones."""
     buf, off = text_buffer(text)
-    for a, z in slices(off, CHUNK):
+    for a, z in slices(off, min(GROUP, CHUNK)):
         own = buf[off[a]:off[z]]
         if len(own) <= 2 * CHUNK:
             yield a, shape.anchors(own, off[a:z + 1] - off[a])
@@ -232,7 +248,7 @@ def map_anchors(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int, h
         held.clear()
         bucket, code = split_code(h, buckets)
         del h
-        order = np.lexsort((ids, span, code, bucket))
+        order = order_of(bucket.astype(np.uint64) << np.uint64(CODE_BITS) | code, ids, span)
         ids, bucket, code, span = ids[order], bucket[order], code[order], span[order]
         del order
         new = starts_of(bucket, code, span)
@@ -282,7 +298,7 @@ def meet_anchors(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.R
             continue
         code = np.concatenate([unplanes(r["code"], 5) for r in rows])
         span = np.concatenate([unplanes(r["span"], 6) for r in rows])
-        order = np.lexsort((ids, span >> np.uint64(1), code))
+        order = order_of(code, ids, span >> np.uint64(1))
         ids, code, span = ids[order], code[order], span[order]
         several, span = (span & np.uint64(1)).astype(bool), span >> np.uint64(1)
         new, run = starts_of(code, span), starts_of(code)
@@ -353,10 +369,11 @@ def ask_windows(batches: Iterator[pa.RecordBatch], shape: Shape, buckets: int) -
             last = int(found.row.max()) + 1
             said = [np.frombuffer(x, "<u8") for x in lists.slice(a, last).to_pylist()]
             owner = np.repeat(np.arange(last, dtype=np.uint64), [len(x) for x in said])
-            told = mixed(np.concatenate(said) ^ (owner * STEP))
+            told = np.sort(mixed(np.concatenate(said) ^ (owner * STEP)))
             salt = found.row.astype(np.uint64) * STEP
             for kind in (CLAIM, ASK):
-                at = np.flatnonzero(np.isin(mixed((mine | np.uint64(kind)) ^ salt), told))
+                asked = mixed((mine | np.uint64(kind)) ^ salt)
+                at = np.flatnonzero(told[np.minimum(np.searchsorted(told, asked), len(told) - 1)] == asked) if len(told) else told
                 if len(at):
                     data = shape.digests(found, at) if kind == CLAIM else shape.records(found, at)
                     held[kind].append((bucket[at], code[at], base + a + found.row[at], found.place[at], found.near[at], found.far[at], data))
@@ -387,7 +404,7 @@ def meet_windows(batches: Iterator[pa.RecordBatch], shape: Shape, homes: int) ->
         ids, keys, code, place, near, far = unpacked(rows, CLAIM)
         digest = np.concatenate([unplanes(r["digest"], 8) for r in rows])
         # A claim holds if a smaller id claims the same text around the same anchor.
-        order = np.lexsort((ids, digest, code))
+        order = order_of(digest, ids, code)
         new = starts_of(code[order], digest[order])
         held = np.zeros(len(ids), bool)
         if len(ids):

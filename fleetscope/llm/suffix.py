@@ -3,7 +3,9 @@
 Which suffixes have to be sorted is settled by anchors: of each 50-byte window
 the 18-byte string with the least hash, so equal windows have equal anchors.
 Windows around an anchor that stands in several documents are suffixes of the
-pieces of text that hold them. These are sorted by merging; two suffixes are
+pieces of text that hold them. Equal ones have equal hashes of their 50 bytes, so
+those whose hash only one document has cannot repeat and need no sort. The others
+are sorted by merging, one of each hash; two suffixes are
 compared through prefix polynomial hashes, with a binary search for the length
 of their common start, so a comparison takes a logarithmic number of steps.
 Suffixes that share 50 bytes are neighbours afterwards; the bytes of neighbours
@@ -13,6 +15,7 @@ are compared, and if a hash misled the sort the bucket is sorted by its bytes.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,43 +31,53 @@ WINDOW, GRAM = 50, 18
 SPREAD = WINDOW - GRAM + 1
 #: Bytes by which suffixes are put in order before the merges.
 HEAD = 16
+#: Powers that a worker keeps; longer texts make theirs anew.
+KEPT_POWERS = 1 << 17
+FIRST, SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+@lru_cache(maxsize=2)
+def kept_powers(base: int) -> np.ndarray:
+    return powers(base, KEPT_POWERS)
+
+
+def powers_to(base: int, n: int) -> np.ndarray:
+    return kept_powers(base)[:n] if n <= KEPT_POWERS else powers(base, n)
+
+
 class PrefixHashes:
-    """Polynomial hashes of all stretches of a buffer that lie within ``reach`` of a marked start of theirs."""
+    """Polynomial hashes of all stretches of a buffer that lie within ``reach`` of a marked start of theirs; without marks it is one stretch."""
 
-    def __init__(self, buf: np.ndarray, local: np.ndarray):
-        reach = int(local.max(initial=0)) + 2
+    def __init__(self, buf: np.ndarray, local: np.ndarray | None = None):
+        reach = (len(buf) if local is None else int(local.max(initial=0))) + 2
+        up = powers_to(BASE, reach)
         self.total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(BASE, reach)[local], out=self.total[1:])
-        self.back = powers(inverse(BASE), reach)
+        value = buf.astype(np.uint64)
+        value += np.uint64(1)
+        value *= up[:len(buf)] if local is None else up[local]
+        np.cumsum(value, out=self.total[1:])
+        self.back = powers_to(inverse(BASE), reach)
         self.local = local
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return (self.total[start + length] - self.total[start]) * self.back[self.local[start]]
+        return (self.total[start + length] - self.total[start]) * self.back[start if self.local is None else self.local[start]]
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on, by doubling."""
-    h, size, out, taken, left = mixed(buf.astype(np.uint64) + np.uint64(1)), 1, None, 0, GRAM
-    while left:
-        if left & 1:
-            part = h[taken:]
-            if out is None:
-                out = part
-            else:
-                n = min(len(out), len(part))
-                out = mixed(out[:n] * STEP + part[:n])
-            taken += size
-        left >>= 1
-        if left:
-            h = mixed(h[:-size] * np.uint64(BASE) + h[size:])
-            size *= 2
-    return out[:len(buf) - GRAM + 1] | np.uint64(1)
+    """A hash of the GRAM bytes from each place on: eight, the next eight, and the last eight of them, mixed one after another."""
+    n = len(buf) - GRAM + 1
+    words = np.ndarray((n + GRAM - 8,), "<u8", buf.tobytes(), strides=(1,)).astype(np.uint64)
+    h = words[:n] * FIRST
+    h ^= h >> np.uint64(32)
+    h += words[8:n + 8]
+    h *= SECOND
+    h ^= h >> np.uint64(29)
+    h += words[GRAM - 8:]
+    return mixed(h) | np.uint64(1)
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -82,30 +95,34 @@ class ByteWindows:
 
     def anchors(self, buf: np.ndarray, off: np.ndarray) -> Anchors:
         n = len(buf) - WINDOW + 1
-        row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        valid = row[:n] == row[WINDOW - 1:] if n > 0 else np.zeros(0, bool)
-        if not valid.any():
+        h = gram_hashes(buf) if n > 0 else np.zeros(0, np.uint64)
+        low = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)  # half of a hash tells grams of one window apart
+        least = sliding(low, SPREAD, np.minimum) if n > 0 else np.zeros(0, np.uint32)
+        over = (off[1:-1, None] - np.arange(1, WINDOW)).ravel()
+        least[over[(over >= 0) & (over < n)]] = 0  # windows don't go over the end of a row
+        if not least.any():
             none = np.zeros(0, np.int64)
             return Anchors(none, none, none.astype(np.uint64), none.astype(np.uint64), none, none, [])
-        h = gram_hashes(buf)
-        least = np.where(valid, sliding(h, SPREAD, np.minimum), np.uint64(0))
-        padded = np.concatenate((np.zeros(SPREAD - 1, np.uint64), least, np.zeros(SPREAD - 1, np.uint64)))
-        chosen = sliding(padded, SPREAD, np.maximum) == h
-        spots = np.flatnonzero(chosen)
-        window = np.flatnonzero(valid)
-        owner = (np.cumsum(chosen) - chosen)[window]  # the first anchor at or behind the window's start
-        want = least[window]
-        off_by = np.flatnonzero(h[spots[owner]] != want)
+        padded = np.zeros(n + 2 * (SPREAD - 1), np.uint32)
+        padded[SPREAD - 1:SPREAD - 1 + n] = least
+        spots = np.flatnonzero(sliding(padded, SPREAD, np.maximum) == low)
+        # The anchor of a window is the first one at or behind its start with the window's hash. It changes with the hash, and behind itself.
+        edge = np.ones(n, bool)
+        np.not_equal(least[1:], least[:-1], out=edge[1:])
+        edge[1:] |= least[:-1] == low[:n - 1]
+        first = np.flatnonzero(edge)
+        last, want = np.append(first[1:], n) - 1, least[first]
+        first, last, want = (x[want != 0] for x in (first, last, want))
+        owner = np.searchsorted(spots, first)
+        off_by = np.flatnonzero(low[spots[owner]] != want)
         while len(off_by):
             owner[off_by] += 1
-            off_by = off_by[h[spots[owner[off_by]]] != want[off_by]]
-        edge = np.flatnonzero(starts_of(owner))
-        first, last = window[edge], window[np.append(edge[1:], len(window)) - 1]
-        spot = spots[owner[edge]]
-        hashes = PrefixHashes(buf, np.arange(len(buf)))
+            off_by = off_by[low[spots[owner[off_by]]] != want[off_by]]
+        spot = spots[owner]
+        row = np.searchsorted(off, spot, side="right") - 1
         near, far = spot - last, spot - first
-        span = mixed(hashes.of(first, last + WINDOW - first) + mixed((near * 64 + far).astype(np.uint64)))
-        return Anchors(row[spot], spot - off[row[spot]], mixed(h[spot]), span, near, far, [buf, spot])
+        span = mixed(PrefixHashes(buf).of(first, last + WINDOW - first) + mixed((near * 64 + far).astype(np.uint64)))
+        return Anchors(row, spot - off[row], mixed(h[spot]), span, near, far, [buf, spot])
 
     def pieces(self, buf: np.ndarray, size: int):
         for first in range(0, max(len(buf) - WINDOW + 1, 1), size):
@@ -132,18 +149,38 @@ class ByteWindows:
         entry = np.repeat(np.arange(len(data)), count)
         step = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
         start = begin[entry] + step
-        order, group = sorted_suffixes(buf, np.arange(len(buf)) - np.repeat(begin, size), start)
+        local = np.arange(len(buf)) - np.repeat(begin, size)
+        again = repeated(PrefixHashes(buf, local).of(start, WINDOW), ids[entry])
+        if not len(again):
+            return again, again
+        entry, step, start = entry[again], step[again], start[again]
+        order, group = sorted_suffixes(buf, local, start)
         owner = ids[entry[order]]
         edge = np.flatnonzero(starts_of(group))
         gone = owner > np.repeat(np.minimum.reduceat(owner, edge), np.diff(np.append(edge, len(owner))))
         return entry[order][gone], (far[entry] - step)[order][gone]
 
 
+def repeated(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The places of values that several ids have."""
+    order = np.argsort(h)
+    edge = np.flatnonzero(starts_of(h[order]))
+    least, most = (np.repeat(pick.reduceat(ids[order], edge), np.diff(np.append(edge, len(h)))) if len(h) else ids for pick in (np.minimum, np.maximum))
+    return np.sort(order[least < most])
+
+
 def sorted_suffixes(buf: np.ndarray, local: np.ndarray, start: np.ndarray, length: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): suffixes in the order of their first ``length`` bytes, and a number for each run of equal ones."""
     hashes = PrefixHashes(buf, local)
-    order = merge_sort(buf, hashes, start, length)
-    same = hashes.of(start[order[1:]], length) == hashes.of(start[order[:-1]], length)
+    # Suffixes with the same hash stay together: one of them is sorted, the others follow it in their order.
+    whole = hashes.of(start, length)
+    alike = np.argsort(whole, kind="stable")
+    edge = np.flatnonzero(starts_of(whole[alike]))
+    size = np.diff(np.append(edge, len(alike)))
+    sort = merge_sort(buf, hashes, start[alike[edge]], length)
+    begin = np.cumsum(size[sort]) - size[sort]
+    order = alike[np.repeat(edge[sort] - begin, size[sort]) + np.arange(len(alike))]
+    same = whole[order[1:]] == whole[order[:-1]]
     if not verified(buf, start[order], same, length):
         rows = np.ascontiguousarray(buf[start[:, None] + np.arange(length)]).view(f"V{length}").ravel()
         order = np.argsort(rows, kind="stable")

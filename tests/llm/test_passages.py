@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fleetscope.llm import passages
+from fleetscope.llm import passages, suffix
 from fleetscope.llm.substring import WordWindows
 from fleetscope.llm.suffix import ByteWindows
 from tests.llm.test_text_operators import first_ids, fuzz, reference_gone
@@ -160,3 +160,36 @@ def test_claims_of_many_batches_travel_together(shape):
         return {r["node"]: r for r in rows_from(passages.gather(sorted_batch(met, "home"), (4, 4)))}
 
     assert held(one) == held(many) and held(one)
+
+
+def test_equal_windows_have_their_anchor_at_the_same_place():
+    """Each window of a row has one anchor, which lies in it; where and which it is depends on the window's bytes alone."""
+    rnd = random.Random(5)
+    whole = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    texts = [whole, "x" * 170, "ab" * 90, "", whole[40:180], "rested " * 30, "y" + whole[100:], "short", "q" * 49, whole[7:57], "ab" * 40 + "a"]
+    off = np.cumsum([0, *map(len, texts)])
+    found = BYTES.anchors(np.frombuffer("".join(texts).encode(), np.uint8), off)
+    seen, of = {}, {}
+    for row, place, code, near, far in zip(*(x.tolist() for x in found[:3]), found.near.tolist(), found.far.tolist()):
+        for back in range(near, far + 1):
+            first = place - back
+            window = texts[row][first:first + BYTES.window]
+            assert len(window) == BYTES.window and 0 <= back <= BYTES.window - 18 and (row, first) not in of
+            of[row, first] = back, code
+            assert seen.setdefault(window, (back, code)) == (back, code)
+    assert set(of) == {(i, a) for i, t in enumerate(texts) for a in range(len(t) - BYTES.window + 1)}
+
+
+def test_windows_that_only_one_document_has_are_not_sorted(monkeypatch):
+    """A common anchor in ever different surroundings: the suffix sort gets one window of each that repeats."""
+    rnd = random.Random(6)
+    anchor, sorted_ = b"common to them all", []
+    data = [bytes(rnd.choices(b"abcdefgh", k=32)) + anchor + bytes(rnd.choices(b"abcdefgh", k=32)) for _ in range(200)]
+    data[7] = data[3][:60] + data[7][60:]
+    n = len(data)
+    near, far = np.zeros(n, np.int64), np.full(n, 32)
+    sort = suffix.merge_sort
+    monkeypatch.setattr(suffix, "merge_sort", lambda buf, hashes, start, length: sorted_.append(len(start)) or sort(buf, hashes, start, length))
+    at, back = BYTES.removable(np.zeros(n, np.uint64), np.arange(n), near, far, data)
+    assert sorted(zip(at.tolist(), back.tolist())) == [(7, b) for b in range(22, 33)] and sum(sorted_) == 11
+    assert not len(BYTES.removable(np.zeros(n, np.uint64), np.full(n, 4), near, far, data)[0])
