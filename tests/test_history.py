@@ -85,3 +85,42 @@ def test_segments_never_miss():
     assert history.has_all(bits, history.places(h, len(bits) * 8)).all()
     others = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 5000)
     assert history.has_all(bits, history.places(others, len(bits) * 8)).mean() < 0.03
+
+
+def test_segments_of_a_day_stay_few(spark, kept, tmp_path):
+    """Four batches of one day: the number of segments grows with the logarithm of the ids, and all ids stay known."""
+    batches = [[event(1000 * n + i, f"s{n}-{i}", 1 + i % 2) for i in range(400)] for n in range(4)]
+    kept(batches, shares=2, segment_ids=8)
+    held = history.IdHistory(spark, str(tmp_path / "h"), shares=2, segment_ids=8)
+    segments = held.segments.read().collect()
+    assert sum(s.ids for s in segments) == 1600 and all(s.ids <= len(s.bits) * 8 / history.BITS_AN_ID for s in segments)
+    assert len(segments) <= 4 * 4 and len({(s.share, s.day, s.part) for s in segments}) == len(segments)
+    again = spark.createDataFrame([r for b in batches for r in b], EVENT)
+    assert held.fresh(again, 9).count() == 0 and held.known(again, 9).count() == 1600
+
+
+def test_small_batches_of_a_day(spark):
+    """Ids that come one by one, as well as all at once, after segments of any size."""
+    h, held = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 600), []
+    for i in range(0, 600, 3):
+        held = history.filled(held, h[i:i + 3], 16)
+    assert [n for _, n, _ in held][:1] == [16] and sum(n for _, n, _ in held) == 600 and len(held) <= 7
+    for some in (held, history.filled(held[:2], h, 16), history.filled([], h[:16], 16), history.filled([], h, 1)):
+        tables = history.stacked([np.frombuffer(bits, np.uint8) for _, _, bits in some])
+        assert history.in_some(tables, h[:16]).all()
+    assert history.filled([], h[:0], 16) == []
+
+
+def test_segments_side_by_side_answer_as_alone(monkeypatch):
+    """Segments of several sizes, more than stand in one table, too many places for one, and none."""
+    rng = np.random.default_rng(4)
+    segments = [rng.integers(0, 256, size).astype(np.uint8) | np.uint8(0x81) for size in [80] * 40 + [64] * 9 + [512, 1024, 7]]
+    h = rng.integers(-(1 << 62), 1 << 62, 3000)
+    want = np.any([history.has_all(s, history.places(h, len(s) * 8)) for s in segments], axis=0)
+    alone = [np.any([history.has_all(s, history.places(h, len(s) * 8)) for s in some], axis=0) for some in (segments[:3], segments[-2:])]
+    for few, many in ((1 << 22, 1 << 24), (600, 5000), (8, 16)):
+        monkeypatch.setattr(history, "FEW_PLACES", few)
+        monkeypatch.setattr(history, "MANY_PLACES", many)
+        assert (history.in_some(history.stacked(segments), h) == want).all()
+        assert all((history.in_some(history.stacked(some), h) == a).all() for some, a in zip((segments[:3], segments[-2:]), alone))
+    assert not history.in_some(history.stacked([]), h).any() and 0 < alone[0].sum() < len(h)
